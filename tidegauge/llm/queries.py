@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm.common import load
-from tidegauge.llm import mixing
+from tidegauge.llm import mixing, quality, toxicity
 from tidegauge.llm.dedup import near_duplicates
 
 
@@ -15,12 +15,20 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(load(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predictions(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op10_minhash)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality, op4_toxicity, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
