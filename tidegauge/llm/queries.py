@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm.common import load
-from tidegauge.llm import decontamination, mixing, quality, toxicity
+from tidegauge.llm import decontamination, mixing, quality, topk, toxicity
 from tidegauge.llm.dedup import near_duplicates
 
 
@@ -27,13 +27,17 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(load(spark, sf_dir, "embeddings"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_quality, op4_toxicity, op6_decontamination, op10_minhash)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality, op4_toxicity, op6_decontamination, op9_topk, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE, "op6_decontamination": decontamination.ORACLE}
+    return {"op1_mixing": mixing.ORACLE, "op6_decontamination": decontamination.ORACLE, "op9_topk": topk.ORACLE}
