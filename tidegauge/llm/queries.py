@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm.common import load
-from tidegauge.llm import decontamination, mixing, quality, topk, toxicity
+from tidegauge.llm import decontamination, lengths, mixing, quality, tokenfiles, topk, toxicity
 from tidegauge.llm.dedup import near_duplicates
 
 
@@ -27,6 +27,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.round_trip(load(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.context_table(lengths.length_histogram(load(spark, sf_dir, "documents")))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest(load(spark, sf_dir, "embeddings"))
 
@@ -36,7 +44,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_quality, op4_toxicity, op6_decontamination, op9_topk, op10_minhash)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality, op4_toxicity, op6_decontamination, op7_token_files, op8_token_counts, op9_topk, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
