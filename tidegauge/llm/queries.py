@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm.common import load
-from tidegauge.llm import decontamination, lengths, mixing, quality, tokenfiles, topk, toxicity
+from tidegauge.llm import archives, decontamination, lengths, mixing, quality, tokenfiles, topk, toxicity
 from tidegauge.llm.dedup import near_duplicates
 
 
@@ -23,6 +23,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op5_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = archives.round_trip(load(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -44,8 +49,8 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_quality, op4_toxicity, op6_decontamination, op7_token_files, op8_token_counts, op9_topk, op10_minhash)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality, op4_toxicity, op5_archives, op6_decontamination, op7_token_files, op8_token_counts, op9_topk, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE, "op6_decontamination": decontamination.ORACLE, "op9_topk": topk.ORACLE}
+    return {"op1_mixing": mixing.ORACLE, "op5_archives": archives.ORACLE, "op6_decontamination": decontamination.ORACLE, "op9_topk": topk.ORACLE}
