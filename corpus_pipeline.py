@@ -1,8 +1,59 @@
-"""A training-data pipeline over ``documents``: five stages, each written as Parquet and read again."""
+"""A training-data pipeline over ``documents``: five stages, each written as Parquet and read again as the next one's input."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidegauge.llm import decontamination, dedup, mixing, tokenfiles, toxicity
+from tidegauge.llm.common import load, written
+from tidegauge.session import prepare
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents that are predicted to be toxic go."""
+    prepare(spark)
+    return toxicity.without_toxic(docs, load(spark, sf_dir, "labels"))
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: of each group of near-duplicates the document with the least doc_id stays."""
+    prepare(spark)
+    return dedup.without_duplicates(docs)
+
+
+def reject_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: documents that hold a benchmark item go."""
+    prepare(spark)
+    return decontamination.without_items(docs, load(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: each document as often as the mix of sources takes it."""
+    prepare(spark)
+    return mixing.mixed(docs)
+
+
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: token files, written and read back; the documents' places in them."""
+    prepare(spark)
+    return tokenfiles.round_trip(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near_duplicates", keep_one_of_near_duplicates),
+    ("decontamination", reject_benchmark_text),
+    ("mixing", mix_sources),
+    ("token_files", write_token_files),
+]
+
+#: The classifier and the tokenizer can't be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = load(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -200,3 +200,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = table.select("doc_id", "n_shingles", "f1", "f2").join(heads, ["f1", "f2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("head"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is its component's, and those without doc_id; repeated rows of such a doc_id stay."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id")
+    return docs.join(written(gone), "doc_id", "left_anti").select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm.common import load
-from tidegauge.llm import archives, decontamination, lengths, mixing, quality, tokenfiles, topk, toxicity
+from tidegauge.llm import archives, decontamination, lengths, mixing, quality, secrets, tokenfiles, topk, toxicity
 from tidegauge.llm.dedup import near_duplicates
 
 
@@ -19,6 +19,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predictions(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(load(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -49,7 +53,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_quality, op4_toxicity, op5_archives, op6_decontamination, op7_token_files, op8_token_counts, op9_topk, op10_minhash)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_secrets, op4_toxicity, op5_archives, op6_decontamination, op7_token_files, op8_token_counts, op9_topk, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
