@@ -34,21 +34,34 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
 
 
-def shingle_hashes(w: Column) -> Column:
-    """Hashes of the runs of five words of a word array, with repeats; of the whole array if it is shorter."""
+def _of_words(text: Column, made) -> Column:
+    """``made`` of the text's words, which a lambda's variable holds: Spark would else find them anew for every run."""
+    return F.get(F.transform(F.array(words(text)), made), F.lit(0))
+
+
+def _hashes(w: Column) -> Column:
     runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - WIDTH, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WIDTH)]))
     return F.when(F.size(w) > 0, runs).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
-def shingle_texts(w: Column) -> Column:
-    """The runs of five words as strings, with repeats; the whole of a shorter array."""
+def shingle_hashes(text: Column) -> Column:
+    """Hashes of the runs of five words of a text, with repeats; of all its words if it has fewer."""
+    return _of_words(text, _hashes)
+
+
+def _texts(w: Column) -> Column:
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - WIDTH + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(w, i, WIDTH)))
     return F.when(F.size(w) > 0, runs).otherwise(F.expr("cast(array() as array<string>)"))
 
 
+def shingle_texts(text: Column) -> Column:
+    """The runs of five words as strings, with repeats; all words of a text that has fewer."""
+    return _of_words(text, _texts)
+
+
 def sketches(items: DataFrame) -> DataFrame:
     """(item_id, hash) of the bottom-k sketches; k depends on the item's size partition only."""
-    hashed = items.select("item_id", F.array_sort(F.array_distinct(shingle_hashes(words(F.col("text"))))).alias("h")).where("item_id is not null and size(h) > 0")
+    hashed = items.select("item_id", F.array_sort(F.array_distinct(shingle_hashes(F.col("text")))).alias("h")).where("item_id is not null and size(h) > 0")
     upper = F.pow(F.lit(2), F.ceil(F.log2(F.size("h"))))
     k = F.floor(upper * (100 - PERCENT) / 100).cast("int") + 1
     return hashed.select("item_id", F.explode(F.slice("h", F.lit(1), k)).alias("hash"))
@@ -59,7 +72,7 @@ def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     sketch = written(sketches(items))
     if sketch.count() <= BROADCAST_HASHES:
         sketch = F.broadcast(sketch)
-    probes = docs.where("doc_id is not null").select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(shingle_hashes(F.col("w"))).alias("hash"))
+    probes = docs.where("doc_id is not null").select("doc_id", F.explode(shingle_hashes(F.col("text"))).alias("hash"))
     return written(probes.join(sketch, "hash").select("doc_id", "item_id").distinct())
 
 
@@ -73,8 +86,8 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     pairs = candidates(docs, items)
     texts = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    found = written(pairs.join(texts, "doc_id").select("doc_id", "item_id", shingle_texts(words(F.col("text"))).alias("s")).join(
-        items.select("item_id", F.array_distinct(shingle_texts(words(F.col("text")))).alias("t")), "item_id"
+    found = written(pairs.join(texts, "doc_id").select("doc_id", "item_id", shingle_texts(F.col("text")).alias("s")).join(
+        items.select("item_id", F.array_distinct(shingle_texts(F.col("text"))).alias("t")), "item_id"
     ).select("doc_id", "item_id", F.size("t").alias("n_item"), F.size(F.array_intersect("s", "t")).alias("n_shared")))
     best = found.where(F.lit(100) * F.col("n_shared") >= F.lit(PERCENT) * F.col("n_item")).groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_item", "n_shared")).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.n_item").alias("n_item"), F.col("best.n_shared").alias("n_shared"), F.col("best.containment").alias("containment"))
