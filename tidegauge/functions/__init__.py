@@ -1,0 +1 @@
+"""Column and row functions."""
