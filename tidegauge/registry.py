@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 #: Modules that hold a ``QUERIES`` table.
-MODULES: tuple[str, ...] = ("indicators",)
+MODULES: tuple[str, ...] = ("indicators", "eda")
 
 
 def _all() -> dict[str, tuple[Callable, str | None]]:
