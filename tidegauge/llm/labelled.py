@@ -7,11 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: About so many labelled rows of each class are used to fit; scoring and everything else covers all rows.
-PER_CLASS = {0: 8000, 1: 8000}
 
-
-def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: F.Column, per_class: dict[int, int] | None = None) -> tuple[pa.Table, dict[int, float]]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: F.Column, per_class: dict[int, int]) -> tuple[pa.Table, dict[int, float]]:
     """(text, label) of a seeded sample of labelled rows in doc_id order, and each class's weight per sampled row.
 
     ``allowed`` says which rows of ``labels`` may be learnt from. Rows whose
@@ -19,10 +16,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: F.Column, pe
     counts with its greater label. The sample's expected size is bounded by
     ``per_class`` (documented parameter), so it may be broadcast and collected.
     """
-    bound = per_class or PER_CLASS
     known = labels.where(allowed & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
     found = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
-    share = {k: min(1.0, bound[k] / n) for k, n in found.items() if n}
+    share = {k: min(1.0, per_class[k] / n) for k, n in found.items() if n}
     if not share:
         return pa.table({"text": pa.array([], pa.string()), "label": pa.array([], pa.int32())}), {}
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1_000_000

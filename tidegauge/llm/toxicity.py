@@ -28,6 +28,8 @@ from tidegauge.llm.common import crc_mod
 from tidegauge.llm.shingles import U64, _power_tables, mix, slices
 
 CHAIN = 64
+#: About so many labelled rows of each class are used to fit.
+PER_CLASS = {0: 4000, 1: 4000}
 BITS = 18
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: A feature marks tokens of toxic documents if so many toxic documents have it, at such a precision.
@@ -105,12 +107,20 @@ def forward_backward(scores: np.ndarray, valid: np.ndarray, transitions: np.ndar
     return left, right, e
 
 
+def _scores(weights: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Sum of the features' weights for each token, a column at a time."""
+    out = np.zeros(len(found))
+    for k in range(found.shape[1]):
+        out += weights.take(found[:, k])
+    return out
+
+
 def marginals(found: np.ndarray, rows: np.ndarray, model: Model) -> np.ndarray:
     """Probability of T for each token."""
     if not len(found):
         return np.zeros(0)
     chain, place, count = _layout(rows)
-    scores = model.weights[found].sum(1, dtype=np.float64)
+    scores = _scores(model.weights, found)
     valid = _grid(np.ones(len(found), bool), chain, place, count, False)
     left, right, _ = forward_backward(_grid(scores, chain, place, count, -25.0), valid, model.transitions)
     odds = (left * right)[place, chain]
@@ -128,76 +138,96 @@ def document_features(p: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.column_stack([np.log1p(expected), most, np.log1p(100 * expected / np.maximum(counts, 1))])
 
 
-def _token_labels(found: np.ndarray, rows: np.ndarray, toxic: np.ndarray, weight: dict[int, float]) -> np.ndarray:
-    """0/1 for each token, from the documents' labels."""
-    seen = np.zeros((2, 1 << BITS))
-    for i, t in enumerate(toxic):
-        seen[t, np.unique(found[rows[i] : rows[i + 1]])] += 1
-    n = np.maximum(np.bincount(toxic, minlength=2), 1)
-    rate = seen / n[:, None]
-    marked = (seen[1] >= MARK_DOCS) & (rate[1] >= MARK_PRECISION * (rate[1] + rate[0] + 1e-12)) & (rate[1] > 0)
-    owner = np.repeat(toxic, np.diff(rows))
-    return (owner == 1) & marked[found].any(1)
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, tokens' rows, features) of slices of the texts: features of all texts are never held at once."""
+    for first, data, offsets in slices(texts):
+        _, _, rows, found = tokens(data, offsets)
+        yield first, rows, found
+
+
+def _marks(texts: pa.Array, toxic: np.ndarray) -> np.ndarray:
+    """Which features mark tokens of toxic documents."""
+    seen = np.zeros((2, 1 << BITS), np.int32)
+    for first, rows, found in _pieces(texts):
+        for i in range(len(rows) - 1):
+            seen[toxic[first + i], np.unique(found[rows[i] : rows[i + 1]])] += 1
+    rate = seen / np.maximum(np.bincount(toxic, minlength=2), 1)[:, None]
+    return (seen[1] >= MARK_DOCS) & (rate[1] >= MARK_PRECISION * (rate[1] + rate[0] + 1e-12)) & (rate[1] > 0)
+
+
+def _training_chains(texts: pa.Array, toxic: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Features, labels, chains and places of the tokens of chains with a toxic token and of every eighth other, and the chains' number."""
+    parts: list[tuple] = []
+    count = 0
+    for first, rows, found in _pieces(texts):
+        if not len(found):
+            continue
+        hit = np.zeros(len(found), bool)
+        for k in range(found.shape[1]):
+            hit |= marked.take(found[:, k])
+        y = hit & (np.repeat(toxic[first : first + len(rows) - 1], np.diff(rows)) == 1)
+        chain, place, chains = _layout(rows)
+        used = np.zeros(chains, bool)
+        used[::8] = True
+        used[chain[y]] = True
+        keep = used[chain]
+        parts.append((found[keep], y[keep], (np.cumsum(used) - 1)[chain[keep]] + count, place[keep]))
+        count += int(used.sum())
+    if not parts:
+        return np.zeros((0, len(PREFIXES) + 1), np.int32), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    return *(np.concatenate([p[k] for p in parts]) for k in range(4)), count
 
 
 def fit(table: pa.Table, weight: dict[int, float]) -> Model:
     """The field's weights by AdaGrad on the exact likelihood gradient, then the document regression."""
-    if table.num_rows == 0:
-        return Model.neutral()
-    toxic, parts, at = table["label"].to_numpy().astype(np.int64), [], [np.zeros(1, np.int64)]
-    with np.errstate(over="ignore"):
-        for _, data, offsets in slices(table["text"].combine_chunks()):
-            _, _, rows, found = tokens(data, offsets)
-            parts.append(found)
-            at.append(rows[1:] + at[-1][-1])
-    found, rows = np.concatenate(parts), np.concatenate(at)
     model = Model.neutral()
-    if toxic.min() == toxic.max() or not len(found):
+    if table.num_rows == 0:
+        return model
+    toxic, texts = table["label"].to_numpy().astype(np.int64), table["text"].combine_chunks()
+    if toxic.min() == toxic.max():
         model.document = np.array([0.0, 0.0, 0.0, 3.0 if toxic.min() == 1 else -3.0])
         return model
-    y = _token_labels(found, rows, toxic, weight)
-    chain, place, count = _layout(rows)
-    # chains with a toxic token, and every eighth of the others, carry the gradient
-    used = np.zeros(count, bool)
-    used[::8] = True
-    used[chain[y]] = True
-    keep = used[chain]
-    number = np.cumsum(used) - 1
-    f, y, chain, place, count = found[keep], y[keep], number[chain[keep]], place[keep], int(used.sum())
+    with np.errstate(over="ignore"):
+        f, y, chain, place, count = _training_chains(texts, toxic, _marks(texts, toxic))
+        if count:
+            model.weights, model.transitions = _ascend(f, y, chain, place, count)
+        features = np.concatenate([document_features(marginals(found, rows, model), rows) for _, rows, found in _pieces(texts)])
+    w = np.array([weight.get(0, 1.0), weight.get(1, 1.0)])[toxic]
+    model.document = labelled.logistic(features, toxic.astype(float), w)
+    return model
+
+
+def _ascend(f: np.ndarray, y: np.ndarray, chain: np.ndarray, place: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Emission and transition weights that the likelihood's gradient leads to."""
     valid = _grid(np.ones(len(f), bool), chain, place, count, False)
     truth = _grid(y, chain, place, count, False)
     pair = valid[1:] & valid[:-1]
     seen = np.array([[(pair & (truth[:-1] == i) & (truth[1:] == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
     weights, trans = np.zeros(1 << BITS), np.zeros((2, 2))
     mass_w, mass_t = np.full(1 << BITS, 1e-6), np.full((2, 2), 1e-6)
-    bias_feature = np.full(len(f), -2.0)  # a prior against T
     for _ in range(STEPS):
-        scores = weights[f].sum(1) + bias_feature
+        scores = _scores(weights, f) - 2.0  # a prior against T
         left, right, e = forward_backward(_grid(scores, chain, place, count, -25.0), valid, trans)
         odds = (left * right)[place, chain]
-        slope = np.bincount(f.ravel(), np.repeat(y - odds / (1 + odds), f.shape[1]), 1 << BITS) / count - RIDGE * weights
-        a = np.stack([1 / (1 + left[:-1]), left[:-1] / (1 + left[:-1])])
-        x = e[1:] * right[1:]
-        b = np.stack([np.ones_like(x), x])
-        joint = a[:, None] * np.exp(trans)[:, :, None, None] * b[None]
-        joint /= joint.sum((0, 1))
-        slope_t = (seen - np.where(pair, joint, 0).sum((2, 3))) / count - RIDGE * trans
+        gap = y - odds / (1 + odds)
+        slope = sum(np.bincount(f[:, k], gap, 1 << BITS) for k in range(f.shape[1])) / count - RIDGE * weights
+        a = (1 / (1 + left[:-1]), left[:-1] / (1 + left[:-1]))
+        b = (1.0, e[1:] * right[1:])
+        cells = [[a[i] * np.exp(trans[i, j]) * b[j] for j in (0, 1)] for i in (0, 1)]
+        whole = cells[0][0] + cells[0][1] + cells[1][0] + cells[1][1]
+        expected = np.array([[(cells[i][j] / whole)[pair].sum() for j in (0, 1)] for i in (0, 1)])
+        slope_t = (seen - expected) / count - RIDGE * trans
         mass_w += slope**2
         mass_t += slope_t**2
         weights += RATE * slope / np.sqrt(mass_w)
         trans += 0.2 * RATE * slope_t / np.sqrt(mass_t)
     # the prior against T is spread over the features, so that scoring needs the weights only
-    model.weights = (weights - 2.0 / f.shape[1]).astype(np.float32)
-    model.transitions = trans
-    p = marginals(found, rows, model)
-    w = np.array([weight.get(0, 1.0), weight.get(1, 1.0)])[toxic]
-    model.document = labelled.logistic(document_features(p, rows), toxic.astype(float), w)
-    return model
+    return (weights - 2.0 / f.shape[1]).astype(np.float32), trans
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None = None) -> Model:
     """A model from ``labels`` (doc_id, toxic) of rows whose crc32(doc_id) mod 5 is not 0."""
-    return fit(*labelled.sample(docs, labels, "toxic", crc_mod(F.col("doc_id"), 5) != 0, per_class))
+    return fit(*labelled.sample(docs, labels, "toxic", crc_mod(F.col("doc_id"), 5) != 0, per_class or PER_CLASS))
 
 
 _SCHEMA = "doc_id long, score double, expected double, spans array<struct<start:int,stop:int,probability:double>>"
