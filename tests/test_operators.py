@@ -1,0 +1,136 @@
+"""Operators and functions against brute force and hand-computed cases."""
+
+import datetime as dt
+import math
+import random
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from tidegauge.functions import fixed_values, text
+from tidegauge.functions.windows import change, full, frame, obv
+from tidegauge.operators import association, changepoint, merge, metrics
+from tidegauge.operators.ewm import with_ewm
+from tidegauge.plans.dashboard import scan
+from tidegauge.session import prepare
+
+
+def _cost(z, a, b):
+    return ((z[a:b] - z[a:b].mean()) ** 2).sum()
+
+
+def _all_breaks(values, penalty, jump, segment):
+    """Unpruned dynamic programming over the same grid."""
+    z, n = (values - values.mean()) / values.std(), len(values)
+    grid = [0] + [t for t in range(jump, n, jump) if t >= segment] + [n]
+    best, back = {0: 0.0}, {}
+    for t in grid[1:]:
+        options = [(best[a] + _cost(z, a, t) + penalty * math.log(n) * (a > 0), a) for a in grid if a < t and t - a >= segment and a in best]
+        if options:
+            best[t], back[t] = min(options)
+    out, t = [], n
+    while back.get(t, 0) > 0:
+        t = back[t]
+        out.append(t)
+    return out[::-1], best[n]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_change_points_match_unpruned_search(seed):
+    rng = np.random.default_rng(seed)
+    values = np.concatenate([rng.normal(m, 1, rng.integers(20, 60)) for m in rng.normal(0, 2, 4)])
+    found = changepoint.breakpoints(values)
+    expected, total = _all_breaks(values, changepoint.PENALTY, changepoint.JUMP, changepoint.SEGMENT)
+    z = (values - values.mean()) / values.std()
+    edges = [0, *found, len(values)]
+    own = sum(_cost(z, a, b) for a, b in zip(edges, edges[1:])) + len(found) * changepoint.PENALTY * math.log(len(values))
+    assert own == pytest.approx(total) and len(found) == len(expected)
+
+
+def test_step_flat_and_short_series(spark):
+    noise = np.random.default_rng(1).normal(0, 0.01, 200)
+    step = np.concatenate([np.zeros(100), np.ones(100)]) + noise
+    assert changepoint.breakpoints(step) == [100]
+    assert changepoint.breakpoints(np.ones(150)) == []
+    days = [dt.date(2020, 1, 1) + dt.timedelta(i) for i in range(200)]
+    rows = [("a", d, float(x)) for d, x in zip(days, step)] + [("b", d, float(x)) for d, x in zip(days[:99], step)]
+    found = changepoint.change_points(prepare(spark).createDataFrame(rows, "symbol string, date date, value double")).collect()
+    assert [(r.symbol, r.place) for r in found] == [("a", 100)]
+
+
+def test_ewm_and_rolling_edges(spark):
+    days = [dt.date(2020, 1, 1) + dt.timedelta(i) for i in range(25)]
+    closes = [1.0, 2.0, 3.0, 4.0] + [5.0] * 21
+    b = prepare(spark).createDataFrame([("a", d, c, 0 if i == 3 else 2) for i, (d, c) in enumerate(zip(days, closes))], "symbol string, date date, close double, volume long")
+    e = with_ewm(b, {"plain": ("close", dict(alpha=0.5, adjust=False)), "adjusted": ("close", dict(alpha=0.5))}).orderBy("date").toPandas()
+    assert list(e["plain"][:4]) == [1, 1.5, 2.25, 3.125]
+    assert [round(x, 4) for x in e["adjusted"][:4]] == [1, 1.6667, 2.4286, 3.2667]
+    r = b.select("date", full(F.avg, F.col("close"), frame(20), 20).alias("m"), change(F.col("volume")).alias("v"), obv(F.col("close"), F.col("volume")).alias("o")).orderBy("date").toPandas()
+    assert r["m"].isna().sum() == 19
+    assert pd.isna(r["v"][4]) and r["v"][3] == -1  # a change from zero is unknown
+    assert r["o"][0] == 0 and set(r["o"][4:6]) <= {0.0, 2.0}
+
+
+def test_lexicon_negation_and_overlap(spark):
+    spark = prepare(spark)
+    score = text.lexicon()
+    cases = [("Công ty chia cổ tức", 1, 0), ("không chia cổ tức", 0, 1), ("không" + " " * 20 + "chia cổ tức", 1, 0), ("LỢI NHUẬN TĂNG TRƯỞNG", 1, 0), ("không thua lỗ", 1, 0), ("lãi giảmx", 0, 0), ("", 0, 0), (None, 0, 0)]
+    found = spark.createDataFrame([(t,) for t, _, _ in cases], "t string").select(score("t").alias("x")).collect()
+    assert [(r.x.pos, r.x.neg) for r in found] == [(p, n) for _, p, n in cases]
+    assert len(fixed_values.POSITIVE) == 56 and len(fixed_values.NEGATIVE) == 66 and len(fixed_values.MEMBERSHIP) == 50
+
+
+def test_tagger(spark):
+    tag = text.tagger()
+    cases = [("gas giá", []), ("GAS tăng", ["GAS"]), ("(VCB)", ["VCB"]), ("XHPG", []), ("NATURAL GAS lên", []), ("Vietcombank và hòa phát", ["HPG", "VCB"]), (None, [])]
+    found = prepare(spark).createDataFrame([(t,) for t, _ in cases], "t string").select(tag("t").alias("x")).collect()
+    assert [r.x for r in found] == [x for _, x in cases]
+
+
+def test_article(spark):
+    long = "Đoạn văn đủ dài để được giữ lại trong bài."
+    html = f'<html><head><meta property="og:title" content="T"></head><body><nav><p>{long}</p></nav><div class="sidebar"><p>{long}</p></div><p>{long}<p>{"x" * 29}</p><p>[{"y" * 40}]</p><p>https://{"z" * 40}</p><p>{long} Email: a</p></body></html>'
+    rows = prepare(spark).createDataFrame([(html,), ("<h1>H</h1>",), (None,)], "h string").select(text.article(F.col("h")).alias("a")).select("a.*").collect()
+    assert rows[0].title == "T" and rows[0].content == long and rows[0].paragraphs == 1
+    assert rows[1].title == "H" and rows[2].title is None
+
+
+def test_merges(spark):
+    spark = prepare(spark)
+    stored = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, t int")
+    batch = spark.createDataFrame([(2, "c", 5), (2, "d", 6), (3, "e", 1)], "k int, v string, t int")
+    once = merge.upsert(stored, batch, ["k"], ["t"])
+    assert {(r.k, r.v) for r in once.collect()} == {(1, "a"), (2, "d"), (3, "e")}
+    assert {(r.k, r.v) for r in merge.upsert(once, batch, ["k"], ["t"]).collect()} == {(1, "a"), (2, "d"), (3, "e")}
+    assert {(r.k, r.v) for r in merge.insert_new(stored, batch, ["k"], ["t"]).collect()} == {(1, "a"), (2, "b"), (3, "e")}
+
+
+def test_event_window_edges_and_no_signal(spark):
+    spark = prepare(spark)
+    d = dt.date(2020, 1, 10)
+    events = spark.createDataFrame([("a", d, 1), ("b", d, -1)], "symbol string, date date, direction int")
+    news = spark.createDataFrame([(i, s, d + dt.timedelta(k), x) for i, (s, k, x) in enumerate([("a", -4, 1.0), ("a", -3, 1.0), ("a", 0, -1.0), ("a", 2, 1.0), ("MARKET", 1, 0.0)])], "news_id int, symbol string, date date, score double")
+    got = {r.symbol: (r.n_news, r.covered, r.has_signal, r.match) for r in association.matches(events, news).collect()}
+    assert got == {"a": (3, True, False, False), "b": (1, True, False, False)}
+    total = association.summary(association.matches(events, news), []).first()
+    assert total.match_rate is None and total.coverage == 1.0
+    interval = association.bootstrap(association.matches(events, news), 10, ["symbol"]).first()
+    assert (interval.low, interval.high) == (0.0, 0.0)
+
+
+def test_macro_f1(spark):
+    rows = prepare(spark).createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "b")], "truth string, guess string")
+    s = metrics.scores(metrics.confusion(rows, []), []).first()
+    assert s.accuracy == 0.5 and s.macro_f1 == pytest.approx((2 / 3 + 0.5 + 0) / 3)
+
+
+def test_scan_tolerates_missing_columns(spark):
+    rows = prepare(spark).createDataFrame([(1, 2), (3, 4)], "a int, b int")
+    assert scan(rows, ["b", "zz"], [F.col("a") > 1], [F.desc("a")], 1).collect() == [(4,)]
+
+
+def test_percentage_of_random_places():
+    random.seed(1)
+    assert text.valid_paragraph("x" * 30) and not text.valid_paragraph("x" * 29)

@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-W = Window.partitionBy("symbol").orderBy("date")
-ALL = Window.partitionBy("symbol")
+def W() -> WindowSpec:  # noqa: N802
+    """A symbol's rows in the order of their dates."""
+    return Window.partitionBy("symbol").orderBy("date")
+
+
+def ALL() -> WindowSpec:  # noqa: N802
+    """All rows of a symbol."""
+    return Window.partitionBy("symbol")
+
+
 #: Trading sessions of a year.
 YEAR = 252
 
 
 def frame(n: int, shift: int = 0) -> WindowSpec:
     """The last ``n`` rows, ending ``shift`` rows before the current one."""
-    return W.rowsBetween(-(n - 1) - shift, -shift)
+    return W().rowsBetween(-(n - 1) - shift, -shift)
 
 
 def full(aggregate, column: Column, over: WindowSpec, n: int) -> Column:
@@ -22,11 +30,11 @@ def full(aggregate, column: Column, over: WindowSpec, n: int) -> Column:
 
 
 def change(column: Column) -> Column:
-    return F.try_divide(column, F.lag(column).over(W)) - 1
+    return F.try_divide(column, F.lag(column).over(W())) - 1
 
 
 def log_change(column: Column) -> Column:
-    return F.ln(F.try_divide(column, F.lag(column).over(W)))
+    return F.ln(F.try_divide(column, F.lag(column).over(W())))
 
 
 def root(column: Column) -> Column:
@@ -44,9 +52,9 @@ def garman_klass(open_: Column, high: Column, low: Column, close: Column) -> Col
 
 
 def obv(close: Column, volume: Column) -> Column:
-    step = F.coalesce(F.signum(close - F.lag(close).over(W)), F.lit(0.0))
+    step = F.coalesce(F.signum(close - F.lag(close).over(W())), F.lit(0.0))
     return step * volume
 
 
 def running(column: Column, aggregate=F.sum) -> Column:
-    return aggregate(column).over(W.rowsBetween(Window.unboundedPreceding, 0))
+    return aggregate(column).over(W().rowsBetween(Window.unboundedPreceding, 0))

@@ -95,7 +95,7 @@ def drilldown(spark, sf_dir):
     day = daily(news(spark, sf_dir).where(F.col("symbol").isin(SYMBOL, MARKET)))
     w = day.groupBy("date").agg((F.sum(F.col("mean_score") * F.col("n_news")) / F.sum("n_news")).alias("w"))
     cp = _changes(spark, sf_dir).select("symbol", "date", F.col("direction").alias("cp_direction"))
-    r = W.rowsBetween(-9, 0)
+    r = W().rowsBetween(-9, 0)
     rows = b.join(w, "date", "left").join(cp, ["symbol", "date"], "left")
     return rows.select("date", F.round("close", 6).alias("close"), F.round("w", 6).alias("sentiment"), F.when(F.count("w").over(r) >= 3, F.round(F.avg("w").over(r), 6)).alias("sentiment_ma10"), "cp_direction")
 

@@ -52,7 +52,7 @@ def mean_of_means(spark, sf_dir):
 
 def _moving(spark, sf_dir, n: int, least: int):
     day = daily(news(spark, sf_dir)).select("symbol", "date", "mean_score")
-    w = W.rowsBetween(-(n - 1), 0)
+    w = W().rowsBetween(-(n - 1), 0)
     value = F.when(F.count("mean_score").over(w) >= least, F.avg("mean_score").over(w))
     return bars(spark, sf_dir).select("symbol", "date").join(day, ["symbol", "date"], "left").select("symbol", "date", F.round(value, 6).alias("ma"))
 
@@ -74,8 +74,8 @@ def sentiment_ma20(spark, sf_dir):
 def _changes(spark, sf_dir):
     """Every 60th bar as an event, with the change of mean log returns around it."""
     lr = bars(spark, sf_dir).select("symbol", "date", log_change(F.col("close")).alias("lr")).where("lr is not null")
-    after, before = F.avg("lr").over(W.rowsBetween(0, 19)), F.avg("lr").over(W.rowsBetween(-20, -1))
-    rows = lr.select("symbol", "date", (F.row_number().over(W) - 1).alias("place"), (after - before).alias("gap"))
+    after, before = F.avg("lr").over(W().rowsBetween(0, 19)), F.avg("lr").over(W().rowsBetween(-20, -1))
+    rows = lr.select("symbol", "date", (F.row_number().over(W()) - 1).alias("place"), (after - before).alias("gap"))
     return rows.where((F.col("place") > 0) & (F.col("place") % EVERY == 0)).select("symbol", "date", F.when(F.col("gap") > 0, 1).otherwise(-1).alias("direction"), F.round(F.abs("gap"), 6).alias("magnitude"))
 
 
@@ -109,7 +109,7 @@ def top_cp(spark, sf_dir):
 def pelt_change_points(spark, sf_dir):
     """Change points of daily log returns, with direction and magnitude."""
     lr = bars(spark, sf_dir).select("symbol", "date", log_change(F.col("close")).alias("lr")).where("lr is not null")
-    around = lr.select("symbol", "date", (F.avg("lr").over(W.rowsBetween(0, 19)) - F.avg("lr").over(W.rowsBetween(-20, -1))).alias("gap"))
+    around = lr.select("symbol", "date", (F.avg("lr").over(W().rowsBetween(0, 19)) - F.avg("lr").over(W().rowsBetween(-20, -1))).alias("gap"))
     points = changepoint.change_points(lr.withColumnRenamed("lr", "value"))
     return points.join(around, ["symbol", "date"]).select("symbol", F.col("date").alias("change_point_date"), F.when(F.col("gap") > 0, 1).otherwise(-1).cast("short").alias("direction"), F.round(F.abs("gap"), 6).alias("magnitude"))
 
@@ -190,7 +190,7 @@ _PAIRS = f"""{BARS}, {_DAILY}, ret as (select symbol, date, close / nullif(lag(c
 
 def _pairs(spark, sf_dir):
     c = F.col("close")
-    ret = bars(spark, sf_dir).select("symbol", "date", (F.try_divide(c, F.lag(c).over(W)) - 1).alias("ret"), (F.try_divide(F.lead(c).over(W), c) - 1).alias("next_ret"))
+    ret = bars(spark, sf_dir).select("symbol", "date", (F.try_divide(c, F.lag(c).over(W())) - 1).alias("ret"), (F.try_divide(F.lead(c).over(W()), c) - 1).alias("next_ret"))
     return ret.join(daily(news(spark, sf_dir)), ["symbol", "date"]).where("ret is not null and next_ret is not null").select("symbol", F.col("mean_score").alias("s"), "ret", "next_ret")
 
 

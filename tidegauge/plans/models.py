@@ -125,10 +125,10 @@ def panel(b: DataFrame) -> DataFrame:
     r = b.withColumn("lr", log_change(c)).withColumn("rv", F.abs("lr") * F.sqrt(F.lit(float(YEAR)))).join(F.broadcast(codes), "symbol")
     rv, sd = F.col("rv"), full(F.stddev_samp, c, frame(20), 20)
     return r.select(
-        "symbol", "date", F.lag(rv).over(W).alias("rv_d"), full(F.avg, rv, frame(5, 1), 5).alias("rv_w"), full(F.avg, rv, frame(22, 1), 22).alias("rv_m"),
+        "symbol", "date", F.lag(rv).over(W()).alias("rv_d"), full(F.avg, rv, frame(5, 1), 5).alias("rv_w"), full(F.avg, rv, frame(22, 1), 22).alias("rv_m"),
         parkinson(h, low).alias("parkinson_vol"), F.coalesce(garman_klass(o, h, low, c), F.lit(0.0)).alias("gk_vol"), F.try_divide(F.abs("lr"), v * c).alias("amihud"), F.try_divide(4 * sd, full(F.avg, c, frame(20), 20)).alias("bb_bw"),
-        F.lag(c).over(W).alias("close_lag1"), F.lag(v).over(W).alias("volume_lag1"), full(F.avg, v, frame(5, 1), 5).alias("volume_ma5"), F.weekday("date").alias("day_of_week"), F.month("date").alias("month"), "symbol_enc",
-        (full(F.stddev_samp, F.col("lr"), W.rowsBetween(1, 5), 5) * F.sqrt(F.lit(float(YEAR)))).alias("rv5_fwd"),
+        F.lag(c).over(W()).alias("close_lag1"), F.lag(v).over(W()).alias("volume_lag1"), full(F.avg, v, frame(5, 1), 5).alias("volume_ma5"), F.weekday("date").alias("day_of_week"), F.month("date").alias("month"), "symbol_enc",
+        (full(F.stddev_samp, F.col("lr"), W().rowsBetween(1, 5), 5) * F.sqrt(F.lit(float(YEAR)))).alias("rv5_fwd"),
     ).na.drop()
 
 
