@@ -57,13 +57,13 @@ def price_series(spark, sf_dir):
     return b.join(F.broadcast(last)).where("date >= since").select("date", "open", "high", "low", "close", "volume").orderBy("date")
 
 
-_FEED = f"{NEWS}, {_HYBRID}, feed as (select n.news_id, n.date, n.source, n.symbol, substr(text, 1, 40) as headline, round(h.s, 6) as score, case when h.s > 0.1 then 'positive' when h.s < -0.1 then 'negative' else 'neutral' end as label_3cls from news n left join h on h.news_id = n.news_id)"
+_FEED = f"{NEWS}, {_HYBRID}, feed as (select n.news_id, n.date, n.source, n.symbol, split_part(text, chr(10), 1) as headline, round(h.s, 6) as score, case when h.s > 0.1 then 'positive' when h.s < -0.1 then 'negative' else 'neutral' end as label_3cls from news n left join h on h.news_id = n.news_id)"
 
 
 def _feed(spark, sf_dir) -> DataFrame:
     n = news(spark, sf_dir)
     scored = _hybrid(n).select("news_id", F.round("s", 6).alias("score"), text.three_classes(F.col("s")).alias("label_3cls"))
-    return n.select("news_id", "date", "source", "symbol", F.substring("text", 1, 40).alias("headline")).join(scored, "news_id", "left")
+    return n.select("news_id", "date", "source", "symbol", F.substring_index("text", "\n", 1).alias("headline")).join(scored, "news_id", "left")
 
 
 @query(f"with {_FEED} select news_id, date, source, headline, score from feed where label_3cls = 'positive' order by date desc, news_id desc limit 100")
@@ -107,7 +107,7 @@ def match_ranking(spark, sf_dir):
 
 
 @query(f"""with {_MATCHED}, {_HYBRID}, parts as (
-    select 'news' as part, row_number() over (order by date desc, news_id desc) as place, date || ' ' || source || ' ' || substr(text, 1, 30) as line from (select * from news order by date desc, news_id desc limit 10)
+    select 'news' as part, row_number() over (order by date desc, news_id desc) as place, date || ' ' || source || ' ' || split_part(text, chr(10), 1) as line from (select * from news order by date desc, news_id desc limit 10)
     union all select 'sentiment', row_number() over (order by label), label || ': ' || n from (select case when s > 0.1 then 'positive' when s < -0.1 then 'negative' else 'neutral' end as label, count(*) as n from h group by 1)
     union all select 'change point', row_number() over (order by date desc, symbol), date || ' ' || symbol || ' ' || direction from (select * from cp order by date desc, symbol limit 15))
   select part, cast(place as integer) as place, line from parts""")
@@ -121,7 +121,7 @@ def assistant_context(spark, sf_dir):
         return rows.select(F.lit(part).alias("part"), F.row_number().over(Window.orderBy(*order)).alias("place"), line.alias("line"))
 
     newest, by_news = n.orderBy(F.desc("date"), F.desc("news_id")).limit(10), [F.desc("date"), F.desc("news_id")]
-    a = lines(newest, "news", by_news, F.concat_ws(" ", F.col("date").cast("string"), "source", F.substring("text", 1, 30)))
+    a = lines(newest, "news", by_news, F.concat_ws(" ", F.col("date").cast("string"), "source", F.substring_index("text", "\n", 1)))
     mood = _hybrid(n).groupBy(text.three_classes(F.col("s")).alias("label")).agg(F.count("*").alias("n"))
     b = lines(mood, "sentiment", ["label"], F.concat("label", F.lit(": "), F.col("n").cast("string")))
     by_date = [F.desc("date"), "symbol"]

@@ -222,9 +222,9 @@ def relative_cutoff_update(spark, sf_dir):
     return rows.select("event_id", F.when(F.col("value") >= 30, "high").when(F.col("value") >= 10, "mid").otherwise("low").alias("level"), F.when(F.col("event_id") % 4 == 0, 0.0).otherwise(F.col("value")).alias("corrected"))
 
 
-@query("""select conv_id, count(*) as turns, string_agg(role || ': ' || substr(text, 1, 20), ' | ' order by turn) as context from conversations group by conv_id""")
+@query("""select conv_id, count(*) as turns, string_agg(role || ': ' || text, ' | ' order by turn) as context from conversations group by conv_id""")
 def context_text(spark, sf_dir):
     """The turns of each conversation in order, as one text."""
     c = table(spark, sf_dir, "conversations")
-    turns = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), F.substring("text", 1, 20)).alias("t"))))
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("t"))))
     return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_join(F.transform(turns, lambda x: x["t"]), " | ").alias("context"))

@@ -198,14 +198,14 @@ def softmax_labels(spark, sf_dir):
 _SENTENCES = "s as (select doc_id, generate_subscripts(t, 1) as place, unnest(t) as sentence from (select doc_id, list_filter(string_split_regex(text, '[.!?\\n]+'), lambda x: trim(x) <> '') as t from documents))"
 
 
-@query(f"""with {_SENTENCES}, n as (select *, contains(sentence, 'tion') and place <= 40 as hit, coalesce(contains(lag(sentence) over w, 'tion') and place - 1 <= 40, false) as before, coalesce(contains(lead(sentence) over w, 'tion') and place + 1 <= 40, false) as after from s window w as (partition by doc_id order by place))
+@query(f"""with {_SENTENCES}, n as (select *, contains(sentence, 'tion') as hit, coalesce(contains(lag(sentence) over w, 'tion'), false) as before, coalesce(contains(lead(sentence) over w, 'tion'), false) as after from s window w as (partition by doc_id order by place))
   select doc_id, count(*) as sentences, count(*) filter (where hit) as hits, md5(string_agg(trim(sentence), '|' order by place)) as snippet_md5 from n where hit or before or after group by doc_id""")
 def snippet_window(spark, sf_dir):
     """Sentences that hold an entity, with their neighbours; per document inside its own row."""
     parts = F.filter(F.split("text", r"[.!?\n]+"), lambda x: F.trim(x) != "")
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(parts).alias("place", "sentence"))
     w = Window.partitionBy("doc_id").orderBy("place")
-    hit = F.col("sentence").contains("tion") & (F.col("place") < 40)
+    hit = F.col("sentence").contains("tion")
     n = rows.withColumn("hit", hit).select("doc_id", "place", "sentence", "hit", F.coalesce(F.lag("hit").over(w), F.lit(False)).alias("b"), F.coalesce(F.lead("hit").over(w), F.lit(False)).alias("a"))
     kept = n.where("hit or a or b").groupBy("doc_id")
     ordered = F.array_sort(F.collect_list(F.struct("place", F.trim("sentence").alias("t"))))
