@@ -178,10 +178,10 @@ def _lineitem(f, sql: str) -> None:
 
 
 def vwap_by_day(li):
-    return li.groupBy(F.to_date("l_shipdate").alias("date")).agg(F.round(F.try_divide(F.sum("l_extendedprice"), F.sum("l_quantity")), 4).alias("vwap"), F.sum("l_quantity").alias("quantity"))
+    return li.groupBy(F.to_date("l_shipdate").alias("date")).agg(F.round(F.try_divide(F.sum("l_extendedprice"), F.sum("l_quantity")), 8).alias("vwap"), F.sum("l_quantity").alias("quantity"))
 
 
-_lineitem(vwap_by_day, "select cast(l_shipdate as date) as date, round(sum(l_extendedprice) / nullif(sum(l_quantity), 0), 4) as vwap, sum(l_quantity) as quantity from lineitem group by 1")
+_lineitem(vwap_by_day, "select cast(l_shipdate as date) as date, round(sum(l_extendedprice) / nullif(sum(l_quantity), 0), 8) as vwap, sum(l_quantity) as quantity from lineitem group by 1")
 
 
 def regression_metrics(li):
