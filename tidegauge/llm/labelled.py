@@ -2,33 +2,47 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_NOTHING = pa.table({"text": pa.array([], pa.string()), "label": pa.array([], pa.int32())})
+
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: F.Column, per_class: dict[int, int]) -> tuple[pa.Table, dict[int, float]]:
-    """(text, label) of a seeded sample of labelled rows in doc_id order, and each class's weight per sampled row.
+def fitted(docs: DataFrame, labels: DataFrame, label: str, allowed: F.Column, per_class: dict[int, int], fit: Callable[[pa.Table, dict[int, float]], object]) -> object:
+    """The model that ``fit`` makes of a seeded sample of labelled rows, as (text, label) in doc_id order.
 
-    ``allowed`` says which rows of ``labels`` may be learnt from. Rows whose
-    label or doc_id is null are no labels; a doc_id that is labelled twice
-    counts with its greater label. The sample's expected size is bounded by
-    ``per_class`` (documented parameter), so it may be broadcast and collected.
+    ``fit`` also gets how many labelled rows of its class a sampled row stands
+    for. ``allowed`` says which rows of ``labels`` may be learnt from. Rows whose
+    label or doc_id is null are no labels; a doc_id that is labelled twice counts
+    with its greater label. The sample's expected size is bounded by ``per_class``
+    (documented parameter), so it may be broadcast and learnt by one task; the
+    model comes back to the driver, the texts don't.
     """
     known = labels.where(allowed & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
     found = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     share = {k: min(1.0, per_class[k] / n) for k, n in found.items() if n}
     if not share:
-        return pa.table({"text": pa.array([], pa.string()), "label": pa.array([], pa.int32())}), {}
+        return fit(_NOTHING, {})
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1_000_000
     limit = F.coalesce(*[F.when(F.col("_label") == k, F.lit(v)) for k, v in share.items()])
     chosen = known.where(draw < limit).select(F.col("doc_id").alias("_doc"), "_label")
     rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_doc"))
-    table = rows.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("_label").alias("label"), F.col("_doc").alias("doc")).toArrow()
-    table = table.sort_by([("doc", "ascending"), ("text", "ascending")])
-    got = np.bincount(table["label"].to_numpy(), minlength=2) if table.num_rows else np.zeros(2)
-    return table.select(["text", "label"]), {k: n / max(1, got[k]) for k, n in found.items()}
+    rows = rows.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("_label").alias("label"), F.col("_doc").alias("doc"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b.select(["text", "label"]) for b in batches if b.num_rows]
+        table = pa.Table.from_batches(parts) if parts else _NOTHING
+        got = np.bincount(table["label"].to_numpy(), minlength=2) if table.num_rows else np.zeros(2)
+        model = fit(table, {k: n / max(1, got[k]) for k, n in found.items()})
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    one = rows.repartition(1).sortWithinPartitions("doc", "text").mapInArrow(learn, "model binary")
+    return pickle.loads(one.first()["model"])
 
 
 def logistic(features: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:

@@ -22,6 +22,8 @@ from tidegauge.llm import labelled
 from tidegauge.llm.common import crc_mod
 from tidegauge.llm.shingles import U64, mix, slices, word_hashes, word_spans
 
+#: About so many labelled rows of each class are used to fit.
+PER_CLASS = {0: 6000, 1: 6000}
 BITS = 15
 SIZE = 3 << BITS  # trigrams, words, shapes
 SMOOTH, COST, EPOCHS = 1.0, 0.1, 12
@@ -132,7 +134,7 @@ def fit(table: pa.Table, weight: dict[int, float]) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None = None) -> Model:
     """A model from ``labels`` (doc_id, quality) of rows whose crc32(doc_id) mod 3 is not 1."""
-    return fit(*labelled.sample(docs, labels, "quality", crc_mod(F.col("doc_id"), 3) != 1, per_class or {0: 6000, 1: 6000}))
+    return labelled.fitted(docs, labels, "quality", crc_mod(F.col("doc_id"), 3) != 1, per_class or PER_CLASS, fit)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

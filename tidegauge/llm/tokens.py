@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ import pyarrow as pa
 #: Default vocabulary: a name of the installed package of public tokenizer files.
 DEFAULT = "byte_bpe_50k.json"
 #: Distinct pieces that a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 #: Marks pieces that no space stands before; not a character that a text can hold.
 MARK = "\ud800"
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
@@ -109,7 +110,7 @@ class Encoder:
 
     def _numbers(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.fromiter(map(len, cut), np.int64, len(cut))
-        numbers = np.fromiter((self.pieces[p] for parts in cut for p in parts), np.int64, int(lengths.sum()))
+        numbers = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(cut)), np.int64, int(lengths.sum()))
         self._learn()
         return numbers, np.concatenate([[0], np.cumsum(lengths)])
 

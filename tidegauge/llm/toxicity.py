@@ -227,7 +227,7 @@ def _ascend(f: np.ndarray, y: np.ndarray, chain: np.ndarray, place: np.ndarray,
 
 def train(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None = None) -> Model:
     """A model from ``labels`` (doc_id, toxic) of rows whose crc32(doc_id) mod 5 is not 0."""
-    return fit(*labelled.sample(docs, labels, "toxic", crc_mod(F.col("doc_id"), 5) != 0, per_class or PER_CLASS))
+    return labelled.fitted(docs, labels, "toxic", crc_mod(F.col("doc_id"), 5) != 0, per_class or PER_CLASS, fit)
 
 
 _SCHEMA = "doc_id long, score double, expected double, spans array<struct<start:int,stop:int,probability:double>>"
