@@ -7,17 +7,21 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows of a batch that goes to a Python worker: rows hold whole texts or sets, and two copies are in memory.
+ARROW_ROWS = 1000
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers find this package, and pin what results depend on (UTC days)."""
+    """Let Python workers find this package, bound their batches, and pin what results depend on (UTC days)."""
     environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark
 
 
