@@ -287,6 +287,24 @@ def test_secret_features():
     assert f["length"] == 32 and f["assigned"] == 1 and f["quoted"] == 1 and f["hex_only"] == 1
 
 
+def test_secrets_without_assignment(spark):
+    """Bare secrets are judged by shape, and values of the names of digests are learnt as no secrets."""
+    rng, data = random.Random(11), []
+    hexes = lambda n=40: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda n=40: "".join(rng.choice("0123456789abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(n))
+    for i in range(800):
+        name = rng.choice(["commit", "sha256", "file_digest", "build-id"])
+        data.append((i, f"{prose(5)} {'token' if i % 2 else 'api_key'} = \"{mixed() if i % 3 else hexes()}\" {prose(9)} {rng.randrange(10**15, 10**16)} {prose(9)}"))
+        data.append((10000 + i, f"{prose(9)} {name}: {hexes()} {prose(9)}"))
+        data.append((20000 + i, f"{prose(9)} Authorization: Bearer {mixed()} {prose(9)}"))
+        data.append((30000 + i, f"{prose(9)} {mixed()} {prose(9)}"))
+    got = secrets.findings(prepare(spark).createDataFrame(data, "doc_id long, text string")).toPandas()
+    digits = got["stop"] - got["start"] == 16
+    kept = lambda k: got["kept"][got["held_out"] & (got["doc_id"] // 10000 == k) & ~digits].mean()
+    assert not got["kept"][digits].any() and kept(0) > 0.95 and kept(1) < 0.05 and kept(2) > 0.95 and kept(3) > 0.95
+    assert got["label"][got["doc_id"] >= 20000].isna().all()
+
+
 # archives
 
 

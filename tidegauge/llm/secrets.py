@@ -6,10 +6,12 @@ between kinds of characters, the part that everyday letter pairs cover, the path
 they stand in and the words around them says which are secrets.
 
 The forest learns from labelled findings (doc_id, start, label). Where none are
-given, findings are labelled by rules that look at the assignment: a value of a
-credential's name is a secret, while numbers without letters and values of no
-assignment aren't; other candidates stay unlabelled. The name itself is no
-feature, so that the forest must tell the rest by shape.
+given, findings are labelled by rules: a value of a credential's name is a
+secret, while numbers without letters, placeholders and values of the names of
+hashes, commits, digests, ids and examples aren't. Other candidates, among them
+all that have letters and no assignment, stay unlabelled: the forest tells them
+by shape. What the rules look at to call a value a secret (its assignment, and
+the quotes that come with it) is then hidden from the forest.
 """
 
 from __future__ import annotations
@@ -28,27 +30,50 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.common import crc_mod, written
 
-#: Findings of each class that the forest learns from, about.
+#: Findings of each class, and of each kind of label by rule, that the forest learns from, about.
 PER_CLASS = 5000
 TREES, DEPTH, SEED = 20, 6, 13
 #: Characters before and after a candidate that its context is taken from.
 CONTEXT = 48
 
 # Names that are given to credentials.
+# and parts of names, or words nearby, that speak of something that is no secret.
 CREDENTIAL_NAMES = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "access_key", "auth", "credential", "private_key")
+BENIGN_NAMES = frozenset("hash sha sha1 sha224 sha256 sha384 sha512 md5 crc crc32 checksum digest commit revision rev etag fingerprint integrity id ids uuid guid example sample placeholder dummy fake test".split())
 # The letter pairs that are most frequent in everyday words of English, French, German and Spanish.
 COMMON_PAIRS = frozenset("th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur la el qu ue ai au ei ie un us ss et tr pa da do ad os ci ge sc ta em ns no so".split())
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
-_ASSIGNED = re.compile(r"""([A-Za-z_\-]{2,40})["']?\s{0,3}(?::=|=>|=|:)\s{0,3}["']?$""")
+_ASSIGNED = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]{1,39})["']?\s{0,3}(?::=|=>|=|:)\s{0,3}["']?$""")
 _WORD = re.compile(r"[^\W\d_]+")
-FEATURES = ("length", "digits", "uppers", "lowers", "symbols", "transitions", "hex_only", "entropy", "coverage", "path", "assigned", "quoted", "words_before", "words_after")
+_PART = re.compile(r"[A-Z]?[a-z]+[0-9]*|[A-Z]+[0-9]*(?![a-z])")
+_PLACEHOLDER = re.compile(r"(?i)(?:your|change.?me|example|sample|placeholder|dummy|redacted|insert|replace)|(.)\1*$")
+FEATURES = ("length", "digits", "uppers", "lowers", "symbols", "transitions", "hex_only", "entropy", "coverage", "path", "assigned", "quoted", "words_before", "words_after", "benign")
+#: Features that labels by rule are made of, or that come with them: hidden from a forest that learns from those.
+RULED = ("assigned", "quoted")
 
 
 def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
 
 
+def _parts(name: str) -> set[str]:
+    """The words of an identifier, in lower case: of tokenHash, token_hash and TOKEN-HASH token and hash."""
+    return {p.lower() for p in _PART.findall(name)}
+
+
+def rule(value: str, name: str | None) -> tuple[int | None, int]:
+    """The label that rules give to a value of a name (None: no assignment), or None; and the kind of it: 1 secrets, 2 numbers, 3 named."""
+    credential = name is not None and any(k in name.lower() for k in CREDENTIAL_NAMES)
+    if not any(c.isalpha() for c in value):
+        return (None, 0) if credential else (0, 2)
+    if _PLACEHOLDER.match(value):
+        return 0, 3
+    if name is not None and BENIGN_NAMES & _parts(name):
+        return (None, 0) if credential else (0, 3)
+    return (1, 1) if credential and any(c.isdigit() for c in value) else (None, 0)
+
+
 def describe(candidate: str, before: str, after: str) -> list[float]:
     """The features of a candidate in its context, in the order of FEATURES."""
     n, kinds = len(candidate), [_kind(c) for c in candidate]
@@ -64,17 +89,18 @@ def describe(candidate: str, before: str, after: str) -> list[float]:
         float("/" in candidate or before[-1:] in ("/", "\\", ".", "@") or after[:1] in ("/", "\\", "@")),
         float(bool(_ASSIGNED.search(before))), float(before[-1:] in ("'", '"') and after[:1] in ("'", '"')),
         float(len(_WORD.findall(before))), float(len(_WORD.findall(after))),
+        float(bool(BENIGN_NAMES & (_parts(before) | _parts(after)))),
     ]
 
 
-_SCHEMA = "doc_id long, start int, stop int, digest string, weak int, " + ", ".join(f"{f} double" for f in FEATURES)
+_SCHEMA = "doc_id long, start int, stop int, digest string, weak int, kind int, " + ", ".join(f"{f} double" for f in FEATURES)
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
     for batch in batches:
-        columns: list[list] = [[] for _ in range(5 + len(FEATURES))]
+        columns: list[list] = [[] for _ in range(6 + len(FEATURES))]
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for m in _CANDIDATE.finditer(text or ""):
                 value, start = m.group(), m.start()
@@ -83,16 +109,14 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not name and not any(c.isdigit() for c in value):
                     continue
                 features = describe(value, before, text[m.end() : m.end() + CONTEXT])
-                letters, digits = any(c.isalpha() for c in value), any(c.isdigit() for c in value)
-                weak = 1 if name and letters and digits and any(k in name.group(1).lower() for k in CREDENTIAL_NAMES) else 0 if not letters or not name else None
-                for column, x in zip(columns, (doc, start, m.end(), hashlib.sha256(value.encode()).hexdigest()[:16], weak, *features)):
+                for column, x in zip(columns, (doc, start, m.end(), hashlib.sha256(value.encode()).hexdigest()[:16], *rule(value, name and name.group(1)), *features)):
                     column.append(x)
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32()] + [pa.float64()] * len(FEATURES)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "start", "stop", "digest", "weak", *FEATURES])
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()] + [pa.float64()] * len(FEATURES)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "start", "stop", "digest", "weak", "kind", *FEATURES])
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """A row per candidate of whole texts, with its features, offsets in characters, and label by rule (or null)."""
+    """A row per candidate of whole texts, with its features, offsets in characters, and label by rule (or null) and its kind."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_found, _SCHEMA)
 
 
@@ -101,26 +125,33 @@ def findings(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
     ``labels`` (doc_id, start, label) replaces the labels by rule. The forest
     learns from a seeded, bounded sample of the labelled findings of documents
-    whose crc32(doc_id) mod 4 is not 0; the others are held out. With findings of
+    whose crc32(doc_id) mod 4 is not 0; the others are held out. Numbers and named
+    values weigh the same among the labels 0 by rule. With findings of
     one class only, or none, the score is that class's rate (a half for none).
     Null and empty texts have no candidates; repeated rows give repeated
     findings. The candidate itself is not returned, its digest is.
     """
     rows = candidates(docs).withColumnRenamed("weak", "label")
     if labels is not None:
-        rows = rows.drop("label").join(labels.groupBy("doc_id", "start").agg(F.max("label").cast("int").alias("label")), ["doc_id", "start"], "left")
+        rows = rows.drop("label").withColumn("kind", F.lit(0)).join(labels.groupBy("doc_id", "start").agg(F.max("label").cast("int").alias("label")), ["doc_id", "start"], "left")
     rows = written(rows.withColumn("held_out", crc_mod(F.col("doc_id"), 4) == 0))
     known = rows.where(~F.col("held_out") & F.col("label").isNotNull())
-    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    counts = {(r["label"], r["kind"]): r["count"] for r in known.groupBy("label", "kind").count().collect()}
+    classes = Counter(label for label, _ in counts)
     columns = ["doc_id", "start", "stop", "digest", "held_out", "label"]
-    if not counts.get(0) or not counts.get(1):
-        rate = 0.5 if not counts else float(bool(counts.get(1)))
+    if not classes[0] or not classes[1]:
+        rate = 0.5 if not classes else float(bool(classes[1]))
         return rows.select(*columns, F.lit(rate).alias("score"), F.lit(rate >= 0.5).alias("kept"))
-    share = F.when(F.col("label") == 1, F.lit(PER_CLASS / counts[1])).otherwise(F.lit(PER_CLASS / counts[0]))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", "start"), F.lit(1_000_000)) / 1_000_000 < share)
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+
+    def of_kind(values: dict) -> F.Column:
+        return F.coalesce(*[F.when((F.col("label") == label) & (F.col("kind") == kind), F.lit(float(v))) for (label, kind), v in values.items()])
+
+    share = {k: PER_CLASS / n for k, n in counts.items()}
+    weight = {k: PER_CLASS / min(PER_CLASS, n) / classes[k[0]] for k, n in counts.items()}
+    chosen = known.where(F.pmod(F.xxhash64("doc_id", "start"), F.lit(1_000_000)) / 1_000_000 < of_kind(share)).withColumn("weight", of_kind(weight))
+    vectors = VectorAssembler(inputCols=[f for f in FEATURES if labels is not None or f not in RULED], outputCol="features")
     # a bounded sample in one ordered partition: the forest's draws are the same in every run
-    training = written(vectors.transform(chosen).select("label", "doc_id", "start", "features").coalesce(1).sortWithinPartitions("doc_id", "start"))
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label", featuresCol="features").fit(training)
+    training = written(vectors.transform(chosen).select("label", "weight", "doc_id", "start", "features").coalesce(1).sortWithinPartitions("doc_id", "start"))
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label", featuresCol="features", weightCol="weight").fit(training)
     scored = forest.transform(vectors.transform(rows)).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
     return scored.select(*columns, "score", (F.col("score") >= 0.5).alias("kept"))
