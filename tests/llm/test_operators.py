@@ -305,6 +305,28 @@ def test_secrets_without_assignment(spark):
     assert got["label"][got["doc_id"] >= 20000].isna().all()
 
 
+def test_secret_surroundings(spark):
+    """The words nearby, the parts of the path and a counted dictionary reach the forest."""
+    rng = random.Random(12)
+    assert secrets.dictionary_of(prepare(spark).createDataFrame([(i, f"Récent handler {'once' * (i == 1)} x9y {i}") for i in range(5)], "doc_id long, text string")) == {"récent", "handler"}
+    words = frozenset({"update", "handler", "date", "hand"})
+    assert secrets.covered("updatehandler_00", words) == 13 / 16 and secrets.covered("q8Zr7Lx2Vn5Kt0Wp", words) == 0
+    for one, other in ((("see lockfile ", ""), ("see ticket ", "")), (("vendor/", ""), ("upload/", ""))):
+        assert secrets.describe("0123456789abcdef", *one) != secrets.describe("0123456789abcdef", *other)
+    docs, labels = [], []
+    for i in range(600):  # equal shapes: only the word before, or the folder, tells which is one
+        key, secret = "".join(rng.choice("0123456789abcdef") for _ in range(40)), i % 2
+        before = ("checkout lockfile ", "rotate leaked ")[secret] if i % 4 < 2 else ("/vendor/", "/private/")[secret]
+        docs.append((i, f"zz yy {before}{key} uu vv"))
+        labels.append((i, secret))
+    docs = prepare(spark).createDataFrame(docs, "doc_id long, text string")
+    starts = secrets.candidates(docs).select("doc_id", "start").toPandas().set_index("doc_id")["start"]
+    given = prepare(spark).createDataFrame([(i, int(starts[i]), label) for i, label in labels], "doc_id long, start int, label int")
+    got = secrets.findings(docs, given).toPandas()
+    held = got[got["held_out"]]
+    assert len(got) == 600 and (held["kept"] == (held["label"] == 1)).mean() > 0.95
+
+
 # archives
 
 

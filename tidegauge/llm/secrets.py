@@ -2,29 +2,31 @@
 
 Candidates are runs of at least 16 characters of keys, hashes and base64 that
 hold a digit or follow an assignment. A forest on their length, the transitions
-between kinds of characters, the part that everyday letter pairs cover, the path
-they stand in and the words around them says which are secrets.
+between kinds of characters, the part that words of a dictionary cover, the parts
+of the path they stand in and the words around them (both as hashed indicators)
+says which are secrets. The dictionary is counted over all documents.
 
 The forest learns from labelled findings (doc_id, start, label). Where none are
 given, findings are labelled by rules: a value of a credential's name is a
 secret, while numbers without letters, placeholders and values of the names of
 hashes, commits, digests, ids and examples aren't. Other candidates, among them
 all that have letters and no assignment, stay unlabelled: the forest tells them
-by shape. What the rules look at to call a value a secret (its assignment, and
-the quotes that come with it) is then hidden from the forest.
+by shape and surroundings. What the rules look at to call a value a secret (its
+assignment, the quotes that come with it, and the names of credentials nearby) is
+then hidden from the forest.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,22 +37,26 @@ PER_CLASS = 5000
 TREES, DEPTH, SEED = 20, 6, 13
 #: Characters before and after a candidate that its context is taken from.
 CONTEXT = 48
+#: Words of the dictionary at most, their letters, and documents that a word must stand in.
+DICTIONARY, LETTERS, LEAST_DOCS = 20_000, (3, 20), 3
+#: Nearest words on each side, and hashed indicators of them and of the parts of the path.
+NEAREST, WORD_BUCKETS, PATH_BUCKETS = 4, 64, 16
 
 # Names that are given to credentials.
 # and parts of names, or words nearby, that speak of something that is no secret.
 CREDENTIAL_NAMES = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "access_key", "auth", "credential", "private_key")
 BENIGN_NAMES = frozenset("hash sha sha1 sha224 sha256 sha384 sha512 md5 crc crc32 checksum digest commit revision rev etag fingerprint integrity id ids uuid guid example sample placeholder dummy fake test".split())
-# The letter pairs that are most frequent in everyday words of English, French, German and Spanish.
-COMMON_PAIRS = frozenset("th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur la el qu ue ai au ei ie un us ss et tr pa da do ad os ci ge sc ta em ns no so".split())
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
 _ASSIGNED = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]{1,39})["']?\s{0,3}(?::=|=>|=|:)\s{0,3}["']?$""")
 _WORD = re.compile(r"[^\W\d_]+")
 _PART = re.compile(r"[A-Z]?[a-z]+[0-9]*|[A-Z]+[0-9]*(?![a-z])")
+_TOKEN = re.compile(r"[^\W_]+")
+_JOINED_BEFORE, _JOINED_AFTER = re.compile(r"[^\s\"'<>()\[\]=,;|]*$"), re.compile(r"[^\s\"'<>()\[\]=,;|]*")
 _PLACEHOLDER = re.compile(r"(?i)(?:your|change.?me|example|sample|placeholder|dummy|redacted|insert|replace)|(.)\1*$")
-FEATURES = ("length", "digits", "uppers", "lowers", "symbols", "transitions", "hex_only", "entropy", "coverage", "path", "assigned", "quoted", "words_before", "words_after", "benign")
+FEATURES = ("length", "digits", "uppers", "lowers", "symbols", "transitions", "hex_only", "entropy", "coverage", "path", "assigned", "quoted", "words_before", "words_after", "benign", "credential", *[f"word_{k}" for k in range(WORD_BUCKETS)], *[f"path_{k}" for k in range(PATH_BUCKETS)])
 #: Features that labels by rule are made of, or that come with them: hidden from a forest that learns from those.
-RULED = ("assigned", "quoted")
+RULED = ("assigned", "quoted", "credential")
 
 
 def _kind(c: str) -> int:
@@ -74,33 +80,84 @@ def rule(value: str, name: str | None) -> tuple[int | None, int]:
     return (1, 1) if credential and any(c.isdigit() for c in value) else (None, 0)
 
 
-def describe(candidate: str, before: str, after: str) -> list[float]:
-    """The features of a candidate in its context, in the order of FEATURES."""
+def covered(value: str, dictionary: frozenset[str]) -> float:
+    """The share of a value's characters that words of the dictionary cover at most, without overlaps and inside its runs of letters."""
+    best = 0
+    for run in _WORD.findall(value):
+        run, most = run.lower(), [0] * (len(run) + 1)
+        for end in range(1, len(run) + 1):
+            most[end] = most[end - 1]
+            for size in range(LETTERS[0], min(LETTERS[1], end) + 1):
+                if most[end - size] + size > most[end] and run[end - size : end] in dictionary:
+                    most[end] = most[end - size] + size
+        best += most[-1]
+    return best / max(1, len(value))
+
+
+def _indicators(words: list[str], buckets: int) -> list[float]:
+    out = [0.0] * buckets
+    for w in words:
+        out[zlib.crc32(w.encode("utf-8", "replace")) % buckets] = 1.0
+    return out
+
+
+def describe(candidate: str, before: str, after: str, dictionary: frozenset[str] = frozenset()) -> list[float]:
+    """The features of a candidate in its context, in the order of FEATURES.
+
+    Words of credentials' names are in no hashed indicator: ``credential`` stands for them.
+    """
     n, kinds = len(candidate), [_kind(c) for c in candidate]
     counts, lower = Counter(kinds), candidate.lower()
-    pairs = [lower[i : i + 2] for i in range(n - 1)]
-    letters = [p for p in pairs if p.isalpha()]
-    covered = sum(p in COMMON_PAIRS for p in letters) / max(1, len(pairs))
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(candidate).values())
+    near = [w.lower() for w in _TOKEN.findall(before)[-NEAREST:] + _TOKEN.findall(after)[:NEAREST]]
+    joined = _JOINED_BEFORE.search(before).group() + " " + _JOINED_AFTER.match(after).group()
+    path = [w.lower() for w in _TOKEN.findall(joined) + [w for w in re.split(r"[/.\\]", candidate) if w.isalpha() and "/" in candidate]]
+    names = [any(k in w for k in CREDENTIAL_NAMES) for w in near]
     return [
         float(n), counts[0] / n, counts[1] / n, counts[2] / n, counts[3] / n,
         sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1),
-        float(all(c in "0123456789abcdef" for c in lower)), entropy, covered,
+        float(all(c in "0123456789abcdef" for c in lower)), entropy, covered(candidate, dictionary),
         float("/" in candidate or before[-1:] in ("/", "\\", ".", "@") or after[:1] in ("/", "\\", "@")),
         float(bool(_ASSIGNED.search(before))), float(before[-1:] in ("'", '"') and after[:1] in ("'", '"')),
         float(len(_WORD.findall(before))), float(len(_WORD.findall(after))),
-        float(bool(BENIGN_NAMES & (_parts(before) | _parts(after)))),
+        float(bool(BENIGN_NAMES & (_parts(before) | _parts(after)))), float(any(names)),
+        *_indicators([w for w, name in zip(near, names) if not name], WORD_BUCKETS),
+        *_indicators([w for w in path if not any(k in w for k in CREDENTIAL_NAMES)], PATH_BUCKETS),
     ]
 
 
-_SCHEMA = "doc_id long, start int, stop int, digest string, weak int, kind int, " + ", ".join(f"{f} double" for f in FEATURES)
+_SCHEMA = "doc_id long, start int, stop int, digest string, weak int, kind int, features array<double>"
+
+
+def dictionary_of(docs: DataFrame) -> frozenset[str]:
+    """The words of letters that most documents hold, as many whole ranks as fit; words of fewer than LEAST_DOCS are none."""
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    held = docs.select(F.explode(tokens).alias("word")).where(F.col("word").rlike(rf"^\p{{L}}{{{LETTERS[0]},{LETTERS[1]}}}$"))
+    found = written(held.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS))
+    size, least = 0, None
+    for r in sorted(found.groupBy("n").agg(F.count("*").alias("words")).collect(), reverse=True):
+        size += r["words"]
+        if size > DICTIONARY:
+            break
+        least = r["n"]
+    return frozenset() if least is None else frozenset(r["word"] for r in found.where(F.col("n") >= least).select("word").collect())
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """A row per candidate of whole texts, with its features, offsets in characters, and label by rule (or null) and its kind."""
+    dictionary = dictionary_of(docs)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _found(batches, dictionary)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(found, _SCHEMA)
 
 
-def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _found(batches: Iterator[pa.RecordBatch], dictionary: frozenset[str]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
     for batch in batches:
-        columns: list[list] = [[] for _ in range(6 + len(FEATURES))]
+        columns: list[list] = [[] for _ in range(7)]
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for m in _CANDIDATE.finditer(text or ""):
                 value, start = m.group(), m.start()
@@ -108,16 +165,11 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 name = _ASSIGNED.search(before)
                 if not name and not any(c.isdigit() for c in value):
                     continue
-                features = describe(value, before, text[m.end() : m.end() + CONTEXT])
-                for column, x in zip(columns, (doc, start, m.end(), hashlib.sha256(value.encode()).hexdigest()[:16], *rule(value, name and name.group(1)), *features)):
+                features = describe(value, before, text[m.end() : m.end() + CONTEXT], dictionary)
+                for column, x in zip(columns, (doc, start, m.end(), hashlib.sha256(value.encode()).hexdigest()[:16], *rule(value, name and name.group(1)), features)):
                     column.append(x)
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()] + [pa.float64()] * len(FEATURES)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "start", "stop", "digest", "weak", "kind", *FEATURES])
-
-
-def candidates(docs: DataFrame) -> DataFrame:
-    """A row per candidate of whole texts, with its features, offsets in characters, and label by rule (or null) and its kind."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_found, _SCHEMA)
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "start", "stop", "digest", "weak", "kind", "features"])
 
 
 def findings(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -149,9 +201,10 @@ def findings(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     share = {k: PER_CLASS / n for k, n in counts.items()}
     weight = {k: PER_CLASS / min(PER_CLASS, n) / classes[k[0]] for k, n in counts.items()}
     chosen = known.where(F.pmod(F.xxhash64("doc_id", "start"), F.lit(1_000_000)) / 1_000_000 < of_kind(share)).withColumn("weight", of_kind(weight))
-    vectors = VectorAssembler(inputCols=[f for f in FEATURES if labels is not None or f not in RULED], outputCol="features")
+    hidden = [] if labels is not None else [FEATURES.index(f) for f in RULED]
+    vector = array_to_vector(F.transform("features", lambda x, i: F.when(i.isin(hidden), 0.0).otherwise(x)) if hidden else F.col("features"))
     # a bounded sample in one ordered partition: the forest's draws are the same in every run
-    training = written(vectors.transform(chosen).select("label", "weight", "doc_id", "start", "features").coalesce(1).sortWithinPartitions("doc_id", "start"))
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label", featuresCol="features", weightCol="weight").fit(training)
-    scored = forest.transform(vectors.transform(rows)).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
+    training = written(chosen.select("label", "weight", "doc_id", "start", vector.alias("features")).coalesce(1).sortWithinPartitions("doc_id", "start"))
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird", labelCol="label", featuresCol="features", weightCol="weight").fit(training)
+    scored = forest.transform(rows.withColumn("features", vector)).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
     return scored.select(*columns, "score", (F.col("score") >= 0.5).alias("kept"))
