@@ -1,14 +1,15 @@
 """Secret candidates, and a random forest that removes false positives.
 
-Candidates are runs of at least 16 characters of keys, hashes and base64 that
-hold a digit or follow an assignment. A forest on their length, the transitions
+Candidates are runs of at least 16 characters of keys, hashes and base64; values
+of at least 6 characters other than white space that are assigned to a
+credential's name; and passwords in URLs (user:password@). A forest on their length, the transitions
 between kinds of characters, the part that words of a dictionary cover, the parts
 of the path they stand in and the words around them (both as hashed indicators)
 says which are secrets. The dictionary is counted over all documents.
 
 The forest learns from labelled findings (doc_id, start, label). Where none are
 given, findings are labelled by rules: a value of a credential's name is a
-secret, while numbers without letters, placeholders and values of the names of
+secret, while numbers without letters, words, placeholders and values of the names of
 hashes, commits, digests, ids and examples aren't. Other candidates, among them
 all that have letters and no assignment, stay unlabelled: the forest tells them
 by shape and surroundings. What the rules look at to call a value a secret (its
@@ -48,12 +49,17 @@ CREDENTIAL_NAMES = ("token", "secret", "password", "passwd", "pwd", "api_key", "
 BENIGN_NAMES = frozenset("hash sha sha1 sha224 sha256 sha384 sha512 md5 crc crc32 checksum digest commit revision rev etag fingerprint integrity id ids uuid guid example sample placeholder dummy fake test".split())
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
-_ASSIGNED = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]{1,39})["']?\s{0,3}(?::=|=>|=|:)\s{0,3}["']?$""")
+_ASSIGNED = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]{1,39})["']?\s{0,3}(?::=|=>|==?|:)\s{0,3}["']?$""")
 _WORD = re.compile(r"[^\W\d_]+")
 _PART = re.compile(r"[A-Z]?[a-z]+[0-9]*|[A-Z]+[0-9]*(?![a-z])")
 _TOKEN = re.compile(r"[^\W_]+")
 _JOINED_BEFORE, _JOINED_AFTER = re.compile(r"[^\s\"'<>()\[\]=,;|]*$"), re.compile(r"[^\s\"'<>()\[\]=,;|]*")
-_PLACEHOLDER = re.compile(r"(?i)(?:your|change.?me|example|sample|placeholder|dummy|redacted|insert|replace)|(.)\1*$")
+_PLACEHOLDER = re.compile(r"(?i)(?:your|change.?me|example|sample|placeholder|dummy|redacted|insert|replace|<|\$\{|\{\{|%\()|(?:null|none|true|false|undefined|\$[A-Z_]+|(.)\1*)$")
+_SEPARATOR = re.compile(r":=|=>|==?|:")
+_VALUE = re.compile(r"""(?i)\s{0,3}(?:(bearer|basic|digest|token)\s{1,3})?(?:"([^"\s]{6,})|'([^'\s]{6,})|([^\s"']\S{5,}))""")
+_INNER = re.compile(r"""\s{0,3}["']?([A-Za-z_][A-Za-z0-9_.\-]{1,39})["']?(?::=|=>|==?|:)""")
+_USERINFO = re.compile(r"://[^\s/@:]*:(?!\d{1,5}[?#])([^\s/]+)@")
+_MARKS = frozenset("!@#$%^&*?+~|")
 FEATURES = ("length", "digits", "uppers", "lowers", "symbols", "transitions", "hex_only", "entropy", "coverage", "path", "assigned", "quoted", "words_before", "words_after", "benign", "credential", *[f"word_{k}" for k in range(WORD_BUCKETS)], *[f"path_{k}" for k in range(PATH_BUCKETS)])
 #: Features that labels by rule are made of, or that come with them: hidden from a forest that learns from those.
 RULED = ("assigned", "quoted", "credential")
@@ -68,16 +74,63 @@ def _parts(name: str) -> set[str]:
     return {p.lower() for p in _PART.findall(name)}
 
 
-def rule(value: str, name: str | None) -> tuple[int | None, int]:
-    """The label that rules give to a value of a name (None: no assignment), or None; and the kind of it: 1 secrets, 2 numbers, 3 named."""
-    credential = name is not None and any(k in name.lower() for k in CREDENTIAL_NAMES)
+def _credential(name: str | None) -> bool:
+    return name is not None and any(k in name.lower() for k in CREDENTIAL_NAMES)
+
+
+def spans(text: str) -> list[tuple[int, int, str | None]]:
+    """(start, stop, name or None) of the candidates of a text, in order and without overlaps.
+
+    Passwords in URLs go before values of credentials' names, and these before
+    runs. Of an assignment inside a value the inner one counts. Closing
+    brackets and punctuation aren't part of values without quotes.
+    """
+    found = [(m.start(1), m.end(1), "password") for m in _USERINFO.finditer(text)]
+    urls, end = list(found), 0
+    for m in _SEPARATOR.finditer(text):
+        if m.start() < end or not _credential((name := _ASSIGNED.search(text[max(0, m.start() - CONTEXT) : m.end()])) and name.group(1)):
+            continue
+        inner = _INNER.match(text, m.end())
+        if inner and _credential(inner.group(1)):
+            continue
+        value = _VALUE.match(text, m.end())
+        if not value:
+            continue
+        start, stop = value.span(value.lastindex)
+        if value.lastindex == 4:
+            stop = start + len(value.group(4).rstrip("\"',;.)]}>"))
+        if stop - start >= 6 and not any(start < b and a < stop for a, b, _ in urls):
+            found.append((start, stop, None if value.group(1) else name.group(1)))  # a scheme stands between: no label by rule
+            end = stop
+    found.sort()
+    out, at = [], 0
+    for m in _CANDIDATE.finditer(text):
+        start, stop = m.span()
+        cut = m.group().rstrip("=").rfind("=") + 1
+        if cut and stop - start - cut >= 16:
+            start += cut  # name=value without quotes
+        while at < len(found) and found[at][1] <= start:
+            at += 1
+        if (at == len(found) or found[at][0] >= stop) and any(c.isalnum() for c in text[start:stop]):
+            name = _ASSIGNED.search(text[max(0, start - CONTEXT) : start])
+            out.append((start, stop, name and name.group(1)))
+    return sorted(found + out, key=lambda x: x[:2])
+
+
+def rule(value: str, name: str | None, dictionary: frozenset[str] = frozenset()) -> tuple[int | None, int]:
+    """The label that rules give to a value of a name (None: no assignment), or None; and the kind of it: 1 secrets, 2 numbers, 3 named, 4 words."""
+    credential = _credential(name)
     if not any(c.isalpha() for c in value):
         return (None, 0) if credential else (0, 2)
     if _PLACEHOLDER.match(value):
         return 0, 3
     if name is not None and BENIGN_NAMES & _parts(name):
         return (None, 0) if credential else (0, 3)
-    return (1, 1) if credential and any(c.isdigit() for c in value) else (None, 0)
+    letters = "".join(c for c in value if c.isalpha())
+    plain = not any(c.isdigit() or c in _MARKS for c in value) and (letters.islower() or letters.isupper() or letters.istitle())
+    if plain and (name is None or letters.lower() in dictionary):
+        return 0, 4
+    return (1, 1) if credential and any(c.isdigit() or c in _MARKS for c in value) and not any(c in "()[]{}<>" for c in value) else (None, 0)
 
 
 def covered(value: str, dictionary: frozenset[str]) -> float:
@@ -159,14 +212,10 @@ def _found(batches: Iterator[pa.RecordBatch], dictionary: frozenset[str]) -> Ite
     for batch in batches:
         columns: list[list] = [[] for _ in range(7)]
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for m in _CANDIDATE.finditer(text or ""):
-                value, start = m.group(), m.start()
-                before = text[max(0, start - CONTEXT) : start]
-                name = _ASSIGNED.search(before)
-                if not name and not any(c.isdigit() for c in value):
-                    continue
-                features = describe(value, before, text[m.end() : m.end() + CONTEXT], dictionary)
-                for column, x in zip(columns, (doc, start, m.end(), hashlib.sha256(value.encode()).hexdigest()[:16], *rule(value, name and name.group(1)), features)):
+            for start, stop, name in spans(text or ""):
+                value = text[start:stop]
+                features = describe(value, text[max(0, start - CONTEXT) : start], text[stop : stop + CONTEXT], dictionary)
+                for column, x in zip(columns, (doc, start, stop, hashlib.sha256(value.encode()).hexdigest()[:16], *rule(value, name, dictionary), features)):
                     column.append(x)
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "start", "stop", "digest", "weak", "kind", "features"])
@@ -177,8 +226,8 @@ def findings(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
     ``labels`` (doc_id, start, label) replaces the labels by rule. The forest
     learns from a seeded, bounded sample of the labelled findings of documents
-    whose crc32(doc_id) mod 4 is not 0; the others are held out. Numbers and named
-    values weigh the same among the labels 0 by rule. With findings of
+    whose crc32(doc_id) mod 4 is not 0; the others are held out. Numbers, words and
+    named values weigh the same among the labels 0 by rule. With findings of
     one class only, or none, the score is that class's rate (a half for none).
     Null and empty texts have no candidates; repeated rows give repeated
     findings. The candidate itself is not returned, its digest is.
