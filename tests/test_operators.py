@@ -15,6 +15,7 @@ from tidegauge.operators import association, changepoint, merge, metrics
 from tidegauge.operators.ewm import with_ewm
 from tidegauge.plans.dashboard import scan
 from tidegauge.session import prepare
+from tidegauge.sources import files
 
 
 def _cost(z, a, b):
@@ -131,6 +132,36 @@ def test_scan_tolerates_missing_columns(spark):
     assert scan(rows, ["b", "zz"], [F.col("a") > 1], [F.desc("a")], 1).collect() == [(4,)]
 
 
+def test_url_lists_limits(spark, tmp_path):
+    """The limit counts URLs that no earlier list gave; without one every line is read, in any number of splits."""
+    lists = {"a": ["u1", "u2", "", " u1 ", "u3", "u4"], "b": ["u1", "u2", "u3", "\tu5", "u6", "u7"], "c": [f"v{i % 90}" for i in range(400)] + ["u7"]}
+    for name, lines in lists.items():
+        (tmp_path / f"{name}.txt").write_text("\n".join(lines))
+
+    def expected(limit):
+        out, seen = [], set()
+        for name, lines in sorted(lists.items()):
+            count = 0
+            for place, url in enumerate(x.strip() for x in lines if x.strip()):
+                if url not in seen:
+                    out.append((name, place, url))
+                    seen.add(url)
+                    count += 1
+                    if limit and count >= limit:
+                        break
+        return sorted(out)
+
+    session = prepare(spark)
+    before = session.conf.get("spark.sql.files.maxPartitionBytes")
+    session.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        for limit in (0, 1, 2, 3):
+            got = files.read_url_lists(session, str(tmp_path), new_per_file=limit, list_of=r"(\w+)\.txt")
+            assert sorted((r.file, r.line, r.url) for r in got.collect()) == expected(limit)
+    finally:
+        session.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_percentage_of_random_places():
     random.seed(1)
     assert text.valid_paragraph("x" * 30) and not text.valid_paragraph("x" * 29)

@@ -51,12 +51,23 @@ def jsonl_scan(spark, sf_dir):
 @query("""with u as (select page_id % 3 as file, row_number() over (partition by page_id % 3 order by page_id) - 1 as line, regexp_replace(url, '[?#].*$', '') as url from pages), l as (select * from u where line < 40)
   select cast(arg_min(file, (file, line)) as integer) as file, cast(arg_min(line, (file, line)) as integer) as line, url from l group by url""")
 def url_lists(spark, sf_dir):
-    """URL lists in three files, each URL once."""
+    """URL lists in three files, each URL once; the first 40 lines of each."""
+    return _listed(spark, sf_dir, 40)
+
+
+@query("""with u as (select page_id % 3 as file, row_number() over (partition by page_id % 3 order by page_id) - 1 as line, regexp_replace(url, '[?#].*$', '') as url from pages)
+  select cast(arg_min(file, (file, line)) as integer) as file, cast(arg_min(line, (file, line)) as integer) as line, url from u group by url""")
+def url_lists_whole(spark, sf_dir):
+    """All lines of the URL lists, each URL once."""
+    return _listed(spark, sf_dir, None)
+
+
+def _listed(spark, sf_dir, per_file):
+    """Lists written a URL a line, in sorted files of ranges, and read back."""
     path = files.folder(spark, "urls")
     rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("url"), (F.col("page_id") % 3).alias("file"))
-    lines = F.array_sort(F.collect_list(F.struct("page_id", "url")))
-    rows.groupBy("file").agg(F.array_join(F.transform(lines, lambda x: x["url"]), "\n").alias("value")).write.partitionBy("file").text(path)
-    return files.read_url_lists(spark, f"{path}/file=*", 40).select(F.regexp_extract("file", r"file=(\d+)", 1).cast("int").alias("file"), "line", "url")
+    rows.repartitionByRange("file", "page_id").sortWithinPartitions("file", "page_id").select("file", "url").write.partitionBy("file").text(path)
+    return files.read_url_lists(spark, f"{path}/file=*", per_file, list_of=r"file=(\d+)").select(F.col("file").cast("int").alias("file"), "line", "url")
 
 
 _SITEMAP = "<urlset><url><loc>https://a.example/x-1.html</loc></url><url><loc> https://a.example/y?a=1&amp;b=2 </loc></url><url><loc>https://a.example/z-3.html</loc></url></urlset>"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -35,20 +35,43 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def read_url_lists(spark: SparkSession, path: str, per_file: int | None = None) -> DataFrame:
-    """(file, line, url): each URL where it is seen first, over files in the order of their names.
+def read_url_lists(spark: SparkSession, path: str, per_file: int | None = None, new_per_file: int | None = None, list_of: str = "(.*)") -> DataFrame:
+    """(file, line, url): each URL where it is seen first, over lists in the order of their names.
 
-    The limit counts lines of a file before URLs of earlier files are left out.
-    Lists are small files that are read whole; blank lines don't count.
+    ``list_of`` is an expression whose group is a list's name in a file's path:
+    files of one list go on where the one before ends. ``per_file`` leaves out
+    lines of a list from that place on, before URLs of earlier lists go.
+    ``new_per_file`` takes so many URLs of a list that weren't taken from earlier
+    ones, list by list. None or 0 is no limit. Lists of any length are read in
+    splits; blank lines don't count.
     """
-    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    rows = whole.select("file", F.posexplode(lines).alias("line", "url"))
-    rows = rows.where(F.col("line") < per_file) if per_file is not None else rows
+    lines = spark.read.text(path).select(F.btrim("value", F.lit(" \t\r\x0b\x0c")).alias("url"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")).where("url <> ''")
+    at = folder(spark, "lines")
+    lines.withColumn("file", F.regexp_extract("path", list_of, 1)).withColumn("id", F.monotonically_increasing_id()).write.parquet(at)
+    lines = spark.read.parquet(at)
+    splits = lines.groupBy("file", "path", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = Window.partitionBy("file").orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    rows = lines.join(F.broadcast(splits), ["file", "path", "block"]).select("file", (F.col("id") - F.col("first") + F.col("before")).cast("int").alias("line"), "url")
+    rows = rows.where(F.col("line") < per_file) if per_file else rows
+    if new_per_file:
+        return _taken(spark, rows, new_per_file)
     first = rows.groupBy("url").agg(F.min(F.struct("file", "line")).alias("x"))
     return first.select("x.file", "x.line", "url")
 
 
+def _taken(spark: SparkSession, rows: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` URLs of each list that no earlier list gave: what a list gives depends on those before it."""
+    taken = folder(spark, "taken")
+    rows.select("file", "line", "url").limit(0).write.parquet(taken)
+    for r in rows.select("file").distinct().orderBy("file").collect():
+        one = rows.where(F.col("file") == r["file"]).groupBy("file", "url").agg(F.min("line").alias("line"))
+        given = spark.read.schema(rows.schema).parquet(taken)
+        new = one.join(given.select("url"), "url", "left_anti").orderBy("line").limit(limit)
+        new.select("file", "line", "url").write.mode("append").parquet(taken)
+    return spark.read.schema(rows.schema).parquet(taken)
+
+
 def sitemap_locations(xml: Column) -> Column:
     """The addresses in a sitemap."""
     return F.transform(F.regexp_extract_all(xml, F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))
