@@ -21,7 +21,8 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, allowed: F.Column, pe
     label or doc_id is null are no labels; a doc_id that is labelled twice counts
     with its greater label. The sample's expected size is bounded by ``per_class``
     (documented parameter), so it may be broadcast and learnt by one task; the
-    model comes back to the driver, the texts don't.
+    model comes back to the driver, the texts don't. Without labelled texts (empty
+    tables, or labels of other documents) ``fit`` gets none.
     """
     known = labels.where(allowed & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
     found = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
@@ -42,7 +43,8 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, allowed: F.Column, pe
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     one = rows.repartition(1).sortWithinPartitions("doc", "text").mapInArrow(learn, "model binary")
-    return pickle.loads(one.first()["model"])
+    found_model = one.first()  # no row where the join is empty: an empty plan has no partition
+    return pickle.loads(found_model["model"]) if found_model else fit(_NOTHING, {})
 
 
 def logistic(features: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
