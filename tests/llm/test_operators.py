@@ -393,6 +393,20 @@ def test_coder_round_trip_and_compression():
         coder.encode([np.array([coder.MAX_ID + 1])])
 
 
+def test_coder_of_copied_runs():
+    """Runs of predicted ids after unpredictable ones; in the first block the range is 2**48 at an aligned low end."""
+    run = [29597, 45371, 11176, 34371, 45169, 48428, 5273, 8996, 27052, 10405, 11662, 22833, 4885, 22860, 26584, 26429, 18053, 46193, 43651, 2528, 19921, 48910, 5288, 36838, 38590, 16701, 1435, 27846, 43509, 6009, 13295, 43924, 228, 19454, 12798, 2923, 31270, 6857, 33653, 1630, 44882, 29402, 46824, 13231, 9441, 41901, 14750, 44975, 21533, 43974, 8736, 24207, 48821, 42972, 42033, 27331]
+    rng = np.random.default_rng(5)
+    blocks = [np.array(run * 2, np.uint32)]
+    for _ in range(6000):
+        run = rng.integers(0, 50257, rng.integers(30, 71))
+        blocks.append(np.concatenate([run, run, run[: rng.integers(0, len(run))]]).astype(np.uint32))
+    for at in range(0, len(blocks), 2000):
+        part = blocks[at : at + 2000]
+        coded = coder.encode(part)
+        assert all(np.array_equal(a, b) for a, b in zip(part, coder.decode(coded, [len(b) for b in part])))
+
+
 def test_tokens_equal_the_library():
     path = tokens.default_path()
     texts = [None, "", "  a  b ", "\x00 x", "a \x00b", "\n\nfoo  bar", "<|endoftext|> x<|endoftext|>y", "it's  'll", "a\x1c b \x1d c", "é  ü", prose(200), "tab\t x", "日本 語"]

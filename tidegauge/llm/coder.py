@@ -124,8 +124,8 @@ def _grown(low: np.ndarray, span: np.ndarray, tight: np.ndarray) -> tuple[np.nda
     """Low and range after a word; a small range that spans two words ends at the first."""
     if tight.any():
         edge = (_U(0) - low) & (_TIGHT - _ONE)
-        span = np.where(tight, np.where(edge == 0, _TIGHT, edge), span)
-    return low << _16, span << _16
+        span = np.where(tight, edge, span)
+    return low << _16, np.minimum(span, _TIGHT - _ONE) << _16  # a range of exactly 2**48 loses its last value
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
