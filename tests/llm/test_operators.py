@@ -387,10 +387,14 @@ def test_coder_round_trip_and_compression():
     blocks += [rng.integers(0, 50257, rng.integers(1, 300)).astype(np.uint32) for _ in range(20)]
     coded = coder.encode(blocks)
     assert all(np.array_equal(a, b) for a, b in zip(blocks, coder.decode(coded, [len(b) for b in blocks])))
-    assert len(coded[2]) < len(blocks[2])  # less than a byte an id where ids repeat
+    assert len(coded[2]) < len(blocks[2]) // 4  # where ids repeat
+    wide = [np.array([2**32 - 1, 70_000, 2**31, 70_000, 2**32 - 1], np.uint32), np.array([65_535, 200_000, 65_535], np.uint32)]
+    assert all(np.array_equal(a, b) for a, b in zip(wide, coder.decode(coder.encode(wide), [5, 3])))
     assert coder.encode(blocks[5:6])[0] == coded[5]  # a block depends on nothing else
     with pytest.raises(ValueError):
         coder.encode([np.array([coder.MAX_ID + 1])])
+    with pytest.raises(ValueError):
+        coder.encode([np.array([-1])])
 
 
 def test_coder_of_copied_runs():
@@ -432,12 +436,28 @@ def test_token_files(spark, odd_docs, no_docs):
 
 
 def test_damage_is_found():
-    frame = next(tokenfiles._block_frames(np.arange(100, dtype=np.uint32))) + b"\n"
-    assert np.concatenate(list(tokenfiles.file_ids(frame))).tolist() == list(range(100))
-    broken = bytearray(frame)
-    broken[20] ^= 255
-    with pytest.raises(ValueError):
-        list(tokenfiles.file_ids(bytes(broken)))
+    ids = np.arange(10, 5010, dtype=np.uint32)
+    content = tokenfiles.segment(7, [1, None, 3], [10, 90, 4900], ids)
+    first, doc_ids, counts, back = tokenfiles.documents(content)
+    assert (first, doc_ids, counts.tolist()) == (7, [1, None, 3], [10, 90, 4900]) and np.array_equal(back, ids)
+    assert b"\n" not in tokenfiles._line(content + b"\n\x1b2\x1b1") and tokenfiles._unline(tokenfiles._line(content + b"\n\x1b2\x1b1")) == content + b"\n\x1b2\x1b1"
+    for at in (30, 45, len(content) - 2000):
+        broken = bytearray(content)
+        broken[at] ^= 255
+        with pytest.raises(ValueError):
+            tokenfiles.documents(bytes(broken))
+
+
+def test_token_files_of_many_segments(spark, odd_docs, monkeypatch):
+    """Documents that run over blocks and segments, and partitions over files."""
+    one = {(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokenfiles.round_trip(odd_docs).collect()}
+    folder = tokenfiles.shared_dir(spark)
+    monkeypatch.setattr(tokenfiles, "SEGMENTS", 1)
+    docs = odd_docs.unionByName(odd_docs.withColumn("doc_id", F.col("doc_id") + 1000)).where("doc_id is not null")
+    tokenfiles.write_files(docs, folder)
+    got = sorted(tokenfiles.read_files(spark, folder).collect(), key=lambda r: r.start)
+    assert len(got) == docs.count() and [r.doc_id for r in got] == sorted(r.doc_id for r in got)
+    assert {(r.doc_id % 1000, r.n_tokens, r.ids_crc32) for r in got} == {(d, n, c) for d, _, n, c in one if d is not None}
 
 
 def test_lengths(spark, odd_docs, no_docs):

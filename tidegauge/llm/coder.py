@@ -4,34 +4,64 @@ Every block is coded on its own: models start anew and decoding needs nothing
 else. Blocks are lanes: one step codes the next id of all blocks at once, with
 integer arithmetic only, so that every machine decodes alike.
 
-The id that followed the last two ids (order 2) or the last one (order 1) the
-time before is predicted. Two adaptive probabilities, one by the order-2
-prediction's confidence and one by the order-1 prediction's and whether both
-agree, are mixed with a weight per lane that follows the better of them; the mix
-drives the coding of "the prediction holds". If it does not, the id's magnitude
-class is coded with the mean of an order-0 and an order-1 (by the class before)
-distribution, then four more bits with a distribution per class, then its low
-bits as they are. Distributions are running ends of 16 symbols that move by a
-32nd towards the coded symbol.
+Within a block ids are numbered in the order in which they first appear; the ids
+of these numbers stand before the coded words, in as many bits each as the
+block's greatest id has. The next number is predicted by order 2 (what followed
+the last two) and order 1 (what followed the last one). Two adaptive
+probabilities, one by the order-2 prediction's confidence and one by the order-1
+prediction's and whether both agree, are mixed with a weight per lane that
+follows the better of them; the mix drives the coding of "the prediction holds".
+If it does not, order 0 codes the number by its count so far; a number that is
+new has the share that the count of distinct numbers gives it. Counts stand in a
+binary tree of the sums of left branches.
 
 The coder keeps 64 bits of low and range without carries and writes 16-bit words.
 """
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 
 #: Ids of a block; the greatest id.
-BLOCK, MAX_ID = 2048, (1 << 16) - 2
-_SLOTS1, _SLOTS2 = 1024, 2048
-_TOTAL, _RATE, _GAP = 12, 5, 4
+BLOCK, MAX_ID = 2048, (1 << 32) - 1
+_LEVELS = BLOCK.bit_length() - 1
+_UP = np.arange(1, _LEVELS + 1, dtype=np.int32)[:, None]
 _U = np.uint64
-_ONE, _12, _16, _48, _56 = _U(1), _U(_TOTAL), _U(16), _U(48), _U(56)
+_ONE, _16, _48 = _U(1), _U(16), _U(48)
 _TIGHT = _U(1 << 48)
-_BYTES = _U(0x0101010101010101)
-_CLASS = np.floor(np.log2(np.arange(1, MAX_ID + 3))).astype(np.int64)  # by id: floor(log2(id + 1))
-_START = (np.arange(1, 17) << (_TOTAL - 4 + 8)).astype(np.int32)  # ends in 8 more bits than they are used with
-_GOAL = np.array([[(j + 1) * (_GAP << 8) if j < s else (1 << (_TOTAL + 8)) - (15 - j) * (_GAP << 8) for j in range(16)] for s in range(16)], np.int32)
+#: Steps after which room for words is looked at, and words that they write at most.
+_LOOK, _ROOM = 64, 64 * 8
+_HEAD = struct.Struct("<BH")  # bits of an id, distinct ids
+_DIRECT = 1 << 22  # greatest id whose first place is looked up in a table
+
+
+def numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers by first appearance, and the id of each number."""
+    if not len(ids):
+        return np.zeros(0, np.int64), ids
+    keys, at = ids, np.arange(len(ids))
+    if ids.max() > _DIRECT:
+        keys = np.unique(ids, return_inverse=True)[1]
+    first = np.empty(int(keys.max()) + 1, np.int64)
+    first[keys[::-1]] = at[::-1]  # the last write is the first place
+    place = first[keys]
+    fresh = place == at
+    return (np.cumsum(fresh) - 1)[place], ids[fresh]
+
+
+def _packed(ids: np.ndarray) -> tuple[int, bytes]:
+    """Bits of an id, and all ids in so many bits each."""
+    bits = int(ids.max()).bit_length() if len(ids) else 0
+    grid = np.unpackbits(ids.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - bits :]
+    return bits, np.packbits(grid).tobytes()
+
+
+def _unpacked(data: bytes, bits: int, count: int) -> np.ndarray:
+    grid = np.zeros((count, 32), np.uint8)
+    grid[:, 32 - bits :] = np.unpackbits(np.frombuffer(data, np.uint8), count=bits * count).reshape(count, bits)
+    return np.packbits(grid, axis=1).view(">u4").ravel().astype(np.uint32)
 
 
 class _Models:
@@ -39,24 +69,23 @@ class _Models:
 
     def __init__(self, lanes: int) -> None:
         self.lane = np.arange(lanes)
-        self.at_one, self.at_two = self.lane * _SLOTS1, self.lane * _SLOTS2
-        self.one = np.zeros(lanes * _SLOTS1, np.int32)
-        self.two = np.zeros(lanes * _SLOTS2, np.int32)
-        self.pa = np.full(lanes * 4, 1 << 13, np.int64)
-        self.pb = np.full(lanes * 8, 1 << 13, np.int64)
-        self.weight = np.full(lanes, 1 << 15, np.int64)
-        self.zero = np.tile(_START, (lanes, 1))
-        self.first = np.tile(_START, (lanes * 16, 1))
-        self.nibble = np.tile(_START, (lanes * 16, 1))
+        self.base = self.lane * BLOCK
+        self.one = np.zeros(lanes * BLOCK, np.int32)  # (number + 1) * 4 + confidence, 0 for none
+        self.two = np.zeros(lanes * BLOCK, np.int32)
+        self.count = np.zeros(lanes * BLOCK, np.int32)
+        self.tree = np.zeros(lanes * BLOCK, np.int32)
+        self.seen, self.mass = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.pa = np.full(lanes * 4, 1 << 13, np.int32)
+        self.pb = np.full(lanes * 8, 1 << 13, np.int32)
+        self.weight = np.full(lanes, 1 << 13, np.int32)  # of 2**14
         self.a = np.zeros(lanes, np.int64)
         self.b = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
 
     def predict(self, m: int) -> np.ndarray:
-        """Probability, of 2**16, that the prediction ``self.guess`` (id + 1, or 0 for none) holds."""
+        """Probability, of 2**16, that the prediction ``self.guess`` (number + 1, or 0 for none) holds."""
         a, b = self.a[:m], self.b[:m]
-        self.at1 = self.at_one[:m] + ((b * 40503 >> 4) & (_SLOTS1 - 1))
-        self.at2 = self.at_two[:m] + (((a * 31321 + b * 52711) >> 3) & (_SLOTS2 - 1))
+        self.at1 = self.base[:m] + b
+        self.at2 = self.base[:m] + ((a * 31321 + b * 52711 >> 3) & (BLOCK - 1))
         self.e1, self.e2 = self.one.take(self.at1), self.two.take(self.at2)
         p1, p2 = self.e1 >> 2, self.e2 >> 2
         known = p2 > 0
@@ -64,53 +93,51 @@ class _Models:
         self.ia = self.lane[:m] * 4 + np.where(known, 1 + np.minimum(self.e2 & 3, 2), 0)
         self.ib = self.lane[:m] * 8 + ((self.e1 & 3) | ((p1 == self.guess) << 2))
         self.va, self.vb = self.pa.take(self.ia), self.pb.take(self.ib)
-        p = self.vb + ((self.weight[:m] * (self.va - self.vb)) >> 16)
-        return np.minimum(np.maximum(p, 48), 65536 - 48)
+        p = self.vb + (self.weight[:m] * (self.va - self.vb) >> 14)
+        return np.minimum(np.maximum(p, 48), 65536 - 48).astype(_U)
 
-    def learn(self, m: int, ids: np.ndarray, hit: np.ndarray) -> None:
-        """What the ids of this step change in the predictions."""
-        goal = hit * 65535
+    def learn(self, m: int, numbers: np.ndarray, hit: np.ndarray) -> None:
+        """What the numbers of this step change in the predictions."""
+        goal = hit.astype(np.int32) * 65535
         ga, gb = goal - self.va, goal - self.vb
         self.pa[self.ia], self.pb[self.ib] = self.va + (ga >> 4), self.vb + (gb >> 4)
-        w = self.weight[:m] + ((np.abs(gb) - np.abs(ga)) >> 5)
-        self.weight[:m] = np.minimum(np.maximum(w, 2048), 65536 - 2048)
-        fresh = ((ids + 1) << 2).astype(np.int32)
+        w = self.weight[:m] + (np.abs(gb) - np.abs(ga) >> 7)
+        self.weight[:m] = np.minimum(np.maximum(w, 512), (1 << 14) - 512)
+        fresh = (numbers + 1 << 2).astype(np.int32)
         for table, at, e in ((self.one, self.at1, self.e1), (self.two, self.at2, self.e2)):
             table[at] = np.where(e >> 2 == fresh >> 2, e + ((e & 3) < 3), fresh)
         self.a[:m] = self.b[:m]
-        self.b[:m] = ids
-
-    def class_ends(self, miss: np.ndarray) -> np.ndarray:
-        self.row = miss * 16 + self.before.take(miss)
-        self.ends0, self.ends1 = self.zero.take(miss, axis=0), self.first.take(self.row, axis=0)
-        return (self.ends0 + self.ends1) >> 9
-
-    def learn_class(self, miss: np.ndarray, kind: np.ndarray) -> None:
-        goal = _GOAL.take(kind, axis=0)
-        self.zero[miss] = self.ends0 + ((goal - self.ends0) >> _RATE)
-        self.first[self.row] = self.ends1 + ((goal - self.ends1) >> _RATE)
-        self.before[miss] = kind
+        self.b[:m] = numbers
 
-    def nibble_ends(self, miss: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        self.cell = miss * 16 + kind
-        self.ends2 = self.nibble.take(self.cell, axis=0)
-        return self.ends2 >> 8
+    def order0(self, miss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The share of new numbers, and the whole, of the lanes ``miss``."""
+        self.at0 = self.base.take(miss)
+        self.fresh_share = self.seen.take(miss) + 1
+        return self.fresh_share, self.fresh_share + self.mass.take(miss)
 
-    def learn_nibble(self, value: np.ndarray) -> None:
-        self.nibble[self.cell] = self.ends2 + ((_GOAL.take(value, axis=0) - self.ends2) >> _RATE)
+    def bounds(self, miss: np.ndarray, numbers: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of the numbers in order 0, which learns them."""
+        path = (numbers.astype(np.int32) + BLOCK) >> np.vstack([np.zeros((1, 1), np.int32), _UP])
+        right = path[:-1] & 1
+        at = self.at0 + path[1:]
+        sums = self.tree.take(at)
+        self.tree[at] = sums + (right ^ 1)
+        leaf = self.at0 + numbers
+        count = self.count.take(leaf)
+        self.count[leaf] = count + 1
+        self.mass[miss] += 1
+        self.seen[miss] += new
+        return np.where(new, 0, self.fresh_share + (sums * right).sum(0)).astype(_U), np.where(new, self.fresh_share, count).astype(_U)
 
-
-def _bounds(ends: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and width of each row's symbol."""
-    flat, at = ends.ravel(), np.arange(0, 16 * len(symbol), 16) + symbol
-    start = np.where(symbol > 0, flat.take(at - 1, mode="wrap"), 0)
-    return start.astype(_U), (flat.take(at) - start).astype(_U)
-
-
-def _find(ends: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Each row's symbol: how many ends don't exceed the value."""
-    below = (ends <= value[:, None]).view(_U)
-    return ((((below[:, 0] + below[:, 1]) * _BYTES) >> _56) & _U(31)).astype(np.int64)
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The numbers whose counts cover the values."""
+        node = np.ones(len(value), np.int64)
+        for _ in range(_LEVELS):
+            left = self.tree.take(self.at0 + node)
+            right = value >= left
+            value = value - left * right
+            node = 2 * node + right
+        return node - BLOCK
 
 
 def _unsettled(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,31 +150,33 @@ def _unsettled(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _grown(low: np.ndarray, span: np.ndarray, tight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Low and range after a word; a small range that spans two words ends at the first."""
     if tight.any():
-        edge = (_U(0) - low) & (_TIGHT - _ONE)
-        span = np.where(tight, edge, span)
+        span = np.where(tight, (_U(0) - low) & (_TIGHT - _ONE), span)
     return low << _16, np.minimum(span, _TIGHT - _ONE) << _16  # a range of exactly 2**48 loses its last value
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
     """The coded bytes of each block of at most BLOCK ids, in order."""
-    order = np.argsort([-len(b) for b in blocks], kind="stable")
-    sizes = np.array([len(blocks[i]) for i in order], np.int64)
     n = len(blocks)
     if not n:
         return []
-    ids = np.zeros((int(sizes.max()), n), np.int64)
+    if any(len(b) and (int(b.max()) > MAX_ID or int(b.min()) < 0) for b in blocks):
+        raise ValueError(f"ids are integers from 0 to {MAX_ID}")
+    order = np.argsort([-len(b) for b in blocks], kind="stable")
+    sizes = np.array([len(blocks[i]) for i in order], np.int64)
+    numbers, distinct = np.zeros((int(sizes.max()), n), np.int64), []
     for lane, i in enumerate(order):
-        ids[: sizes[lane], lane] = blocks[i]
-    if ids.size and ids.max() > MAX_ID:
-        raise ValueError(f"ids above {MAX_ID} can't be coded")
+        numbers[: sizes[lane], lane], ids = numbered(blocks[i])
+        distinct.append(ids)
     low, span = np.zeros(n, _U), np.full(n, _U(2**64 - 1))
-    out, used = np.zeros((n, 4 * len(ids) + 8), np.uint16), np.zeros(n, np.int64)
+    out, used = np.zeros((n, 2 * len(numbers) + _ROOM), np.uint16), np.zeros(n, np.int64)
     models = _Models(n)
-    active = np.searchsorted(-sizes, -np.arange(len(ids)), "left")
-    for t in range(len(ids)):
+    active = np.searchsorted(-sizes, -np.arange(len(numbers)), "left")
+    for t in range(len(numbers)):
+        if t % _LOOK == 0 and used.max() + _ROOM > out.shape[1]:
+            out = np.concatenate([out, np.zeros_like(out)], 1)
         m = int(active[t])
-        now = ids[t, :m]
-        p = models.predict(m).astype(_U)
+        now = numbers[t, :m]
+        p = models.predict(m)
         hit = models.guess == now + 1
         bound = (span[:m] >> _16) * p
         low[:m] += np.where(hit, _U(0), bound)
@@ -155,22 +184,11 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         miss = np.flatnonzero(~hit)
         if len(miss):
             value = now.take(miss)
-            kind = _CLASS.take(value)
-            x, r = low.take(miss), span.take(miss) >> _12
-            start, width = _bounds(models.class_ends(miss), kind)
-            x += r * start
-            r = (r * width) >> _12
-            models.learn_class(miss, kind)
-            coded = np.minimum(kind, 4)
-            plain = kind - coded
-            rest = value + 1 - (1 << kind)
-            top = rest >> plain
-            start, width = _bounds(models.nibble_ends(miss, kind), top)
-            x += r * start
-            r = (r * width) >> plain.astype(_U)
-            models.learn_nibble(top)
-            low[miss] = x + r * (rest & ((1 << plain) - 1)).astype(_U)
-            span[miss] = r
+            share, whole = models.order0(miss)
+            start, width = models.bounds(miss, value, value == share - 1)
+            r = span.take(miss) // whole.astype(_U)
+            low[miss] += r * start
+            span[miss] = r * width
         lanes, tight = _unsettled(low[:m], span[:m])
         while len(lanes):
             x = low.take(lanes)
@@ -185,7 +203,8 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         out[np.arange(n), used + k] = (low >> _U(48 - 16 * k)) & _U(0xFFFF)
     result: list[bytes] = [b""] * n
     for lane, i in enumerate(order):
-        result[i] = out[lane, : used[lane] + 4].astype("<u2").tobytes()
+        bits, ids = _packed(distinct[lane])
+        result[i] = _HEAD.pack(bits, len(distinct[lane])) + ids + out[lane, : used[lane] + 4].astype("<u2").tobytes()
     return result
 
 
@@ -196,46 +215,41 @@ def decode(coded: list[bytes], counts: list[int]) -> list[np.ndarray]:
         return []
     order = np.argsort([-c for c in counts], kind="stable")
     sizes = np.array([counts[i] for i in order], np.int64)
-    words = np.zeros((n, max(len(c) for c in coded) // 2 + 8), _U)
-    for lane, i in enumerate(order):
-        w = np.frombuffer(coded[i], "<u2")
+    parts, distinct = [], []
+    for i in order:
+        bits, many = _HEAD.unpack_from(coded[i])
+        stop = _HEAD.size + (bits * many + 7) // 8
+        distinct.append(_unpacked(coded[i][_HEAD.size : stop], bits, many))
+        parts.append(np.frombuffer(coded[i], "<u2", offset=stop))
+    words = np.zeros((n, max(map(len, parts)) + 8), np.uint16)
+    for lane, w in enumerate(parts):
         words[lane, : len(w)] = w
     last = words.shape[1] - 1
     low, span, code, used = np.zeros(n, _U), np.full(n, _U(2**64 - 1)), np.zeros(n, _U), np.full(n, 4)
     for k in range(4):
         code = (code << _16) | words[:, k]
-    ids = np.zeros((int(sizes.max()), n), np.int64)
+    numbers = np.zeros((int(sizes.max()), n), np.int64)
     models = _Models(n)
-    active = np.searchsorted(-sizes, -np.arange(len(ids)), "left")
-    for t in range(len(ids)):
+    active = np.searchsorted(-sizes, -np.arange(len(numbers)), "left")
+    for t in range(len(numbers)):
         m = int(active[t])
-        p = models.predict(m).astype(_U)
+        p = models.predict(m)
         bound = (span[:m] >> _16) * p
         hit = code[:m] - low[:m] < bound
         low[:m] += np.where(hit, _U(0), bound)
         span[:m] = np.where(hit, bound, span[:m] - bound)
-        now = models.guess.astype(np.int64) - 1
+        now = models.guess - np.int64(1)
         miss = np.flatnonzero(~hit)
         if len(miss):
-            x, r, c = low.take(miss), span.take(miss) >> _12, code.take(miss)
-            ends = models.class_ends(miss)
-            kind = _find(ends, np.minimum((c - x) // r, _U((1 << _TOTAL) - 1)).astype(np.int32))
-            start, width = _bounds(ends, kind)
-            x += r * start
-            r = (r * width) >> _12
-            models.learn_class(miss, kind)
-            coded_bits = np.minimum(kind, 4)
-            plain = (kind - coded_bits).astype(_U)
-            ends = models.nibble_ends(miss, kind)
-            top = _find(ends, np.minimum((c - x) // r, _U((1 << _TOTAL) - 1)).astype(np.int32))
-            start, width = _bounds(ends, top)
-            x += r * start
-            r = (r * width) >> plain
-            bits = np.minimum((c - x) // r, (_ONE << plain) - _ONE)
-            models.learn_nibble(top)
-            low[miss] = x + r * bits
-            span[miss] = r
-            now[miss] = ((_ONE << kind.astype(_U)) + (top.astype(_U) << plain) + bits).astype(np.int64) - 1
+            share, whole = models.order0(miss)
+            r, x = span.take(miss) // whole.astype(_U), low.take(miss)
+            value = np.minimum((code.take(miss) - x) // r, (whole - 1).astype(_U)).astype(np.int64)
+            new = value < share
+            found = np.where(new, share - 1, models.find(np.maximum(value - share, 0)))
+            start, width = models.bounds(miss, found, new)
+            low[miss] = x + r * start
+            span[miss] = r * width
+            now[miss] = found
         lanes, tight = _unsettled(low[:m], span[:m])
         while len(lanes):
             x, r = _grown(low.take(lanes), span.take(lanes), tight)
@@ -244,9 +258,10 @@ def decode(coded: list[bytes], counts: list[int]) -> list[np.ndarray]:
             used[lanes] += 1
             again, tight = _unsettled(x, r)
             lanes = lanes.take(again)
-        ids[t, :m] = now
+        numbers[t, :m] = now
         models.learn(m, now, hit)
     result: list[np.ndarray] = [np.zeros(0, np.uint32)] * n
     for lane, i in enumerate(order):
-        result[i] = ids[: sizes[lane], lane].astype(np.uint32)
+        if sizes[lane]:
+            result[i] = distinct[lane].take(numbers[: sizes[lane], lane], mode="clip")
     return result

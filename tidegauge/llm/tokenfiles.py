@@ -1,19 +1,20 @@
 """Files of token ids: an adaptive context-mixing range coder over checksummed, independent blocks.
 
 Documents are ordered by doc_id over range partitions; each partition becomes
-one file through Spark's text sink, whose rows are frames of bytes and whose
-line ends separate them, so that files commit and survive lost executors like
-any other output. A file is a sequence of frames, each followed by a newline:
-
-- ``TGBK``, number of ids, number of bytes, crc32 of the ids as little-endian
-  unsigned 32-bit integers (all unsigned 32-bit little-endian), then the bytes
-  of the coded block. The ids of a file's documents run on over its blocks.
-- ``TGIX``, number of documents, number of bytes, crc32 of the bytes, then for
-  all documents a byte that is 1 if it has a doc_id, then the doc_ids as signed
-  and the numbers of ids as unsigned 64-bit little-endian integers.
-
-Files are read back whole, each by one task; a file is as large as a range
-partition's coded ids.
+one or more files through Spark's text sink, so that files commit and survive
+lost executors like any other output. A line of a file is a segment: a run of
+whole documents of about LANES * BLOCK ids, or one longer document. In a line
+ESC (27) stands for ESC ``1`` and the line feed for ESC ``2``, so that files can
+be read in splits by their line feeds, whatever their size. A segment is
+
+- ``TGSG``, the ids before it in its partition (unsigned 64 bits), the numbers of
+  its documents and of its blocks, and the crc32 of what follows up to the
+  coded blocks (unsigned 32 bits each; all integers are little-endian);
+- for all documents a byte that is 1 if it has a doc_id, then the doc_ids as
+  signed and the numbers of ids as unsigned 64-bit integers;
+- for all blocks the number of ids, the number of coded bytes, and the crc32 of
+  the ids as unsigned 32-bit integers (unsigned 32 bits each);
+- the coded blocks. The ids of the segment's documents run on over them.
 """
 
 from __future__ import annotations
@@ -32,90 +33,83 @@ from tidegauge.llm.common import shared_dir, written
 from tidegauge.llm.tokens import default_path, encode_column
 
 END = 2
-#: Blocks that are coded together.
-LANES = 1536
-_HEAD = struct.Struct("<4sIII")
+#: Blocks that are coded together, and segments of a file at most.
+LANES, SEGMENTS = 1536, 64
+_HEAD = struct.Struct("<4sQIII")
+
+
+def segment(first: int, doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
+    """The bytes of documents with the given numbers of ids; ``first`` ids of the partition stand before them."""
+    blocks = [ids[at : at + coder.BLOCK] for at in range(0, len(ids), coder.BLOCK)]
+    coded = [c for at in range(0, len(blocks), LANES) for c in coder.encode(blocks[at : at + LANES])]
+    places = np.array([(len(b), len(c), zlib.crc32(b.astype("<u4").tobytes())) for b, c in zip(blocks, coded)], "<u4")
+    index = bytes(i is not None for i in doc_ids) + np.array([i or 0 for i in doc_ids], "<i8").tobytes() + np.array(counts, "<u8").tobytes() + places.tobytes()
+    return _HEAD.pack(b"TGSG", first, len(doc_ids), len(blocks), zlib.crc32(index)) + index + b"".join(coded)
+
+
+def documents(content: bytes) -> tuple[int, list[int | None], np.ndarray, np.ndarray]:
+    """The ids before a segment, its documents' ids and numbers of ids, and all their ids, checksums verified."""
+    magic, first, n, many, crc = _HEAD.unpack_from(content)
+    at = _HEAD.size + 17 * n + 12 * many
+    index = content[_HEAD.size : at]
+    if magic != b"TGSG" or len(index) != 17 * n + 12 * many or zlib.crc32(index) != crc:
+        raise ValueError("the index of a segment is damaged")
+    doc_ids = [i if there else None for i, there in zip(np.frombuffer(index, "<i8", n, n).tolist(), index[:n])]
+    places = np.frombuffer(index, "<u4", 3 * many, 17 * n).reshape(many, 3).astype(np.int64)
+    ends = at + np.cumsum(places[:, 1])
+    parts: list[np.ndarray] = []
+    for a in range(0, many, LANES):
+        here = range(a, min(a + LANES, many))
+        for k, ids in zip(here, coder.decode([content[ends[k] - places[k, 1] : ends[k]] for k in here], places[a : a + LANES, 0].tolist())):
+            if zlib.crc32(ids.astype("<u4").tobytes()) != places[k, 2]:
+                raise ValueError("a block is damaged")
+            parts.append(ids)
+    return first, doc_ids, np.frombuffer(index, "<u8", n, 9 * n).astype(np.int64), np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
-def _block_frames(ids: np.ndarray) -> Iterator[bytes]:
-    for at in range(0, len(ids), LANES * coder.BLOCK):
-        part = ids[at : at + LANES * coder.BLOCK]
-        blocks = [part[i : i + coder.BLOCK] for i in range(0, len(part), coder.BLOCK)]
-        for block, coded in zip(blocks, coder.encode(blocks)):
-            yield _HEAD.pack(b"TGBK", len(block), len(coded), zlib.crc32(block.astype("<u4").tobytes())) + coded
+def _line(content: bytes) -> bytes:
+    return content.replace(b"\x1b", b"\x1b1").replace(b"\n", b"\x1b2")
 
 
-def _index_frame(doc_ids: list[int | None], counts: list[int]) -> bytes:
-    body = bytes(i is not None for i in doc_ids) + np.array([i or 0 for i in doc_ids], "<i8").tobytes() + np.array(counts, "<u8").tobytes()
-    return _HEAD.pack(b"TGIX", len(doc_ids), len(body), zlib.crc32(body)) + body
+def _unline(line: bytes) -> bytes:
+    return line.replace(b"\x1b2", b"\n").replace(b"\x1b1", b"\x1b")
 
 
 def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = END) -> None:
     """Write the ids of each text of ``docs`` (doc_id, text), then ``end``, in ascending doc_id order, null first."""
     path = tokenizer or default_path()
 
-    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] = []
-        size = 0
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+        doc_ids: list[int | None] = []
+        counts: list[int] = []
+        first = size = 0
 
-        def packed(found: list[bytes]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(found, pa.large_binary()).cast(pa.binary())], ["frame"])
+        def packed() -> pa.RecordBatch:
+            line = _line(segment(first, doc_ids, counts, np.concatenate(waiting)))
+            return pa.RecordBatch.from_arrays([pa.array([line], pa.binary())], ["line"])
 
         for batch in batches:
             for at, ids, offsets in encode_column(batch.column(1), path):
-                counts = np.diff(offsets) + 1
-                whole = np.full(int(counts.sum()), end, np.uint32)
+                sizes = np.diff(offsets) + 1
+                whole = np.full(int(sizes.sum()), end, np.uint32)
                 keep = np.ones(len(whole), bool)
-                keep[np.cumsum(counts) - 1] = False
+                keep[np.cumsum(sizes) - 1] = False
                 whole[keep] = ids
-                doc_ids = batch.column(0).slice(at, len(counts)).to_pylist()
-                yield packed([_index_frame(doc_ids, counts.tolist())])
-                rest.append(whole)
+                waiting.append(whole)
+                doc_ids += batch.column(0).slice(at, len(sizes)).to_pylist()
+                counts += sizes.tolist()
                 size += len(whole)
                 if size >= LANES * coder.BLOCK:
-                    ids_now = np.concatenate(rest)
-                    cut = size // coder.BLOCK * coder.BLOCK
-                    yield packed(list(_block_frames(ids_now[:cut])))
-                    rest, size = [ids_now[cut:]], size - cut
-        if size:
-            yield packed(list(_block_frames(np.concatenate(rest))))
+                    yield packed()
+                    first, size, waiting, doc_ids, counts = first + size, 0, [], [], []
+        if doc_ids:
+            yield packed()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = ["doc_id", F.xxhash64("text")]
-    coded = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").mapInArrow(frames, "frame binary")
-    coded.select(F.col("frame").cast("string").alias("value")).write.text(folder)
-
-
-def _parsed(content: bytes) -> tuple[list[int | None], np.ndarray, list[tuple[int, int, int, int]]]:
-    """Document ids, their numbers of ids, and (ids, crc32, first byte, last byte) of the blocks of a file."""
-    at, doc_ids, counts, blocks = 0, [], [], []
-    while at < len(content):
-        magic, n, size, crc = _HEAD.unpack_from(content, at)
-        at += _HEAD.size
-        body = content[at : at + size] if magic == b"TGIX" else b""
-        if magic == b"TGIX":
-            if zlib.crc32(body) != crc:
-                raise ValueError("an index frame is damaged")
-            ids = np.frombuffer(body, "<i8", n, n).tolist()
-            doc_ids += [i if there else None for i, there in zip(ids, body[:n])]
-            counts.append(np.frombuffer(body, "<u8", n, 9 * n).astype(np.int64))
-        elif magic == b"TGBK":
-            blocks.append((n, crc, at, at + size))
-        else:
-            raise ValueError("no frame where one should begin")
-        at += size + 1
-    return doc_ids, np.concatenate(counts) if counts else np.zeros(0, np.int64), blocks
-
-
-def file_ids(content: bytes) -> Iterator[np.ndarray]:
-    """The ids of a file's blocks in order, their checksums verified."""
-    _, _, blocks = _parsed(content)
-    for at in range(0, len(blocks), LANES):
-        part = blocks[at : at + LANES]
-        for ids, (_, crc, _, _) in zip(coder.decode([content[a:b] for _, _, a, b in part], [n for n, _, _, _ in part]), part):
-            if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
-                raise ValueError("a block is damaged")
-            yield ids
+    coded = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").mapInArrow(lines, "line binary")
+    coded.select(F.col("line").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", SEGMENTS).text(folder)
 
 
 _READ = "part long, doc_id long, local long, n_tokens long, ids_crc32 long"
@@ -123,32 +117,23 @@ _READ = "part long, doc_id long, local long, n_tokens long, ids_crc32 long"
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            content = content.as_py()
-            doc_ids, counts, _ = _parsed(content)
-            ends, at, sums, crc = np.cumsum(counts), 0, [], 0
-            done = 0  # ids before this block
-            for ids in file_ids(content):
-                raw, here = ids.astype("<u4").tobytes(), 0
-                while at < len(ends) and ends[at] <= done + len(ids):
-                    stop = int(ends[at]) - done
-                    sums.append(zlib.crc32(raw[4 * here : 4 * stop], crc))
-                    crc, here, at = 0, stop, at + 1
-                crc = zlib.crc32(raw[4 * here :], crc)
-                done += len(ids)
+        for part, line in zip(batch.column(0).to_pylist(), batch.column(1)):
+            first, doc_ids, counts, ids = documents(_unline(line.as_py()))
+            ends, raw = np.cumsum(counts), ids.astype("<u4").tobytes()
+            sums = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(counts), pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(ends - counts), pa.array(counts), pa.array(sums, pa.int64())],
+                [pa.array([part] * len(counts), pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(first + ends - counts), pa.array(counts), pa.array(sums, pa.int64())],
                 ["part", "doc_id", "local", "n_tokens", "ids_crc32"],
             )
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document in the files of ``folder``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
-    numbered = files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("part"), "content")
-    rows = written(numbered.mapInArrow(_read, _READ))
+    """(doc_id, start, n_tokens, ids_crc32) of each document in the files of ``folder``, which are read in splits."""
+    lines = spark.read.option("lineSep", "\n").text(folder)
+    numbered = lines.select(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long").alias("part"), F.col("value").cast("binary").alias("line"))
+    rows = written(numbered.where(F.octet_length("line") > 0).mapInArrow(_read, _READ))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per file
+    # one row per partition that was written
     bases = rows.groupBy("part").agg(F.sum("n_tokens").alias("ids")).select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
     return rows.join(bases, "part").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 #: Default vocabulary: a name of the installed package of public tokenizer files.
 DEFAULT = "byte_bpe_50k.json"
 #: Distinct pieces that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: Marks pieces that no space stands before; not a character that a text can hold.
 MARK = "\ud800"
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
@@ -62,6 +62,10 @@ class Encoder:
         before = shape.get("pre_tokenizer") or {}
         odd = [t for t in shape.get("added_tokens", []) if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or re.search(r"\s", t["content"])]
         self.by_piece = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not shape.get("normalizer") and not odd and not shape.get("truncation")
+        if self.by_piece:
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)  # by id: begins with a space, which byte-level vocabularies write so
+            self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -74,15 +78,39 @@ class Encoder:
             return
         # a piece that begins or ends with white space was cut where it must not be
         good = [bool(p) and not p[0].isspace() and not p[-1].isspace() if p[:1] != MARK else True for p in new]
-        coded = self.tokenizer.encode_batch_fast([p[1:] if p[:1] == MARK else " " + p for p in new], add_special_tokens=False)
-        ids = [c.ids for c in coded]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(counts) - counts])
+        plain = [p for p, g in zip(new, good) if g and p[0] != MARK]
+        joined = self._split(plain)
+        where = np.array([g and p[0] != MARK for p, g in zip(new, good)], bool)
+        alone = new if joined is None else [p for p, w in zip(new, where) if not w]
+        coded = [np.array(c.ids, np.uint32) for c in self.tokenizer.encode_batch_fast([p[1:] if p[:1] == MARK else " " + p for p in alone], add_special_tokens=False)]
+        counts = np.fromiter(map(len, coded), np.int64, len(coded))
+        first, pool = np.cumsum(counts) - counts, np.concatenate(coded) if coded else np.zeros(0, np.uint32)
+        if joined is not None:
+            most, other = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+            most[where], most[~where] = joined[1], counts
+            other[where], other[~where] = np.cumsum(joined[1]) - joined[1], first + len(joined[0])
+            first, counts, pool = other, most, np.concatenate([joined[0], pool])
+        self.first = np.concatenate([self.first, len(self.pool) + first])
         self.count = np.concatenate([self.count, counts])
-        self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))])
+        self.pool = np.concatenate([self.pool, pool])
         self.good = np.concatenate([self.good, np.array(good, bool)])
         self.pieces.new = []
 
+    def _split(self, plain: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids, and numbers of ids, of pieces after a space each, from one text of all of them; None if its ids don't tell.
+
+        The only space of such a piece is its first byte, so that its first id is
+        the only one whose token begins with a space.
+        """
+        if not plain or any(" " in p for p in plain):
+            return None
+        [coded] = self.tokenizer.encode_batch_fast([" " + " ".join(plain)], add_special_tokens=False)
+        ids = np.array(coded.ids, np.int64)
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) != len(plain) or starts[0]:
+            return None
+        return ids.astype(np.uint32), np.diff(np.append(starts, len(ids)))
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the texts' offsets in them; null texts count as empty."""
         if not self.by_piece:
