@@ -3,12 +3,14 @@
 import datetime as dt
 import math
 import random
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidegauge import shared
 from tidegauge.functions import fixed_values, text
 from tidegauge.functions.windows import change, full, frame, obv
 from tidegauge.operators import association, changepoint, merge, metrics
@@ -16,6 +18,7 @@ from tidegauge.operators.ewm import with_ewm
 from tidegauge.plans.dashboard import scan
 from tidegauge.session import prepare
 from tidegauge.sources import files
+from tidegauge.streaming import incremental
 
 
 def _cost(z, a, b):
@@ -165,3 +168,29 @@ def test_url_lists_limits(spark, tmp_path):
 def test_percentage_of_random_places():
     random.seed(1)
     assert text.valid_paragraph("x" * 30) and not text.valid_paragraph("x" * 29)
+
+
+def test_refresh_of_a_replayed_batch(spark, tmp_path):
+    """A micro-batch that comes twice, or comes again after later ones, changes nothing; late days recompute what follows."""
+    session, stored = prepare(spark), f"file://{tmp_path}/state"
+    schema = "event_id long, ts timestamp_ntz, event_type string, value double"
+    day = lambda i, d, v, s="a": (i, datetime(2026, 1, d, i % 24), s, v)
+    batches = [[day(i, i + 1, float(i)) for i in range(8)], [day(30, 9, 9.0), day(31, 2, 50.0), day(32, 1, 1.0, "b")]]
+    frames = [session.createDataFrame(b, schema) for b in batches]
+    for k in (0, 0, 1, 0, 1):
+        incremental.refresh(session, stored, frames[k], k)
+    got = {(r.symbol, r.date.day): (r.close, r.n, r.ma_5) for r in incremental.daily_state(session, stored).collect()}
+    close = [0.0, 50.0, *map(float, range(2, 8)), 9.0]
+    assert got == {**{("a", d): (close[d - 1], 2 if d == 2 else 1, round(sum(close[d - 5 : d]) / 5, 6) if d >= 5 else None) for d in range(1, 10)}, ("b", 1): (1.0, 1, None)}
+
+
+def test_shared_folder_is_refused_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master, applicationId = "yarn", "x"
+
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(Session)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import fixed_values
+from tidegauge.shared import shared_dir
 from tidegauge.sources import files
 from tidegauge.sources.adapters import BARS, bars, table
 
@@ -23,7 +24,7 @@ def query(sql: str | None):
 @query(f"with {BARS} select symbol, round(avg(close), 4) as mean_close, count(*) as n from bars where symbol in ('1-URGENT', '2-HIGH') group by symbol")
 def csv_scan(spark, sf_dir):
     """Bars through CSV: declared schema, two of the columns, an early filter."""
-    path = files.folder(spark, "csv")
+    path = shared_dir(spark)
     bars(spark, sf_dir).write.option("header", True).csv(path)
     rows = files.read_csv(spark, path, "symbol string, date date, open double, high double, low double, close double, volume long", ["symbol", "close"], F.col("symbol").isin("1-URGENT", "2-HIGH"))
     return rows.groupBy("symbol").agg(F.round(F.avg("close"), 4).alias("mean_close"), F.count("*").alias("n"))
@@ -31,7 +32,7 @@ def csv_scan(spark, sf_dir):
 
 @query("select doc_id::varchar as doc_id, coalesce(quality::varchar, '') as quality, case when doc_id % 2 = 0 then '' else toxic::varchar end as toxic from labels")
 def csv_strings(spark, sf_dir):
-    path = files.folder(spark, "csv")
+    path = shared_dir(spark)
     rows = table(spark, sf_dir, "labels").select("doc_id", "quality", F.when(F.col("doc_id") % 2 != 0, F.col("toxic")).alias("toxic"))
     rows.where("doc_id < 100").write.option("header", True).csv(path)
     rows.where("doc_id >= 100").write.mode("append").option("header", True).csv(path)
@@ -41,33 +42,21 @@ def csv_strings(spark, sf_dir):
 @query("select event_id, user_id, value from events where event_id % 5 <> 0")
 def jsonl_scan(spark, sf_dir):
     """JSON lines of which every fifth is broken and some are blank."""
-    path = files.folder(spark, "jsonl")
+    path = shared_dir(spark)
     e = table(spark, sf_dir, "events")
     good = F.to_json(F.struct("event_id", "user_id", "value"))
     e.select(F.when(F.col("event_id") % 10 == 0, "").when(F.col("event_id") % 5 == 0, F.concat(F.lit("{broken "), good)).otherwise(good).alias("value")).write.text(path)
     return files.read_json_lines(spark, path, "event_id long, user_id long, value double")
 
 
-@query("""with u as (select page_id % 3 as file, row_number() over (partition by page_id % 3 order by page_id) - 1 as line, regexp_replace(url, '[?#].*$', '') as url from pages), l as (select * from u where line < 40)
-  select cast(arg_min(file, (file, line)) as integer) as file, cast(arg_min(line, (file, line)) as integer) as line, url from l group by url""")
-def url_lists(spark, sf_dir):
-    """URL lists in three files, each URL once; the first 40 lines of each."""
-    return _listed(spark, sf_dir, 40)
-
-
 @query("""with u as (select page_id % 3 as file, row_number() over (partition by page_id % 3 order by page_id) - 1 as line, regexp_replace(url, '[?#].*$', '') as url from pages)
   select cast(arg_min(file, (file, line)) as integer) as file, cast(arg_min(line, (file, line)) as integer) as line, url from u group by url""")
-def url_lists_whole(spark, sf_dir):
-    """All lines of the URL lists, each URL once."""
-    return _listed(spark, sf_dir, None)
-
-
-def _listed(spark, sf_dir, per_file):
-    """Lists written a URL a line, in sorted files of ranges, and read back."""
-    path = files.folder(spark, "urls")
+def url_lists(spark, sf_dir):
+    """All lines of URL lists, written a URL a line in sorted files of ranges and read back; each URL once."""
+    path = shared_dir(spark)
     rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("url"), (F.col("page_id") % 3).alias("file"))
     rows.repartitionByRange("file", "page_id").sortWithinPartitions("file", "page_id").select("file", "url").write.partitionBy("file").text(path)
-    return files.read_url_lists(spark, f"{path}/file=*", per_file, list_of=r"file=(\d+)").select(F.col("file").cast("int").alias("file"), "line", "url")
+    return files.read_url_lists(spark, f"{path}/file=*", list_of=r"file=(\d+)").select(F.col("file").cast("int").alias("file"), "line", "url")
 
 
 _SITEMAP = "<urlset><url><loc>https://a.example/x-1.html</loc></url><url><loc> https://a.example/y?a=1&amp;b=2 </loc></url><url><loc>https://a.example/z-3.html</loc></url></urlset>"
@@ -100,7 +89,7 @@ def index_membership(spark, sf_dir):
 @query("select user_id as run_id, arg_max(event_type, (ts, event_id)) as status, min(ts) as started_at, max(ts) as finished_at, count(*) as entries from events group by 1")
 def run_log(spark, sf_dir):
     """The latest state of each run out of an append-only log."""
-    path = files.folder(spark, "log")
+    path = shared_dir(spark)
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("status"), "ts", "event_id")
     files.append_table(e.where("event_id % 2 = 0"), path)
     log = files.append_table(e.where("event_id % 2 = 1"), path)
@@ -110,7 +99,7 @@ def run_log(spark, sf_dir):
 @query("select r_regionkey, r_name, 'second' as run from region where r_regionkey > 1")
 def replaced_table(spark, sf_dir):
     """A table that is written twice, the second time in place of the first."""
-    path, rows = files.folder(spark, "replaced"), table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    path, rows = shared_dir(spark), table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     files.replace_table(rows.withColumn("run", F.lit("first")), path)
     return files.replace_table(rows.where("r_regionkey > 1").withColumn("run", F.lit("second")), path)
 
@@ -118,7 +107,7 @@ def replaced_table(spark, sf_dir):
 @query(f"with {BARS} select 'all' as scope, count(*) as n, round(avg(close), 4) as mean_close, round(stddev_samp(close), 4) as std_close from bars")
 def json_document(spark, sf_dir):
     """A nested result written as one JSON document and read back as a flat row."""
-    path = files.folder(spark, "json")
+    path = shared_dir(spark)
     b = bars(spark, sf_dir).agg(F.lit("all").alias("scope"), F.struct(F.count("*").alias("n"), F.struct(F.round(F.avg("close"), 4).alias("mean"), F.round(F.stddev_samp("close"), 4).alias("std")).alias("close")).alias("observed"))
     b.write.json(path)
     return spark.read.schema(b.schema).json(path).select("scope", "observed.n", F.col("observed.close.mean").alias("mean_close"), F.col("observed.close.std").alias("std_close"))
@@ -141,7 +130,7 @@ def saved_model(spark, sf_dir):
     from tidegauge.plans.models import HAR, _fit, _parts
 
     model, before = _fit(spark, sf_dir, HAR, LinearRegression(featuresCol="features", labelCol="rv5_fwd", solver="normal"))
-    path = files.folder(spark, "model")
+    path = shared_dir(spark)
     model.save(path)
     after = PipelineModel.load(path).transform(_parts(spark, sf_dir, HAR)[1]).select("symbol", "date", F.col("prediction").alias("again"))
     return before.join(after, ["symbol", "date"]).agg(F.max(F.abs(F.col("prediction") - F.col("again"))).alias("largest_difference"), F.count("*").alias("n"))

@@ -25,7 +25,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: str | int = "*", memory: str = "20g") -> SparkSession:
+def local_session(cores: str | int = "*", memory: str = "10g") -> SparkSession:
     """A session on this machine, for tests and benchmarks."""
     return prepare(
         SparkSession.builder.master(f"local[{cores}]")

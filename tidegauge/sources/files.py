@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share; a temporary one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tidegauge-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}/{uuid.uuid4().hex}"
+from tidegauge.shared import shared_dir, written
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None, where: Column | None = None) -> DataFrame:
@@ -46,9 +38,7 @@ def read_url_lists(spark: SparkSession, path: str, per_file: int | None = None,
     splits; blank lines don't count.
     """
     lines = spark.read.text(path).select(F.btrim("value", F.lit(" \t\r\x0b\x0c")).alias("url"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")).where("url <> ''")
-    at = folder(spark, "lines")
-    lines.withColumn("file", F.regexp_extract("path", list_of, 1)).withColumn("id", F.monotonically_increasing_id()).write.parquet(at)
-    lines = spark.read.parquet(at)
+    lines = written(lines.withColumn("file", F.regexp_extract("path", list_of, 1)).withColumn("id", F.monotonically_increasing_id()))
     splits = lines.groupBy("file", "path", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     before = Window.partitionBy("file").orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("file", "path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
@@ -62,7 +52,7 @@ def read_url_lists(spark: SparkSession, path: str, per_file: int | None = None,
 
 def _taken(spark: SparkSession, rows: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` URLs of each list that no earlier list gave: what a list gives depends on those before it."""
-    taken = folder(spark, "taken")
+    taken = shared_dir(spark)
     rows.select("file", "line", "url").limit(0).write.parquet(taken)
     for r in rows.select("file").distinct().orderBy("file").collect():
         one = rows.where(F.col("file") == r["file"]).groupBy("file", "url").agg(F.min("line").alias("line"))
@@ -90,7 +80,12 @@ def finite(column: Column) -> Column:
 
 
 def replace_table(rows: DataFrame, path: str) -> DataFrame:
-    """Write ``rows`` beside ``path`` and put them in its place by renaming: readers see the old rows or the new."""
+    """Write ``rows`` beside ``path`` and put them in its place by renaming.
+
+    The rows are complete before the old table goes, so that a failed write
+    changes nothing. Between the two renames ``path`` doesn't exist: readers of
+    that moment get an error, never a part of the rows.
+    """
     spark, fresh = rows.sparkSession, f"{path}.{uuid.uuid4().hex}"
     rows.write.parquet(fresh)
     path_class = spark._jvm.org.apache.hadoop.fs.Path

@@ -2,23 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-
+from tidegauge.shared import shared_dir
 
-def _shared(spark: SparkSession) -> str:
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tidegauge-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def source(spark: SparkSession, sf_dir: str, table: str = "events", schema: str = EVENTS) -> DataFrame:
@@ -31,7 +22,7 @@ def drained(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame,
 
     With a ``checkpoint`` folder of one's own a later run goes on where this one ended.
     """
-    spark, folder = stream.sparkSession, _shared(stream.sparkSession)
+    spark, folder = stream.sparkSession, shared_dir(stream.sparkSession)
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{folder}/checkpoint")
     if each:
         writer.outputMode(mode).foreachBatch(each).start().awaitTermination()
@@ -62,25 +53,34 @@ def first_seen(events: DataFrame) -> DataFrame:
     return timed.dropDuplicatesWithinWatermark(["event_id"]).drop("at")
 
 
-def refresh(spark: SparkSession, stored: str, batch: DataFrame) -> None:
-    """Merge a batch of events into stored daily figures: recompute the series it touches, write only its days.
+def refresh(spark: SparkSession, stored: str, events: DataFrame, batch: int) -> None:
+    """Take a micro-batch of events: recompute the series it touches, and write the days whose figures changed.
 
-    ``stored`` is a folder of daily rows (symbol, date, close, n, run); the newest
-    run of a day counts. Only the symbols of the batch are read again.
+    ``stored`` holds two tables by batch: ``parts``, what each batch adds to a day,
+    and ``days``, the figures of the days that it changed (of a day the newest
+    batch counts). A batch overwrites what itself wrote, and only looks at
+    batches up to itself, so that one that is delivered again changes nothing.
     """
-    day = batch.groupBy(F.col("event_type").alias("symbol"), F.to_date("ts").alias("date")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("close"), F.max(F.struct("ts", "event_id")).alias("last"), F.count("*").alias("n"))
-    day.withColumn("run", F.lit(uuid.uuid4().hex)).write.mode("append").parquet(stored)
+    order = F.struct("ts", "event_id")
+    part = events.groupBy(F.col("event_type").alias("symbol"), F.to_date("ts").alias("date")).agg(F.max_by("value", order).alias("close"), F.max(order).alias("last"), F.count("*").alias("n"))
+    part.write.mode("overwrite").parquet(f"{stored}/parts/batch={batch}")
+    parts = spark.read.parquet(f"{stored}/parts").where(F.col("batch") <= batch)
+    touched = parts.where(F.col("batch") == batch).groupBy("symbol").agg(F.min("date").alias("since"))
+    days = parts.join(touched, "symbol").groupBy("symbol", "date", "since").agg(F.max_by("close", "last").alias("close"), F.sum("n").alias("n"))
+    w = Window.partitionBy("symbol").orderBy("date").rowsBetween(-4, 0)
+    figures = days.withColumn("ma_5", F.when(F.count("close").over(w) == 5, F.round(F.avg("close").over(w), 6)))
+    # averages reach four days back: a day's figures change only from the first day of the batch on
+    figures.where("date >= since").drop("since").write.mode("overwrite").parquet(f"{stored}/days/batch={batch}")
 
 
 def daily_state(spark: SparkSession, stored: str) -> DataFrame:
-    """(symbol, date, close, n, ma_5) over all stored runs; a day's runs are added up."""
-    rows = spark.read.parquet(stored).groupBy("symbol", "date").agg(F.max_by("close", "last").alias("close"), F.sum("n").alias("n"))
-    w = Window.partitionBy("symbol").orderBy("date").rowsBetween(-4, 0)
-    return rows.select("symbol", "date", "close", "n", F.when(F.count("close").over(w) == 5, F.round(F.avg("close").over(w), 6)).alias("ma_5"))
+    """(symbol, date, close, n, ma_5): of each day the figures that the newest batch gave it."""
+    rows = spark.read.parquet(f"{stored}/days").groupBy("symbol", "date").agg(F.max_by(F.struct("close", "n", "ma_5"), "batch").alias("f"))
+    return rows.select("symbol", "date", "f.close", "f.n", "f.ma_5")
 
 
 def incremental_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily figures after the event stream has been taken in micro-batches."""
-    stored = f"{_shared(spark)}/daily"
-    drained(source(spark, sf_dir), each=lambda batch, _: refresh(spark, stored, batch))
+    stored = shared_dir(spark)
+    drained(source(spark, sf_dir), each=lambda events, batch: refresh(spark, stored, events, batch))
     return daily_state(spark, stored)
