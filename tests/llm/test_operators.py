@@ -234,17 +234,36 @@ def test_classifiers_on_odd_rows(spark, odd_docs, no_docs, label, module):
     assert module.predictions(odd_docs, known.select("doc_id", label).limit(0)).count() == odd_docs.count()
 
 
-def test_forward_backward_against_enumeration():
+@pytest.mark.parametrize("piece", [(64, 4096), (1, 1), (2, 2), (3, 3), (4, 4)])
+def test_forward_backward_against_enumeration(monkeypatch, piece):
+    """Whole texts of any length, alone and in pieces that the state is carried over."""
+    monkeypatch.setattr(toxicity, "PIECE", piece)
     rng = np.random.default_rng(2)
-    scores, trans = rng.normal(0, 1, (5, 1)), rng.normal(0, 1, (2, 2))
-    left, right, _ = toxicity.forward_backward(scores, np.ones((5, 1), bool), trans)
-    total, on = 0.0, np.zeros(5)
-    for mask in range(32):
-        y = [(mask >> k) & 1 for k in range(5)]
-        p = np.exp(sum(s for s, t in zip(scores[:, 0], y) if t) + sum(trans[a, b] for a, b in zip(y, y[1:])))
-        total, on = total + p, on + p * np.array(y)
-    odds = (left * right)[:, 0]
-    assert np.allclose(odds / (1 + odds), on / total)
+    sizes = [0, 5, 1, 0, 9, 4, 2, 12, 0]
+    rows_ = np.cumsum([0, *sizes])
+    scores, trans = rng.normal(0, 2, rows_[-1]), rng.normal(0, 1, (2, 2))
+    left, right, _ = toxicity.forward_backward(scores, rows_, trans)
+    odds = left * right
+    for a, n in zip(rows_[:-1], sizes):
+        total, on = 0.0, np.zeros(n)
+        for mask in range(2**n):
+            y = [(mask >> k) & 1 for k in range(n)]
+            p = np.exp(sum(s for s, t in zip(scores[a : a + n], y) if t) + sum(trans[i, j] for i, j in zip(y, y[1:])))
+            total, on = total + p, on + p * np.array(y)
+        assert np.allclose((odds / (1 + odds))[a : a + n], on / total)
+
+
+def test_long_chain_is_not_cut(spark):
+    """A text of many pieces is judged as a whole, and its spans are found where they are."""
+    rows_ = labelled_docs(spark, "toxic")
+    rng = random.Random(8)
+    words_ = prose(30_000, rng).split(" ")
+    for at in (0, 4096, 17_321, 29_999):
+        words_[at] = "vileworda"
+    text = " ".join(words_)
+    docs = rows_.select("doc_id", "text").unionByName(prepare(spark).createDataFrame([(9999, text)], "doc_id long, text string"))
+    got = toxicity.predictions(docs, rows_.select("doc_id", "toxic")).where("doc_id = 9999").first()
+    assert [text[s.start : s.stop].count("vileworda") for s in got.spans] == [1] * 4
 
 
 def test_toxic_spans_are_offsets_of_the_text(spark):

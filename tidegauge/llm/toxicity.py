@@ -1,10 +1,12 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
-Tokens are runs of letters of whole texts; chains are runs of up to 64 tokens of
-a text. The labels O (clean) and T (toxic) have emission weights on hashed
-features of the token (its word and its beginnings of 3 to 8 bytes) and a
-transition matrix. Forward-backward runs over all chains of a slice at once, on
-the odds of T against O.
+Tokens are runs of letters; the chain of a text is all its tokens, however many.
+The labels O (clean) and T (toxic) have emission weights on hashed features of
+the token (its word and its beginnings of 3 to 8 bytes) and a transition matrix.
+Forward-backward runs over all texts of a slice at once, on the odds of T against
+O: chains are laid out in pieces side by side, the product of a piece's 2 x 2
+matrices carries the state over it, and the pieces then start from the state that
+the ones before (or behind) them left.
 
 Labels are per document, so tokens get theirs first: in a toxic document a token
 is T if one of its features is seen in toxic documents far more often than in
@@ -27,14 +29,16 @@ from tidegauge.llm import labelled
 from tidegauge.llm.common import crc_mod
 from tidegauge.llm.shingles import U64, _power_tables, mix, slices
 
-CHAIN = 64
+#: Tokens of a piece at least and at most; in between it has the root of the longest chain's tokens.
+PIECE = (64, 4096)
 #: About so many labelled rows of each class are used to fit.
 PER_CLASS = {0: 4000, 1: 4000}
 BITS = 18
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: A feature marks tokens of toxic documents if so many toxic documents have it, at such a precision.
 MARK_DOCS, MARK_PRECISION = 5, 0.9
-STEPS, RATE, RIDGE = 40, 0.5, 1e-6
+#: Passes over the training texts, and steps (a slice each) at least.
+PASSES, STEPS, RATE, RIDGE = 4, 40, 0.5, 1e-6
 
 _rng = np.random.default_rng(77)
 _VALUE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -78,33 +82,71 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, offsets), found
 
 
-def _layout(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Chain and place of each token; number of chains."""
-    counts = np.diff(rows)
-    place = np.arange(rows[-1]) - np.repeat(rows[:-1], counts)
-    chains = -(-counts // CHAIN)
-    first = np.cumsum(chains) - chains
-    return np.repeat(first, counts) + place // CHAIN, place % CHAIN, int(chains.sum())
+def _step(x: np.ndarray, to: tuple[float, float], other: tuple[float, float]) -> np.ndarray:
+    """Odds behind a 2 x 2 matrix with the rows ``other`` (for O) and ``to`` (for T)."""
+    return np.clip((to[0] + to[1] * x) / (other[0] + other[1] * x), 1e-12, 1e12)
 
 
-def _grid(values: np.ndarray, chain: np.ndarray, place: np.ndarray, count: int, fill) -> np.ndarray:
-    out = np.full((CHAIN, count), fill, values.dtype)
-    out[place, chain] = values
-    return out
+def _products(e: np.ndarray, a: np.ndarray) -> list[np.ndarray]:
+    """Entries 00, 01, 10, 11 of each piece's product of (transposed transitions x emissions), up to a factor."""
+    m00, m01, m10, m11 = np.ones(e.shape[1]), np.zeros(e.shape[1]), np.zeros(e.shape[1]), np.ones(e.shape[1])
+    for t in range(len(e)):
+        x, y = e[t] * m10, e[t] * m11
+        m00, m01, m10, m11 = a[0, 0] * m00 + a[1, 0] * x, a[0, 0] * m01 + a[1, 0] * y, a[0, 1] * m00 + a[1, 1] * x, a[0, 1] * m01 + a[1, 1] * y
+        if t % 8 == 7:
+            whole = m00 + m01 + m10 + m11
+            m00, m01, m10, m11 = m00 / whole, m01 / whole, m10 / whole, m11 / whole
+    return [m00, m01, m10, m11]
 
 
-def forward_backward(scores: np.ndarray, valid: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Odds of T from the left (own emission included), from the right, and exp(scores), all [place, chain]."""
-    e = np.exp(np.clip(scores, -25, 25))
-    (oo, ot), (to, tt) = np.exp(transitions)
-    left, right = np.empty_like(e), np.ones_like(e)
-    left[0] = e[0]
-    for t in range(1, len(e)):
-        left[t] = np.clip(e[t] * (tt * left[t - 1] + ot) / (to * left[t - 1] + oo), 1e-12, 1e12)
+def _backward(e: np.ndarray, sizes: np.ndarray, end: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Odds from the right at all places of pieces, given those at the last one of each."""
+    right = np.tile(end, (len(e), 1))
     for t in range(len(e) - 2, -1, -1):
-        x = e[t + 1] * right[t + 1]
-        right[t] = np.where(valid[t + 1], np.clip((tt * x + to) / (ot * x + oo), 1e-12, 1e12), 1.0)
-    return left, right, e
+        right[t] = np.where(t + 1 < sizes, _step(e[t + 1] * right[t + 1], a[1], a[0]), right[t])
+    return right
+
+
+def forward_backward(scores: np.ndarray, rows: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Odds of T from the left (own emission included), from the right, and exp(scores), for each token.
+
+    ``rows``: the first token of each text, and one more at the end.
+    """
+    counts = np.diff(rows)
+    if not len(scores):
+        return np.zeros(0), np.zeros(0), np.zeros(0)
+    size = int(np.clip(int(counts.max()) ** 0.5, *PIECE))
+    pieces = -(-counts // size)
+    head = np.cumsum(pieces) - pieces  # first piece of each text
+    at = np.arange(rows[-1]) - np.repeat(rows[:-1], counts)
+    piece, place = np.repeat(head, counts) + at // size, at % size
+    emit, a = np.exp(np.clip(scores, -25, 25)), np.exp(transitions)
+    e = np.ones((size, int(pieces.sum())))
+    e[place, piece] = emit
+    sizes = np.bincount(piece)
+    some = pieces > 0
+    last = (head + pieces - 1)[some]
+    inner = np.setdiff1d(np.arange(len(sizes)), last)
+    m = np.ones((4, len(sizes)))
+    m[:, inner] = _products(e[:, inner], a)
+
+    start = np.ones(len(sizes))  # odds that the piece before predicts
+    for k in range(1, int(pieces.max())):
+        i = head[pieces > k] + k
+        start[i] = _step(start[i - 1], (m[2, i - 1], m[3, i - 1]), (m[0, i - 1], m[1, i - 1]))
+    left = np.empty_like(e)
+    left[0] = e[0] * start
+    for t in range(1, size):
+        left[t] = np.clip(e[t] * _step(left[t - 1], a[:, 1], a[:, 0]), 1e-12, 1e12)
+
+    end, own = np.ones(len(sizes)), np.ones(len(sizes))  # own: what a piece hands to the one before it
+    own[last] = (e[:, last] * _backward(e[:, last], sizes[last], end[last], a))[0]
+    for k in range(2, int(pieces.max()) + 1):
+        i = (head + pieces)[pieces >= k] - k
+        end[i] = _step(own[i + 1], a[1], a[0])
+        own[i] = _step(own[i + 1], (m[1, i], m[3, i]), (m[0, i], m[2, i]))
+    right = _backward(e, sizes, end, a)
+    return left[place, piece], right[place, piece], emit
 
 
 def _scores(weights: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -119,11 +161,8 @@ def marginals(found: np.ndarray, rows: np.ndarray, model: Model) -> np.ndarray:
     """Probability of T for each token."""
     if not len(found):
         return np.zeros(0)
-    chain, place, count = _layout(rows)
-    scores = _scores(model.weights, found)
-    valid = _grid(np.ones(len(found), bool), chain, place, count, False)
-    left, right, _ = forward_backward(_grid(scores, chain, place, count, -25.0), valid, model.transitions)
-    odds = (left * right)[place, chain]
+    left, right, _ = forward_backward(_scores(model.weights, found), rows, model.transitions)
+    odds = left * right
     return odds / (1 + odds)
 
 
@@ -155,31 +194,8 @@ def _marks(texts: pa.Array, toxic: np.ndarray) -> np.ndarray:
     return (seen[1] >= MARK_DOCS) & (rate[1] >= MARK_PRECISION * (rate[1] + rate[0] + 1e-12)) & (rate[1] > 0)
 
 
-def _training_chains(texts: pa.Array, toxic: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """Features, labels, chains and places of the tokens of chains with a toxic token and of every eighth other, and the chains' number."""
-    parts: list[tuple] = []
-    count = 0
-    for first, rows, found in _pieces(texts):
-        if not len(found):
-            continue
-        hit = np.zeros(len(found), bool)
-        for k in range(found.shape[1]):
-            hit |= marked.take(found[:, k])
-        y = hit & (np.repeat(toxic[first : first + len(rows) - 1], np.diff(rows)) == 1)
-        chain, place, chains = _layout(rows)
-        used = np.zeros(chains, bool)
-        used[::8] = True
-        used[chain[y]] = True
-        keep = used[chain]
-        parts.append((found[keep], y[keep], (np.cumsum(used) - 1)[chain[keep]] + count, place[keep]))
-        count += int(used.sum())
-    if not parts:
-        return np.zeros((0, len(PREFIXES) + 1), np.int32), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-    return *(np.concatenate([p[k] for p in parts]) for k in range(4)), count
-
-
 def fit(table: pa.Table, weight: dict[int, float]) -> Model:
-    """The field's weights by AdaGrad on the exact likelihood gradient, then the document regression."""
+    """The field's weights by AdaGrad on the exact likelihood gradient of all chains of a slice at a time, then the document regression."""
     model = Model.neutral()
     if table.num_rows == 0:
         return model
@@ -188,41 +204,46 @@ def fit(table: pa.Table, weight: dict[int, float]) -> Model:
         model.document = np.array([0.0, 0.0, 0.0, 3.0 if toxic.min() == 1 else -3.0])
         return model
     with np.errstate(over="ignore"):
-        f, y, chain, place, count = _training_chains(texts, toxic, _marks(texts, toxic))
-        if count:
-            model.weights, model.transitions = _ascend(f, y, chain, place, count)
+        model.weights, model.transitions = _ascend(texts, toxic, _marks(texts, toxic))
         features = np.concatenate([document_features(marginals(found, rows, model), rows) for _, rows, found in _pieces(texts)])
     w = np.array([weight.get(0, 1.0), weight.get(1, 1.0)])[toxic]
     model.document = labelled.logistic(features, toxic.astype(float), w)
     return model
 
 
-def _ascend(f: np.ndarray, y: np.ndarray, chain: np.ndarray, place: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Emission and transition weights that the likelihood's gradient leads to."""
-    valid = _grid(np.ones(len(f), bool), chain, place, count, False)
-    truth = _grid(y, chain, place, count, False)
-    pair = valid[1:] & valid[:-1]
-    seen = np.array([[(pair & (truth[:-1] == i) & (truth[1:] == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
+def _ascend(texts: pa.Array, toxic: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Emission and transition weights that the likelihood's gradient leads to; a step sees all chains of a slice."""
     weights, trans = np.zeros(1 << BITS), np.zeros((2, 2))
     mass_w, mass_t = np.full(1 << BITS, 1e-6), np.full((2, 2), 1e-6)
-    for _ in range(STEPS):
-        scores = _scores(weights, f) - 2.0  # a prior against T
-        left, right, e = forward_backward(_grid(scores, chain, place, count, -25.0), valid, trans)
-        odds = (left * right)[place, chain]
-        gap = y - odds / (1 + odds)
-        slope = sum(np.bincount(f[:, k], gap, 1 << BITS) for k in range(f.shape[1])) / count - RIDGE * weights
-        a = (1 / (1 + left[:-1]), left[:-1] / (1 + left[:-1]))
-        b = (1.0, e[1:] * right[1:])
-        cells = [[a[i] * np.exp(trans[i, j]) * b[j] for j in (0, 1)] for i in (0, 1)]
-        whole = cells[0][0] + cells[0][1] + cells[1][0] + cells[1][1]
-        expected = np.array([[(cells[i][j] / whole)[pair].sum() for j in (0, 1)] for i in (0, 1)])
-        slope_t = (seen - expected) / count - RIDGE * trans
-        mass_w += slope**2
-        mass_t += slope_t**2
-        weights += RATE * slope / np.sqrt(mass_w)
-        trans += 0.2 * RATE * slope_t / np.sqrt(mass_t)
+    count = sum(1 for _ in slices(texts))
+    for _ in range(max(PASSES, -(-STEPS // max(1, count)))):
+        for first, rows, f in _pieces(texts):
+            if not len(f):
+                continue
+            y = np.zeros(len(f), bool)
+            for k in range(f.shape[1]):
+                y |= marked.take(f[:, k])
+            y &= np.repeat(toxic[first : first + len(rows) - 1], np.diff(rows)) == 1
+            left, right, e = forward_backward(_scores(weights, f) - 2.0, rows, trans)  # a prior against T
+            odds = left * right
+            gap, chains = y - odds / (1 + odds), np.count_nonzero(np.diff(rows))
+            slope = sum(np.bincount(f[:, k], gap, 1 << BITS) for k in range(f.shape[1])) / chains - RIDGE * weights
+            pair = np.ones(len(f), bool)  # a token and the next one of its text
+            pair[rows[1:][rows[1:] > 0] - 1] = False
+            pair = np.flatnonzero(pair)
+            a = (1 / (1 + left[pair]), left[pair] / (1 + left[pair]))
+            b = (1.0, e[pair + 1] * right[pair + 1])
+            cells = [[a[i] * np.exp(trans[i, j]) * b[j] for j in (0, 1)] for i in (0, 1)]
+            whole = cells[0][0] + cells[0][1] + cells[1][0] + cells[1][1]
+            seen = np.bincount(2 * y[pair] + y[pair + 1], minlength=4).reshape(2, 2)
+            expected = np.array([[(cells[i][j] / whole).sum() for j in (0, 1)] for i in (0, 1)])
+            slope_t = (seen - expected) / chains - RIDGE * trans
+            mass_w += slope**2
+            mass_t += slope_t**2
+            weights += RATE * slope / np.sqrt(mass_w)
+            trans += 0.2 * RATE * slope_t / np.sqrt(mass_t)
     # the prior against T is spread over the features, so that scoring needs the weights only
-    return (weights - 2.0 / f.shape[1]).astype(np.float32), trans
+    return (weights - 2.0 / (len(PREFIXES) + 1)).astype(np.float32), trans
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None = None) -> Model:
