@@ -509,11 +509,37 @@ def test_topk_against_brute_force(spark):
     assert topk.nearest(frame.limit(0)).count() == 0
 
 
-def test_tree_boxes_hold_their_vectors():
-    v = np.random.default_rng(1).integers(-5, 5, (700, 4)).astype(float)
-    leaves, low, high = topk.tree(v, 32)
-    assert sorted(np.concatenate(leaves).tolist()) == list(range(700))
-    assert all((v[r] >= a).all() and (v[r] <= b).all() and (len(r) <= 32 or (a == b).all()) for r, a, b in zip(leaves, low, high))
+def test_topk_over_many_shards(spark, monkeypatch):
+    """Small shards, blocks and boxes, a third of all vectors equal, and components beyond 2**26."""
+    for name, value in (("SHARD", 20), ("CELLS", (4, 8)), ("BLOCK", 2), ("TOGETHER", 2), ("BOXES", 3), ("ROUTED", 4), ("LEAF", 3)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(6)
+    for factor in (1.0, 3e6):
+        data = [(i, (rng.normal(0, 1, 4) * factor if i % 3 else np.ones(4) * factor).tolist()) for i in range(-60, 400)]
+        ok = {i: [int(np.floor(256 * x)) for x in v] for i, v in data}
+        want = set()
+        for q in ok:
+            if q % 50 == 0:
+                best = sorted((-sum(a * b for a, b in zip(ok[q], ok[c])), c) for c in ok if c != q)[:5]
+                want |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(best)}
+        frame = prepare(spark).createDataFrame(data, "vec_id long, embedding array<double>")
+        assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.nearest(frame).collect()} == want
+
+
+def test_tree_is_searched_best_first():
+    rng = np.random.default_rng(1)
+    v = rng.integers(-500, 500, (3000, 3))
+    tree = topk.Tree(v, 32)
+    leaves = np.flatnonzero(tree.child == 0)
+    assert sorted(np.concatenate([tree.order[slice(*tree.spans[i])] for i in leaves]).tolist()) == list(range(3000))
+    for i, (a, b) in enumerate(tree.spans):
+        mine = v[tree.order[a:b]]
+        assert (tree.low[i] == mine.min(0)).all() and (tree.high[i] == mine.max(0)).all() and (tree.child[i] or b - a <= 32)
+    tree.low, tree.high, q = tree.low.astype(float), tree.high.astype(float), rng.integers(-500, 500, (40, 3)).astype(float)
+    ids, scores, opened = topk.search(tree, v.astype(float), np.arange(3000), q, np.full(40, -1), np.full(40, float(topk._NONE)), 5)
+    exact = q @ v.T
+    assert (scores == -np.sort(-exact, 1)[:, :5]).all() and (np.take_along_axis(exact, ids, 1) == scores).all()
+    assert opened < 40 * len(leaves) / 4  # most leaves are never opened
 
 
 # the pipeline
