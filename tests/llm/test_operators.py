@@ -397,6 +397,26 @@ def test_loser_tree():
         assert [x for _, x in archives.LoserTree(runs)] == sorted(x for r in runs for x in r)
 
 
+def test_runs_are_merged_externally(spark):
+    """Sorted runs of several tasks, with ties, null and negative ids, come out in one global order; very long html too."""
+    rng = random.Random(6)
+    data = [(None if rng.random() < 0.1 else rng.randrange(-50, 50), rng.choice(["http://b.org/x", "http://a.org/é", None, "http://a.org/a"]), "x" * rng.choice([0, 10, 2000])) for _ in range(500)]
+    data.append((7777, "http://z.org/", "long é " * 800_000))
+    pages = prepare(spark).createDataFrame(data, "page_id long, url string, html string").repartition(7)
+    folder = archives.shared_dir(spark)
+    archives.write_archives(pages, folder)
+    captures = archives.read_archives(spark, folder).drop("payload")
+    runs = archives.sorted_runs(captures).collect()
+    key = lambda r: (r.url_key.encode(), r.captured, r.page_id is not None, r.page_id or 0)
+    by_run = {}
+    for r in sorted(runs, key=lambda r: r["_seq"]):
+        by_run.setdefault(r["_seq"] >> 33, []).append(key(r))
+    assert len(by_run) > 1 and all(v == sorted(v) for v in by_run.values())
+    got = archives.capture_index(captures).collect()
+    assert len(got) == len(data) and [key(r) for r in got] == sorted(map(key, got)) and all(r.intact for r in got)
+    assert max(r.payload_bytes for r in got) == len(data[-1][2].encode())
+
+
 # tokens
 
 

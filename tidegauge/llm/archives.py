@@ -9,9 +9,10 @@ the start line of a record is stored in base64 under an HTTP header that says so
 archives can therefore be read in splits, by the separator ``\r\n\r\nWARC/1.1\r\n``.
 
 The index has a row per record: URL key (host labels reversed, then path and
-query), timestamp, archive, offset. Each archive's captures are a run, sorted on
-its own; range partitions of (URL key, timestamp, page_id) get their slice of
-every run and merge the slices by a loser tree. The rows of all partitions in
+query), timestamp, archive, offset. It is made by an external merge: each task
+that reads captures sorts them by (URL key, timestamp) and writes them as a run.
+Range partitions of bounded size then get their slice of every run, in the runs'
+own order, and a loser tree merges the slices. The rows of all partitions in
 order are the capture histories of all URLs, and a URL with very many captures
 spreads over partitions.
 """
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,30 +162,50 @@ class LoserTree:
             self._replay(winner)
 
 
+#: Rows that a range partition of the merge holds, about.
+MERGE_ROWS = 200_000
+_ORDER = ["url_key", "captured", "page_id", "archive", "offset"]
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The partition's runs, which come one after another, each sorted, as one sorted sequence."""
+    """The slices of runs of a range, which come one after another, each sorted, as one sorted sequence."""
     table = [b for b in batches if b.num_rows]
     if not table:
         return
     rows = pa.Table.from_batches(table).combine_chunks()
-    runs, keys, stamps, pages = (rows[c].to_pylist() for c in ("archive", "url_key", "captured", "page_id"))
-    found: list[list[tuple]] = []
-    for i, run in enumerate(runs):
-        if not i or run != runs[i - 1]:
-            found.append([])
-        found[-1].append((keys[i].encode(), stamps[i], -1 if pages[i] is None else pages[i], i))
-    order = [entry[3] for _, entry in LoserTree(found)]
-    for at in range(0, len(order), 10_000):
-        for batch in rows.take(pa.array(order[at : at + 10_000])).combine_chunks().to_batches():
-            yield batch
+    seq = rows["_seq"].to_numpy() >> 33  # the run's number stands above its rows'
+    cuts = [0, *(np.flatnonzero(np.diff(seq)) + 1).tolist(), len(seq)]
+
+    def slice_(start: int, stop: int) -> Iterator[tuple]:
+        for at in range(start, stop, 1024):
+            part = rows.slice(at, min(1024, stop - at))
+            for i, (key, stamp, page, archive, offset) in enumerate(zip(*(part[c].to_pylist() for c in _ORDER)), at):
+                yield key.encode(), stamp or "", page is not None, page or 0, archive or "", offset or 0, i
+
+    rows_out = rows.drop_columns(["_seq"])
+    place: list[int] = []
+    for _, entry in LoserTree([slice_(a, b) for a, b in zip(cuts, cuts[1:])]):
+        place.append(entry[-1])
+        if len(place) == 10_000:
+            yield from rows_out.take(pa.array(place)).combine_chunks().to_batches()
+            place = []
+    if place:
+        yield from rows_out.take(pa.array(place)).combine_chunks().to_batches()
+
+
+def sorted_runs(captures: DataFrame) -> DataFrame:
+    """``captures`` with url_key, written as sorted runs, one by each task that reads captures; ``_seq`` is a row's run and place."""
+    keyed = captures.withColumn("url_key", url_key(F.col("url")))
+    return written(keyed.sortWithinPartitions(*_ORDER).withColumn("_seq", F.monotonically_increasing_id()))
 
 
 def capture_index(captures: DataFrame) -> DataFrame:
     """``captures`` with url_key, in global order of (url_key, captured, page_id) by partition and row."""
-    keyed = captures.withColumn("url_key", url_key(F.col("url")))
-    key = ["url_key", "captured", "page_id"]
-    slices = keyed.repartitionByRange(*key).sortWithinPartitions("archive", *key)
-    return slices.mapInArrow(_merged, slices.schema)
+    runs = sorted_runs(captures)
+    ranges = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // MERGE_ROWS))
+    # keys are compared by the merge alone: the sort by a number only puts each run's slice back together
+    slices = runs.repartitionByRange(ranges, *_ORDER).sortWithinPartitions("_seq")
+    return slices.mapInArrow(_merged, slices.drop("_seq").schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -197,8 +219,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """
     spark, folder = pages.sparkSession, shared_dir(pages.sparkSession)
     write_archives(pages, folder)
-    captures = written(read_archives(spark, folder).drop("payload"))
-    index = capture_index(captures)
+    index = capture_index(read_archives(spark, folder).drop("payload"))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "archive", "offset", "intact")
 
 
