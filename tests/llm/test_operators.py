@@ -144,6 +144,51 @@ def test_large_group_spans_blocks(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
+def test_groups_that_meet_late(spark, monkeypatch):
+    """Links that no representative shows, between large groups, over small blocks: chains, and half-similar texts that aren't linked."""
+    monkeypatch.setattr(dedup, "BLOCK_NODES", 4)
+    monkeypatch.setattr(dedup, "BLOCK_SHINGLES", 600)
+    rng = random.Random(21)
+    table, i = {}, 0
+    for _ in range(3):
+        common = prose(60, rng)
+        for _ in range(25):  # 50 to 75 % alike: candidates that are no links
+            table[i] = common + " " + prose(rng.randint(20, 40), rng)
+            i += 1
+        base = prose(90, rng).split(" ")
+        for k in range(40):
+            copy = list(base)
+            copy[k] = copy[(k + 45) % 90] = f"n{k}"
+            if k % 3 == 0:
+                copy[(k + 20) % 90] = f"m{k}"
+            table[i] = " ".join(copy)
+            i += 1
+        for copy in range(20):
+            table[i] = " ".join(f"w{k}" for k in range(copy * 5, copy * 5 + 50))
+            i += 1
+    order = list(table)
+    rng.shuffle(order)
+    table = {new: table[old] for new, old in enumerate(order)}
+    got = dedup.near_duplicates(prepare(spark).createDataFrame(list(table.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(table)
+
+
+def test_recall_of_near_duplicates(spark):
+    """Planted pairs at 0.75 to 0.8, the hardest ones, among unrelated texts."""
+    rng = random.Random(22)
+    data, want = [], set()
+    for i in range(0, 4000, 2):
+        words_ = [f"{rng.randrange(10**6)}" for _ in range(105)]  # 101 shingles; m changed far apart lose 5 m
+        copy = list(words_)
+        for k in range(2):
+            copy[10 + 30 * k] = "changed"
+        data += [(i, " ".join(words_)), (i + 1, " ".join(copy[: 105 - rng.randrange(6)]))]
+        if 100 * len(shingles(data[-1][1]) & shingles(data[-2][1])) >= 75 * len(shingles(data[-1][1]) | shingles(data[-2][1])):
+            want.add((i, i + 1))
+    got = {(r.component_id, r.doc_id) for r in dedup.near_duplicates(prepare(spark).createDataFrame(data, "doc_id long, text string")).where("not kept").collect()}
+    assert len(want) > 1000 and got <= want and len(got) >= 0.999 * len(want)
+
+
 def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     got = dedup.near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()
@@ -151,9 +196,19 @@ def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     assert (by[3].component_id, by[4].component_id, by[1].component_id, by[2].n_shingles) == (3, 3, 1, 0)
     assert {by[k].component_id for k in (6, 7, 8, 14)} == {6} and by[5].n_shingles == 1
     assert all(r.component_id is None and r.kept for r in got if r.doc_id is None)
-    assert dedup.near_duplicates(no_docs).count() == 0
+    assert dedup.near_duplicates(no_docs).count() == 0 and dedup.without_duplicates(no_docs).count() == 0
     kept = dedup.without_duplicates(odd_docs)
     assert kept.columns == odd_docs.columns and kept.where("doc_id in (7, 8, 14)").count() == 0 and kept.where("doc_id is null").count() == 2
+    assert kept.where("doc_id = 9").count() == 1  # of rows that repeat, one stays
+
+
+def test_repeated_ids_are_one_document(spark):
+    a, b, c = (prose(30) for _ in range(3))
+    data = [(3, a), (5, a), (5, b), (5, ""), (7, b), (8, c), (8, c), (9, None), (9, None)]
+    docs = prepare(spark).createDataFrame(data, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in dedup.near_duplicates(docs).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 3, False), (5, 5, True), (7, 3, False), (8, 8, True), (8, 8, True), (9, 9, True), (9, 9, True)]
+    assert sorted((r.doc_id, r.text or "") for r in dedup.without_duplicates(docs).collect()) == [(3, a), (5, ""), (8, c), (9, "")]
 
 
 def test_sketches_fill_and_estimate():

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.common import written
 
-#: Rounds after which something must be wrong: the method ends after O(log^2 n) of them.
-MAX_ROUNDS = 60
-
 
 def _canonical(edges: DataFrame) -> DataFrame:
     """Edges as (larger, smaller) without loops or repeats."""
@@ -46,14 +43,10 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = written(_canonical(edges.where("a is not null and b is not null")))
     state = _state(edges)
-    for _ in range(MAX_ROUNDS):
-        if not state[0]:
-            break
+    while state[0]:  # O(log^2 n) rounds
         edges = written(_canonical(_small_star(_canonical(_large_star(edges)))))
         before, state = state, _state(edges)
         if state == before:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -3,16 +3,20 @@
 1. Every whole text becomes its shingle set, the set a fingerprint of 128 bits,
    a sketch and band hashes. Equal sets are one node from then on (a combined
    aggregation), so large groups of copies cost one row each.
-2. Nodes that share a band are compared by sketch in blocks of a bucket; a block
-   returns only a spanning forest of the pairs that may reach the threshold.
-3. The forests' components are candidate clusters. Nodes of a cluster meet again
-   in blocks, now with their full sets: intersections are counted exactly for
-   all pairs of a block and a spanning forest of the true links is returned.
+2. In every band bucket the least node is the representative. The other members
+   are held against it, by sketch and then exactly: a large group of near copies
+   is linked in as many comparisons as it has members.
+3. Only buckets that still hold several groups go on. Their members of different
+   groups are compared by sketch, in blocks; members of a bucket's largest group
+   meet those of the others only. Nodes with a candidate in another group meet it
+   again in the same way, now with their full sets.
 4. Components of the links give every row its component.
 
 A pair at the threshold shares no band with probability 5e-6 and fails the
 sketch comparison with less than 1e-6; everything else is exact. No task gets
-more than two blocks, whatever the group's size.
+more than two blocks, whatever the group's size. What is not linear is the number
+of nodes that have candidates in many other groups: texts that share between
+a half and three quarters of their shingles with very many others.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import grouped, written
+from tidegauge.llm.common import WORD, grouped, written
 from tidegauge.llm.components import components
 from tidegauge.llm.shingles import U64, list_array, mix, shingle_sets
 from tidegauge.llm.sketches import BINS, bands, sketches
@@ -62,15 +66,26 @@ def sketch_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sketched, _SETS)
 
 
-def _blocked(members: DataFrame, key: str, blocks: F.Column) -> DataFrame:
-    """Rows for each pair of blocks of their group: (key, p, q, side) besides the members' columns."""
-    dealt = members.withColumn("_n", blocks.cast("int")).withColumn("_b", F.pmod(F.xxhash64("node", F.lit(7)), F.col("_n")).cast("int"))
-    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return dealt.withColumn("p", F.least("_b", "_o").cast("long")).withColumn("q", F.greatest("_b", "_o").cast("long")).drop("_n", "_o").withColumnRenamed("_b", "side")
+def _blocked(members: DataFrame, key: str, mass: F.Column) -> DataFrame:
+    """Rows (key, p, q) for each pair of blocks in which members of different groups of a key can meet.
 
-
-def _forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of a graph on 0..n-1."""
+    ``members`` has ``key``, node and head, the node's group. Blocks have about
+    BLOCK_NODES members and BLOCK_SHINGLES of ``mass``. The key's largest group
+    (the core) has blocks of its own, which don't meet one another.
+    """
+    groups = members.groupBy(key, "head").agg(F.count("*").alias("n"), F.sum(mass).alias("m"))
+    sizes = groups.groupBy(key).agg(F.max(F.struct("n", "m", "head")).alias("core"), F.sum("n").alias("n"), F.sum("m").alias("m"))
+    blocks = lambda n, m: F.greatest(F.ceil(n / BLOCK_NODES), F.ceil(m / BLOCK_SHINGLES), F.lit(1)).cast("long")
+    sizes = sizes.select(key, F.col("core.head").alias("_core"), blocks(F.col("core.n"), F.col("core.m")).alias("_cores"), blocks(F.col("n") - F.col("core.n"), F.col("m") - F.col("core.m")).alias("_others"))
+    dealt = members.join(sizes, key).withColumn("_in", F.col("head") == F.col("_core"))
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("_in"), F.col("_cores")).otherwise(F.col("_others"))) + F.when(F.col("_in"), F.col("_others")).otherwise(0)
+    last = F.when(F.col("_in"), F.col("_others")).otherwise(F.col("_others") + F.col("_cores")) - 1
+    dealt = dealt.withColumn("_b", own).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return dealt.withColumn("p", F.least("_b", "_o")).withColumn("q", F.greatest("_b", "_o")).drop("_core", "_cores", "_others", "_in", "_b", "_o")
+
+
+def _forest(n: int, left: np.ndarray, right: np.ndarray) -> list[int]:
+    """Places of the edges of a spanning forest of a graph on 0..n-1."""
     parent = list(range(n))
 
     def root(x: int) -> int:
@@ -80,30 +95,24 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]
         return x
 
     out = []
-    for a, b in zip(left.tolist(), right.tolist()):
+    for k, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
         x, y = root(a), root(b)
         if x != y:
             parent[x] = y
-            out.append((a, b))
+            out.append(k)
     return out
 
 
-def _spanned(adjacent: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of a boolean adjacency matrix."""
-    n = len(adjacent)
-    new, out = np.ones(n, bool), []
-    for first in range(n):
-        if not new[first]:
-            continue
-        new[first] = False
-        queue = [first]
-        while queue:
-            x = queue.pop()
-            found = np.flatnonzero(adjacent[x] & new)
-            new[found] = False
-            out += [(x, int(y)) for y in found]
-            queue += found.tolist()
-    return out
+def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The least number that each of 0..n-1 is connected with."""
+    found = np.arange(n)
+    while True:
+        before = found.copy()
+        np.minimum.at(found, left, found[right])
+        np.minimum.at(found, right, found[left])
+        found = found[found]
+        if (found == before).all():
+            return found
 
 
 def _edges(nodes: np.ndarray, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -111,49 +120,62 @@ def _edges(nodes: np.ndarray, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
 
 
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, left, right) whose sketches agree enough."""
+    for batch in batches:
+        if batch.num_rows:
+            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (2, 3))
+            yield batch.filter(pa.array((left == right).sum(1) >= AGREE)).select([0, 1])
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forests of the pairs of each group whose sketches agree enough."""
+    """(node, head, root) of the nodes with a candidate in another group; root: the least head that candidates reach in the block."""
     for table, cuts in grouped(batches, ["bh", "p", "q"]):
-        nodes, size = table["node"].to_numpy(), table["n_shingles"].to_numpy()
-        flat = np.frombuffer(table["sketch"].combine_chunks().cast(pa.binary(BINS)).buffers()[1], np.uint8)[: len(nodes) * BINS].reshape(-1, BINS) if len(nodes) else None
-        counts, pairs = np.diff(cuts), []
-        two = cuts[:-1][counts == 2]  # most groups
-        for at in range(0, len(two), 65536):
-            a = two[at : at + 65536]
-            ok = (flat[a] == flat[a + 1]).sum(1) >= AGREE
-            pairs += zip(a[ok].tolist(), (a[ok] + 1).tolist())
-        for g in np.flatnonzero(counts > 2):
-            s, e = cuts[g], cuts[g + 1]
-            x, n = flat[s:e], size[s:e]
-            agree = np.empty((e - s, e - s), bool)
-            for r in range(0, e - s, 64):
-                agree[r : r + 64] = (x[r : r + 64, None, :] == x[None, :, :]).sum(2) >= AGREE
+        nodes, size, heads = (table[c].to_numpy() for c in ("node", "n_shingles", "head"))
+        flat = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            x, n, h = flat[s:e], size[s:e], heads[s:e]
+            if e - s < 2 or (h == h[0]).all():
+                continue
+            agree = h[:, None] != h
             agree &= 100 * np.minimum(n[:, None], n) >= PERCENT * np.maximum(n[:, None], n)
-            pairs += [(s + a, s + b) for a, b in _spanned(agree)]
-        yield _edges(nodes, pairs)
+            for r in range(0, e - s, 64):
+                agree[r : r + 64] &= (x[r : r + 64, None, :] == x[None, :, :]).sum(2) >= AGREE
+            left, right = np.nonzero(agree)
+            if not len(left):
+                continue
+            names, group = np.unique(h, return_inverse=True)  # in ascending order: a root's least group is its least head
+            root = _roots(len(names), group[left], group[right])
+            hit = np.unique(left)
+            out.append((s + hit, names[root[group[hit]]]))
+        at = np.concatenate([a for a, _ in out]) if out else np.zeros(0, np.int64)
+        root = np.concatenate([r for _, r in out]) if out else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(heads[at]), pa.array(root)], ["node", "head", "root"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forests of the true links of each group, from full sets."""
+    """Links, from full sets, that connect the nodes' groups as all links of a block do."""
     for table, cuts in grouped(batches, ["cluster", "p", "q"]):
-        nodes = table["node"].to_numpy()
+        nodes, heads = table["node"].to_numpy(), table["head"].to_numpy()
         lists = table["shingles"].combine_chunks()
         ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
         for s, e in zip(cuts[:-1], cuts[1:]):
-            if e - s < 2:
+            if e - s < 2 or (heads[s:e] == heads[s]).all():
                 continue
             local, own = np.unique(values[ends[s] : ends[e]], return_inverse=True)
-            off = ends[s : e + 1] - ends[s]
+            off, group = ends[s : e + 1] - ends[s], np.unique(heads[s:e], return_inverse=True)[1]
             n, marked, pairs = np.diff(off), np.zeros(len(local), bool), []
             for r in range(e - s - 1):  # rows after r against row r
                 mine = own[off[r] : off[r + 1]]
                 marked[mine] = True
                 later = np.add.reduceat(marked[own[off[r + 1] :]].astype(np.int32), off[r + 1 : -1] - off[r + 1])
                 marked[mine] = False
-                hit = np.flatnonzero(100 * later.astype(np.int64) >= PERCENT * (n[r] + n[r + 1 :] - later))
-                pairs += [(r, r + 1 + int(y)) for y in hit] if len(hit) < 8 else [(r, r + 1 + int(y)) for y in hit.tolist()]
+                hit = np.flatnonzero((100 * later.astype(np.int64) >= PERCENT * (n[r] + n[r + 1 :] - later)) & (group[r + 1 :] != group[r]))
+                pairs += [(r, r + 1 + y) for y in hit.tolist()]
             left, right = np.array(pairs, np.int64).reshape(-1, 2).T if pairs else (np.zeros(0, np.int64),) * 2
-            yield _edges(nodes[s:e], _forest(e - s, left, right))
+            chosen = _forest(int(group.max()) + 1, group[left], group[right])
+            yield _edges(nodes[s:e], [pairs[k] for k in chosen])
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,6 +185,41 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), list_array(list(shingle_sets(part.column(1))), pa.int64())], ["node", "shingles"])
 
 
+def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles): the whole set of each of ``nodes`` (node)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    sets = texts.join(nodes.distinct(), "node", "left_semi").mapInArrow(_with_sets, "node long, shingles array<long>")
+    # a node's doc_id may have several texts: their sets count as the node's
+    return written(sets.where(F.size("shingles") > 0).dropDuplicates(["node", "shingles"]))
+
+
+def _to_representatives(docs: DataFrame, kept: DataFrame, spread: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Links (a, b) between the representative of each bucket and its other members."""
+    stars = spread.join(buckets.select("bh", F.col("hub").alias("b")), "bh").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    sketched = kept.select("node", "n_shingles", "sketch")
+    both = stars.join(sketched.toDF("a", "na", "left"), "a").join(sketched.toDF("b", "nb", "right"), "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+    pairs = written(both.select("a", "b", "left", "right").mapInArrow(_agreeing, "a long, b long"))
+    sets = _full_sets(docs, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
+    both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
+    both = both.withColumn("shared", F.size(F.array_intersect("left", "right")))
+    return both.where(100 * F.col("shared") >= PERCENT * (F.size("left") + F.size("right") - F.col("shared"))).select("a", "b")
+
+
+def _between_groups(docs: DataFrame, kept: DataFrame, spread: DataFrame, heads: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of different groups (``heads``: node, head; a node that isn't there is a group)."""
+    members = spread.join(heads, "node", "left").withColumn("head", F.coalesce("head", "node"))
+    mixed = members.groupBy("bh").agg(F.min("head").alias("x"), F.max("head").alias("y")).where("x <> y").select("bh")
+    members = written(members.join(mixed, "bh", "left_semi"))
+    members = members.join(kept.select("node", "n_shingles", "sketch"), "node").dropDuplicates(["bh", "node", "n_shingles", "sketch"])
+    blocks = _blocked(members, "bh", F.lit(0)).select("bh", "p", "q", "node", "head", "n_shingles", "sketch")
+    near = written(blocks.repartition("bh", "p", "q").sortWithinPartitions("bh", "p", "q", "node").mapInArrow(_near, "node long, head long, root long"))
+    clusters = components(near.select(F.col("head").alias("a"), F.col("root").alias("b")))
+    touched = near.select("node", "head").distinct().join(clusters.select(F.col("node").alias("head"), F.col("component").alias("cluster")), "head")
+    touched = written(touched.join(_full_sets(docs, near.select("node")), "node"))
+    meet = _blocked(touched, "cluster", F.size("shingles")).select("cluster", "p", "q", "node", "head", "shingles")
+    return meet.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "node").mapInArrow(_linked, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs`` (doc_id long, text string).
 
@@ -170,30 +227,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets; ``component_id`` is the least doc_id that is reachable and ``kept``
     says that it is the row's own. Rows without words have an empty set and are
     linked with nothing. Rows without doc_id take no part: component_id null,
-    kept true. Rows that repeat a doc_id are each judged by their own text;
-    distinct texts under one doc_id count as linked. Other columns are ignored.
+    kept true. Rows that repeat a doc_id are one document: those with words are
+    linked, whatever their texts. Other columns are ignored.
     """
     table = written(sketch_table(docs))
-    nodes = table.where("doc_id is not null and n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"))
-    nodes = written(nodes)
+    named = table.where("doc_id is not null and n_shingles > 0")
+    nodes = written(named.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node")))
     own = nodes.select("f1", "f2", "n_shingles", F.col("node").alias("doc_id"))
-    kept = table.join(own, ["f1", "f2", "n_shingles", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "bands", "sketch")
-
-    spread = kept.select("node", F.explode("bands").alias("bh"))
-    buckets = spread.groupBy("bh").agg(F.count("*").alias("members")).where("members > 1")
-    members = written(spread.join(buckets, "bh"))
-    # the semi join leaves a node's rows as many as they are: repeated rows have equal sketches
-    members = members.join(kept.select("node", "n_shingles", "sketch"), "node").dropDuplicates(["bh", "node", "n_shingles", "sketch"])
-    blocks = _blocked(members, "bh", F.ceil(F.col("members") / BLOCK_NODES)).select("bh", "p", "q", "node", "n_shingles", "sketch")
-    near = blocks.repartition("bh", "p", "q").sortWithinPartitions("bh", "p", "q", "node").mapInArrow(_near, "a long, b long")
-    clusters = written(components(near))
-
-    sizes = clusters.join(nodes.select("node", "n_shingles"), "node").groupBy("component").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("mass"))
-    mine = clusters.join(sizes, "component").select("node", F.col("component").alias("cluster"), F.greatest(F.ceil(F.col("members") / BLOCK_NODES), F.ceil(F.col("mass") / BLOCK_SHINGLES)).alias("parts"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(clusters.select("node"), "node", "left_semi")
-    sets = written(texts.mapInArrow(_with_sets, "node long, shingles array<long>"))
-    meet = _blocked(mine.join(sets, "node"), "cluster", F.col("parts")).select("cluster", "p", "q", "node", "shingles").where("size(shingles) > 0")
-    links = meet.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "node").mapInArrow(_linked, "a long, b long")
+    kept = named.join(own, ["f1", "f2", "n_shingles", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "bands", "sketch")
+
+    # repeated rows have equal sketches, and count once
+    spread = kept.select("node", F.explode("bands").alias("bh")).distinct()
+    buckets = spread.groupBy("bh").agg(F.count("*").alias("members"), F.min("node").alias("hub")).where("members > 1")
+    spread = written(spread.join(buckets, "bh"))
+    buckets = spread.groupBy("bh").agg(F.first("hub").alias("hub"))
+    links = written(_to_representatives(docs, kept, spread.select("node", "bh"), buckets))
+    first = written(components(links))
+    links = links.unionByName(_between_groups(docs, kept, spread.select("node", "bh"), first.select("node", F.col("component").alias("head"))))
+
+    many = named.select("doc_id", F.struct("f1", "f2", "n_shingles").alias("s")).groupBy("doc_id").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x <> y")
+    again = named.join(many.select("doc_id"), "doc_id", "left_semi").select("doc_id", "f1", "f2", "n_shingles").join(nodes, ["f1", "f2", "n_shingles"])
+    links = links.unionByName(again.select(F.col("node").alias("a"), F.col("doc_id").alias("b")))
     found = components(links).select("node", F.col("component").alias("root"))
 
     heads = nodes.join(found, "node", "left").select("f1", "f2", "n_shingles", F.coalesce("root", "node").alias("head"))
@@ -203,6 +257,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's, and those without doc_id; repeated rows of such a doc_id stay."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(written(gone), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that ``near_duplicates`` keeps, those that repeat both doc_id and text once; and those without doc_id.
+
+    Rows without words of a document whose other rows go stay: they are linked with nothing.
+    """
+    keys = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_text"))
+    gone = written(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_doc")).distinct())
+    repeated = written(keys.where("_doc is not null").groupBy("_doc", "_text").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    marked = docs.withColumn("_doc", F.col("doc_id").cast("long")).withColumn("_text", F.xxhash64("text")).withColumn("_words", F.coalesce(F.regexp_like(F.col("text").cast("string"), F.lit(WORD)), F.lit(False)))
+    stay = marked.join(gone.withColumn("_words", F.lit(True)), ["_doc", "_words"], "left_anti")
+    once = stay.join(repeated, ["_doc", "_text"], "left_semi").dropDuplicates(["_doc", "_text"])
+    return stay.join(repeated, ["_doc", "_text"], "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
