@@ -188,34 +188,34 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, shingles): the whole set of each of ``nodes`` (node)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    sets = texts.join(nodes.distinct(), "node", "left_semi").mapInArrow(_with_sets, "node long, shingles array<long>")
+    # the nodes grow with the input, so that a broadcast would only do for small ones; rows that repeat count once
+    chosen = texts.join(nodes.distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node", "text"])
     # a node's doc_id may have several texts: their sets count as the node's
-    return written(sets.where(F.size("shingles") > 0).dropDuplicates(["node", "shingles"]))
+    return written(chosen.mapInArrow(_with_sets, "node long, shingles array<long>").where(F.size("shingles") > 0))
 
 
-def _to_representatives(docs: DataFrame, kept: DataFrame, spread: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Links (a, b) between the representative of each bucket and its other members."""
-    stars = spread.join(buckets.select("bh", F.col("hub").alias("b")), "bh").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+def _to_representatives(sets: DataFrame, kept: DataFrame, spread: DataFrame) -> DataFrame:
+    """Links (a, b) between the representative (hub) of each bucket and its other members."""
+    stars = spread.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     sketched = kept.select("node", "n_shingles", "sketch")
     both = stars.join(sketched.toDF("a", "na", "left"), "a").join(sketched.toDF("b", "nb", "right"), "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
     pairs = written(both.select("a", "b", "left", "right").mapInArrow(_agreeing, "a long, b long"))
-    sets = _full_sets(docs, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
     both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
     both = both.withColumn("shared", F.size(F.array_intersect("left", "right")))
     return both.where(100 * F.col("shared") >= PERCENT * (F.size("left") + F.size("right") - F.col("shared"))).select("a", "b")
 
 
-def _between_groups(docs: DataFrame, kept: DataFrame, spread: DataFrame, heads: DataFrame) -> DataFrame:
+def _between_groups(sets: DataFrame, kept: DataFrame, spread: DataFrame, heads: DataFrame) -> DataFrame:
     """Links (a, b) between nodes of different groups (``heads``: node, head; a node that isn't there is a group)."""
     members = spread.join(heads, "node", "left").withColumn("head", F.coalesce("head", "node"))
     mixed = members.groupBy("bh").agg(F.min("head").alias("x"), F.max("head").alias("y")).where("x <> y").select("bh")
     members = written(members.join(mixed, "bh", "left_semi"))
-    members = members.join(kept.select("node", "n_shingles", "sketch"), "node").dropDuplicates(["bh", "node", "n_shingles", "sketch"])
+    members = members.join(kept.select("node", "n_shingles", "sketch"), "node")
     blocks = _blocked(members, "bh", F.lit(0)).select("bh", "p", "q", "node", "head", "n_shingles", "sketch")
     near = written(blocks.repartition("bh", "p", "q").sortWithinPartitions("bh", "p", "q", "node").mapInArrow(_near, "node long, head long, root long"))
     clusters = components(near.select(F.col("head").alias("a"), F.col("root").alias("b")))
     touched = near.select("node", "head").distinct().join(clusters.select(F.col("node").alias("head"), F.col("component").alias("cluster")), "head")
-    touched = written(touched.join(_full_sets(docs, near.select("node")), "node"))
+    touched = written(touched.join(sets, "node"))
     meet = _blocked(touched, "cluster", F.size("shingles")).select("cluster", "p", "q", "node", "head", "shingles")
     return meet.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "node").mapInArrow(_linked, "a long, b long")
 
@@ -234,16 +234,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = table.where("doc_id is not null and n_shingles > 0")
     nodes = written(named.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node")))
     own = nodes.select("f1", "f2", "n_shingles", F.col("node").alias("doc_id"))
-    kept = named.join(own, ["f1", "f2", "n_shingles", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "bands", "sketch")
+    key = ["f1", "f2", "n_shingles", "doc_id"]
+    kept = named.join(own, key, "left_semi").dropDuplicates(key)  # repeated rows have equal sketches
+    kept = written(kept.select(F.col("doc_id").alias("node"), "n_shingles", "bands", "sketch"))
 
-    # repeated rows have equal sketches, and count once
-    spread = kept.select("node", F.explode("bands").alias("bh")).distinct()
+    spread = kept.select("node", F.explode("bands").alias("bh"))
     buckets = spread.groupBy("bh").agg(F.count("*").alias("members"), F.min("node").alias("hub")).where("members > 1")
-    spread = written(spread.join(buckets, "bh"))
-    buckets = spread.groupBy("bh").agg(F.first("hub").alias("hub"))
-    links = written(_to_representatives(docs, kept, spread.select("node", "bh"), buckets))
+    spread = written(spread.join(buckets.select("bh", "hub"), "bh"))
+    sets = _full_sets(docs, spread.select("node"))
+    links = written(_to_representatives(sets, kept, spread))
     first = written(components(links))
-    links = links.unionByName(_between_groups(docs, kept, spread.select("node", "bh"), first.select("node", F.col("component").alias("head"))))
+    links = links.unionByName(_between_groups(sets, kept, spread.select("node", "bh"), first.select("node", F.col("component").alias("head"))))
 
     many = named.select("doc_id", F.struct("f1", "f2", "n_shingles").alias("s")).groupBy("doc_id").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x <> y")
     again = named.join(many.select("doc_id"), "doc_id", "left_semi").select("doc_id", "f1", "f2", "n_shingles").join(nodes, ["f1", "f2", "n_shingles"])
