@@ -16,6 +16,8 @@ from tidegauge.functions.windows import change, full, frame, obv
 from tidegauge.operators import association, changepoint, merge, metrics
 from tidegauge.operators.ewm import with_ewm
 from tidegauge.plans.dashboard import scan
+from tidegauge.plans.models import pooled_quantiles
+from tidegauge.plans.texts import valid_entities
 from tidegauge.session import prepare
 from tidegauge.sources import files
 from tidegauge.streaming import incremental
@@ -194,3 +196,16 @@ def test_shared_folder_is_refused_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         shared.shared_dir(Session)
+
+
+def test_quantiles_of_pooled_leaves(spark):
+    session = prepare(spark)
+    train = session.createDataFrame([([1.0, 5.0], 1.0), ([1.0, 6.0], 2.0), ([2.0, 5.0], 10.0), ([1.0, 5.0], 1.0)], "leaf array<double>, y double")
+    test = session.createDataFrame([("a", [1.0, 5.0]), ("b", [2.0, 6.0]), ("c", [9.0, 9.0])], "k string, leaf array<double>")
+    got = {r.k: r.q for r in pooled_quantiles(train, test, "y", ["k"], (0.0, 0.5, 1.0)).collect()}
+    assert got == {"a": [1.0, 1.0, 10.0], "b": [2.0, 6.0, 10.0]}  # a: 1 1 2 and 1 1 10; b: 10 and 2
+
+
+def test_entities_are_validated_one_by_one(spark):
+    rows = prepare(spark).createDataFrame([(1, '[{"entity": "VCB", "type": "stock"}, {"entity": "Vin", "type": "stock"}, {"entity": "TOOLONG", "type": "stock"}, {"entity": "SBV", "type": "org"}, {"type": "stock"}, {"entity": " ", "type": "stock"}, 7, {"entity": "X1"}]'), (2, "no list"), (3, None), (4, "[]")], "id int, entities string")
+    assert [(r.id, r.entity, r.is_symbol) for r in valid_entities(rows, "entities").collect()] == [(1, "VCB", True), (1, "Vin", False), (1, "TOOLONG", False), (1, "SBV", False), (1, "X1", False)]

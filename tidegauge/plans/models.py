@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions import text
 from tidegauge.functions.windows import W, YEAR, frame, full, garman_klass, log_change, parkinson
 from tidegauge.operators import metrics
+from tidegauge.operators.ewm import with_ewm
 from tidegauge.plans.texts import _NET, _net
 from tidegauge.sources.adapters import NEWS, bars, news, table
 
@@ -65,24 +66,48 @@ def _macro_sql(classes) -> str:
     return "(" + " + ".join(f"coalesce({e}, 0)" for e in each) + ") / (" + " + ".join(f"case when {e} is null then 0 else 1 end" for e in each) + ")::double"
 
 
-@query(f"""with {_GOLD}, g as (select alpha, k, truth, case when (1 - alpha) * score + alpha * tanh(k * net) > 0 then 'positive' else 'negative' end as guess from parts, (select unnest([0.0, 0.2, 0.4, 0.6, 0.8, 1.0])::double as alpha) a, (select unnest([0.4, 0.8, 1.2])::double as k) b where train and truth <> 'neutral')
-  select alpha, k, round({_macro_sql(('positive', 'negative'))}, 6) as macro_f1, count(*) as n from g group by alpha, k""")
-def grid_search_alpha_k(spark, sf_dir):
+# The grids that are searched.
+ALPHAS, KS, TAUS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8), (0.4, 0.6, 0.8, 1.0), (0.05, 0.1, 0.15, 0.2, 0.25, 0.3)
+
+_CELLS = f"""{_GOLD}, g as (select alpha, k, truth, case when (1 - alpha) * score + alpha * tanh(k * net) > 0 then 'positive' else 'negative' end as guess from parts, (select unnest({list(ALPHAS)})::double as alpha) a, (select unnest({list(KS)})::double as k) b where train and truth <> 'neutral'),
+  cells as (select alpha, k, round({_macro_sql(('positive', 'negative'))}, 6) as macro_f1, count(*) as n from g group by alpha, k), best as (select * from cells order by macro_f1 desc, alpha, k limit 1)"""
+
+
+def _hybrid(alpha, k):
+    return (1 - alpha) * F.col("score") + alpha * F.tanh(k * F.col("net"))
+
+
+def _cells(spark, sf_dir) -> DataFrame:
     """Binary macro F1 of every (alpha, k): a small grid per row, one aggregation."""
     train = stratified(_gold(spark, sf_dir), "truth", "news_id", 0.7).where("train and truth <> 'neutral'")
-    grid = F.array(*[F.struct(F.lit(a / 5).alias("alpha"), F.lit(k / 5).alias("k")) for a in range(6) for k in (2, 4, 6)])
+    grid = F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(k).alias("k")) for a in ALPHAS for k in KS])
     rows = train.select("truth", "score", "net", F.explode(grid).alias("g")).select("truth", "score", "net", "g.*")
-    s = (1 - F.col("alpha")) * F.col("score") + F.col("alpha") * F.tanh(F.col("k") * F.col("net"))
-    found = metrics.scores(metrics.confusion(rows.withColumn("guess", text.polarity(s)), ["alpha", "k"]), ["alpha", "k"])
+    found = metrics.scores(metrics.confusion(rows.withColumn("guess", text.polarity(_hybrid(F.col("alpha"), F.col("k")))), ["alpha", "k"]), ["alpha", "k"])
     return found.select("alpha", "k", F.round("macro_f1", 6).alias("macro_f1"), "n")
 
 
-@query(f"""with {_GOLD}, g as (select tau, truth, case when s > tau then 'positive' when s < -tau then 'negative' else 'neutral' end as guess from (select truth, 0.4::double * score + 0.6::double * tanh(0.8::double * net) as s from parts where train), (select unnest([0.05, 0.1, 0.2, 0.3])::double as tau) t),
-  r as (select tau, {_macro_sql(('positive', 'negative', 'neutral'))} as f1 from g group by tau) select tau, round(f1, 6) as macro_f1 from r order by round(f1, 6) desc, tau limit 1""")
+def _best(spark, sf_dir) -> DataFrame:
+    return _cells(spark, sf_dir).orderBy(F.desc("macro_f1"), "alpha", "k").limit(1)
+
+
+@query(f"with {_CELLS} select * from cells")
+def grid_cells_alpha_k(spark, sf_dir):
+    return _cells(spark, sf_dir)
+
+
+@query(f"with {_CELLS} select * from best")
+def grid_search_alpha_k(spark, sf_dir):
+    """The first (alpha, k) in the grid's order with the best binary macro F1."""
+    return _best(spark, sf_dir)
+
+
+@query(f"""with {_CELLS}, h as (select tau, truth, case when s > tau then 'positive' when s < -tau then 'negative' else 'neutral' end as guess from (select truth, (1 - alpha) * score + alpha * tanh(k * net) as s from parts, best where train), (select unnest({list(TAUS)})::double as tau) t),
+  r as (select tau, {_macro_sql(('positive', 'negative', 'neutral'))} as f1 from h group by tau) select tau, round(f1, 6) as macro_f1 from r order by round(f1, 6) desc, tau limit 1""")
 def grid_search_tau(spark, sf_dir):
-    """The neutral half-width with the best three-class macro F1; the least of equals."""
+    """The first neutral half-width with the best three-class macro F1, at the best (alpha, k)."""
     train = stratified(_gold(spark, sf_dir), "truth", "news_id", 0.7).where("train")
-    rows = train.select("truth", text.hybrid(F.col("score"), F.col("net")).alias("s"), F.explode(F.array(*[F.lit(t) for t in (0.05, 0.1, 0.2, 0.3)])).alias("tau"))
+    one = F.broadcast(_best(spark, sf_dir).select("alpha", "k"))  # a single row
+    rows = train.join(one).select("truth", _hybrid(F.col("alpha"), F.col("k")).alias("s"), F.explode(F.array(*map(F.lit, TAUS))).alias("tau"))
     guess = F.when(F.col("s") > F.col("tau"), "positive").when(F.col("s") < -F.col("tau"), "negative").otherwise("neutral")
     found = metrics.scores(metrics.confusion(rows.withColumn("guess", guess), ["tau"]), ["tau"])
     return found.select("tau", F.round("macro_f1", 6).alias("macro_f1")).orderBy(F.desc("macro_f1"), "tau").limit(1)
@@ -113,23 +138,31 @@ def class_report(spark, sf_dir):
     return metrics.per_class(_test(spark, sf_dir), []).select("label", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), "support")
 
 
-FEATURES = ("rv_d", "rv_w", "rv_m", "parkinson_vol", "gk_vol", "amihud", "bb_bw", "close_lag1", "volume_lag1", "volume_ma5", "day_of_week", "month", "symbol_enc")
+FEATURES = ("rv_d", "rv_w", "rv_m", "parkinson_vol", "gk_vol", "amihud", "rsi_14", "macd", "macd_signal", "macd_hist", "atr_14", "bb_bw", "close_lag1", "volume_lag1", "volume_ma5", "day_of_week", "month", "symbol_enc")
 HAR = ("rv_d", "rv_w", "rv_m")
 CUTOFF, VALIDATION = "2000-01-01", "1999-01-01"
+#: Trees of a forest and their depth; rounds of boosting, depth and step. The reference's are 500, no limit; 800, 6, 0.05.
+TREES, DEPTH, ROUNDS, ROUND_DEPTH, STEP = 100, 10, 40, 6, 0.05
 
 
 def panel(b: DataFrame) -> DataFrame:
     """Features known at a day's close and the volatility of the five days after it; rows with all of them."""
     c, o, h, low, v = (F.col(x) for x in ("close", "open", "high", "low", "volume"))
     codes = b.select("symbol").distinct().withColumn("symbol_enc", F.dense_rank().over(Window.orderBy("symbol")) - 1)
-    r = b.withColumn("lr", log_change(c)).withColumn("rv", F.abs("lr") * F.sqrt(F.lit(float(YEAR)))).join(F.broadcast(codes), "symbol")
+    move, pc = c - F.lag(c).over(W()), F.lag(c).over(W())
+    moved = b.withColumns({"gain": F.greatest(move, F.lit(0.0)), "loss": F.greatest(-move, F.lit(0.0)), "tr": F.greatest(h - low, F.abs(h - pc), F.abs(low - pc))})
+    wilder, ema = dict(alpha=1 / 14, adjust=False, min_periods=14), lambda span: dict(span=span, adjust=False)
+    e = with_ewm(moved, {"e12": ("close", ema(12)), "e26": ("close", ema(26)), "macd_signal": ("e12 - e26", ema(9)), "up": ("gain", wilder), "down": ("loss", wilder), "atr_14": ("tr", dict(com=13, min_periods=14))})
+    e = e.withColumn("macd", F.col("e12") - F.col("e26")).withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+    rsi = F.when(F.col("down") == 0, 100.0).otherwise(100 - F.try_divide(F.lit(100.0), 1 + F.try_divide(F.col("up"), F.col("down"))))
+    r = e.withColumn("rsi_14", rsi).withColumn("lr", log_change(c)).withColumn("rv", F.abs("lr") * F.sqrt(F.lit(float(YEAR)))).join(codes, "symbol")
     rv, sd = F.col("rv"), full(F.stddev_samp, c, frame(20), 20)
     return r.select(
         "symbol", "date", F.lag(rv).over(W()).alias("rv_d"), full(F.avg, rv, frame(5, 1), 5).alias("rv_w"), full(F.avg, rv, frame(22, 1), 22).alias("rv_m"),
-        parkinson(h, low).alias("parkinson_vol"), F.coalesce(garman_klass(o, h, low, c), F.lit(0.0)).alias("gk_vol"), F.try_divide(F.abs("lr"), v * c).alias("amihud"), F.try_divide(4 * sd, full(F.avg, c, frame(20), 20)).alias("bb_bw"),
+        parkinson(h, low).alias("parkinson_vol"), F.coalesce(garman_klass(o, h, low, c), F.lit(0.0)).alias("gk_vol"), F.try_divide(F.abs("lr"), v * c).alias("amihud"), "rsi_14", "macd", "macd_signal", "macd_hist", "atr_14", F.try_divide(4 * sd, full(F.avg, c, frame(20), 20)).alias("bb_bw"),
         F.lag(c).over(W()).alias("close_lag1"), F.lag(v).over(W()).alias("volume_lag1"), full(F.avg, v, frame(5, 1), 5).alias("volume_ma5"), F.weekday("date").alias("day_of_week"), F.month("date").alias("month"), "symbol_enc",
         (full(F.stddev_samp, F.col("lr"), W().rowsBetween(1, 5), 5) * F.sqrt(F.lit(float(YEAR)))).alias("rv5_fwd"),
-    ).na.drop()
+    ).replace(float("nan"), None).na.drop()
 
 
 def _parts(spark, sf_dir, features):
@@ -150,7 +183,7 @@ def evaluated(predictions: DataFrame, name: str) -> DataFrame:
 
 
 def _forest(**more):
-    return RandomForestRegressor(featuresCol="features", labelCol="rv5_fwd", numTrees=20, maxDepth=6, minInstancesPerNode=20, featureSubsetStrategy="sqrt", seed=42, **more)
+    return RandomForestRegressor(featuresCol="features", labelCol="rv5_fwd", numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=20, featureSubsetStrategy="sqrt", seed=42, **more)
 
 
 @query(None)
@@ -168,7 +201,7 @@ def gradient_boosting(spark, sf_dir):
     """Boosted trees that stop early on the last year before the cutoff, not on the test rows."""
     train, test = _parts(spark, sf_dir, FEATURES)
     train = train.withColumn("held", F.col("date") >= VALIDATION)
-    model = GBTRegressor(featuresCol="features", labelCol="rv5_fwd", maxIter=20, maxDepth=4, stepSize=0.1, seed=42, validationIndicatorCol="held").fit(train)
+    model = GBTRegressor(featuresCol="features", labelCol="rv5_fwd", maxIter=ROUNDS, maxDepth=ROUND_DEPTH, stepSize=STEP, seed=42, validationIndicatorCol="held").fit(train)
     return evaluated(model.transform(test), "gradient_boosting")
 
 
@@ -181,14 +214,22 @@ def feature_importance(spark, sf_dir):
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(10)
 
 
+def pooled_quantiles(train: DataFrame, test: DataFrame, target: str, keys: list[str], shares: tuple[float, ...]) -> DataFrame:
+    """(keys, q): quantiles of all training targets in the leaves (an array, a leaf per tree) that each test row falls into."""
+    leaves = lambda rows, *keep: rows.select(*keep, F.posexplode("leaf").alias("tree", "at"))
+    # a leaf is its distinct targets with their counts, so that what meets a test row is summed up before
+    held = leaves(train, F.col(target).alias("y")).groupBy("tree", "at", "y").agg(F.count("*").alias("n"))
+    return leaves(test, *keys).join(held, ["tree", "at"]).groupBy(*keys).agg(F.percentile("y", F.array(*map(F.lit, shares)), F.col("n")).alias("q"))
+
+
 @query(None)
 def quantile_forest(spark, sf_dir):
-    """P10, P50 and P90 per test row, from the training targets in the leaves that it falls into; and their coverage."""
+    """P10, P50 and P90 per test row, of the training targets in all leaves that it falls into; and their coverage."""
     train, test = _parts(spark, sf_dir, FEATURES)
     model = _forest(leafCol="leaf").fit(train)
-    leaves = lambda rows, *keep: model.transform(rows).select(*keep, F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"))
-    per_leaf = leaves(train, "rv5_fwd").groupBy("tree", "leaf").agg(F.percentile("rv5_fwd", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"))
-    found = leaves(test, "symbol", "date", "rv5_fwd").join(per_leaf, ["tree", "leaf"]).groupBy("symbol", "date", "rv5_fwd").agg(*[F.avg(F.col("q")[i]).alias(f"p{p}") for i, p in enumerate((10, 50, 90))])
+    train, test = (model.transform(rows).withColumn("leaf", vector_to_array("leaf")) for rows in (train, test))
+    found = pooled_quantiles(train, test, "rv5_fwd", ["symbol", "date", "rv5_fwd"], (0.1, 0.5, 0.9))
+    found = found.select("symbol", "date", "rv5_fwd", *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate((10, 50, 90))])
     return found.select("symbol", "date", *[F.round(f"p{p}", 4).alias(f"p{p}") for p in (10, 50, 90)], F.col("rv5_fwd").between(F.col("p10"), F.col("p90")).alias("covered"))
 
 

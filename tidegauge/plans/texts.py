@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import dates, text
+from tidegauge.shared import written
 from tidegauge.sources.adapters import MARKET, NEWS, news, table
 
 QUERIES: dict[str, tuple] = {}
@@ -212,23 +213,91 @@ def snippet_window(spark, sf_dir):
     return kept.agg(F.count("*").alias("sentences"), F.count_if("hit").alias("hits"), F.md5(F.array_join(F.transform(ordered, lambda x: x["t"]), "|")).alias("snippet_md5"))
 
 
-_WORDS = "w as (select distinct doc_id, source, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) as term from documents)"
+# Documents that a term must stand in, the greatest share of documents, terms of the vocabulary, terms reported.
+LEAST_DOCS, MOST_DOCS, VOCABULARY, REPORTED = 5, 0.5, 20000, 50
 
 
-@query(f"""with {_WORDS}, n as (select count(distinct doc_id) as docs from w), df as (select term, count(*) as df from w group by term having count(*) >= 5 and count(*) <= 0.5 * (select docs from n)),
-  src as (select source, count(distinct doc_id) as sd from w group by source), t as (select source, term, count(*) as c from w group by 1, 2),
-  s as (select t.source, t.term, (t.c / sd::double - df.df / docs::double) * ln((1 + docs) / (1.0::double + df.df)) as weight from t join df using (term) join src using (source), n)
-  select source, term, round(weight, 6) as weight from (select *, row_number() over (partition by source order by round(weight, 6) desc, term) as rn from s) where rn <= 5""")
+@query(f"""with d as (select doc_id, source, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') as w from documents where text is not null and source is not null),
+  g as (select doc_id, source, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from d), n as (select count(*) as docs from d), size as (select source, count(*) as sd from d group by 1),
+  v as (select term, count(distinct doc_id) as df, count(*) as c from g group by term), vocabulary as (select term, ln((1 + docs) / (1.0::double + df)) + 1 as idf from v, n where df >= {LEAST_DOCS} and df <= {MOST_DOCS} * docs order by c desc, term limit {VOCABULARY}),
+  t as (select doc_id, source, term, count(*) * any_value(idf) as x from g join vocabulary using (term) group by 1, 2, 3), norm as (select doc_id, sqrt(sum(x * x)) as len from t group by 1),
+  s as (select source, term, sum(x / len) as total from t join norm using (doc_id) group by 1, 2), a as (select term, sum(total) / any_value(docs) as whole from s, n group by term),
+  r as (select source, term, round(total / sd - whole, 6) as weight from s join a using (term) join size using (source) where not regexp_matches(term, '[0-9]'))
+  select source, term, weight from (select *, row_number() over (partition by source order by weight desc, term) as rn from r) where rn <= {REPORTED}""")
 def tfidf_top_terms(spark, sf_dir):
-    """Terms that set a source apart: its share of documents with the term less the corpus' share, by inverse document frequency."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)))).alias("term"))
-    per = docs.groupBy("source", "term").agg(F.count("*").alias("c"))
-    totals = docs.select("doc_id", "source").distinct().groupBy("source").agg(F.count("*").alias("sd"))
-    n = totals.agg(F.sum("sd").alias("docs"))
-    df = per.groupBy("term").agg(F.sum("c").alias("df")).join(F.broadcast(n)).where((F.col("df") >= 5) & (F.col("df") <= 0.5 * F.col("docs")))
-    s = per.join(df, "term").join(totals, "source").withColumn("weight", F.round((F.col("c") / F.col("sd") - F.col("df") / F.col("docs")) * F.ln((1 + F.col("docs")) / (1.0 + F.col("df"))), 6))
+    """The words and pairs of words that set a source apart: its mean TF-IDF (unit vectors) less the corpus' mean; terms with digits are left out."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+
+    def terms(w):
+        pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))
+        return F.when(F.size(w) > 1, F.concat(w, pairs)).otherwise(w)
+
+    # a lambda's variable binds the words once: as a column they would be found anew for every pair
+    docs = table(spark, sf_dir, "documents").where("text is not null and source is not null").select("doc_id", "source", F.element_at(F.transform(F.array(w), terms), 1).alias("terms"))
+    sizes = docs.groupBy("source").agg(F.count("*").alias("sd"))
+    n = sizes.agg(F.sum("sd").alias("docs"))
+    # occurrences and documents of a term in one combined aggregation
+    marks = lambda w: F.concat(F.transform(F.array_distinct(w), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c"))), F.transform(w, lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c"))))
+    counted = docs.select(F.explode(F.element_at(F.transform(F.array("terms"), marks), 1)).alias("m")).groupBy("m.term").agg(F.sum("m.d").alias("df"), F.sum("m.c").alias("c")).join(F.broadcast(n))
+    common = counted.where((F.col("df") >= LEAST_DOCS) & (F.col("df") <= MOST_DOCS * F.col("docs"))).orderBy(F.desc("c"), "term").limit(VOCABULARY)
+    vocabulary = written(common.select("term", (F.ln((1 + F.col("docs")) / (1.0 + F.col("df"))) + 1).alias("idf")))
+    x = docs.select("doc_id", "source", F.explode("terms").alias("term")).join(F.broadcast(vocabulary), "term")  # VOCABULARY rows at most
+    x = x.groupBy("doc_id", "source", "term").agg((F.count("*") * F.first("idf")).alias("x"))
+    norms = x.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"))
+    s = written(x.join(norms, "doc_id").groupBy("source", "term").agg(F.sum(F.col("x") / F.col("len")).alias("total")))
+    whole = s.groupBy("term").agg(F.sum("total").alias("all"))
+    r = s.join(whole, "term").join(sizes, "source").join(F.broadcast(n)).where(~F.col("term").rlike("[0-9]"))
+    r = r.select("source", "term", F.round(F.col("total") / F.col("sd") - F.col("all") / F.col("docs"), 6).alias("weight"))
     place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("weight"), "term"))
-    return s.withColumn("rn", place).where("rn <= 5").select("source", "term", "weight")
+    return r.withColumn("rn", place).where(F.col("rn") <= REPORTED).select("source", "term", "weight")
+
+
+# Words of messages that say a rate limit was hit.
+RATE_LIMITS = ("rate limit", "rate_limit", "giới hạn", "exceeded", "too many requests", "429", "tối đa", "wait to retry")
+
+
+@query("select doc_id, " + " or ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in RATE_LIMITS) + " as limited from documents")
+def rate_limit_errors(spark, sf_dir):
+    """Which messages say that a rate limit was hit."""
+    message = F.lower(F.coalesce("text", F.lit("")))
+    hit = F.lit(False)
+    for w in RATE_LIMITS:
+        hit |= message.contains(w)
+    return table(spark, sf_dir, "documents").select("doc_id", hit.alias("limited"))
+
+
+@query("select conv_id, turn, nullif(regexp_extract(text, '[A-Z]{2,4}'), '') as symbol from conversations")
+def question_symbol(spark, sf_dir):
+    """The first run of two to four capitals of a question, or null."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.nullif(F.regexp_extract("text", "[A-Z]{2,4}", 0), F.lit("")).alias("symbol"))
+
+
+@query("""with e as (select event_id, event_type, value from events), x as (select event_id, unnest([upper(substr(event_type, 1, 4)), substr(event_type, 1, 3), upper(event_type)]) as entity, unnest(['stock', 'stock', case when event_id % 2 = 0 then 'stock' else 'org' end]) as type, value from e)
+  select event_id, entity, type = 'stock' and length(entity) <= 4 and entity = upper(entity) and entity <> lower(entity) as is_symbol from x""")
+def entity_symbols(spark, sf_dir):
+    """Entities out of a JSON list, each validated on its own; those of type stock, in capitals and of at most four letters, are symbols."""
+    e = table(spark, sf_dir, "events").select("event_id", F.to_json(F.array(
+        F.struct(F.upper(F.substring("event_type", 1, 4)).alias("entity"), F.lit("stock").alias("type")), F.struct(F.substring("event_type", 1, 3).alias("entity"), F.lit("stock").alias("type")),
+        F.struct(F.upper("event_type").alias("entity"), F.when(F.col("event_id") % 2 == 0, "stock").otherwise("org").alias("type")))).alias("entities"))
+    return valid_entities(e, "entities").select("event_id", "entity", "is_symbol")
+
+
+def valid_entities(rows, column: str):
+    """``rows`` with a row per usable element of a JSON list of objects: (entity, type, is_symbol). Others, and lists that can't be read, are left out."""
+    found = rows.withColumn("_e", F.explode(F.from_json(column, "array<string>"))).withColumn("_e", F.from_json("_e", "struct<entity: string, type: string>"))
+    found = found.select(*[F.col(c) for c in rows.columns if c != column], F.btrim("_e.entity").alias("entity"), F.col("_e.type").alias("type")).where("entity <> ''")
+    name = F.col("entity")
+    return found.withColumn("is_symbol", F.coalesce((F.col("type") == "stock") & (F.length(name) <= 4) & (name == F.upper(name)) & (name != F.lower(name)), F.lit(False)))
+
+
+@query("select user_id, string_agg(event_type || '=' || n, ',' order by event_type) as counts from (select user_id, event_type, count(*) as n from events group by 1, 2) group by user_id")
+def zipped_map(spark, sf_dir):
+    """Two lists zipped into a map, looked up key by key."""
+    n = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    pairs = F.array_sort(F.collect_list(F.struct("event_type", "n")))
+    lists = n.groupBy("user_id").agg(pairs.alias("p")).select("user_id", F.map_from_arrays("p.event_type", "p.n").alias("m"))
+    listed = F.transform(F.array_sort(F.map_keys("m")), lambda k: F.concat(k, F.lit("="), F.element_at("m", k)))
+    return lists.select("user_id", F.array_join(listed, ",").alias("counts"))
 
 
 @query(f"""with {NEWS}, c as (select news_id, len(regexp_extract_all(text, '{_re2(CODES[:3])}')) as n, len(list_distinct(regexp_extract_all(text, '{_re2(CODES[:3])}'))) as kinds, regexp_extract(text, '{_re2(CODES[:3])}', 1) as first_code from news)
