@@ -25,7 +25,7 @@ from tidegauge.llm.common import written
 #: Components are floor(SCALE * x).
 SCALE = 256
 #: Vectors of a leaf at most; vectors of a shard on average at most; cells at least and at most.
-LEAF, SHARD, CELLS = 64, 8192, (16, 1024)
+LEAF, SHARD, CELLS = 256, 8192, (16, 1024)
 #: Components of the sample that cells are fitted on, at most.
 SAMPLE = 1 << 21
 #: Queries that meet a shard in one task on average at most, and that go through a tree together.
@@ -109,6 +109,10 @@ def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray
             rows = tree.order[slice(*tree.spans[at])]
             scores = queries[asks] @ vectors[rows].T
             scores[own[asks][:, None] == ids[rows][None, :]] = _NONE
+            some = (scores >= np.maximum(kth[asks], best[asks, -1])[:, None]).any(1)
+            if not some.any():
+                continue
+            asks, scores = asks[some], scores[some]
             all_scores = np.concatenate([best[asks], scores], 1)
             all_ids = np.concatenate([ids_best[asks], np.broadcast_to(ids[rows], scores.shape)], 1)
             order = np.lexsort((all_ids, -all_scores if all_scores.dtype == np.float64 else ~all_scores), axis=1)[:, :k]
