@@ -643,3 +643,21 @@ def test_pipeline_stages(spark):
             assert seen[-1] == clean
     final = corpus_pipeline.run(spark, DATA)
     assert final.count() == docs.count()
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd_docs, no_docs):
+    """Each stage takes nulls, empty and very long texts, repeated rows and clashing columns, and an empty table."""
+    import corpus_pipeline
+
+    spark = prepare(spark)
+    for docs in (odd_docs, no_docs):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, DATA)
+            if name == "token_files":
+                assert out.count() == docs.count()
+                continue
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            assert {r.doc_id for r in out.select("doc_id").collect()} <= {r.doc_id for r in docs.select("doc_id").collect()}
+            if name == "toxicity" and docs is odd_docs:
+                assert out.count() > 0
+            docs = out
