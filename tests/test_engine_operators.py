@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidegauge import shared
 from tidegauge.functions import fixed_values, text
 from tidegauge.functions.windows import change, full, frame, obv
-from tidegauge.operators import association, changepoint, merge, metrics
+from tidegauge.operators import association, changepoint, merge, metrics, ranks
 from tidegauge.operators.ewm import with_ewm
 from tidegauge.plans.dashboard import scan
 from tidegauge.plans.models import pooled_quantiles
@@ -209,3 +209,55 @@ def test_quantiles_of_pooled_leaves(spark):
 def test_entities_are_validated_one_by_one(spark):
     rows = prepare(spark).createDataFrame([(1, '[{"entity": "VCB", "type": "stock"}, {"entity": "Vin", "type": "stock"}, {"entity": "TOOLONG", "type": "stock"}, {"entity": "SBV", "type": "org"}, {"type": "stock"}, {"entity": " ", "type": "stock"}, 7, {"entity": "X1"}]'), (2, "no list"), (3, None), (4, "[]")], "id int, entities string")
     assert [(r.id, r.entity, r.is_symbol) for r in valid_entities(rows, "entities").collect()] == [(1, "VCB", True), (1, "Vin", False), (1, "TOOLONG", False), (1, "SBV", False), (1, "X1", False)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 1000, 4097])
+def test_moved_is_a_permutation(n):
+    for repeat in (1, 2, 77):
+        got = ranks.moved(np.arange(n), np.full(n, repeat), np.full(n, n))
+        assert sorted(got.tolist()) == list(range(n))
+
+
+def test_moved_places_are_spread_evenly():
+    """Each place goes everywhere about equally often, and neighbours don't stay together."""
+    n, repeats = 10, 4000
+    place, repeat = np.tile(np.arange(n), repeats), np.repeat(np.arange(1, repeats + 1), n)
+    got = ranks.moved(place, repeat, np.full(len(place), n)).reshape(repeats, n)
+    counts = np.stack([np.bincount(got[:, k], minlength=n) for k in range(n)])
+    assert abs(counts - repeats / n).max() < 5 * math.sqrt(repeats / n)
+    assert len({tuple(x) for x in got.tolist()}) > 0.99 * repeats
+    gaps = np.bincount((got[:, 1] - got[:, 0]) % n, minlength=n)
+    assert gaps[0] == 0 and abs(gaps[1:] - repeats / (n - 1)).max() < 5 * math.sqrt(repeats / (n - 1))
+
+
+def test_null_rates_are_those_of_random_permutations(spark):
+    rng = random.Random(5)
+    day = lambda k: dt.date(2024, 1, 1) + dt.timedelta(days=k)
+    news = [(k, rng.choice("AB"), day(rng.randrange(40)), rng.choice([-1.0, 0.5, 0.75])) for k in range(60)]
+    cps = [("A", day(10), 1), ("B", day(15), -1), ("A", day(30), -1), ("B", day(33), 1)]
+    found = association.permutation_rates(
+        spark.createDataFrame(cps, "symbol string, date date, direction int"), spark.createDataFrame(news, "news_id long, symbol string, date date, score double"), 400).toPandas()["rate"]
+    dates, rates = [d for _, _, d, _ in news], []
+    for _ in range(400):
+        dealt = rng.sample(dates, len(dates))
+        hits = []
+        for symbol, d, direction in cps:
+            near = [s for (_, x, _, s), at in zip(news, dealt) if x == symbol and -association.BEFORE <= (at - d).days <= association.AFTER]
+            if near and round(sum(near) / len(near), 9) != 0:
+                hits.append(np.sign(sum(near)) == direction)
+        rates.append(np.mean(hits) if hits else 0.0)
+    assert len(found) == 400 and abs(found.mean() - np.mean(rates)) < 0.06 and abs(found.std() - np.std(rates)) < 0.05
+
+
+def test_places_and_adjusted_p_values(spark):
+    rng = random.Random(3)
+    p = [rng.choice([0.001, 0.01, 0.2, rng.random()]) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(p)) + [(300, None)], "id long, p double").repartition(7)
+    placed = ranks.placed(rows.where("p is not null"), "p", "id").orderBy("place").collect()
+    assert [(r["p"], r["id"]) for r in placed] == sorted(zip(p, range(300))) and [r["place"] for r in placed] == list(range(300))
+    order, want, least = sorted(zip(p, range(300))), {}, 1.0
+    for k in range(299, -1, -1):
+        least = min(least, order[k][0] * 300 / (k + 1))
+        want[order[k][1]] = least
+    assert {r["id"]: r["adjusted"] for r in ranks.adjusted(rows, "p", "id").collect()} == pytest.approx(want)
+    assert ranks.adjusted(rows.limit(0), "p", "id").count() == 0

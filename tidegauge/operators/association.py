@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.operators.ranks import placed, shuffled
 from tidegauge.shared import written
 from tidegauge.sources.adapters import MARKET
 
 # Days before and after an event that count.
 BEFORE, AFTER = 3, 1
-#: Hexadecimal digits of a digest that make a bucket.
-DIGITS = 1
 
 
 def event_window(events: DataFrame, news: DataFrame, before: int = BEFORE, after: int = AFTER) -> DataFrame:
@@ -44,30 +43,20 @@ def permutation_rates(events: DataFrame, news: DataFrame, repeats: int) -> DataF
     """(perm, rate): match rates after the dates of news are dealt anew among them, ``repeats`` times.
 
     ``news`` has news_id, symbol, date and score; all rows of an article move
-    together. Article i (in the order of ids) gives its date to the article whose
-    digest of repeat and id has rank i. Ranks are counted inside buckets of ids
-    and of digests, after sums over the buckets: no task sorts all articles. A
-    repeat without signals has rate 0.
+    together. Articles have places in the order of their ids; the date of the
+    article at place j goes to the one at the place to which repeat ``perm`` moves
+    j. Only dates near an event are dealt: the others reach none. A repeat without
+    signals has rate 0.
     """
-    articles = written(news.groupBy("news_id").agg(F.min("date").alias("date")))
-    deals = articles.sparkSession.range(1, repeats + 1).select(F.col("id").cast("int").alias("perm"))
-    # the order of ids is the same in all repeats
-    ordered = written(articles.repartitionByRange("news_id").sortWithinPartitions("news_id").withColumn("_id", F.monotonically_increasing_id()))
-    part = F.shiftright("_id", 33)
-    parts = ordered.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    parts = parts.select("_p", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    places = ordered.withColumn("_p", part).join(parts, "_p").select((F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("place"), "date")
-
-    every = articles.select("news_id", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("perm"))
-    every = every.withColumn("_h", F.md5(F.concat(F.col("perm").cast("string"), F.lit(":"), F.col("news_id").cast("string")))).withColumn("_b", F.substring("_h", 1, DIGITS))
-    inside = every.withColumn("_k", F.row_number().over(Window.partitionBy("perm", "_b").orderBy("_h", "news_id"))).select("perm", "_b", "news_id", "_k")
-    sums = every.groupBy("perm", "_b").agg(F.count("*").alias("_n"))
-    sums = sums.select("perm", "_b", F.coalesce(F.sum("_n").over(Window.partitionBy("perm").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    dealt = inside.join(sums, ["perm", "_b"]).select("perm", "news_id", (F.col("_k") + F.col("_before")).alias("place")).join(places, "place").select("perm", "news_id", "date")
-    moved = dealt.join(news.select("news_id", "symbol", "score"), "news_id")
+    articles = placed(news.groupBy("news_id").agg(F.min("date").alias("date")), "news_id")
+    places = written(articles.select("news_id", "date", "place"))
+    days = events.select(F.explode(F.sequence(F.date_sub("date", BEFORE), F.date_add("date", AFTER))).alias("date")).distinct()
+    near = places.join(days, "date", "left_semi").select("place", "date", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("perm"))
+    rows = written(news.select("news_id", "symbol", "score").join(places.select("news_id", "place"), "news_id").drop("news_id"))
+    moved = near.withColumn("place", shuffled(F.col("place"), F.col("perm"), F.lit(places.count()))).join(rows, "place")
     found = event_window(events.select("symbol", "date", "direction"), moved).groupBy("perm", "event_symbol", "event_date", "direction").agg(F.round(F.avg("score"), 9).alias("m"))
     rates = found.where("m <> 0").groupBy("perm").agg(F.avg((F.signum("m") == F.col("direction")).cast("double")).alias("rate"))
+    deals = news.sparkSession.range(1, repeats + 1).select(F.col("id").cast("int").alias("perm"))
     return deals.join(rates, "perm", "left").select("perm", F.coalesce("rate", F.lit(0.0)).alias("rate"))
 
 
@@ -85,7 +74,8 @@ def bootstrap(matched: DataFrame, repeats: int, key: list[str]) -> DataFrame:
     Each of the n draws of a repeat takes the event whose place is a digest of
     (repeat, draw) modulo n: an equi-join on places.
     """
-    signals = matched.where("has_signal").select(F.row_number().over(Window.orderBy(*key)).alias("place"), F.col("match").cast("double").alias("m"))
+    signals = placed(matched.where("has_signal").select(*key, F.col("match").cast("double").alias("m")), *key)
+    signals = signals.select((F.col("place") + 1).cast("int").alias("place"), "m")
     n = signals.agg(F.count("*").alias("n"))
     draws = signals.select(F.col("place").alias("draw")).join(F.broadcast(n)).withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     h = F.conv(F.substring(F.md5(F.concat(F.col("boot").cast("string"), F.lit(":"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.windows import W, log_change
-from tidegauge.operators import association, changepoint
+from tidegauge.operators import association, changepoint, ranks
 from tidegauge.sources.adapters import BARS, MARKET, NEWS, bars, news
 
 QUERIES: dict[str, tuple] = {}
@@ -150,9 +150,9 @@ def correlation_totals(spark, sf_dir):
     return association.summary(_matched(spark, sf_dir), [])
 
 
-_NULL = f"""{_MATCHED}, art as (select news_id, min(date) as date from news group by news_id), ev2 as (select p.perm, a.news_id, a.date, md5(p.perm || ':' || a.news_id) as h from art a, (select unnest(range(1, {REPEATS} + 1)) as perm) p),
-  rk as (select perm, news_id, date, row_number() over (partition by perm order by h, news_id) as to_, row_number() over (partition by perm order by news_id) as from_ from ev2),
-  dealt as (select a.perm, a.news_id, b.date from rk a join rk b on a.perm = b.perm and a.to_ = b.from_),
+_NULL = f"""{_MATCHED}, art as (select news_id, min(date) as date from news group by news_id), seat as (select news_id, date, row_number() over (order by news_id) - 1 as place, (select count(*) from art) as n from art),
+  deal as (select p.perm, a.place, a.date, a.n from seat a, (select unnest(range(1, {REPEATS} + 1)) as perm) p),
+  dealt as (select m.perm, a.news_id, m.date from {ranks.shuffled_sql("deal", "place", "perm", "n")} m join seat a using (place)),
   mv as (select d.perm, n.symbol, d.date, n.score from dealt d join news n using (news_id)),
   pr as (select perm, cp.symbol, cp.date, cp.direction, round(avg(score), 9) as m from mv join cp on mv.symbol in (cp.symbol, '{MARKET}') and mv.date between cast(cp.date - 3 as date) and cast(cp.date + 1 as date) group by 1, 2, 3, 4),
   rates as (select p.perm, coalesce(r.rate, 0) as rate from (select unnest(range(1, {REPEATS} + 1)) as perm) p left join (select perm, avg(case when sign(m) = direction then 1.0::double else 0 end) as rate from pr where m <> 0 group by perm) r using (perm))"""
@@ -236,6 +236,4 @@ def bh_adjusted(spark, sf_dir):
     from tidegauge.sources.adapters import table
 
     p = table(spark, sf_dir, "part").select("p_partkey", ((F.col("p_partkey") * 7919 % 1000 + 1) / F.lit(20000.0)).alias("p"))
-    order = Window.orderBy("p", "p_partkey")
-    r = p.withColumn("k", F.row_number().over(order)).withColumn("m", F.count("*").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return r.select("p_partkey", "p", F.round(F.least(F.lit(1.0), F.min(F.col("p") * F.col("m") / F.col("k")).over(order.rowsBetween(0, Window.unboundedFollowing))), 9).alias("adjusted"))
+    return ranks.adjusted(p, "p", "p_partkey").select("p_partkey", "p", F.round("adjusted", 9).alias("adjusted"))
