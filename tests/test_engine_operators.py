@@ -261,3 +261,25 @@ def test_places_and_adjusted_p_values(spark):
         want[order[k][1]] = least
     assert {r["id"]: r["adjusted"] for r in ranks.adjusted(rows, "p", "id").collect()} == pytest.approx(want)
     assert ranks.adjusted(rows.limit(0), "p", "id").count() == 0
+
+
+def test_study_of_detected_change_points(spark):
+    """Steps in returns become events; news of their signs match them, and hardly ever when dealt at random."""
+    rng = np.random.default_rng(2)
+    start, rows, news = dt.date(2023, 1, 1), [], []
+    for symbol, sign in (("A", 1), ("B", -1), ("C", 1)):
+        level = np.repeat([0.0, 1.0, 0.0, 1.0], 40) * sign
+        rows += [(symbol, start + dt.timedelta(days=k), float(x + rng.normal(0, 0.05))) for k, x in enumerate(level)]
+        news += [(symbol, start + dt.timedelta(days=k), float(sign * way)) for k, way in ((40, 1), (80, -1), (120, 1)) for _ in range(2)]
+    news += [(s, start + dt.timedelta(days=int(k)), float(x)) for s, k, x in zip(rng.choice(list("ABC"), 60), rng.integers(10, 30, 60), rng.choice([-1, 1], 60))]
+    returns = spark.createDataFrame(rows + [("A", start - dt.timedelta(days=1), None)], "symbol string, date date, value double")
+    events = changepoint.detected(returns)
+    got = {(r["symbol"], (r["date"] - start).days): (r["direction"], r["magnitude"]) for r in events.collect()}
+    assert set(got) == {(s, k) for s in "ABC" for k in (40, 80, 120)}
+    assert all(d == (1 if s != "B" else -1) * (-1 if k == 80 else 1) and abs(m - 1) < 0.1 for (s, k), (d, m) in got.items())
+    table = spark.createDataFrame([(k, *x) for k, x in enumerate(news)], "news_id long, symbol string, date date, score double")
+    r = association.study(events, table, 200).first()
+    assert (r["n_cp"], r["n_covered"], r["n_match"], r["match_rate"], r["observed"], r["low"], r["high"]) == (9, 9, 9, 1.0, 1.0, 1.0, 1.0)
+    assert 0.2 < r["null_mean"] < 0.8 and r["p_one_sided"] < 0.1
+    none = association.study(events.limit(0), table, 20).first()
+    assert none["n_cp"] == 0 and none["match_rate"] is None

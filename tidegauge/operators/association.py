@@ -82,3 +82,11 @@ def bootstrap(matched: DataFrame, repeats: int, key: list[str]) -> DataFrame:
     rates = draws.select("boot", (h % F.col("n") + 1).cast("int").alias("place")).join(signals, "place").groupBy("boot").agg(F.avg("m").alias("rate"))
     bounds = rates.agg(F.percentile("rate", F.array(F.lit(0.025), F.lit(0.975))).alias("b"))
     return bounds.select(F.coalesce(F.col("b")[0], F.lit(0.0)).alias("low"), F.coalesce(F.col("b")[1], F.lit(0.0)).alias("high"))
+
+
+def study(events: DataFrame, news: DataFrame, repeats: int) -> DataFrame:
+    """The whole study of events (symbol, date, direction) and news in one row: counts, rates, p-values and interval."""
+    matched = written(matches(events.select("symbol", "date", "direction"), news))
+    observed = matched.agg(F.try_divide(F.count_if("match").cast("double"), F.count_if("has_signal")).alias("rate"))
+    p = p_values(permutation_rates(events, news, repeats), observed)
+    return summary(matched, []).join(F.broadcast(p)).join(F.broadcast(bootstrap(matched, repeats, ["symbol", "date"])))

@@ -6,10 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 # Penalty factor, least length of a series, grid step and least segment.
 PENALTY, LEAST, JUMP, SEGMENT = 0.5, 100, 5, 2
+# Fixed value: values on either side of a point that its direction and magnitude compare.
+AROUND = 20
 
 
 def breakpoints(values: np.ndarray, penalty: float = PENALTY, jump: int = JUMP, segment: int = SEGMENT) -> list[int]:
@@ -57,3 +60,16 @@ def change_points(series: DataFrame, least: int = LEAST, **options) -> DataFrame
         return out
 
     return series.select("symbol", "date", "value").groupBy("symbol").applyInPandas(detect, "symbol string, date date, place int")
+
+
+def detected(returns: DataFrame, around: int = AROUND, **options) -> DataFrame:
+    """(symbol, date, direction, magnitude) of the change points of ``returns`` (symbol, date, value).
+
+    Direction (1 or -1) and magnitude come from the means of the ``around`` values
+    from the point on and before it.
+    """
+    returns = returns.select("symbol", "date", "value").where("value is not null")
+    w = Window.partitionBy("symbol").orderBy("date")
+    gap = F.avg("value").over(w.rowsBetween(0, around - 1)) - F.avg("value").over(w.rowsBetween(-around, -1))
+    found = change_points(returns, **options).join(returns.select("symbol", "date", gap.alias("gap")), ["symbol", "date"])
+    return found.select("symbol", "date", F.when(F.col("gap") > 0, 1).otherwise(-1).alias("direction"), F.round(F.abs("gap"), 6).alias("magnitude"))

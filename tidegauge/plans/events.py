@@ -108,10 +108,18 @@ def top_cp(spark, sf_dir):
 @query(None)
 def pelt_change_points(spark, sf_dir):
     """Change points of daily log returns, with direction and magnitude."""
-    lr = bars(spark, sf_dir).select("symbol", "date", log_change(F.col("close")).alias("lr")).where("lr is not null")
-    around = lr.select("symbol", "date", (F.avg("lr").over(W().rowsBetween(0, 19)) - F.avg("lr").over(W().rowsBetween(-20, -1))).alias("gap"))
-    points = changepoint.change_points(lr.withColumnRenamed("lr", "value"))
-    return points.join(around, ["symbol", "date"]).select("symbol", F.col("date").alias("change_point_date"), F.when(F.col("gap") > 0, 1).otherwise(-1).cast("short").alias("direction"), F.round(F.abs("gap"), 6).alias("magnitude"))
+    points = _detected(spark, sf_dir).withColumnRenamed("date", "change_point_date")
+    return points.withColumn("direction", F.col("direction").cast("short"))
+
+
+def _detected(spark, sf_dir):
+    return changepoint.detected(bars(spark, sf_dir).select("symbol", "date", log_change(F.col("close")).alias("value")))
+
+
+@query(None)
+def detected_association(spark, sf_dir):
+    """The association study over detected change points: matches, permutation test and interval."""
+    return association.study(_detected(spark, sf_dir), news(spark, sf_dir), REPEATS)
 
 
 _JOINED = f"{_CHANGES}, {NEWS}, ev as (select cp.symbol as event_symbol, cp.date as event_date, direction, news_id, n.symbol, n.date, n.score from cp join news n on n.symbol in (cp.symbol, '{MARKET}') and n.date between cast(cp.date - 3 as date) and cast(cp.date + 1 as date))"
