@@ -283,3 +283,39 @@ def test_study_of_detected_change_points(spark):
     assert 0.2 < r["null_mean"] < 0.8 and r["p_one_sided"] < 0.1
     none = association.study(events.limit(0), table, 20).first()
     assert none["n_cp"] == 0 and none["match_rate"] is None
+
+
+def test_published_date_takes_the_first_place_that_parses(spark):
+    cases = [
+        ('<meta property="article:published_time" content="soon"><meta itemprop="datePublished" content="2026-04-14"><time datetime="2020-01-01">x</time>', dt.date(2026, 4, 14)),
+        ('<meta name="DC.date.issued" content="14/04/2026">', dt.date(2026, 4, 14)),
+        ("<p><time>14/04/2026 <b>21:04</b></time></p>", dt.date(2026, 4, 14)),
+        ('<time datetime="2026-04-14T21:04:05">1/1/2020</time><time datetime="2020-01-01"></time>', dt.date(2026, 4, 14)),
+        ('<div class="date">2020-01-01</div><div class="x post-time">- 14/04/2026 21:04<p>a<p>b</div>', dt.date(2026, 4, 14)),
+        ('<span class="date">junk</span><span class="date">2020-01-01</span><i class="tbts-date">2026-04-14</i>', dt.date(2026, 4, 14)),
+        ("<p>2020-01-01</p>", None), ("", None), (None, None),
+    ]
+    rows = prepare(spark).createDataFrame([(k, h) for k, (h, _) in enumerate(cases)], "k int, h string").select("k", text.published_date(F.col("h")).alias("d")).orderBy("k").collect()
+    assert [r["d"] for r in rows] == [d for _, d in cases]
+
+
+def test_months_of_a_sitemap_index(spark):
+    xml = "<loc>u/news-2026-3.xml</loc><loc> u/news-2025-12.xml\n</loc><loc>u/about.xml</loc><loc>u/news-2026-11.xml</loc>"
+    got = spark.createDataFrame([(xml,), (None,), ("",)], "x string").select(files.months_between(F.col("x"), "2025-12", "2026-09").alias("m")).collect()
+    assert [[tuple(p) for p in r["m"] or []] for r in got] == [[("2025-12", "u/news-2025-12.xml"), ("2026-03", "u/news-2026-3.xml")], [], []]
+
+
+def test_term_lists(spark, tmp_path):
+    (tmp_path / "a.yml").write_text("# words\npositive:\n  - tăng\n  - 'giảm lỗ'  # of losses\n\n  # more\n  - \"lãi: cao\"\nempty:\nnegative: # bad\n- lỗ", encoding="utf-8")
+    got = {(r["name"], r["place"], r["term"]) for r in files.read_term_lists(spark, str(tmp_path)).collect()}
+    assert got == {("positive", 0, "tăng"), ("positive", 1, "giảm lỗ"), ("positive", 2, "lãi: cao"), ("negative", 0, "lỗ")}
+
+
+def test_counted_upsert_and_updates_by_id(spark):
+    stored = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, t int")
+    batch = spark.createDataFrame([(2, "c", 5), (None, "d", 6), (3, None, 1), (4, "e", None)], "k int, v string, t int")
+    rows, counts = merge.upsert_counted(stored, batch, ["k"], ["t"], F.col("v") != "zzz")
+    assert {(r.k, r.v) for r in rows.collect()} == {(1, "a"), (2, "c"), (4, "e")} and tuple(counts.first()) == (2, 2)
+    assert tuple(merge.upsert_counted(stored, batch.limit(0), ["k"], ["t"], F.lit(True))[1].first()) == (0, 0)
+    changes = spark.createDataFrame([(2, "x", None), (9, "y", 9)], "k int, v string, t int")
+    assert sorted(tuple(r) for r in merge.updated(stored, changes, "k").collect()) == [(1, "a", 1), (2, "x", 1)]

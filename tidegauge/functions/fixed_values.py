@@ -130,3 +130,7 @@ FOOTER_WORDS = ("©", "bản quyền", "tòa soạn", "giấy phép", "tổng bi
 
 # Parts of label names, by class, in the order they are looked for.
 LABEL_PARTS = {"negative": ("neg", "tiêu", "tieu", "xấu", "xau"), "positive": ("pos", "tích", "tich", "tốt", "tot"), "neutral": ("neu", "trung")}
+
+# Where pages state their date, in the order in which the places are tried.
+DATE_METAS = ("article:published_time", "pubdate", "datePublished", "DC.date.issued")
+DATE_CLASSES = ("story__time", "post-time", "format_date", "time", "post-date", "date", "tbts-date")

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidegauge.functions import fixed_values as fixed
+from tidegauge.functions.dates import parse_datetime
 
 # Characters before a phrase in which a negation turns it; characters around a ticker in which a trap is looked for; least length of a paragraph.
 NEGATION_REACH, TRAP_REACH, PARAGRAPH = 18, 20, 30
@@ -88,6 +89,9 @@ def label_of(raw: Column) -> Column:
     return out
 
 
+# Fixed value: how a question names a symbol.
+QUESTION_SYMBOL = r"\b([A-Z]{2,4})\b"
+
 _NOISE_NAME = re.compile(r"\b(?:" + "|".join(fixed.NOISE_WORDS) + r")\b", re.IGNORECASE)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -102,6 +106,8 @@ class _Article(HTMLParser):
         self.paragraphs: list[list[str]] = []
         self.heading: list[str] = []
         self.times: list[str] = []
+        self.dated: dict[str, list[str]] = {}
+        self.marks: list[list[str]] = []
 
     def _noisy(self) -> bool:
         return any(noise for _, noise in self.open)
@@ -112,22 +118,31 @@ class _Article(HTMLParser):
             self.meta.setdefault(values.get("property") or values.get("name") or values.get("itemprop") or "", values.get("content", ""))
         if tag == "time":
             self.times.append(values.get("datetime", ""))
+        # the first element of each class, and the first <time> without a moment, give their whole text
+        marks = [c for c in values.get("class", "").split() if c in fixed.DATE_CLASSES and c not in self.dated]
+        if tag == "time" and len(self.times) == 1 and not self.times[0]:
+            marks.append("<time>")
         if tag in _VOID:
             return
         if tag == "p" and any(t == "p" for t, _ in self.open):
             self.handle_endtag("p")  # a paragraph ends where the next one begins
         noise = tag in fixed.NOISE_TAGS or bool(_NOISE_NAME.search(f"{values.get('class', '')} {values.get('id', '')}"))
         self.open.append((tag, noise))
+        self.marks.append(marks)
+        self.dated.update({c: [] for c in marks})
         if tag == "p" and not self._noisy():
             self.paragraphs.append([])
 
     def handle_endtag(self, tag: str) -> None:
         if any(t == tag for t, _ in self.open):
             while self.open.pop()[0] != tag:
-                pass
+                self.marks.pop()
+            self.marks.pop()
 
     def handle_data(self, data: str) -> None:
         text = " ".join(data.split())
+        for c in {c for marks in self.marks for c in marks} if text else ():
+            self.dated[c].append(text)
         if not text or self._noisy():
             return
         if any(t == "h1" for t, _ in self.open):
@@ -156,6 +171,24 @@ def _articles(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["title", "summary", "image_url", "published", "content", "paragraphs"])
 
 
+def _date_texts(pages: pd.Series) -> pd.Series:
+    out = []
+    for html in pages:
+        parser = _Article()
+        parser.feed(html or "")
+        parser.close()
+        first_time = next(iter(parser.times), "") or "".join(parser.dated.get("<time>", []))
+        found = [*[parser.meta.get(n, "") for n in fixed.DATE_METAS], first_time, *["".join(parser.dated.get(c, [])) for c in fixed.DATE_CLASSES]]
+        out.append([t for t in found if t])
+    return pd.Series(out)
+
+
+def published_date(html: Column) -> Column:
+    """The date of a page: of the places where pages state one, in order, the first that parses; null if none does."""
+    texts = F.pandas_udf(_date_texts, "array<string>")(html)
+    return F.get(F.filter(F.transform(texts, lambda t: F.to_date(parse_datetime(t))), lambda d: d.isNotNull()), F.lit(0))
+
+
 def article(html: Column) -> Column:
     """The article in a page: meta values first, then elements; a page without a title has a null title."""
     return F.pandas_udf(_articles, "title string, summary string, image_url string, published string, content string, paragraphs int")(html)

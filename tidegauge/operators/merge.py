@@ -18,6 +18,21 @@ def upsert(stored: DataFrame, batch: DataFrame, keys: list[str], tie: list[str])
     return latest_per_key(both, keys, [F.desc("_fresh"), *[F.desc(c) for c in tie]]).drop("_fresh")
 
 
+def upsert_counted(stored: DataFrame, batch: DataFrame, keys: list[str], tie: list[str], valid: Column) -> tuple[DataFrame, DataFrame]:
+    """``upsert`` of the rows that are ``valid`` and have a key, and one row (written, failed) that counts the batch's rows."""
+    ok = F.coalesce(valid, F.lit(False))
+    for k in keys:
+        ok = ok & F.col(k).isNotNull()
+    return upsert(stored, batch.where(ok), keys, tie), batch.agg(F.count_if(ok).alias("written"), F.count_if(~ok).alias("failed"))
+
+
+def updated(stored: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """``stored`` with the values of ``changes`` (key and some columns, a row per key) where a key matches; null changes nothing."""
+    columns = [c for c in changes.columns if c != key]
+    both = stored.join(changes.select(key, *[F.col(c).alias(f"_{c}") for c in columns]), key, "left")
+    return both.select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in stored.columns])
+
+
 def insert_new(stored: DataFrame, batch: DataFrame, keys: list[str], tie: list[str]) -> DataFrame:
     """``stored`` and the rows of ``batch`` whose keys it lacks, each once."""
     fresh = latest_per_key(batch.join(stored.select(*keys), keys, "left_anti"), keys, [F.asc(c) for c in tie])

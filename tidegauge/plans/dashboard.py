@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import text
 from tidegauge.functions.windows import W
 from tidegauge.plans.events import _MATCHED, SYMBOL, _changes, _matched, daily
+from tidegauge.plans.indicators import _SNAPSHOT, _with_bars, kpi_snapshot
 from tidegauge.plans.texts import _HYBRID, _hybrid
 from tidegauge.sources.adapters import BARS, MARKET, NEWS, bars, news, table
 
@@ -109,12 +112,15 @@ def match_ranking(spark, sf_dir):
 @query(f"""with {_MATCHED}, {_HYBRID}, parts as (
     select 'news' as part, row_number() over (order by date desc, news_id desc) as place, date || ' ' || source || ' ' || split_part(text, chr(10), 1) as line from (select * from news order by date desc, news_id desc limit 10)
     union all select 'sentiment', row_number() over (order by label), label || ': ' || n from (select case when s > 0.1 then 'positive' when s < -0.1 then 'negative' else 'neutral' end as label, count(*) as n from h group by 1)
-    union all select 'change point', row_number() over (order by date desc, symbol), date || ' ' || symbol || ' ' || direction from (select * from cp order by date desc, symbol limit 15))
+    union all select 'change point', row_number() over (order by date desc, symbol), date || ' ' || symbol || ' ' || direction from (select * from cp order by date desc, symbol limit 15)
+    union all select 'test', 1, count(*) || ' ' || count(*) filter (where has_signal) || ' ' || count(*) filter (where match) from matched
+    union all select 'price', row_number() over (order by date desc, symbol), symbol || ' ' || date || ' ' || volume from (select * from bars order by date desc, symbol limit 30))
   select part, cast(place as integer) as place, line from parts""")
-def assistant_context(spark, sf_dir):
-    """What a question is answered from: newest news, the sentiment's distribution, newest change points."""
-    from pyspark.sql import Window
+def assistant_context(spark, sf_dir, question: str = ""):
+    """What a question is answered from: newest news, the sentiment's distribution, newest change points, the study's counts, prices.
 
+    Prices are the 10 newest of the symbol that the question names, or else the 30 newest of all.
+    """
     n = news(spark, sf_dir)
 
     def lines(rows, part, order, line):
@@ -127,7 +133,27 @@ def assistant_context(spark, sf_dir):
     by_date = [F.desc("date"), "symbol"]
     cp = _changes(spark, sf_dir).orderBy(*by_date).limit(15)
     c = lines(cp, "change point", by_date, F.concat_ws(" ", F.col("date").cast("string"), "symbol", F.col("direction").cast("string")))
-    return a.unionByName(b).unionByName(c)
+    counts = _matched(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if("has_signal").alias("s"), F.count_if("match").alias("m"))
+    d = counts.select(F.lit("test").alias("part"), F.lit(1).alias("place"), F.concat_ws(" ", *[F.col(x).cast("string") for x in "nsm"]).alias("line"))
+    prices, named = bars(spark, sf_dir), re.search(text.QUESTION_SYMBOL, question)
+    of_symbol = prices.where(F.col("symbol") == named.group(1)) if named else prices.limit(0)
+    newest = (prices.orderBy(*by_date).limit(30) if of_symbol.isEmpty() else of_symbol.orderBy(*by_date).limit(10))
+    e = lines(newest, "price", by_date, F.concat_ws(" ", "symbol", F.col("date").cast("string"), F.col("volume").cast("string")))
+    return a.unionByName(b).unionByName(c).unionByName(d).unionByName(e)
+
+
+@query(_with_bars(f"""$ {NEWS}, snap as ({_SNAPSHOT.replace("$", "with")}), parts as (
+    select 'snapshot' as part, 1 as place, date || ' ' || trend || ', ' || band as line from snap where symbol = '{SYMBOL}'
+    union all select 'news', row_number() over (order by date desc, news_id desc), date || ' ' || news_id || ' ' || source from (select * from news where symbol in ('{SYMBOL}', '{MARKET}') order by date desc, news_id desc limit 20))
+  select part, cast(place as integer) as place, line from parts"""))
+def drilldown_cards(spark, sf_dir):
+    """Beside a symbol's chart: its indicator snapshot, and the newest news of it and of the market."""
+    snap = kpi_snapshot(spark, sf_dir).where(F.col("symbol") == SYMBOL)
+    a = snap.select(F.lit("snapshot").alias("part"), F.lit(1).alias("place"), F.concat(F.col("date").cast("string"), F.lit(" "), "trend", F.lit(", "), "band").alias("line"))
+    order = [F.desc("date"), F.desc("news_id")]
+    newest = news(spark, sf_dir).where(F.col("symbol").isin(SYMBOL, MARKET)).orderBy(*order).limit(20)
+    b = newest.select(F.lit("news").alias("part"), F.row_number().over(Window.orderBy(*order)).alias("place"), F.concat_ws(" ", F.col("date").cast("string"), F.col("news_id").cast("string"), "source").alias("line"))
+    return a.unionByName(b)
 
 
 _TABLES = (("orders", "o_orderdate"), ("lineitem", "l_shipdate"), ("events", "ts"), ("documents", None), ("pages", None), ("labels", None), ("customer", None), ("supplier", None), ("part", None), ("nation", None), ("region", None), ("conversations", None))

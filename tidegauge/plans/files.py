@@ -68,6 +68,33 @@ def sitemap(spark, sf_dir):
     return rows.select(F.explode(files.sitemap_locations(F.col("xml"))).alias("url")).where(F.col("url").endswith(".html"))
 
 
+_MONTHS = "1995-03", "1997-11"
+
+
+@query(f"select strftime(o_orderdate, '%Y-%m') as month, 'https://a.example/' || o_orderkey || '.html' as url from orders where o_orderkey % 3 <> 0 and strftime(o_orderdate, '%Y-%m') between '{_MONTHS[0]}' and '{_MONTHS[1]}'")
+def monthly_sitemaps(spark, sf_dir):
+    """Pages of the monthly sitemaps of some months, out of an index of all months; other addresses don't count."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-M").alias("m"))
+    located = lambda place: F.concat(F.lit("<loc>\n"), place, F.lit(" </loc>"))
+    names = o.select("m").distinct().select(located(F.concat(F.lit("https://a.example/news-"), "m", F.lit(".xml"))).alias("x"))
+    index = names.agg(F.concat_ws("", F.collect_list("x"), F.lit("<loc>https://a.example/about.xml</loc>")).alias("xml"))  # a place per month
+    place = F.concat(F.lit("https://a.example/"), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 3 != 0, ".html").otherwise(".xml"))
+    # a month has many sitemaps, each of keys of one thousand
+    maps = o.groupBy("m", F.floor(F.col("o_orderkey") / 1000)).agg(F.concat_ws("", F.collect_list(located(place))).alias("xml")).withColumn("location", F.concat(F.lit("https://a.example/news-"), "m", F.lit(".xml")))
+    wanted = index.select(F.explode(files.months_between(F.col("xml"), *_MONTHS)).alias("x")).select("x.*")
+    return maps.join(wanted, "location").select("month", F.explode(files.sitemap_locations(F.col("xml"))).alias("url")).where(F.col("url").endswith(".html"))
+
+
+@query("select r_name as name, cast(row_number() over (partition by r_name order by n_name) - 1 as integer) as place, n_name as term from nation join region on n_regionkey = r_regionkey")
+def term_lists(spark, sf_dir):
+    """Dictionaries in files, a section of terms per region, read back with the terms' places."""
+    path = shared_dir(spark)
+    named = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    terms = F.array_join(F.transform(F.array_sort(F.collect_list("n_name")), lambda t: F.concat(F.lit('  - "'), t, F.lit('"'))), "\n")
+    named.groupBy("r_name").agg(terms.alias("t")).select(F.concat("r_name", F.lit(":  # terms\n"), "t", F.lit("\n"))).write.text(path)
+    return files.read_term_lists(spark, path)
+
+
 _ANSWERS = ('[{"TradingDate": "2026-01-05", "IndexValue": 1.5}]', '{"data": [{"TradingDate": "2026-01-06", "IndexValue": 2.5}, {"IndexValue": 9}]}', '{"items": [{"TradingDate": "2026-01-07T00:00:00"}]}', '{"other": 1}')
 
 

@@ -93,6 +93,24 @@ def upsert_latest_wins(spark, sf_dir):
     return merge.upsert(stored, batch, ["user_id", "event_type"], ["event_id"])
 
 
+@query("select count(*) filter (where value >= 5 and event_id % 7 <> 0) as written, count(*) filter (where value < 5 or event_id % 7 = 0) as failed from events where event_id % 3 <> 0")
+def upsert_counts(spark, sf_dir):
+    """Rows of a batch that an upsert wrote, and those that it left out: a value below 5, or no key."""
+    stored, batch = _quotes(spark, sf_dir)
+    batch = batch.withColumn("user_id", F.when(F.col("event_id") % 7 != 0, F.col("user_id")))
+    return merge.upsert_counted(stored, batch, ["user_id", "event_type"], ["event_id"], F.col("value") >= 5)[1]
+
+
+@query("""with d as (select user_id, max(ts) as finished_at from events where event_type = 'purchase' group by 1)
+  select r.run_id, case when d.user_id is null then 'running' else 'done' end as status, started_at, d.finished_at from (select user_id as run_id, min(ts) as started_at from events group by 1) r left join d on d.user_id = r.run_id""")
+def run_log_updates(spark, sf_dir):
+    """A log of runs, of which those that ended are updated by id."""
+    e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "run_id")
+    log = e.groupBy("run_id").agg(F.lit("running").alias("status"), F.min("ts").alias("started_at")).withColumn("finished_at", F.lit(None).cast(e.schema["ts"].dataType))
+    ended = e.where("event_type = 'purchase'").groupBy("run_id").agg(F.lit("done").alias("status"), F.max("ts").alias("finished_at"))
+    return merge.updated(log, ended, "run_id")
+
+
 @query("""with s as (select user_id, event_type, event_id, value from events where event_id % 3 = 0 and value > 20), b as (select * from events where event_id % 3 <> 0)
   select * from s union all select user_id, event_type, event_id, value from (select *, row_number() over (partition by user_id, event_type order by event_id) as rn from b
   where not exists (select 1 from s where s.user_id = b.user_id and s.event_type = b.event_type)) where rn = 1""")

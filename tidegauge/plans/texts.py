@@ -112,6 +112,12 @@ def html_articles(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "url", text.article("html").alias("a")).select("page_id", "url", "a.*")
 
 
+@query(None)
+def html_dates(spark, sf_dir):
+    """The dates that pages state."""
+    return table(spark, sf_dir, "pages").select("page_id", text.published_date(F.col("html")).alias("published_date"))
+
+
 @query(r"select page_id, coalesce(nullif(regexp_extract(html, '(?is)<meta[^>]*property=\"og:title\"[^>]*content=\"([^\"]*)\"', 1), ''), nullif(trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)), ''), nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '')) as title from pages")
 def html_title(spark, sf_dir):
     found = lambda p: F.nullif(F.trim(F.regexp_extract("html", p, 1)), F.lit(""))
@@ -326,3 +332,22 @@ def majority_vote(spark, sf_dir):
     v = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     a = v.groupBy("user_id").agg(F.max_by("event_type", F.struct("n", "event_type")).alias("label"), (F.max("n") / F.sum("n")).alias("c"))
     return a.select("user_id", "label", F.round("c", 6).alias("consistency"), F.when(F.col("c") >= 0.4, "high").when(F.col("c") >= 0.25, "medium").otherwise("low").alias("quality"))
+
+
+#: Terms of sectors and of the economy at large, in a corpus without either.
+SECTORS, ECONOMY = {"banks": ("of the", "and the"), "trade": ("to the", "in the")}, ("is the", "that the", "for the")
+_COUNTED = ", ".join(f"len(regexp_extract_all(low, '{_re2(v)}')) as {k}" for k, v in SECTORS.items())
+
+
+@query(rf"""with {NEWS}, x as (select news_id, text, lower(text) as low from news where text is not null), m as (select news_id, list_sort(list_distinct(regexp_extract_all(text, '{_re2(CODES[:2])}', 1))) as companies, {_COUNTED}, list_sort(list_distinct(regexp_extract_all(low, '{_re2(ECONOMY)}', 1))) as terms from x),
+  t as (select news_id, companies, list_filter([{", ".join(f"case when {k} > 0 then '{k}' end" for k in SECTORS)}], lambda s: s is not null) as sectors, terms from m)
+  select news_id, cast(case when len(companies) > 0 then 3 when len(sectors) > 0 then 2 else 1 end as integer) as tier, array_to_string(case when len(companies) > 0 then companies when len(sectors) > 0 then sectors else terms end, ',') as entities from t""")
+def article_tiers(spark, sf_dir):
+    """Companies named in an article (tier 3); without any, its sectors (2); without any, terms of the economy (1)."""
+    low = F.lower("text")
+    named = lambda column, words: F.array_sort(F.array_distinct(F.regexp_extract_all(column, F.lit(_native(words)), F.lit(1))))
+    sectors = F.array_compact(F.array(*[F.when(low.rlike(_native(v)), k) for k, v in SECTORS.items()]))
+    found = news(spark, sf_dir).where("text is not null").select("news_id", named(F.col("text"), CODES[:2]).alias("companies"), sectors.alias("sectors"), named(low, ECONOMY).alias("terms"))
+    tier = F.when(F.size("companies") > 0, 3).when(F.size("sectors") > 0, 2).otherwise(1)
+    entities = F.when(tier == 3, F.col("companies")).when(tier == 2, F.col("sectors")).otherwise(F.col("terms"))
+    return found.select("news_id", tier.alias("tier"), F.array_join(entities, ",").alias("entities"))

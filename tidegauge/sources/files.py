@@ -67,6 +67,29 @@ def sitemap_locations(xml: Column) -> Column:
     return F.transform(F.regexp_extract_all(xml, F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))
 
 
+def months_between(index_xml: Column, first: str, last: str) -> Column:
+    """(month, location) of the monthly sitemaps of an index from ``first`` to ``last`` (yyyy-MM), in that order."""
+    name = r"news-(\d{4})-(\d{1,2})"
+
+    def named(place: Column) -> Column:
+        month = F.concat(F.regexp_extract(place, name, 1), F.lit("-"), F.lpad(F.regexp_extract(place, name, 2), 2, "0"))
+        return F.struct(F.when(place.rlike(name), month).alias("month"), place.alias("location"))
+
+    return F.array_sort(F.filter(F.transform(sitemap_locations(index_xml), named), lambda x: F.coalesce(x["month"].between(first, last), F.lit(False))))
+
+
+def read_term_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(name, place, term) of dictionary files in the list form of YAML: ``name:`` and, below it, lines ``- term``.
+
+    Files are read whole: a dictionary is small. Quotes around a term and comments go.
+    """
+    sections = F.regexp_extract_all("value", F.lit(r"(?m)^[^\s#:][^:\n]*:[ \t]*(?:#.*)?\n(?:[ \t]*(?:-.*|#.*)?(?:\n|\z))*"), F.lit(0))
+    found = spark.read.text(path, wholetext=True).select(F.explode(sections).alias("section"))
+    terms = F.regexp_extract_all("section", F.lit(r"(?m)^[ \t]*-[ \t]+(.*?)[ \t]*(?:[ \t]#.*)?$"), F.lit(1))
+    rows = found.select(F.btrim(F.substring_index("section", ":", 1)).alias("name"), F.posexplode(terms).alias("place", "term"))
+    return rows.withColumn("term", F.regexp_replace("term", r"""^(["'])(.*)\1$""", "$2"))
+
+
 def unwrapped(body: Column, element: str) -> Column:
     """The elements of a JSON answer, whether it is a list or holds one as ``data`` or ``items``."""
     envelope = F.from_json(body, f"struct<data: array<{element}>, items: array<{element}>>")
