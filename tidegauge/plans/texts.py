@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import dates, text
 from tidegauge.shared import written
-from tidegauge.sources.adapters import MARKET, NEWS, news, table
+from tidegauge.sources.adapters import MARKET, NEWS, news, spread, table
 
 QUERIES: dict[str, tuple] = {}
 
@@ -56,7 +56,7 @@ _NET = rf"net as (select news_id, symbol, date, score, source, cast(len(regexp_e
 
 def _net(n):
     low = F.lower("text")
-    return n.select("news_id", "symbol", "date", "score", "source", F.regexp_count(low, F.lit(_native(GOOD))).alias("pos"), F.regexp_count(low, F.lit(_native(BAD))).alias("neg"))
+    return spread(n.select("news_id", "symbol", "date", "score", "source", "text"), "news_id").select("news_id", "symbol", "date", "score", "source", F.regexp_count(low, F.lit(_native(GOOD))).alias("pos"), F.regexp_count(low, F.lit(_native(BAD))).alias("neg"))
 
 
 @query(f"with {NEWS}, {_NET} select news_id, pos, neg, pos - neg as net from net")
@@ -239,7 +239,7 @@ def tfidf_top_terms(spark, sf_dir):
         return F.when(F.size(w) > 1, F.concat(w, pairs)).otherwise(w)
 
     # a lambda's variable binds the words once: as a column they would be found anew for every pair
-    docs = table(spark, sf_dir, "documents").where("text is not null and source is not null").select("doc_id", "source", F.element_at(F.transform(F.array(w), terms), 1).alias("terms"))
+    docs = spread(table(spark, sf_dir, "documents").where("text is not null and source is not null").select("doc_id", "source", "text"), "doc_id").select("doc_id", "source", F.element_at(F.transform(F.array(w), terms), 1).alias("terms"))
     sizes = docs.groupBy("source").agg(F.count("*").alias("sd"))
     n = sizes.agg(F.sum("sd").alias("docs"))
     # occurrences and documents of a term in one combined aggregation

@@ -16,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` of a table that is read in fewer splits than there are cores, dealt by ``key`` so that all cores work on its texts; others as they are.
+
+    A file of one row group is one task however large its texts are. Inputs of many files aren't shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars: a symbol per order priority, orders as ticks. One combined aggregation."""
     orders = table(spark, sf_dir, "orders")
