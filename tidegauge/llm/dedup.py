@@ -66,16 +66,16 @@ def sketch_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sketched, _SETS)
 
 
-def _blocked(members: DataFrame, key: str, mass: F.Column) -> DataFrame:
+def blocked(members: DataFrame, key: str, mass: F.Column, most: int | None = None) -> DataFrame:
     """Rows (key, p, q) for each pair of blocks in which members of different groups of a key can meet.
 
     ``members`` has ``key``, node and head, the node's group. Blocks have about
-    BLOCK_NODES members and BLOCK_SHINGLES of ``mass``. The key's largest group
+    ``most`` (BLOCK_NODES) members and BLOCK_SHINGLES of ``mass``. The key's largest group
     (the core) has blocks of its own, which don't meet one another.
     """
     groups = members.groupBy(key, "head").agg(F.count("*").alias("n"), F.sum(mass).alias("m"))
     sizes = groups.groupBy(key).agg(F.max(F.struct("n", "m", "head")).alias("core"), F.sum("n").alias("n"), F.sum("m").alias("m"))
-    blocks = lambda n, m: F.greatest(F.ceil(n / BLOCK_NODES), F.ceil(m / BLOCK_SHINGLES), F.lit(1)).cast("long")
+    blocks = lambda n, m: F.greatest(F.ceil(n / (most or BLOCK_NODES)), F.ceil(m / BLOCK_SHINGLES), F.lit(1)).cast("long")
     sizes = sizes.select(key, F.col("core.head").alias("_core"), blocks(F.col("core.n"), F.col("core.m")).alias("_cores"), blocks(F.col("n") - F.col("core.n"), F.col("m") - F.col("core.m")).alias("_others"))
     dealt = members.join(sizes, key).withColumn("_in", F.col("head") == F.col("_core"))
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("_in"), F.col("_cores")).otherwise(F.col("_others"))) + F.when(F.col("_in"), F.col("_others")).otherwise(0)
@@ -84,7 +84,7 @@ def _blocked(members: DataFrame, key: str, mass: F.Column) -> DataFrame:
     return dealt.withColumn("p", F.least("_b", "_o")).withColumn("q", F.greatest("_b", "_o")).drop("_core", "_cores", "_others", "_in", "_b", "_o")
 
 
-def _forest(n: int, left: np.ndarray, right: np.ndarray) -> list[int]:
+def spanning(n: int, left: np.ndarray, right: np.ndarray) -> list[int]:
     """Places of the edges of a spanning forest of a graph on 0..n-1."""
     parent = list(range(n))
 
@@ -174,7 +174,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hit = np.flatnonzero((100 * later.astype(np.int64) >= PERCENT * (n[r] + n[r + 1 :] - later)) & (group[r + 1 :] != group[r]))
                 pairs += [(r, r + 1 + y) for y in hit.tolist()]
             left, right = np.array(pairs, np.int64).reshape(-1, 2).T if pairs else (np.zeros(0, np.int64),) * 2
-            chosen = _forest(int(group.max()) + 1, group[left], group[right])
+            chosen = spanning(int(group.max()) + 1, group[left], group[right])
             yield _edges(nodes[s:e], [pairs[k] for k in chosen])
 
 
@@ -211,12 +211,12 @@ def _between_groups(sets: DataFrame, kept: DataFrame, spread: DataFrame, heads:
     mixed = members.groupBy("bh").agg(F.min("head").alias("x"), F.max("head").alias("y")).where("x <> y").select("bh")
     members = written(members.join(mixed, "bh", "left_semi"))
     members = members.join(kept.select("node", "n_shingles", "sketch"), "node")
-    blocks = _blocked(members, "bh", F.lit(0)).select("bh", "p", "q", "node", "head", "n_shingles", "sketch")
+    blocks = blocked(members, "bh", F.lit(0)).select("bh", "p", "q", "node", "head", "n_shingles", "sketch")
     near = written(blocks.repartition("bh", "p", "q").sortWithinPartitions("bh", "p", "q", "node").mapInArrow(_near, "node long, head long, root long"))
     clusters = components(near.select(F.col("head").alias("a"), F.col("root").alias("b")))
     touched = near.select("node", "head").distinct().join(clusters.select(F.col("node").alias("head"), F.col("component").alias("cluster")), "head")
     touched = written(touched.join(sets, "node"))
-    meet = _blocked(touched, "cluster", F.size("shingles")).select("cluster", "p", "q", "node", "head", "shingles")
+    meet = blocked(touched, "cluster", F.size("shingles")).select("cluster", "p", "q", "node", "head", "shingles")
     return meet.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "node").mapInArrow(_linked, "a long, b long")
 
 

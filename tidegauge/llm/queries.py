@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm.common import load
-from tidegauge.llm import archives, decontamination, lengths, merkle, mixing, quality, secrets, tokenfiles, topk, toxicity
+from tidegauge.llm import archives, decontamination, lengths, merkle, mixing, quality, secrets, simhash, tokenfiles, topk, toxicity
 from tidegauge.llm.dedup import near_duplicates
 
 
@@ -52,12 +52,16 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_fingerprints(load(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(load(spark, sf_dir, "documents"), merkle.tampered_leaf())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_secrets, op4_toxicity, op5_archives, op6_decontamination, op7_token_files, op8_token_counts, op9_topk, op10_minhash, op13_merkle)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_secrets, op4_toxicity, op5_archives, op6_decontamination, op7_token_files, op8_token_counts, op9_topk, op10_minhash, op11_simhash, op13_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -26,8 +26,8 @@ SLICE_BYTES = 1 << 20
 _rng = np.random.default_rng(20240229)
 _TABLE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _TABLE[65:91] = _TABLE[97:123]
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MIX = [U64(int(x) | 1) for x in _rng.integers(1, 2**63, WIDTH + 1, dtype=np.int64)]
@@ -73,7 +73,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    solid = ~_SPACE[data]
+    solid = ~SPACE[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     last = solid.copy()
