@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm.common import load
-from tidegauge.llm import archives, decontamination, lengths, merkle, mixing, quality, secrets, simhash, tokenfiles, topk, toxicity
+from tidegauge.llm import archives, decontamination, lengths, merkle, mixing, quality, ranking, secrets, simhash, tokenfiles, topk, toxicity
 from tidegauge.llm.dedup import near_duplicates
 
 
@@ -56,13 +56,17 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_fingerprints(load(spark, sf_dir, "documents"))
 
 
+def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(load(spark, sf_dir, "documents"), merkle.tampered_leaf())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_secrets, op4_toxicity, op5_archives, op6_decontamination, op7_token_files, op8_token_counts, op9_topk, op10_minhash, op11_simhash, op13_merkle)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_secrets, op4_toxicity, op5_archives, op6_decontamination, op7_token_files, op8_token_counts, op9_topk, op10_minhash, op11_simhash, op12_ranking, op13_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE, "op5_archives": archives.ORACLE, "op6_decontamination": decontamination.ORACLE, "op9_topk": topk.ORACLE, "op13_merkle": merkle.ORACLE}
+    return {"op1_mixing": mixing.ORACLE, "op5_archives": archives.ORACLE, "op6_decontamination": decontamination.ORACLE, "op9_topk": topk.ORACLE, "op12_ranking": ranking.ORACLE, "op13_merkle": merkle.ORACLE}
