@@ -94,8 +94,11 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def without_items(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item."""
-    return docs.join(contained(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that hold no item, with their columns. Rows without doc_id are known by their text here."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # as one column: no name of theirs can clash
+    key = F.coalesce(F.concat(F.lit("id "), F.col("doc_id").cast("string")), F.concat(F.lit("text "), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    found = contained(docs.select(key.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("_key")).distinct()
+    return docs.select(row.alias("_row"), key.alias("_key")).join(found, "_key", "left_anti").select("_row.*")
 
 
 ORACLE = r"""

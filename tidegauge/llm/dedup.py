@@ -262,10 +262,11 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
 
     Rows without words of a document whose other rows go stay: they are linked with nothing.
     """
-    keys = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_text"))
+    words = F.coalesce(F.regexp_like(F.col("text").cast("string"), F.lit(WORD)), F.lit(False))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # as one column: no name of theirs can clash
+    marked = docs.select(row.alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_text"), words.alias("_words"))
     gone = written(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_doc")).distinct())
-    repeated = written(keys.where("_doc is not null").groupBy("_doc", "_text").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-    marked = docs.withColumn("_doc", F.col("doc_id").cast("long")).withColumn("_text", F.xxhash64("text")).withColumn("_words", F.coalesce(F.regexp_like(F.col("text").cast("string"), F.lit(WORD)), F.lit(False)))
+    repeated = written(marked.where("_doc is not null").groupBy("_doc", "_text").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     stay = marked.join(gone.withColumn("_words", F.lit(True)), ["_doc", "_words"], "left_anti")
     once = stay.join(repeated, ["_doc", "_text"], "left_semi").dropDuplicates(["_doc", "_text"])
-    return stay.join(repeated, ["_doc", "_text"], "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    return stay.join(repeated, ["_doc", "_text"], "left_anti").select("_row").unionByName(once.select("_row")).select("_row.*")

@@ -22,7 +22,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, allowed: F.Column, pe
     with its greater label. The sample's expected size is bounded by ``per_class``
     (documented parameter), so it may be broadcast and learnt by one task; the
     model comes back to the driver, the texts don't. Without labelled texts (empty
-    tables, or labels of other documents) ``fit`` gets none.
+    tables, or labels of other documents) ``fit`` gets none. Other columns are ignored, whatever their names.
     """
     known = labels.where(allowed & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
     found = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
@@ -32,8 +32,8 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, allowed: F.Column, pe
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1_000_000
     limit = F.coalesce(*[F.when(F.col("_label") == k, F.lit(v)) for k, v in share.items()])
     chosen = known.where(draw < limit).select(F.col("doc_id").alias("_doc"), "_label")
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_doc"))
-    rows = rows.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("_label").alias("label"), F.col("_doc").alias("doc"))
+    texts = docs.select(F.col("doc_id").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(chosen), F.col("doc") == F.col("_doc")).select("text", F.col("_label").alias("label"), "doc")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b.select(["text", "label"]) for b in batches if b.num_rows]
