@@ -251,6 +251,18 @@ def test_contained_items(spark, odd_docs, no_docs):
     assert decontamination.contained(no_docs, items).count() == 0 and decontamination.contained(odd_docs, items.limit(0)).count() == 0
 
 
+def test_members_of_a_hub_are_dealt(spark):
+    """A hub of 20,000 members: each part of them meets a copy of its own, and none has over twice the mean."""
+    stars = prepare(spark).range(20_000).selectExpr("id as a", "-1L as b").unionByName(spark.range(30).selectExpr("id as a", "-id - 2 as b"))
+    dealt = dedup._dealt(stars).cache()
+    assert dealt.count() == 20_030 and dealt.where("b < -1").agg(F.max("salt")).first()[0] == 0
+    parts = [r["count"] for r in dealt.where("b = -1").groupBy("salt").count().collect()]
+    assert len(parts) == -(-20_000 // dedup.MEMBERS) and max(parts) <= 2 * 20_000 / len(parts)
+    joined = dedup._with_hubs(dealt, spark.createDataFrame([(-1, "set")], "b long, right string"))
+    assert joined.count() == 20_000 and joined.select("b", "salt").distinct().count() == len(parts)
+    dealt.unpersist()
+
+
 # classifiers
 
 

@@ -39,6 +39,8 @@ PERCENT = 75
 AGREE = 71
 #: Nodes, and shingles, that a block holds on average.
 BLOCK_NODES, BLOCK_SHINGLES = 256, 400_000
+#: Members of a bucket that are held against one copy of its representative, on average.
+MEMBERS = 512
 
 _SETS = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch binary"
 
@@ -121,11 +123,11 @@ def _edges(nodes: np.ndarray, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, left, right) whose sketches agree enough."""
+    """Pairs (a, b, left, right, salt) whose sketches agree enough."""
     for batch in batches:
         if batch.num_rows:
             left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (2, 3))
-            yield batch.filter(pa.array((left == right).sum(1) >= AGREE)).select([0, 1])
+            yield batch.filter(pa.array((left == right).sum(1) >= AGREE)).select([0, 1, 4])
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,13 +196,29 @@ def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return written(chosen.mapInArrow(_with_sets, "node long, shingles array<long>").where(F.size("shingles") > 0))
 
 
+def _dealt(stars: DataFrame) -> DataFrame:
+    """``stars`` (a, b) with ``salt``: the members of a hub b in parts of about MEMBERS each."""
+    parts = F.ceil(F.col("count") / MEMBERS).cast("long")
+    sizes = stars.groupBy("b").count().select("b", parts.alias("_parts"))
+    return stars.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a", F.lit(3)), F.col("_parts")).alias("salt"))
+
+
+def _with_hubs(stars: DataFrame, rows: DataFrame) -> DataFrame:
+    """``stars`` (a, b, salt, ...) joined with ``rows`` (b, ...), of which each part of a hub's members gets a copy."""
+    hubs = stars.select("b", "salt").distinct().join(rows, "b")
+    return stars.join(hubs, ["b", "salt"])
+
+
 def _to_representatives(sets: DataFrame, kept: DataFrame, spread: DataFrame) -> DataFrame:
-    """Links (a, b) between the representative (hub) of each bucket and its other members."""
-    stars = spread.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    """Links (a, b) between the representative (hub) of each bucket and its other members.
+
+    A hub of very many members never meets them in one task: it is copied once for every MEMBERS of them.
+    """
+    stars = written(_dealt(written(spread.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())))
     sketched = kept.select("node", "n_shingles", "sketch")
-    both = stars.join(sketched.toDF("a", "na", "left"), "a").join(sketched.toDF("b", "nb", "right"), "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    pairs = written(both.select("a", "b", "left", "right").mapInArrow(_agreeing, "a long, b long"))
-    both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
+    both = _with_hubs(stars.join(sketched.toDF("a", "na", "left"), "a"), sketched.toDF("b", "nb", "right")).where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+    pairs = written(both.select("a", "b", "left", "right", "salt").mapInArrow(_agreeing, "a long, b long, salt long"))
+    both = _with_hubs(pairs.join(sets.toDF("a", "left"), "a"), sets.toDF("b", "right"))
     both = both.withColumn("shared", F.size(F.array_intersect("left", "right")))
     return both.where(100 * F.col("shared") >= PERCENT * (F.size("left") + F.size("right") - F.col("shared"))).select("a", "b")
 
