@@ -263,6 +263,21 @@ def test_members_of_a_hub_are_dealt(spark):
     dealt.unpersist()
 
 
+def test_a_payload_on_very_many_pages(spark):
+    """Payloads are dealt by page and digest, so that none of a popular digest's tasks has over twice the mean."""
+    pages = prepare(spark).range(20_000).selectExpr("id as page_id", "concat('http://h/', id) as url", "repeat('popular ', 200) as html")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in archives.records(pages).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 20_000 and len(sizes) > 1 and max(sizes) <= 2 * 20_000 / len(sizes)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    got = archives.round_trip(pages).groupBy("record_type", "refers_to").count().collect()
+    assert {(r[0], r[1], r[2]) for r in got} == {("response", None, 1), ("revisit", 19_999, 19_999)}
+
+
 # classifiers
 
 
@@ -442,7 +457,7 @@ def test_secret_candidates(spark):
 
 def test_archives_round_trip(spark):
     big, tricky = "é" * 700, "WARC/1.1\r\nX: y\r\n\r\n" + "t" * 2000 + "\r\n\r\nWARC/1.1\r\n"
-    data = [(1, "http://A.example.com:80/x?q#f", big), (2, "http://a.example.com/x?q", big), (3, None, big), (4, "u", "short"), (5, "u", "short"), (6, "http://b.org", None), (7, "http://b.org/", ""), (8, "http://b.org/z\r\ny", tricky), (9, "http://b.org/z", tricky), (None, "n", big), (10, "m", "\r\n\r\nline\r\n")]
+    data = [(1, "http://A.example.com:80/x?q#f", big), (2, "http://a.example.com/x?q", big), (3, None, big), (4, "u", "short"), (5, "u", "short"), (6, "http://b.org", None), (7, "http://b.org/", ""), (8, "http://b.org/z\r\ny", tricky), (9, "http://b.org/z", tricky), (None, "n", big), (10, "m", "\r\n\r\nline\r\n"), (11, "m", "ends as a record starts: WARC/1.1")]
     data.append(data[1])
     pages = prepare(spark).createDataFrame(data, "page_id long, url string, html string").withColumn("digest", F.lit("x")).repartition(3)
     got = archives.round_trip(pages).collect()
@@ -451,7 +466,7 @@ def test_archives_round_trip(spark):
     payload = {p: (h or "").encode() for p, _, h in data}
     for p, r in by.items():
         assert (r.payload_bytes, r.payload_digest) == (len(payload[p]), hashlib.sha1(payload[p]).hexdigest())
-    assert {p: (r.record_type, r.refers_to) for p, r in by.items()} == {1: ("revisit", 3), 2: ("revisit", 3), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None), 7: ("response", None), 8: ("revisit", 9), 9: ("response", None), None: ("revisit", 3), 10: ("response", None)}
+    assert {p: (r.record_type, r.refers_to) for p, r in by.items()} == {1: ("revisit", 3), 2: ("revisit", 3), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None), 7: ("response", None), 8: ("revisit", 9), 9: ("response", None), None: ("revisit", 3), 10: ("response", None), 11: ("response", None)}
     assert [r.url_key for r in got] == sorted(r.url_key for r in got)
     assert by[1].url_key == "com,example,a)/x?q" and len({(r.archive, r.offset) for r in got}) == len(data)
     assert archives.round_trip(pages.limit(0)).count() == 0

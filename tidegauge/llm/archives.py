@@ -6,7 +6,9 @@ survive lost executors like any other output. Equal payloads of at least
 REVISIT_BYTES are stored once: the record of the greatest page_id is the
 response, the others are revisit records that refer to it. A payload that holds
 the start line of a record is stored in base64 under an HTTP header that says so;
-archives can therefore be read in splits, by the separator ``\r\n\r\nWARC/1.1\r\n``.
+archives can therefore be read in splits, by the start line ``WARC/1.1\r\n`` as the
+separator: its first character doesn't come again in it, and readers of splits lose
+a separator that overlaps with itself where it crosses the end of a buffer.
 
 The index has a row per record: URL key (host labels reversed, then path and
 query), timestamp, archive, offset. It is made by an external merge: each task
@@ -53,11 +55,14 @@ def records(pages: DataFrame) -> DataFrame:
     """(value): the text of each page's record, with room for its offset."""
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     base = base.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
-    # html is read once for the keepers of repeated payloads and once for the records; only digests are shuffled
-    repeated = base.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = base.join(written(repeated), "digest", "left")
-    revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")) & (F.col("bytes") >= REVISIT_BYTES)
-    packed = F.contains("payload", F.lit(_START))
+    # who refers to whom is found among digests; payloads are then dealt by (page_id, digest), so that those of a popular digest are spread
+    known = written(base.where(F.col("bytes") >= REVISIT_BYTES).select("page_id", "digest"))
+    repeated = known.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
+    named = lambda page: F.coalesce(page.cast("string"), F.lit(""))
+    revisits = written(known.join(repeated, "digest").where(~F.col("page_id").eqNullSafe(F.col("keeper"))).select(named(F.col("page_id")).alias("page"), "digest", "keeper").distinct())
+    rows = base.withColumn("page", named(F.col("page_id"))).join(revisits, ["page", "digest"], "left").drop("page")
+    revisit = F.col("keeper").isNotNull()
+    packed = F.contains(F.concat(F.col("payload"), F.lit(_END)), F.lit(_START))
     body = F.when(revisit, "").when(packed, F.base64("payload")).otherwise(F.col("payload"))
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"),
@@ -104,7 +109,7 @@ def write_archives(pages: DataFrame, folder: str) -> None:
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """A row per record: page_id, payload_bytes, payload_digest, record_type, refers_to, url, captured, archive, offset, intact, payload."""
-    rows = spark.read.option("lineSep", _END + _START).text(folder).select("value", F.col("_metadata.file_name").alias("archive"))
+    rows = spark.read.option("lineSep", _START).text(folder).select("value", F.col("_metadata.file_name").alias("archive"))
     cut = F.locate(_END, F.col("value"))
     head = F.concat(F.lit(_EOL), F.substring(F.col("value"), F.lit(1), cut - 1), F.lit(_EOL))
     block = F.col("value").substr(cut + 4, F.length("value"))
