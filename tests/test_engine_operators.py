@@ -14,6 +14,7 @@ from tidegauge import shared
 from tidegauge.functions import fixed_values, text
 from tidegauge.functions.windows import change, full, frame, obv
 from tidegauge.operators import association, changepoint, merge, metrics, ranks
+from tidegauge.operators import scan as scan_
 from tidegauge.operators.ewm import with_ewm
 from tidegauge.plans.dashboard import scan
 from tidegauge.plans.models import pooled_quantiles
@@ -73,6 +74,10 @@ def test_ewm_and_rolling_edges(spark):
     e = with_ewm(b, {"plain": ("close", dict(alpha=0.5, adjust=False)), "adjusted": ("close", dict(alpha=0.5))}).orderBy("date").toPandas()
     assert list(e["plain"][:4]) == [1, 1.5, 2.25, 3.125]
     assert [round(x, 4) for x in e["adjusted"][:4]] == [1, 1.6667, 2.4286, 3.2667]
+    chained = with_ewm(b, {"fast": ("close", dict(span=3, adjust=False)), "slow": ("close", dict(span=7, adjust=False)), "line": ("fast - slow", dict(span=5, adjust=False, min_periods=4))}).orderBy("date").toPandas()
+    want = pd.Series(closes)
+    line = (want.ewm(span=3, adjust=False).mean() - want.ewm(span=7, adjust=False).mean()).ewm(span=5, adjust=False, min_periods=4).mean()
+    assert np.allclose(chained["line"].to_numpy(float), line.to_numpy(), equal_nan=True)
     r = b.select("date", full(F.avg, F.col("close"), frame(20), 20).alias("m"), change(F.col("volume")).alias("v"), obv(F.col("close"), F.col("volume")).alias("o")).orderBy("date").toPandas()
     assert r["m"].isna().sum() == 19
     assert pd.isna(r["v"][4]) and r["v"][3] == -1  # a change from zero is unknown
@@ -319,3 +324,57 @@ def test_counted_upsert_and_updates_by_id(spark):
     assert tuple(merge.upsert_counted(stored, batch.limit(0), ["k"], ["t"], F.lit(True))[1].first()) == (0, 0)
     changes = spark.createDataFrame([(2, "x", None), (9, "y", 9)], "k int, v string, t int")
     assert sorted(tuple(r) for r in merge.updated(stored, changes, "k").collect()) == [(1, "a", 1), (2, "x", 1)]
+
+
+def test_ewm_of_long_short_and_odd_series(spark):
+    """One series of most rows over many ranges, short ones, a null key, nulls at the head, inside and throughout; against a plain loop."""
+    rng = np.random.default_rng(11)
+    rows = [("long", k, None if rng.random() < 0.1 and k != 0 else float(rng.normal())) for k in range(3000)]
+    rows += [(f"s{j}", k, float(rng.normal()) if k > j else None) for j in range(40) for k in range(j % 7 + 1)] + [(None, k, float(k)) for k in range(5)] + [("empty", k, None) for k in range(3)]
+    columns = {"plain": ("x", dict(alpha=0.3, adjust=False)), "adjusted": ("x", dict(com=4)), "late": ("x", dict(span=9, adjust=False, min_periods=6))}
+    got = with_ewm(prepare(spark).createDataFrame(rows, "k string, at long, x double").repartition(7), columns, "k", ("at",)).toPandas()
+    assert len(got) == len(rows)
+    frame = pd.DataFrame(rows, columns=["k", "at", "x"])
+    for (k, part), (_, mine) in zip(frame.groupby("k", dropna=False), got.groupby("k", dropna=False)):
+        mine = mine.sort_values("at")
+        for name, (_, how) in columns.items():
+            want = part.sort_values("at")["x"].astype(float).ewm(ignore_na=True, **how).mean()
+            assert np.allclose(mine[name].to_numpy(float), want.to_numpy(), rtol=1e-12, equal_nan=True), (k, name)
+
+
+def test_scan_with_steps_of_any_size(spark):
+    """A recurrence whose steps differ, also zero and negative ones, and batches that a series crosses."""
+    rng = np.random.default_rng(12)
+    a, b = rng.choice([0.0, -0.5, 0.9, 1.0], 5000), rng.normal(size=5000)
+    rows = prepare(spark).createDataFrame([("one" if k < 4990 else "two", k, float(a[k]), float(b[k])) for k in range(5000)], "key string, at long, a double, b double")
+    got = scan_.scan(rows, "key", ["at"], {"y": (F.col("a"), F.col("b"), None)}).orderBy("at").toPandas()
+    y = 0.0
+    for k in range(5000):
+        y = (0.0 if k == 4990 else y) * a[k] + b[k]
+        assert abs(got["y"][k] - y) < 1e-9
+    assert scan_.scan(rows.limit(0), "key", ["at"], {"y": (F.col("a"), F.col("b"), None)}).count() == 0
+
+
+def test_streamed_means_with_late_rows_and_a_restart(spark, tmp_path):
+    """Three deliveries, rows of an earlier hour among later ones, a restart after each: the means are those of the ordered whole."""
+    from tidegauge.streaming import incremental, ordered
+
+    spark = prepare(spark)
+    rng, start = np.random.default_rng(13), dt.datetime(2024, 1, 1)
+    rows = [(k, start + dt.timedelta(minutes=int(k * 2)), 1, "ab"[k % 2] if k % 11 else None, None if k % 17 == 3 else float(rng.normal()), "") for k in range(240)]
+    for k in range(0, 230, 9):  # late by up to half an hour
+        rows[k], rows[k + 7] = rows[k + 7], rows[k]
+    out = []
+    for part in range(3):
+        spark.createDataFrame(rows[part * 80 : part * 80 + 80], incremental.EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+        stream = lambda: ordered.ordered_means(incremental.source(spark, str(tmp_path)), 0.2)
+        incremental.stateful(spark, ordered.PROVIDER, lambda: incremental.drained(stream(), each=lambda rows, _: out.extend(rows.collect()), checkpoint=f"file://{tmp_path}/checkpoint"))
+    last = max(r[1] for r in rows)
+    frame = pd.DataFrame(rows, columns=["event_id", "ts", "u", "symbol", "value", "p"]).fillna({"symbol": ""}).sort_values(["ts", "event_id"])
+    frame["mean"] = frame.groupby("symbol")["value"].transform(lambda x: x.astype(float).ewm(alpha=0.2, adjust=False, ignore_na=True).mean())
+    frame = frame[frame["ts"].dt.floor("h") + pd.Timedelta("1h") <= last - pd.Timedelta("1h")]
+    want = {r.event_id: (r.symbol, r.mean) for r in frame.itertuples()}
+    got = {r.event_id: (r.symbol, r.mean) for r in out}
+    assert len(out) == len(got) == len(want) > 150 and set(got) == set(want)
+    for k, (symbol, mean) in want.items():
+        assert got[k][0] == symbol and (got[k][1] is None if np.isnan(mean) else abs(got[k][1] - mean) < 1e-9)

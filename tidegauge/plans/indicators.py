@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.windows import ALL, W, YEAR, change, frame, full, garman_klass, log_change, obv, parkinson, running
 from tidegauge.operators.ewm import with_ewm
-from tidegauge.sources.adapters import BARS, bars
+from tidegauge.sources.adapters import BARS, bars, table
 
 QUERIES: dict[str, tuple] = {}
 
@@ -243,3 +243,25 @@ def atr(b, c, h, l, o, v):
     tr = b.select(*KEY, F.greatest(h - l, F.abs(h - pc), F.abs(l - pc)).alias("tr"))
     e = with_ewm(tr, {"atr": ("tr", dict(com=13, min_periods=14))})
     return e.select(*KEY, F.round(F.when(~F.isnan("atr"), F.col("atr")), 5).alias("atr_14"))
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as ticks of three series, each with a large share of all rows."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("symbol"), F.col("l_shipdate").alias("at"), "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price"))
+
+
+#: Ticks after which older ones don't show in a double any more.
+_REACH = 480
+_TICKS = f"""with t as (select l_returnflag as symbol, l_orderkey, l_linenumber, l_shipdate, list(l_extendedprice) over w as l, row_number() over (partition by l_returnflag order by l_shipdate, l_orderkey, l_linenumber, l_extendedprice) as rn
+  from lineitem window w as (partition by l_returnflag order by l_shipdate, l_orderkey, l_linenumber, l_extendedprice rows {_REACH - 1} preceding))
+  select symbol, l_orderkey, l_linenumber, round(list_sum(list_transform(l, lambda x, i: x * (11 / 13.0::double) ** (len(l) - i) * case when i = 1 and rn = len(l) then 1 else 2 / 13.0::double end)), 4) as ema_12,
+  round(list_sum(list_transform(l, lambda x, i: x * (13 / 14.0::double) ** (len(l) - i))) / list_sum(list_transform(l, lambda x, i: (13 / 14.0::double) ** (len(l) - i))), 3) as mean_14 from t"""
+
+
+def ewm_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted means along every tick of the longest series: ranges of a series are tasks of their own."""
+    e = with_ewm(ticks(spark, sf_dir), {"ema_12": ("price", dict(span=12, adjust=False)), "mean_14": ("price", dict(com=13))}, order=("at", "l_orderkey", "l_linenumber", "price"))
+    return e.select("symbol", "l_orderkey", "l_linenumber", F.round("ema_12", 4).alias("ema_12"), F.round("mean_14", 3).alias("mean_14"))
+
+
+QUERIES["ewm_ticks"] = (ewm_ticks, _TICKS)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegauge.streaming import incremental
+from tidegauge.streaming import incremental, ordered
 
 QUERIES: dict[str, tuple] = {}
 
@@ -46,3 +46,16 @@ def stream_incremental_indicators(spark, sf_dir):
 def stream_sessions(spark, sf_dir):
     out = incremental.drained(incremental.sessions(incremental.source(spark, sf_dir)))
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+#: Share of a new value in the streamed mean; rows after which older ones don't show in a double any more.
+ALPHA, REACH = 2 / 13, 240
+
+
+@query(f"""with e as (select event_type as symbol, event_id, ts, value, list(value) over w as l, row_number() over (partition by event_type order by ts, event_id) as rn from events window w as (partition by event_type order by ts, event_id rows {REACH - 1} preceding))
+  select symbol, event_id, ts, round(list_sum(list_transform(l, lambda x, i: x * (1 - {ALPHA}::double) ** (len(l) - i) * case when i = 1 and rn = len(l) then 1 else {ALPHA}::double end)), 6) as mean
+  from e where date_trunc('hour', ts) + interval 1 hour <= {_CUT}""")
+def stream_ewm(spark, sf_dir):
+    """The mean of each type's values in the order of event time, by keyed state and timers."""
+    rows = incremental.stateful(spark, ordered.PROVIDER, lambda: incremental.drained(ordered.ordered_means(incremental.source(spark, sf_dir), ALPHA)))
+    return rows.select("symbol", "event_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), F.round("mean", 6).alias("mean"))

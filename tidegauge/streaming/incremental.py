@@ -31,6 +31,17 @@ def drained(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame,
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def stateful(spark: SparkSession, provider: str, run: Callable[[], DataFrame]) -> DataFrame:
+    """What ``run`` gives while streams keep their state in stores of ``provider``."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, provider)
+    try:
+        return run()
+    finally:
+        spark.conf.set(name, before)
+
+
 def hourly_bars(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Bars of each type and hour, emitted once the watermark has passed them."""
     timed = events.withColumn("at", F.to_timestamp(F.col("ts").cast("timestamp"))).withWatermark("at", delay)
