@@ -92,6 +92,41 @@ def label_of(raw: Column) -> Column:
 # Fixed value: how a question names a symbol.
 QUESTION_SYMBOL = r"\b([A-Z]{2,4})\b"
 
+# Consistency and confidence of votes that are fit for training, and consistency of those to be used with care.
+HIGH, MEDIUM = (0.8, 0.6), 0.6
+
+
+def question_symbol(question: Column) -> Column:
+    """The first symbol that a question names, or null. Letters, digits and underscores are word characters, as in ASCII."""
+    return F.nullif(F.regexp_extract(question, QUESTION_SYMBOL.replace(r"\b", "(?<![A-Za-z0-9_])", 1).replace(r"\b", "(?![A-Za-z0-9_])"), 1), F.lit(""))
+
+
+def route(url: Column, routes, other: str) -> Column:
+    """The first of ``routes`` (part of a host, name) whose part stands in the URL's host: not in its path or query."""
+    place = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/?#]*)", 1)), "^[w.]+", "")
+    out = None
+    for part, name in routes:
+        out = F.when(place.contains(part), name) if out is None else out.when(place.contains(part), name)
+    return out.otherwise(other)
+
+
+def weak_sector(content: Column, sectors: dict[str, str], least: int = 2) -> Column:
+    """The one sector of the codes that stand in a text as words, and ``least`` times in all; null where there are none or several."""
+    found = []
+    for code, sector in sectors.items():
+        word = content.rlike(rf"(?<![A-Za-z0-9_]){re.escape(code)}(?![A-Za-z0-9_])")
+        found.append(F.when(word & (F.regexp_count(content, F.lit(re.escape(code))) >= least), sector))
+    kinds = F.array_distinct(F.array_compact(F.array(*found)))
+    return F.when(F.size(kinds) == 1, F.get(kinds, F.lit(0)))
+
+
+def distribution(label: Column, confidence: Column) -> list[Column]:
+    """A label (0 negative, 1 neutral, 2 positive; null: neutral) and its confidence (null: a half) as probabilities and a signed score."""
+    label, c = F.coalesce(label, F.lit(1)), F.coalesce(confidence, F.lit(0.5))
+    named = [F.round(F.when(label == k, c).otherwise((1 - c) / 2), 4).alias(f"prob_{n}") for k, n in enumerate(("negative", "neutral", "positive"))]
+    return [*named, F.round(c * (label - 1), 4).alias("sentiment_score")]
+
+
 _NOISE_NAME = re.compile(r"\b(?:" + "|".join(fixed.NOISE_WORDS) + r")\b", re.IGNORECASE)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 

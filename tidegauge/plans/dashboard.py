@@ -7,9 +7,10 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions import text
+from tidegauge.functions import numbers, text
 from tidegauge.functions.windows import W
-from tidegauge.plans.events import _MATCHED, SYMBOL, _changes, _matched, daily
+from tidegauge.plans import indicators
+from tidegauge.plans.events import _CHANGES, _MATCHED, SYMBOL, _changes, _matched, daily
 from tidegauge.plans.indicators import _SNAPSHOT, _with_bars, kpi_snapshot
 from tidegauge.plans.texts import _HYBRID, _hybrid
 from tidegauge.sources.adapters import BARS, MARKET, NEWS, bars, news, table
@@ -169,14 +170,60 @@ def table_monitor(spark, sf_dir):
     return out
 
 
-@query("""with s as (select event_id, value, value * 1000000 as big, event_id % 40 / 100.0::double as share from events) select event_id, case when big >= 1e9 then round(big / 1e9, 1) || 'B' when big >= 1e6 then round(big / 1e6, 1) || 'M' when big >= 1e3 then round(big / 1e3, 1) || 'K' else round(big, 1) || '' end as human from s""")
+# Bounds of an index of strength that is high, or low.
+STRONG, WEAK = 70, 30
+_OF = {name: f"({indicators.QUERIES[name][1]})" for name in ("kpi_snapshot", "rsi_wilder", "macd", "volatility_20", "obv_drawdown", "volume_change", "returns_and_ma")}
+_SIGN = "case when {0} > 0 then 'up' when {0} < 0 then 'down' else 'level' end"
+
+
+@query(f"""with s as (select k.symbol, k.date, k.close, k.ma_20, k.ma_50, k.bb_pctb, k.drawdown, rsi_14, macd_line, macd_signal, macd_hist, volatility_20, k.daily_return, log_return, obv, volume_change, up, down
+    from {_OF["kpi_snapshot"]} k left join {_OF["rsi_wilder"]} r using (symbol, date) left join {_OF["macd"]} m using (symbol, date) left join {_OF["volatility_20"]} v using (symbol, date) left join {_OF["obv_drawdown"]} o using (symbol, date)
+    left join {_OF["volume_change"]} c using (symbol, date) left join {_OF["returns_and_ma"]} w using (symbol, date)
+    left join (with {_CHANGES} select symbol, count(*) filter (where direction = 1) as up, count(*) filter (where direction = -1) as down from cp group by symbol) p on p.symbol = k.symbol)
+  select symbol, date, 1 as place, 'RSI(14)' as card, rsi_14 as value, null::double as beside, null::double as beside_2, case when rsi_14 is null then '' when rsi_14 >= {STRONG} then 'overbought' when rsi_14 <= {WEAK} then 'oversold' else 'neutral' end as state from s
+  union all select symbol, date, 2, 'MACD Hist', macd_hist, macd_line, macd_signal, case when macd_hist >= 0 then 'up' when macd_hist < 0 then 'down' else '' end from s
+  union all select symbol, date, 3, 'MA20 / MA50', ma_20, ma_50, close, case when ma_50 is null or ma_50 = 0 then '' when close > ma_50 then 'uptrend' else 'downtrend' end from s
+  union all select symbol, date, 4, 'Bollinger %b', bb_pctb, null, null, case when bb_pctb > 1 then 'above' when bb_pctb < 0 then 'below' else 'inside' end from s
+  union all select symbol, date, 5, 'Volatility(20)', volatility_20, null, null, '' from s
+  union all select symbol, date, 6, 'Daily / Log return', daily_return, log_return, null, {_SIGN.format('coalesce(daily_return, 0)')} from s
+  union all select symbol, date, 7, 'Drawdown', drawdown, null, null, 'down' from s
+  union all select symbol, date, 8, 'Volume / OBV', volume_change, obv, null, case when volume_change > 0 then 'up' else 'level' end from s
+  union all select symbol, date, 9, 'Change points', coalesce(up + down, 0)::double, coalesce(up, 0)::double, coalesce(down, 0)::double, '' from s""")
+def kpi_cards(spark, sf_dir):
+    """The nine cards of a symbol's last day: figures and what they stand for."""
+    of = lambda name: indicators.QUERIES[name][0](spark, sf_dir)
+    s = of("kpi_snapshot")
+    for name, columns in (("rsi_wilder", ["rsi_14"]), ("macd", ["macd_line", "macd_signal", "macd_hist"]), ("volatility_20", ["volatility_20"]), ("obv_drawdown", ["obv"]), ("volume_change", ["volume_change"]), ("returns_and_ma", ["log_return"])):
+        s = s.join(of(name).select("symbol", "date", *columns), ["symbol", "date"], "left")
+    points = _changes(spark, sf_dir).groupBy("symbol").agg(F.count_if(F.col("direction") == 1).alias("up"), F.count_if(F.col("direction") == -1).alias("down"))
+    s = s.join(points, "symbol", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("up", "down")})
+    rsi, hist, b, ret = (F.col(x) for x in ("rsi_14", "macd_hist", "bb_pctb", "daily_return"))
+    sign = F.when(ret > 0, "up").when(ret < 0, "down").otherwise("level")
+    cards = (
+        ("RSI(14)", rsi, None, None, F.when(rsi.isNull(), "").when(rsi >= STRONG, "overbought").when(rsi <= WEAK, "oversold").otherwise("neutral")),
+        ("MACD Hist", hist, "macd_line", "macd_signal", F.when(hist >= 0, "up").when(hist < 0, "down").otherwise("")),
+        ("MA20 / MA50", F.col("ma_20"), "ma_50", "close", F.when(F.coalesce("ma_50", F.lit(0.0)) == 0, "").when(F.col("close") > F.col("ma_50"), "uptrend").otherwise("downtrend")),
+        ("Bollinger %b", b, None, None, F.when(b > 1, "above").when(b < 0, "below").otherwise("inside")),
+        ("Volatility(20)", F.col("volatility_20"), None, None, F.lit("")),
+        ("Daily / Log return", ret, "log_return", None, sign),
+        ("Drawdown", F.col("drawdown"), None, None, F.lit("down")),
+        ("Volume / OBV", F.col("volume_change"), "obv", None, F.when(F.col("volume_change") > 0, "up").otherwise("level")),
+        ("Change points", F.col("up") + F.col("down"), "up", "down", F.lit("")),
+    )
+    number = lambda c: (F.lit(None) if c is None else F.col(c)).cast("double")
+    rows = [F.struct(F.lit(k).alias("place"), F.lit(name).alias("card"), value.cast("double").alias("value"), number(one).alias("beside"), number(two).alias("beside_2"), state.alias("state")) for k, (name, value, one, two, state) in enumerate(cards, 1)]
+    return s.select("symbol", "date", F.explode(F.array(*rows)).alias("c")).select("symbol", "date", "c.*")
+
+
+_AMOUNTS = "(select event_id, case when event_id % 9 = 0 then null else (value - 40) * pow(10.0::double, event_id % 9) * 1.00001370123457 end as n from events)"
+
+
+@query(f"""select event_id, case when n is null then '—' when abs(n) >= 1e9 then printf('%.2f', n / 1e9) || 'B' when abs(n) >= 1e6 then printf('%.2f', n / 1e6) || 'M' when abs(n) >= 1e3 then printf('%.1f', n / 1e3) || 'K' else printf('%.0f', n) end as big,
+  case when n is null then '—' else printf('%.3f', n) end as plain, case when n is null then '—' else printf('%.2f', n / 123456789 * 100) || '%' end as percent from {_AMOUNTS}""")
 def humanised_numbers(spark, sf_dir):
-    big = F.col("value") * 1000000
-    out = F.lit(None)
-    for size, unit in ((1e9, "B"), (1e6, "M"), (1e3, "K")):
-        piece = F.concat(F.round(big / size, 1).cast("string"), F.lit(unit))
-        out = F.when(big >= size, piece) if unit == "B" else out.when(big >= size, piece)
-    return table(spark, sf_dir, "events").select("event_id", out.otherwise(F.round(big, 1).cast("string")).alias("human"))
+    """Amounts of any sign and size as people read them; a dash for none."""
+    n = F.when(F.col("event_id") % 9 != 0, (F.col("value") - 40) * F.pow(F.lit(10.0), F.col("event_id") % 9) * 1.00001370123457)
+    return table(spark, sf_dir, "events").select("event_id", n.alias("n"), (n / 123456789).alias("share")).select("event_id", numbers.big("n").alias("big"), numbers.plain("n", 3).alias("plain"), numbers.percent("share").alias("percent"))
 
 
 _FINANCE = """fin as (select o_orderkey, any_value(o_custkey) as o_custkey, any_value(o_orderdate) as o_orderdate, any_value(o_orderstatus) as o_orderstatus, any_value(o_totalprice) as o_totalprice, round(coalesce(sum(l_extendedprice), 0), 2) as gross, round(coalesce(sum(case when l_returnflag = 'R' then l_extendedprice end), 0), 2) as returned,

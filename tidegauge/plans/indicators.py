@@ -144,7 +144,7 @@ _SNAPSHOT = """$ m as (select *, case when count(close) over w = 20 then avg(clo
     (close - max(close) over wu) / nullif(max(close) over wu, 0) as dd, row_number() over (partition by symbol order by date desc) as rn
     from bars window w as (partition by symbol order by date rows 19 preceding), w50 as (partition by symbol order by date rows 49 preceding), wu as (partition by symbol order by date rows unbounded preceding))
   select symbol, date, close, round(ret, 6) as daily_return, round(ma_20, 6) as ma_20, round(ma_50, 6) as ma_50, round((close - (ma_20 - 2 * sd)) / nullif(4 * sd, 0), 6) as bb_pctb, round(dd, 6) as drawdown,
-    case when ma_50 is null then 'unknown' when close >= ma_50 then 'above ma_50' else 'below ma_50' end as trend,
+    case when ma_50 is null then 'unknown' when close > ma_50 then 'above ma_50' else 'below ma_50' end as trend,
     case when sd is null or sd = 0 then 'unknown' when (close - (ma_20 - 2 * sd)) / (4 * sd) > 1 then 'over upper band' when (close - (ma_20 - 2 * sd)) / (4 * sd) < 0 then 'under lower band' else 'inside bands' end as band
   from m where rn = 1"""
 
@@ -155,7 +155,7 @@ def kpi_snapshot(b, c, h, l, o, v):
     m = b.select("*", full(F.avg, c, frame(20), 20).alias("ma_20"), full(F.avg, c, frame(50), 50).alias("ma_50"), full(F.stddev_samp, c, frame(20), 20).alias("sd"), change(c).alias("ret"), running(c, F.max).alias("top"))
     m = m.withColumn("rn", F.row_number().over(ALL().orderBy(F.desc("date")))).where("rn = 1")
     pctb = F.try_divide(c - (F.col("ma_20") - 2 * F.col("sd")), 4 * F.col("sd"))
-    trend = F.when(F.col("ma_50").isNull(), "unknown").when(c >= F.col("ma_50"), "above ma_50").otherwise("below ma_50")
+    trend = F.when(F.col("ma_50").isNull(), "unknown").when(c > F.col("ma_50"), "above ma_50").otherwise("below ma_50")
     band = F.when(pctb.isNull(), "unknown").when(pctb > 1, "over upper band").when(pctb < 0, "under lower band").otherwise("inside bands")
     return m.select(*KEY, "close", r6(F.col("ret"), "daily_return"), r6(F.col("ma_20"), "ma_20"), r6(F.col("ma_50"), "ma_50"), r6(pctb, "bb_pctb"), r6(F.try_divide(c - F.col("top"), F.col("top")), "drawdown"), trend.alias("trend"), band.alias("band"))
 

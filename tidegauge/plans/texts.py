@@ -137,12 +137,16 @@ def html_valid_paragraphs(spark, sf_dir):
     return rows.select("page_id", F.size("ps").alias("paragraphs"), F.array_join("ps", "\n").alias("content"))
 
 
-@query(r"""select page_id, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) as host, case when url like '%example.com%' then 'com' when url like '%example.net%' then 'net' else 'other' end as route, regexp_extract(url, '([0-9]+)(?:[?#].*)?$', 1) as trailing_id,
-  case when url like 'http%' then url else 'https://example.org' || url end as absolute_url from pages""")
+#: Hosts and what reads their pages.
+ROUTES = (("example.com", "com"), ("example.net", "net"))
+
+
+@query(r"""with u as (select page_id, url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^[w.]+', '') as place from pages)
+  select page_id, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) as host, case """ + " ".join(f"when contains(place, '{h}') then '{r}'" for h, r in ROUTES) + r""" else 'other' end as route, regexp_extract(url, '([0-9]+)(?:[?#].*)?$', 1) as trailing_id,
+  case when url like 'http%' then url else 'https://example.org' || url end as absolute_url from u""")
 def url_host(spark, sf_dir):
     u = F.col("url")
-    route = F.when(u.contains("example.com"), "com").when(u.contains("example.net"), "net").otherwise("other")
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(u, r"^[a-z]+://([^/?#:]+)", 1).alias("host"), route.alias("route"), F.regexp_extract(u, r"([0-9]+)(?:[?#].*)?$", 1).alias("trailing_id"), F.when(u.startswith("http"), u).otherwise(F.concat(F.lit("https://example.org"), u)).alias("absolute_url"))
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(u, r"^[a-z]+://([^/?#:]+)", 1).alias("host"), text.route(u, ROUTES, "other").alias("route"), F.regexp_extract(u, r"([0-9]+)(?:[?#].*)?$", 1).alias("trailing_id"), F.when(u.startswith("http"), u).otherwise(F.concat(F.lit("https://example.org"), u)).alias("absolute_url"))
 
 
 @query(r"""select page_id, array_to_string(list_filter(t, lambda x: x <> ''), ' ') as tokens, list_has_any(t, ['en', 'fr']) as relevant from (select page_id, string_split_regex(lower(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')), '[^a-z0-9]+') as t from pages)""")
@@ -272,10 +276,10 @@ def rate_limit_errors(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", hit.alias("limited"))
 
 
-@query("select conv_id, turn, nullif(regexp_extract(text, '[A-Z]{2,4}'), '') as symbol from conversations")
+@query(r"select conv_id, turn, nullif(regexp_extract(text, '\b([A-Z]{2,4})\b', 1), '') as symbol from conversations")
 def question_symbol(spark, sf_dir):
-    """The first run of two to four capitals of a question, or null."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.nullif(F.regexp_extract("text", "[A-Z]{2,4}", 0), F.lit("")).alias("symbol"))
+    """The first word of two to four capitals and no more of a question, or null."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.question_symbol(F.col("text")).alias("symbol"))
 
 
 @query("""with e as (select event_id, event_type, value from events), x as (select event_id, unnest([upper(substr(event_type, 1, 4)), substr(event_type, 1, 3), upper(event_type)]) as entity, unnest(['stock', 'stock', case when event_id % 2 = 0 then 'stock' else 'org' end]) as type, value from e)
@@ -306,13 +310,15 @@ def zipped_map(spark, sf_dir):
     return lists.select("user_id", F.array_join(listed, ",").alias("counts"))
 
 
-@query(f"""with {NEWS}, c as (select news_id, len(regexp_extract_all(text, '{_re2(CODES[:3])}')) as n, len(list_distinct(regexp_extract_all(text, '{_re2(CODES[:3])}'))) as kinds, regexp_extract(text, '{_re2(CODES[:3])}', 1) as first_code from news)
-  select news_id, case when n >= 2 and kinds = 1 then first_code end as sector from c""".replace(r"'\b", r"'\b"))
+#: Sectors of the codes.
+CODE_SECTORS = {"The": "articles", "La": "articles", "Der": "articles", "And": "links", "Of": "links", "In": "places", "To": "places"}
+_SECTORS = ", ".join(f"case when regexp_matches(text, '{_re2([c])}') and (length(text) - length(replace(text, '{c}', ''))) / {len(c)} >= 2 then '{s}' end" for c, s in CODE_SECTORS.items())
+
+
+@query(f"with {NEWS}, c as (select news_id, list_distinct([{_SECTORS}]) as s from news) select news_id, case when len(s) = 1 then s[1] end as sector from c")
 def weak_sector_label(spark, sf_dir):
-    """A sector where codes are named at least twice and all are of one sector."""
-    found = F.regexp_extract_all("text", F.lit(_native(CODES[:3])), F.lit(1))
-    rows = news(spark, sf_dir).select("news_id", found.alias("f"))
-    return rows.select("news_id", F.when((F.size("f") >= 2) & (F.size(F.array_distinct("f")) == 1), F.col("f")[0]).alias("sector"))
+    """The sector of an article whose codes that are named as words, and stand in it twice at least, are of one sector; else null."""
+    return news(spark, sf_dir).select("news_id", text.weak_sector(F.col("text"), CODE_SECTORS).alias("sector"))
 
 
 @query("""select doc_id, cast(len(list_filter(w, lambda x: x in ('the', 'of'))) as integer) as neutral_words, cast(len(list_filter(w, lambda x: x in ('with', 'for'))) as integer) as positive_words, cast(len(list_filter(w, lambda x: x in ('not', 'on'))) as integer) as negative_words, cast(len(w) as integer) as words
@@ -325,13 +331,37 @@ def dictionary_counts(spark, sf_dir):
     return rows.select("doc_id", count("the", "of").alias("neutral_words"), count("with", "for").alias("positive_words"), count("not", "on").alias("negative_words"), F.size("w").alias("words"))
 
 
-@query("""with v as (select user_id, event_type, count(*) as n from events group by 1, 2) select user_id, arg_max(event_type, (n, event_type)) as label, round(max(n) / sum(n)::double, 6) as consistency,
-  case when max(n) / sum(n)::double >= 0.4 then 'high' when max(n) / sum(n)::double >= 0.25 then 'medium' else 'low' end as quality from v group by user_id""")
+_VOTES = "(select user_id as item, case when value < 30 then 'neutral' when value < 60 then 'positive' else 'negative' end as label, 0.4 + event_id % 60 / 100.0::double as confidence from events)"
+
+
+@query(f"""with v as (select item, label, count(*) as n, sum(confidence) as s from {_VOTES} group by 1, 2), a as (select item, arg_max(label, (n, label)) as label, max(n) / sum(n)::double as c, sum(s) / sum(n) as confidence from v group by 1)
+  select item, label, round(c, 6) as consistency, round(confidence, 6) as confidence, case when c >= 0.8 and confidence >= 0.6 then 'HIGH' when c >= 0.6 then 'MEDIUM' else 'LOW' end as quality from a""")
 def majority_vote(spark, sf_dir):
-    """The label that most votes give, and how sure they are."""
-    v = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    a = v.groupBy("user_id").agg(F.max_by("event_type", F.struct("n", "event_type")).alias("label"), (F.max("n") / F.sum("n")).alias("c"))
-    return a.select("user_id", "label", F.round("c", 6).alias("consistency"), F.when(F.col("c") >= 0.4, "high").when(F.col("c") >= 0.25, "medium").otherwise("low").alias("quality"))
+    """The label that most votes give, how many agree, their mean confidence, and what that is good for."""
+    value = F.col("value")
+    label = F.when(value < 30, "neutral").when(value < 60, "positive").otherwise("negative")
+    votes = table(spark, sf_dir, "events").select(F.col("user_id").alias("item"), label.alias("label"), (F.lit(0.4) + F.col("event_id") % 60 / 100).alias("confidence"))
+    return voted(votes).select("item", "label", F.round("consistency", 6).alias("consistency"), F.round("confidence", 6).alias("confidence"), "quality")
+
+
+def voted(votes):
+    """(item, label, consistency, confidence, quality) of ``votes`` (item, label, confidence); of labels with as many votes the last in order."""
+    v = votes.groupBy("item", "label").agg(F.count("*").alias("n"), F.sum("confidence").alias("s"))
+    a = v.groupBy("item").agg(F.max_by("label", F.struct("n", "label")).alias("label"), (F.max("n") / F.sum("n")).alias("consistency"), (F.sum("s") / F.sum("n")).alias("confidence"))
+    quality = F.when((F.col("consistency") >= text.HIGH[0]) & (F.col("confidence") >= text.HIGH[1]), "HIGH").when(F.col("consistency") >= text.MEDIUM, "MEDIUM").otherwise("LOW")
+    return a.withColumn("quality", quality)
+
+
+_LABELLED = "(select doc_id, case when toxic = 1 then 0 when quality = 1 then 2 else 1 end as label, case when doc_id % 13 = 0 then null else 0.34 + doc_id % 66 / 100.0::double end as given from labels)"
+
+
+@query(f"""with x as (select *, coalesce(given, 0.5) as c from {_LABELLED}) select doc_id, label, round(case when label = 0 then c else (1 - c) / 2 end, 4) as prob_negative, round(case when label = 1 then c else (1 - c) / 2 end, 4) as prob_neutral,
+  round(case when label = 2 then c else (1 - c) / 2 end, 4) as prob_positive, round(c * (label - 1), 4) as sentiment_score from x""")
+def label_distribution(spark, sf_dir):
+    """A label and its confidence as three probabilities (what is left is shared equally) and a signed score."""
+    label = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1)
+    rows = table(spark, sf_dir, "labels").select("doc_id", label.alias("label"), F.when(F.col("doc_id") % 13 != 0, F.lit(0.34) + F.col("doc_id") % 66 / 100).alias("confidence"))
+    return rows.select("doc_id", "label", *text.distribution(F.col("label"), F.col("confidence")))
 
 
 #: Terms of sectors and of the economy at large, in a corpus without either.
