@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 #: Modules that hold a ``QUERIES`` table.
-MODULES: tuple[str, ...] = ("indicators", "eda", "relational", "texts", "events", "models", "dashboard", "streams", "files")
+MODULES: tuple[str, ...] = ("indicators", "eda", "relational", "texts", "events", "models", "dashboard", "streams", "files", "paging")
 
 
 def _all() -> dict[str, tuple[Callable, str | None]]:
