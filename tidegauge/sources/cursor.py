@@ -93,7 +93,9 @@ class _Reader:
         found = files.get_file_info(fs.FileSelector(base, allow_not_found=True))
         return sorted(f.base_name for f in found if f.type == fs.FileType.Directory)
 
-    def read(self, partition: Part) -> Iterator[tuple]:
+    def read(self, partition: Part | None) -> Iterator[tuple]:
+        if partition is None:  # where there are no channels
+            return
         for items, _ in Chain(self.path, partition.channel).pages(partition.start, partition.end, self.since, self.most):
             for i, item in items:
                 known = {"channel": partition.channel, "id": i}
