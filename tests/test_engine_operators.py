@@ -378,3 +378,30 @@ def test_streamed_means_with_late_rows_and_a_restart(spark, tmp_path):
     assert len(out) == len(got) == len(want) > 150 and set(got) == set(want)
     for k, (symbol, mean) in want.items():
         assert got[k][0] == symbol and (got[k][1] is None if np.isnan(mean) else abs(got[k][1] - mean) < 1e-9)
+
+
+def test_dictionary_matches_are_those_of_a_pattern(spark, monkeypatch):
+    """Random texts against alternatives sorted by length; blocks of terms give the same; nulls, empty texts and dictionaries."""
+    import random
+    import re
+
+    from tidegauge.functions import automaton
+
+    rng = random.Random(3)
+    terms = sorted({"".join(rng.choice("ab é") for _ in range(rng.randint(1, 5))).strip() for _ in range(40)} - {""}) + ["İx", "a.b", "A B"]
+    texts = ["".join(rng.choice("abAB éÉ._ İ") for _ in range(rng.randint(0, 60))) for _ in range(300)] + [None, "", "a" * 50_000]
+    frame = prepare(spark).createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string")
+    pattern = re.compile(r"(?<!\w)(" + "|".join(re.escape(t) for t in sorted({automaton.folded(t) for t in terms}, key=lambda t: (-len(t), t))) + r")(?!\w)")
+    want = {k: [(m.start(), m.end(), m.group()) for m in pattern.finditer(automaton.folded(t or ""))] for k, t in enumerate(texts)}
+    assert sum(map(len, want.values())) > 300
+    for chars in (automaton.BLOCK_CHARS, 12):
+        monkeypatch.setattr(automaton, "BLOCK_CHARS", chars)
+        assert (len(automaton.prepared(terms)) > 1) == (chars == 12)
+        got = {r.k: [tuple(h) for h in r.h] for r in frame.select("k", automaton.matches(F.col("t"), terms).alias("h")).collect()}
+        assert got == want
+    assert frame.select(F.size(automaton.matches(F.col("t"), [None, " "])).alias("n")).agg(F.max("n")).first()[0] == 0
+    rows = spark.createDataFrame([("x", "one"), ("x", ""), (None, "two"), ("y", "three")], "name string, term string")
+    assert automaton.dictionary(rows) == {"x": ["one"], "y": ["three"]}
+    monkeypatch.setattr(automaton, "MOST_CHARS", 3)
+    with pytest.raises(ValueError):
+        automaton.dictionary(rows)

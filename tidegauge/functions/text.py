@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidegauge.functions import automaton
 from tidegauge.functions import fixed_values as fixed
 from tidegauge.functions.dates import parse_datetime
 
@@ -18,20 +19,21 @@ NEGATION_REACH, TRAP_REACH, PARAGRAPH = 18, 20, 30
 ALPHA, STEEPNESS, NEUTRAL = 0.6, 0.8, 0.1
 
 
-def _whole_words(phrases, flags=re.IGNORECASE) -> re.Pattern | None:
-    ordered = sorted(dict.fromkeys(p for p in phrases if p), key=len, reverse=True)
-    return re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, ordered)) + r")(?!\w)", flags) if ordered else None
-
-
 def lexicon(positive=fixed.POSITIVE, negative=fixed.NEGATIVE, negation=fixed.NEGATION):
-    """A vectorised function: text -> struct(pos, neg, net) of phrase counts; a negation just before a phrase turns it."""
-    patterns, turns = (_whole_words(positive), _whole_words(negative)), _whole_words(negation)
+    """A vectorised function: text -> struct(pos, neg, net) of phrase counts; a negation just before a phrase turns it.
+
+    A negation counts if it begins at most NEGATION_REACH characters before the phrase and ends before it.
+    """
+    sides = [automaton.prepared(p) for p in (positive, negative)]
+    turns = automaton.prepared(negation)
+    hits = lambda text, blocks: [h for b in blocks for h in automaton.occurrences(text, b)]
 
     def count(text: str | None) -> tuple[int, int]:
-        found = [0, 0]
-        for side, pattern in enumerate(patterns):
-            for m in pattern.finditer(text or "") if pattern else ():
-                turned = bool(turns and turns.search(text, max(0, m.start() - NEGATION_REACH), m.start()))
+        found, text = [0, 0], text or ""
+        turning = hits(text, turns)
+        for side, blocks in enumerate(sides):
+            for start, _, _ in automaton.leftmost_longest(hits(text, blocks)):
+                turned = any(start - NEGATION_REACH <= a and b <= start for a, b, _ in turning)
                 found[side ^ turned] += 1
         return found[0], found[1]
 
@@ -46,19 +48,19 @@ def lexicon(positive=fixed.POSITIVE, negative=fixed.NEGATIVE, negation=fixed.NEG
 
 def tagger(companies: dict[str, tuple] = fixed.COMPANIES, traps: dict[str, tuple] = fixed.TICKER_TRAPS):
     """A vectorised function: text -> sorted tickers whose code (in capitals) or company name stands in it."""
-    codes = re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(map(re.escape, sorted(companies))) + r")(?![A-Za-z0-9])") if companies else None
-    owner = {name.strip().lower(): code for code, (names, _) in reversed(list(companies.items())) for name in names}
-    names = _whole_words(owner)
+    codes = automaton.prepared(companies, ignore_case=False)
+    owner = {automaton.folded(name.strip()): code for code, (names, _) in reversed(list(companies.items())) for name in names}
+    names = automaton.prepared(owner)
 
     def tags(text: str | None) -> list[str]:
-        found = set()
-        for m in codes.finditer(text or "") if codes else ():
-            near = text[max(0, m.start() - TRAP_REACH) : m.end() + TRAP_REACH].upper()
-            if not any(t in near for t in traps.get(m.group(), ())):
-                found.add(m.group())
-        for m in names.finditer(text or "") if names else ():
-            found.add(owner.get(m.group().lower()))
-        return sorted(found - {None})
+        found, text = set(), text or ""
+        for start, stop, code in (h for b in codes for h in automaton.occurrences(text, b, ignore_case=False, ascii_words=True)):
+            near = text[max(0, start - TRAP_REACH) : stop + TRAP_REACH].upper()
+            if not any(t in near for t in traps.get(code, ())):
+                found.add(code)
+        for _, _, name in automaton.leftmost_longest([h for b in names for h in automaton.occurrences(text, b)]):
+            found.add(owner[name])
+        return sorted(found)
 
     @F.pandas_udf("array<string>")
     def tag(texts: pd.Series) -> pd.Series:

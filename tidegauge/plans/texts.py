@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions import dates, text
-from tidegauge.shared import written
+from tidegauge.functions import automaton, dates, fixed_values, text
+from tidegauge.shared import shared_dir, written
+from tidegauge.sources import files
 from tidegauge.sources.adapters import MARKET, NEWS, news, spread, table
 
 QUERIES: dict[str, tuple] = {}
@@ -91,18 +94,65 @@ def sentiment_ratio(spark, sf_dir):
     return r.select("source", F.round("ratio", 6).alias("ratio"), mood.alias("mood"))
 
 
-@query(None)
+#: Words that turn the phrase after them, in the driver's prose.
+TURNS = ("on", "er", "no")
+_INSIDE = r"[\p{L}\p{N}_]"
+
+
+def _phrase_sql(phrase: str) -> str:
+    """Whole occurrences of a phrase in ``low``, as a list of whether each is turned: text is split at the phrase, and looked at on both sides."""
+    pieces = f"string_split(low, '{phrase}')"
+    before = f"array_to_string(p[greatest(1, i - 5):i], '{phrase}')"
+    after = f"left(p[i + 1] || case when i + 1 < len(p) then '{phrase}' else '' end, 1)"
+    turn = "(" + "|".join(TURNS) + ")"
+    turned = f"case when length({before}) <= {text.NEGATION_REACH} then regexp_matches({before}, '(^|[^{_INSIDE[1:-1]}]){turn}([^{_INSIDE[1:-1]}]|$)') else regexp_matches(right({before}, {text.NEGATION_REACH + 1}), '[^{_INSIDE[1:-1]}]{turn}([^{_INSIDE[1:-1]}]|$)') end"
+    whole = f"not regexp_matches(right({before}, 1), '{_INSIDE}') and not regexp_matches({after}, '{_INSIDE}')"
+    return f"list_concat([]::boolean[], list_transform([{pieces}], lambda p: list_filter(list_transform(range(1, len(p)), lambda i: case when {whole} then {turned} end), lambda x: x is not null))[1])"
+
+
+_SIDES = [" || ".join(_phrase_sql(p) for p in side) for side in (GOOD, BAD)]
+
+
+@query(f"""with {NEWS}, x as (select news_id, {_SIDES[0]} as g, {_SIDES[1]} as b from (select news_id, lower(coalesce(text, '')) as low from news)),
+  y as (select news_id, len(list_filter(g, lambda t: not t)) + len(list_filter(b, lambda t: t)) as pos, len(list_filter(b, lambda t: not t)) + len(list_filter(g, lambda t: t)) as neg from x)
+  select news_id, cast(pos as integer) as pos, cast(neg as integer) as neg, cast(pos - neg as integer) as net from y""")
 def lexicon_negated(spark, sf_dir):
     """Phrase counts with turning negations, by the exact function."""
-    score = text.lexicon(GOOD, BAD, ("on", "er", "no"))
-    return news(spark, sf_dir).select("news_id", score(F.lower("text")).alias("x")).select("news_id", "x.*")
+    score = text.lexicon(GOOD, BAD, TURNS)
+    return spread(news(spark, sf_dir).select("news_id", "text"), "news_id").select("news_id", score("text").alias("x")).select("news_id", "x.*")
 
 
-@query(None)
+#: What is said of companies in the driver's prose, by the article's number: codes, names in any case, traps, parts of words, nothing.
+SAID = (
+    "VIC", "shares of VCB, FPT and VNM", "Tập đoàn Vingroup", "vinamilk; PETROLIMEX", "VIC: a VICTORY", "VIC ................. VICTORY far off", "natural gas and GAS", "GAS from afar", "XVIC VICx VIC9 vic", "ACBBank",
+    "Ngân hàng Quốc tế Việt Nam", "Vietcombanker", "HPG/Hòa Phát", "", "(SSI) TCB-TPB", "Công ty FPTé", "éVRE",
+)
+_EDGE = r"[^\p{L}\p{N}_]"
+
+
+def _tagged_sql() -> str:
+    """Per company: its names as words in any case, and its code between characters that aren't ASCII letters or digits, without a trap near by."""
+    each = []
+    for code, (names, _) in fixed_values.COMPANIES.items():
+        named = [f"regexp_matches(t, '(?i)(^|{_EDGE}){re.escape(n)}({_EDGE}|$)')" for n in names]
+        bad = fixed_values.TICKER_TRAPS.get(code, ())
+        near = "".join(f" and not contains(upper(substr(t, greatest(1, p - {text.TRAP_REACH}), p - greatest(1, p - {text.TRAP_REACH}) + {len(code) + text.TRAP_REACH})), '{b}')" for b in bad)
+        free = f"not regexp_matches(case when p > 1 then substr(t, p - 1, 1) else '' end, '[A-Za-z0-9]') and not regexp_matches(substr(t, p + {len(code)}, 1), '[A-Za-z0-9]')"
+        places = f"list_filter(range(1, length(t)), lambda p: substr(t, p, {len(code)}) = '{code}' and {free}{near})"
+        each.append(f"case when (contains(t, '{code}') and len({places}) > 0) or {' or '.join(named)} then '{code}' end")
+    return f"list_filter([{', '.join(each)}], lambda x: x is not null)"
+
+
+_SAID = "[" + ", ".join(f"'{x}'" for x in SAID) + "]"
+
+
+@query(f"""with {NEWS}, x as (select news_id, right(coalesce(text, ''), 200) || ' -- ' || ({_SAID})[cast(news_id % {len(SAID)} + 1 as integer)] as t from news)
+  select news_id, unnest(case when len(c) > 0 then c else ['{MARKET}'] end) as symbol from (select news_id, {_tagged_sql()} as c from x)""")
 def company_tags(spark, sf_dir):
-    """Tickers and company names of the built-in dictionary, MARKET where there are none."""
+    """Tickers and company names of the built-in dictionary in the ends of articles, MARKET where there are none."""
     tag = text.tagger()
-    rows = news(spark, sf_dir).select("news_id", tag("text").alias("t"))
+    said = F.element_at(F.array(*[F.lit(x) for x in SAID]), (F.col("news_id") % len(SAID) + 1).cast("int"))
+    rows = news(spark, sf_dir).select("news_id", F.concat(F.right(F.coalesce("text", F.lit("")), F.lit(200)), F.lit(" -- "), said).alias("t")).select("news_id", tag("t").alias("t"))
     return rows.select("news_id", F.explode(F.when(F.size("t") > 0, F.col("t")).otherwise(F.array(F.lit(MARKET)))).alias("symbol"))
 
 
@@ -321,14 +371,21 @@ def weak_sector_label(spark, sf_dir):
     return news(spark, sf_dir).select("news_id", text.weak_sector(F.col("text"), CODE_SECTORS).alias("sector"))
 
 
-@query("""select doc_id, cast(len(list_filter(w, lambda x: x in ('the', 'of'))) as integer) as neutral_words, cast(len(list_filter(w, lambda x: x in ('with', 'for'))) as integer) as positive_words, cast(len(list_filter(w, lambda x: x in ('not', 'on'))) as integer) as negative_words, cast(len(w) as integer) as words
-  from (select doc_id, regexp_extract_all(lower(text), '[a-z]+') as w from documents)""")
+#: Words of the four categories, in the driver's prose.
+CATEGORIES = {"negative": ("not", "against", "on"), "positive": ("with", "for"), "uncertain": ("may", "or", "if"), "litigious": ("by", "from")}
+
+
+@query("select doc_id, " + ", ".join(f"cast(len(list_filter(w, lambda x: x in {v})) as integer) as {k}_count" for k, v in CATEGORIES.items()) + r", cast(len(w) as integer) as words from (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') as w from documents)")
 def dictionary_counts(spark, sf_dir):
-    """Counts of dictionary categories per document."""
-    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    rows = table(spark, sf_dir, "documents").select("doc_id", w.alias("w"))
-    count = lambda *terms: F.size(F.filter("w", lambda x: x.isin(*terms)))
-    return rows.select("doc_id", count("the", "of").alias("neutral_words"), count("with", "for").alias("positive_words"), count("not", "on").alias("negative_words"), F.size("w").alias("words"))
+    """Counts of the categories of a dictionary that is read from its file."""
+    path = shared_dir(spark)
+    lines = [f"{name}:\n" + "\n".join(f"  - {w}" for w in words) + "\n" for name, words in CATEGORIES.items()]
+    spark.createDataFrame([("".join(lines),)], "value string").write.text(path)
+    terms = automaton.dictionary(files.read_term_lists(spark, path))
+    owner = {w: name for name, words in terms.items() for w in words}
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "text", automaton.matches(F.col("text"), list(owner)).alias("hits"))
+    count = lambda words: F.size(F.filter("hits", lambda h: h["term"].isin(*words)))
+    return rows.select("doc_id", *[count(words).alias(f"{name}_count") for name, words in terms.items()], F.coalesce(F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+")), F.lit(0)).alias("words"))
 
 
 _VOTES = "(select user_id as item, case when value < 30 then 'neutral' when value < 60 then 'positive' else 'negative' end as label, 0.4 + event_id % 60 / 100.0::double as confidence from events)"
