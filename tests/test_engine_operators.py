@@ -10,6 +10,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from compare import DATA
+
 from tidegauge import shared
 from tidegauge.functions import fixed_values, text
 from tidegauge.functions.windows import change, full, frame, obv
@@ -405,3 +407,21 @@ def test_dictionary_matches_are_those_of_a_pattern(spark, monkeypatch):
     monkeypatch.setattr(automaton, "MOST_CHARS", 3)
     with pytest.raises(ValueError):
         automaton.dictionary(rows)
+
+
+def test_folded_articles_are_those_of_the_parser(spark):
+    """All pages, and pages that nest, break off and leave elements open: the fold against the HTML parser."""
+    from tidegauge.functions import markup
+
+    long = "words that are long enough to be a paragraph of text"
+    odd = [
+        None, "", "plain text only", f"<p>{long}", f"<P CLASS='x'>{long}<p>{long} two</P></p>", f"<div class=\"a>b menu\"><p>{long}</p></div><p>{long} &amp;amp; &lt;b&gt;</p>", f"<nav><div></nav><p>{long}</p></div>",
+        f"<header><p>{long}</header><p>{long} 2", f"<script>if (a<b) '<p>{long}</p>'</script><style>p{{}}</style><p>{long}</p>", f"<!-- <p>{long}</p> --><p>{long} x<!-- y --> z</p>", f"<h1>One <i>two</i></h1><h1>three</h1><p>{long}<br/>after<br>more</p></section>",
+        f"<div id=share><p>{long}</p></div></div></div><p>{long}</p>", f"<ul><li><p>{long}<li>{long}</ul>{long}", f"<p>{long} é ü — «x» &nbsp;y</p><figure><p>{long}</p>", f"<meta name=description content='short &quot;q&quot;'><p>{long}</p>",
+    ]
+    pages = prepare(spark).createDataFrame([(k, h) for k, h in enumerate(odd)], "page_id long, html string").unionByName(spark.read.parquet(f"{DATA}/pages.parquet").select(F.col("page_id") + 1000, "html").toDF("page_id", "html"))
+    want = {r.page_id: r for r in pages.select("page_id", text.article("html").alias("a")).select("page_id", "a.*").collect()}
+    got = {r.page_id: r for r in markup.articles(pages).collect()}
+    assert set(got) == set(want)
+    for k, r in want.items():
+        assert (got[k].title, got[k].summary, got[k].content, got[k].paragraphs) == (r.title, r.summary, r.content, r.paragraphs), k

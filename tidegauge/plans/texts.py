@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions import automaton, dates, fixed_values, text
+from tidegauge.functions import automaton, dates, fixed_values, markup, text
 from tidegauge.shared import shared_dir, written
 from tidegauge.sources import files
 from tidegauge.sources.adapters import MARKET, NEWS, news, spread, table
@@ -156,16 +156,81 @@ def company_tags(spark, sf_dir):
     return rows.select("news_id", F.explode(F.when(F.size("t") > 0, F.col("t")).otherwise(F.array(F.lit(MARKET)))).alias("symbol"))
 
 
-@query(None)
+#: What is set into the heads and bodies of pages, by the page's number: meta values, summaries, dates in several forms, and what isn't text of the article.
+HEADS = (
+    '<meta property="og:title" content="Title &amp; more"><meta name="description" content="From a name">', '<meta content="Turned &quot;round&quot;" property="og:description">', "<meta property='og:image' content='https://i.example/x.png'>",
+    '<meta property="article:published_time" content="2026-04-14T21:04:05">', '<meta itemprop="datePublished" content="14/04/2026 21:04"><meta name="pubdate" content="">', "",
+)
+BODIES = (
+    '<div class="box related"><p>A text of thirty characters and more that is beside the article.</p></div>', '<p class="sapo">A summary of the page.</p><time datetime="2026-03-01">no</time>', "<header><p>Not in the article, though it is a long paragraph.</header>",
+    '<p>Contact us: <b>Email: someone at example dot com</b> for more of it.</p>', '<section><p>One that is open <div id="share">never seen here</div> and goes on to be long enough</section>', '<time>01/02/2026</time><p>[all of it stands in brackets, so it does not count]</p>', "<p>https://only.a.link/of-some-length-that-is-over-thirty</p>",
+)
+
+
+def _dressed(pages):
+    """Pages with more in their heads and bodies."""
+    pick = lambda parts: F.element_at(F.array(*[F.lit(x) for x in parts]), (F.col("page_id") % len(parts) + 1).cast("int"))
+    html = F.concat(F.replace("html", F.lit("</title>"), F.concat(F.lit("</title>"), pick(HEADS))), pick(BODIES))
+    return pages.select("page_id", "url", html.alias("html"))
+
+
+def _sql_list(parts) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in parts) + "]"
+
+
+_ATTRIBUTE = r"""regexp_replace(regexp_extract({t}, '(?is)\s{n}\s*=\s*("[^"]*"|''[^'']*''|[^\s>"'']+)', 1), '^["'']|["'']$', '', 'g')"""
+
+
+def _plain_sql(x: str) -> str:
+    for reference, character in markup.REFERENCES:
+        x = f"regexp_replace({x}, '{reference.replace(chr(39), chr(39) * 2)}', '{character.replace(chr(39), chr(39) * 2)}', 'g')"
+    return f"trim(regexp_replace({x}, '[\\s ]+', ' ', 'g'))"
+
+
+_SQL_TOKEN = markup.TOKEN.replace("'", "''")
+_CLASSES = f"{_ATTRIBUTE.format(t='t', n='class')} || ' ' || {_ATTRIBUTE.format(t='t', n='id')}"
+_KIND = f"case when regexp_matches(t, '(?is)^<(script|style)\\b') or regexp_matches(t, '^<[!?]') or regexp_matches(t, '^</[^a-zA-Z]') then 'skip' when t like '</%' then 'close' when regexp_matches(t, '^<[a-zA-Z]') then case when n in {markup.VOID} or t like '%/>' then 'void' else 'open' end else 'text' end"
+_HAS, _CUT = "(list_contains(s.open, {n}) or list_contains(s.open, '!' || {n}))", "s.open[1:len(s.open) - list_position(list_reverse(list_transform(s.open, lambda x: ltrim(x, '!'))), {n})]"
+_NEXT = "case when t.name = 'p' and " + _HAS.format(n="'p'") + " then " + _CUT.format(n="'p'") + " else s.open end || [case when t.noise then '!' else '' end || t.name]"
+_QUIET = "len(list_filter({o}, lambda x: x like '!%')) = 0"
+_STATE = "{{kind: '', name: '', noise: false, text: '', tag: '', open: {o}, texts: {x}, heading: {h}}}"
+_PAGES = f"""dressed as (select page_id, url, replace(html, '</title>', '</title>' || ({_sql_list(HEADS)})[cast(page_id % {len(HEADS)} + 1 as integer)]) || ({_sql_list(BODIES)})[cast(page_id % {len(BODIES)} + 1 as integer)] as html from pages),
+  cut as (select page_id, url, generate_subscripts(k, 1) as i, unnest(k) as t from (select *, regexp_extract_all(html, '{_SQL_TOKEN}') as k from dressed)),
+  named as (select *, lower(regexp_extract(t, '^</?([a-zA-Z][^\\s/>]*)', 1)) as n from cut), kinds as (select *, {_KIND} as kind from named),
+  tokens as (select page_id, any_value(url) as url, list({{kind: kind, name: n, noise: kind = 'open' and (n in {fixed_values.NOISE_TAGS} or regexp_matches({_CLASSES}, '(?i)\\b({"|".join(fixed_values.NOISE_WORDS)})\\b')), text: case when kind = 'text' then {_plain_sql("t")} else '' end, tag: t, open: []::varchar[], texts: []::varchar[], heading: ''}} order by i) as k from kinds group by page_id),
+  folded as (select page_id, url, k, list_reduce(list_prepend({_STATE.format(o="[]::varchar[]", x="[]::varchar[]", h="''")}, k), lambda s, t: case
+    when t.kind = 'open' then {_STATE.format(o=_NEXT, x="case when t.name = 'p' and " + _QUIET.format(o=f"({_NEXT})") + " then s.texts || [''] else s.texts end", h="s.heading")}
+    when t.kind = 'close' and {_HAS.format(n="t.name")} then {_STATE.format(o=_CUT.format(n="t.name"), x="s.texts", h="s.heading")}
+    when t.kind = 'text' and t.text <> '' and {_QUIET.format(o="s.open")} then {_STATE.format(o="s.open", x="case when len(s.texts) > 0 and " + _HAS.format(n="'p'") + " then s.texts[1:len(s.texts) - 1] || [ltrim(s.texts[len(s.texts)] || ' ' || t.text)] else s.texts end", h="case when list_contains(s.open, 'h1') then ltrim(s.heading || ' ' || t.text) else s.heading end")}
+    else s end) as f from tokens)"""
+
+
+def _meta_sql(*names: str) -> str:
+    key = "coalesce(" + ", ".join(f"nullif({_ATTRIBUTE.format(t='x.tag', n=a)}, '')" for a in ("property", "name", "itemprop")) + ")"
+    content = _plain_sql(_ATTRIBUTE.format(t="list_filter(k, lambda x: x.name = 'meta' and {key} = '{n}')[1].tag", n="content"))
+    return ", ".join(f"nullif({content.replace('{key}', key).replace('{n}', n)}, '')" for n in names)
+
+
+_TIME = _ATTRIBUTE.format(t="list_filter(k, lambda x: x.name = 'time')[1].tag", n="datetime")
+_AFTER = f"list_position(list_transform(k, lambda x: x.kind = 'open' and regexp_matches(' ' || {_ATTRIBUTE.format(t='x.tag', n='class')} || ' ', ' (story__summary|sapo) ')), true)"
+_VALID = f"length(x) >= {markup.PARAGRAPH} and not regexp_matches(x, '^(https?://|www\\.)') and not regexp_matches(x, '^\\[.+\\]$') and not regexp_matches(lower(x), '{'|'.join(fixed_values.FOOTER_WORDS)}')"
+
+
+@query(f"""with {_PAGES} select page_id, url, coalesce({_meta_sql("og:title")}, nullif(f.heading, '')) as title, coalesce({_meta_sql("og:description", "description")}, nullif(k[{_AFTER} + 1].text, '')) as summary, coalesce({_meta_sql("og:image")}) as image_url,
+  coalesce({_meta_sql("article:published_time", "pubdate", "datePublished", "date")}, nullif({_TIME}, '')) as published, array_to_string(list_filter(f.texts, lambda x: {_VALID}), chr(10)) as content, cast(len(list_filter(f.texts, lambda x: {_VALID})) as integer) as paragraphs from folded""")
 def html_articles(spark, sf_dir):
-    """Articles out of pages by an HTML parser."""
-    return table(spark, sf_dir, "pages").select("page_id", "url", text.article("html").alias("a")).select("page_id", "url", "a.*")
+    """Articles out of pages that have more in their heads and bodies, by a fold over their tags."""
+    return markup.articles(_dressed(spread(table(spark, sf_dir, "pages"), "page_id"))).drop("html")
+
+
+_FORMS = "['%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S', '%d/%m/%Y %H:%M', '%d/%m/%Y', '%Y-%m-%d']"
 
 
-@query(None)
+@query(f"""with {_PAGES}, d as (select page_id, list_concat([{_meta_sql(*fixed_values.DATE_METAS)}], [nullif({_TIME}, ''), nullif(k[list_position(list_transform(k, lambda x: x.name = 'time' and x.kind = 'open'), true) + 1].text, '')]) as texts from folded)
+  select page_id, list_filter(list_transform(texts, lambda t: try_strptime(t, {_FORMS})::date), lambda t: t is not null)[1] as published_date from d""")
 def html_dates(spark, sf_dir):
-    """The dates that pages state."""
-    return table(spark, sf_dir, "pages").select("page_id", text.published_date(F.col("html")).alias("published_date"))
+    """The dates that pages state, in meta values, moments and texts of elements."""
+    return _dressed(spread(table(spark, sf_dir, "pages"), "page_id")).select("page_id", text.published_date(F.col("html")).alias("published_date"))
 
 
 @query(r"select page_id, coalesce(nullif(regexp_extract(html, '(?is)<meta[^>]*property=\"og:title\"[^>]*content=\"([^\"]*)\"', 1), ''), nullif(trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)), ''), nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '')) as title from pages")
