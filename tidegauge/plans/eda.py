@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.windows import change
+from tidegauge.operators import quantiles
 from tidegauge.sources.adapters import BARS, SYMBOLS, bars, table
 
 QUERIES: dict[str, tuple] = {}
@@ -223,3 +224,19 @@ def best_model(li):
 
 _lineitem(best_model, """with g as (select l_extendedprice as y, unnest([{'model': 'flat', 'p': 38000.0::double}, {'model': 'linear', 'p': l_quantity * 1500.0::double}, {'model': 'taxed', 'p': l_quantity * 1500.0::double * (1 + l_tax)}], recursive := true) from lineitem),
   r as (select model, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) as r2 from g group by model) select model, round(r2, 6) as r2 from r order by r2 desc limit 1""")
+
+
+#: Quantiles of prices.
+SHARES = (0.01, 0.25, 0.5, 0.75, 0.9, 0.99)
+
+
+def price_quantiles(spark, sf_dir):
+    """Exact quantiles of all lines' prices, by selection: no task sorts or holds a group's values."""
+    found = quantiles.quantiles(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice"), "l_returnflag", "l_extendedprice", list(SHARES))
+    return found.select("l_returnflag", "share", "n", F.round("value", 6).alias("value"))
+
+
+QUERIES["price_quantiles"] = (
+    price_quantiles,
+    f"select l_returnflag, share, count(*) as n, round(quantile_cont(l_extendedprice, share), 6) as value from (select l_returnflag, l_extendedprice, unnest({list(SHARES)})::double as share from lineitem where l_extendedprice is not null) group by 1, 2".replace("quantile_cont(l_extendedprice, share)", "case " + " ".join(f"when share = {s} then quantile_cont(l_extendedprice, {s})" for s in SHARES) + " end"),
+)

@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.windows import W, log_change
+from tidegauge.functions import tails
 from tidegauge.operators import association, changepoint, ranks
+from tidegauge.shared import written
 from tidegauge.sources.adapters import BARS, MARKET, NEWS, bars, news
 
 QUERIES: dict[str, tuple] = {}
@@ -247,3 +249,51 @@ def bh_adjusted(spark, sf_dir):
 
     p = table(spark, sf_dir, "part").select("p_partkey", ((F.col("p_partkey") * 7919 % 1000 + 1) / F.lit(20000.0)).alias("p"))
     return ranks.adjusted(p, "p", "p_partkey").select("p_partkey", "p", F.round("adjusted", 9).alias("adjusted"))
+
+
+def _simpson(density: str, upto: str, steps: int = 2000) -> str:
+    """The integral of a density (of x) from 0 to ``upto`` in SQL."""
+    at = lambda i: density.replace("{x}", f"({upto} * {i} / {steps})")
+    return f"({upto} / {3 * steps} * list_sum(list_transform(range(0, {steps + 1}), lambda i: (case when i = 0 or i = {steps} then 1 when i % 2 = 1 then 4 else 2 end) * {at('i')})))"
+
+
+_T_DENSITY = "exp(lgamma((df + 1) / 2) - lgamma(df / 2) - 0.5 * ln(df * pi())) * pow(1 + {x} * {x} / df, -(df + 1) / 2)"
+_TESTS = f"""{_PAIRS}, g as (select symbol, count(*) filter (where s > 0)::double as n1, count(*) filter (where s <= 0)::double as n2, avg(ret) filter (where s > 0) as m1, avg(ret) filter (where s <= 0) as m2, var_samp(ret) filter (where s > 0) as v1, var_samp(ret) filter (where s <= 0) as v2, count(*)::double as n, corr(s, ret) as r0, corr(s, next_ret) as r1 from pairs group by symbol),
+  welch as (select symbol, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) as t, pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) as df from g),
+  ts as (select symbol, 'welch' as test, t, df from welch union all select symbol, 'pearson_0', r0 * sqrt((n - 2) / (1 - r0 * r0)), n - 2 from g union all select symbol, 'pearson_1', r1 * sqrt((n - 2) / (1 - r1 * r1)), n - 2 from g),
+  rk as (select symbol, s, rank() over (partition by symbol order by ret) + (count(*) over (partition by symbol, ret) - 1) / 2.0::double as r from pairs), ties as (select symbol, sum(t * t * t - t) as ties from (select symbol, ret, count(*)::double as t from pairs group by 1, 2) group by 1),
+  u as (select symbol, sum(r) filter (where s > 0) - count(*) filter (where s > 0) * (count(*) filter (where s > 0) + 1) / 2.0::double as u from rk group by symbol),
+  zs as (select symbol, greatest(abs(u - n1 * n2 / 2) - 0.5, 0) / sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))) as z from u join g using (symbol) join ties using (symbol)),
+  ps as (select symbol, test, t as statistic, 1 - 2 * {_simpson(_T_DENSITY, "abs(t)")} as p from ts union all select symbol, 'mann_whitney', z, 1 - 2 * {_simpson("exp(-{x} * {x} / 2) / sqrt(2 * pi())", "z")} from zs)"""
+
+
+@query(f"""with {_TESTS}, r as (select *, row_number() over (order by p, symbol, test) as k, count(*) over () as m from ps where p is not null)
+  select symbol, test, round(statistic, 6) as statistic, round(p, 8) as p, round(least(1, min(p * m / k) over (order by p, symbol, test rows between current row and unbounded following)), 8) as adjusted from r""")
+def adjusted_tests(spark, sf_dir):
+    """Four tests of sentiment against returns for each symbol: statistics, two-sided p-values, and these adjusted for their number."""
+    pairs = written(_pairs(spark, sf_dir))
+    good, n = F.col("s") > 0, F.col("n")
+    pick = lambda f, side: f(F.when(side, F.col("ret")))
+    g = pairs.groupBy("symbol").agg(
+        F.count_if(good).cast("double").alias("n1"), F.count_if(~good).cast("double").alias("n2"), pick(F.avg, good).alias("m1"), pick(F.avg, ~good).alias("m2"), pick(F.var_samp, good).alias("v1"), pick(F.var_samp, ~good).alias("v2"),
+        F.count("*").cast("double").alias("n"), F.corr("s", "ret").alias("r0"), F.corr("s", "next_ret").alias("r1"))
+    a, b = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
+    of_r = lambda r: r * F.sqrt(F.try_divide(n - 2, 1 - r * r))
+    tests = [("welch", F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(a + b)), F.try_divide(F.pow(a + b, 2), F.try_divide(a * a, F.col("n1") - 1) + F.try_divide(b * b, F.col("n2") - 1)))]
+    tests += [(f"pearson_{k}", of_r(F.col(f"r{k}")), n - 2) for k in (0, 1)]
+    ts = g.select("symbol", F.explode(F.array(*[F.struct(F.lit(name).alias("test"), t.alias("statistic"), df.alias("df")) for name, t, df in tests])).alias("x")).select("symbol", "x.*")
+    ts = ts.select("symbol", "test", "statistic", tails.student(F.col("statistic"), F.col("df")).alias("p"))
+    ties = pairs.groupBy("symbol", "ret").agg(F.count("*").cast("double").alias("t")).groupBy("symbol").agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    zs = ranks_of(pairs).join(g, "symbol").join(ties, "symbol")
+    spread = F.col("n1") * F.col("n2") / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1)))
+    z = F.try_divide(F.greatest(F.abs(F.col("u") - F.col("n1") * F.col("n2") / 2) - 0.5, F.lit(0.0)), F.sqrt(spread))
+    zs = zs.select("symbol", F.lit("mann_whitney").alias("test"), z.alias("statistic")).withColumn("p", tails.normal(F.col("statistic")))
+    named = ts.unionByName(zs).withColumn("name", F.concat_ws(":", "symbol", "test"))
+    return ranks.adjusted(named, "p", "name").select("symbol", "test", F.round("statistic", 6).alias("statistic"), F.round("p", 8).alias("p"), F.round("adjusted", 8).alias("adjusted"))
+
+
+def ranks_of(pairs):
+    """(symbol, u): Mann and Whitney's statistic of the returns on days of good news."""
+    r = F.rank().over(Window.partitionBy("symbol").orderBy("ret")) + (F.count("*").over(Window.partitionBy("symbol", "ret")) - 1) / 2
+    n = F.count_if(F.col("s") > 0)
+    return pairs.select("symbol", "s", r.alias("r")).groupBy("symbol").agg((F.sum(F.when(F.col("s") > 0, F.col("r"))) - n * (n + 1) / 2).alias("u"))

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import text
 from tidegauge.functions.windows import W, YEAR, frame, full, garman_klass, log_change, parkinson
-from tidegauge.operators import metrics
+from tidegauge.operators import least_squares, metrics
 from tidegauge.operators.ewm import with_ewm
+from tidegauge.plans import indicators
 from tidegauge.plans.texts import _NET, _net
+from tidegauge.shared import written
 from tidegauge.sources.adapters import NEWS, bars, news, table
 
 QUERIES: dict[str, tuple] = {}
@@ -242,3 +244,37 @@ def time_folds(spark, sf_dir):
     r = r.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("step", F.floor(F.col("m") / 6))
     start = F.col("m") - (6 - F.col("fold")) * F.col("step")
     return r.groupBy("fold").agg(F.count_if(F.col("k") < start - 5).alias("train_days"), F.count_if((F.col("k") >= start) & (F.col("k") < start + F.col("step"))).alias("test_days"))
+
+
+_HAR_ROWS = f"(select * from ({indicators.QUERIES['har_panel'][1]}) join ({indicators.QUERIES['rv_target_fwd'][1]}) using (symbol, date) where rv_d is not null and rv_w is not null and rv_m is not null and target is not null)"
+
+
+def _det(m: list[list[str]]) -> str:
+    """A determinant of three columns, written out."""
+    return " + ".join(f"{sign}({m[0][a]}) * (({m[1][b]}) * ({m[2][c]}) - ({m[1][c]}) * ({m[2][b]}))" for a, b, c, sign in ((0, 1, 2, ""), (1, 0, 2, "-1 * "), (2, 0, 1, "")))
+
+
+def _cramer(k: int) -> str:
+    cells = [[f"c{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    swapped = [[f"y{i}" if j == k else cells[i][j] for j in range(3)] for i in range(3)]
+    return f"({_det(swapped)}) / nullif({_det(cells)}, 0)"
+
+
+_HAR_SUMS = ", ".join([f"covar_pop({HAR[i]}, {HAR[j]}) as c{i}{j}" for i in range(3) for j in range(i, 3)] + [f"covar_pop({h}, target) as y{i}" for i, h in enumerate(HAR)] + [f"avg({h}) as m{i}" for i, h in enumerate(HAR)] + ["avg(target) as my", "var_pop(target) as vy", "count(*) as n"])
+
+
+@query(f"""with g as (select symbol, {_HAR_SUMS} from {_HAR_ROWS} where date < date '{CUTOFF}' group by symbol), b as (select *, {", ".join(f"{_cramer(k)} as b{k}" for k in range(3))} from g),
+  i as (select *, my - b0 * m0 - b1 * m1 - b2 * m2 as b from b),
+  e as (select r.symbol, count(*) as tested, avg(abs(target - b - b0 * rv_d - b1 * rv_w - b2 * rv_m)) as mae, sqrt(avg(pow(target - b - b0 * rv_d - b1 * rv_w - b2 * rv_m, 2))) as rmse from {_HAR_ROWS} r join i on i.symbol = r.symbol where r.date >= date '{CUTOFF}' group by 1)
+  select symbol, n, round(b, 5) as intercept, round(b0, 5) as rv_d, round(b1, 5) as rv_w, round(b2, 5) as rv_m, round((b0 * y0 + b1 * y1 + b2 * y2) / vy, 5) as r2, tested, round(mae, 5) as mae, round(rmse, 5) as rmse from i left join e using (symbol)""")
+def har_by_symbol(spark, sf_dir):
+    """A regression per symbol of the next days' volatility on the last day's, week's and month's, from sums alone; errors after the cutoff."""
+    rows = indicators.QUERIES["har_panel"][0](spark, sf_dir).join(indicators.QUERIES["rv_target_fwd"][0](spark, sf_dir), ["symbol", "date"]).na.drop(subset=[*HAR, "target"])
+    rows = written(rows.select("symbol", "date", *HAR, "target"))
+    fit = least_squares.solved(least_squares.gram(rows.where(F.col("date") < CUTOFF), list(HAR), "target", ["symbol"]), list(HAR), ["symbol"])
+    fit = fit.withColumnsRenamed({h: f"b_{h}" for h in HAR})
+    gap = F.col("target") - F.col("intercept") - sum((F.col(f"b_{h}") * F.col(h) for h in HAR), F.lit(0.0))
+    errors = rows.where(F.col("date") >= CUTOFF).join(fit, "symbol")
+    errors = errors.groupBy("symbol").agg(F.count("*").alias("tested"), F.avg(F.abs(gap)).alias("mae"), F.sqrt(F.avg(gap * gap)).alias("rmse"))
+    out = fit.join(errors, "symbol", "left")
+    return out.select("symbol", "n", F.round("intercept", 5).alias("intercept"), *[F.round(f"b_{h}", 5).alias(h) for h in HAR], F.round(1 - F.try_divide("rss", "tss"), 5).alias("r2"), "tested", F.round("mae", 5).alias("mae"), F.round("rmse", 5).alias("rmse"))
