@@ -40,6 +40,6 @@ def parse_datetime(raw: Column) -> Column:
 
 
 def age(moment: Column, now: Column) -> Column:
-    """How long ago, in minutes, hours or days."""
+    """How long ago, in minutes, hours or days; moments that are yet to come are just now, and null is an empty text."""
     minutes = F.floor(F.timestamp_diff("SECOND", moment, now) / 60).cast("long")
-    return F.when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" minutes"))).when(minutes < 1440, F.concat(F.floor(minutes / 60).cast("string"), F.lit(" hours"))).otherwise(F.concat(F.floor(minutes / 1440).cast("string"), F.lit(" days")))
+    return F.when(minutes.isNull(), "").when(minutes < 0, "just now").when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" minutes"))).when(minutes < 1440, F.concat(F.floor(minutes / 60).cast("string"), F.lit(" hours"))).otherwise(F.concat(F.floor(minutes / 1440).cast("string"), F.lit(" days")))

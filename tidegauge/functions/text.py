@@ -112,6 +112,20 @@ def route(url: Column, routes, other: str) -> Column:
     return out.otherwise(other)
 
 
+def slug(url: Column) -> Column:
+    """The last part of a URL that ends in .html, without that, else the whole URL; in lower case."""
+    part = F.regexp_extract(url, r"/([^/]+?)\.html$", 1)
+    return F.lower(F.when(part != "", part).otherwise(url))
+
+
+def relevant_slug(slug: Column, tokens, brands) -> Column:
+    """Whether one of a slug's parts between hyphens is one of ``tokens``, or one of ``brands`` stands in it."""
+    hit = F.arrays_overlap(F.split(slug, "-"), F.array(*[F.lit(t) for t in tokens]))
+    for b in brands:
+        hit = hit | slug.contains(b)
+    return hit
+
+
 def weak_sector(content: Column, sectors: dict[str, str], least: int = 2) -> Column:
     """The one sector of the codes that stand in a text as words, and ``least`` times in all; null where there are none or several."""
     found = []

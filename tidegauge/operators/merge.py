@@ -49,3 +49,19 @@ def quality_report(rows: DataFrame, unique: list[str], domains: dict[str, Column
     keys = rows.groupBy(*unique).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("failures")).select(F.lit("unique " + ",".join(unique)).alias("check"), "failures")
     broken = rows.agg(F.array(*[F.struct(F.lit(name).alias("check"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("failures")) for name, ok in domains.items()]).alias("c"))
     return keys.unionByName(broken.select(F.explode("c").alias("c")).select("c.*"))
+
+
+def taken_pages(items: DataFrame, pages: DataFrame, key: list[str], start: Column) -> DataFrame:
+    """The rows of ``items`` (key, page, ts, event_id) on the pages that a reader of each key gets to see.
+
+    ``pages`` has the key and page of all pages, also of those without items. The
+    reader ends at the second page in a row without items, and after a page whose oldest
+    item is before ``start``; that page counts.
+    """
+    sizes = items.groupBy(*key, "page").agg(F.count("*").alias("_n"), F.min(F.struct("ts", "event_id"))["ts"].alias("_oldest"))
+    along = Window.partitionBy(*key).orderBy("page")
+    seen = pages.join(sizes, [*key, "page"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    ends = ((F.col("_n") == 0) & (F.coalesce(F.lag("_n").over(along), F.lit(1)) == 0)) | F.coalesce(F.col("_oldest") < start, F.lit(False))
+    seen = seen.withColumn("_ends", ends.cast("int"))
+    ended = F.coalesce(F.max("_ends").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return items.join(seen.withColumn("_ended", ended).where("_ended = 0").select(*key, "page"), [*key, "page"])

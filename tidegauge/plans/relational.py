@@ -223,6 +223,23 @@ def take_until_stop(spark, sf_dir):
     return rows.groupBy("user_id").agg(F.count_if(F.col("stop") == 0).alias("taken"), F.count("*").alias("seen"))
 
 
+#: Events of a page, and the moment at which a reader has gone back far enough.
+PAGE, START = 5, "2024-01-04 00:00:00"
+
+
+@query(f"""with e as (select user_id, event_id, ts, (row_number() over (partition by user_id order by ts desc, event_id desc) - 1) // {PAGE} as page, event_id % 4 > 0 as listed from events),
+  p as (select user_id, page, count(*) filter (where listed) as urls, arg_min(ts, (ts, event_id)) filter (where listed) as oldest from e group by 1, 2),
+  f as (select *, case when urls = 0 and lag(urls) over w = 0 then 1 when oldest < timestamp '{START}' then 1 else 0 end as ends from p window w as (partition by user_id order by page)),
+  t as (select user_id, page from (select *, coalesce(sum(ends) over (partition by user_id order by page rows between unbounded preceding and 1 preceding), 0) as ended from f) where ended = 0)
+  select user_id, event_id, cast(page as integer) as page from e join t using (user_id, page) where listed and event_id % 10 <> 0""")
+def sequential_pages(spark, sf_dir):
+    """What a reader takes who goes back page by page: up to the second empty page in a row, or with the page whose last item is too old; without what is known already."""
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.floor((F.row_number().over(w) - 1) / PAGE).cast("int").alias("page"), (F.col("event_id") % 4 > 0).alias("listed"))
+    known = table(spark, sf_dir, "events").where("event_id % 10 = 0").select("event_id")
+    return merge.taken_pages(e.where("listed"), e.select("user_id", "page").distinct(), ["user_id"], F.lit(START).cast("timestamp_ntz")).join(known, "event_id", "left_anti").select("user_id", "event_id", "page")
+
+
 @query("select l_returnflag, l_linestatus, count(*) as n, sum(l_quantity) as quantity from lineitem where ($1 is null) or true group by 1, 2".replace("where ($1 is null) or true ", ""))
 def optional_predicate(spark, sf_dir):
     """A parameterised query whose filter vanishes when its parameter is null."""

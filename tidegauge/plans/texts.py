@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import automaton, dates, fixed_values, markup, text
+from tidegauge.operators import inference
 from tidegauge.shared import shared_dir, written
 from tidegauge.sources import files
 from tidegauge.sources.adapters import MARKET, NEWS, news, spread, table
@@ -264,10 +265,20 @@ def url_host(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(u, r"^[a-z]+://([^/?#:]+)", 1).alias("host"), text.route(u, ROUTES, "other").alias("route"), F.regexp_extract(u, r"([0-9]+)(?:[?#].*)?$", 1).alias("trailing_id"), F.when(u.startswith("http"), u).otherwise(F.concat(F.lit("https://example.org"), u)).alias("absolute_url"))
 
 
-@query(r"""select page_id, array_to_string(list_filter(t, lambda x: x <> ''), ' ') as tokens, list_has_any(t, ['en', 'fr']) as relevant from (select page_id, string_split_regex(lower(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')), '[^a-z0-9]+') as t from pages)""")
+#: Tokens and parts of slugs that make an address relevant, in the driver's addresses.
+TOKENS, BRANDS = ("en", "es"), ("example.net", "the")
+_SLUG = r"lower(case when regexp_matches(u, '/([^/]+?)\.html$') then regexp_extract(u, '/([^/]+?)\.html$', 1) else u end)"
+
+
+@query(rf"""with u as (select page_id, case when page_id % 3 = 0 then url else regexp_replace(url, '[?#].*$', '') || '-' || case when page_id % 4 = 0 then 'EN' when page_id % 4 = 1 then 'Then' else 'x' end || '-' || page_id || '.html' end as u from pages), s as (select page_id, {_SLUG} as slug from u)
+  select page_id, slug, array_to_string(string_split(slug, '-'), ' ') as tokens, list_has_any(string_split(slug, '-'), {list(TOKENS)}) or {" or ".join(f"contains(slug, '{b}')" for b in BRANDS)} as relevant from s""")
 def url_slug_tokens(spark, sf_dir):
-    t = F.split(F.lower(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")), "[^a-z0-9]+")
-    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.filter(t, lambda x: x != ""), " ").alias("tokens"), F.arrays_overlap(t, F.array(F.lit("en"), F.lit("fr"))).alias("relevant"))
+    """The last part of an address that ends in .html (else all of it), its tokens, and whether one is a code or a brand stands in it."""
+    n = F.col("page_id")
+    word = F.when(n % 4 == 0, "EN").when(n % 4 == 1, "Then").otherwise("x")
+    u = F.when(n % 3 == 0, F.col("url")).otherwise(F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("-"), word, F.lit("-"), n.cast("string"), F.lit(".html")))
+    rows = table(spark, sf_dir, "pages").select("page_id", text.slug(u).alias("slug"))
+    return rows.select("page_id", "slug", F.array_join(F.split("slug", "-"), " ").alias("tokens"), text.relevant_slug(F.col("slug"), TOKENS, BRANDS).alias("relevant"))
 
 
 @query(r"select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) as href from pages")
@@ -290,9 +301,9 @@ def parse_datetime_formats(spark, sf_dir):
     return rows.select("raw", dates.parse_datetime(F.col("raw")).alias("moment")).withColumn("day", F.to_date("moment"))
 
 
-@query("select event_id, case when m < 60 then cast(m as varchar) || ' minutes' when m < 1440 then cast(m // 60 as varchar) || ' hours' else cast(m // 1440 as varchar) || ' days' end as age from (select event_id, cast(floor(date_diff('second', date_trunc('second', ts), timestamp '2024-02-01') / 60) as bigint) as m from events)")
+@query("select event_id, case when m is null then '' when m < 0 then 'just now' when m < 60 then cast(m as varchar) || ' minutes' when m < 1440 then cast(m // 60 as varchar) || ' hours' else cast(m // 1440 as varchar) || ' days' end as age from (select event_id, cast(floor(date_diff('second', date_trunc('second', ts), timestamp '2024-01-16') / 60) as bigint) as m from events)")
 def relative_age(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", dates.age(F.date_trunc("second", "ts"), F.lit("2024-02-01").cast("timestamp_ntz")).alias("age"))
+    return table(spark, sf_dir, "events").select("event_id", dates.age(F.date_trunc("second", "ts"), F.lit("2024-01-16").cast("timestamp_ntz")).alias("age"))
 
 
 #: Names that models give to their labels.
@@ -407,10 +418,45 @@ def entity_symbols(spark, sf_dir):
     return valid_entities(e, "entities").select("event_id", "entity", "is_symbol")
 
 
+_ENTITY_ROWS = """(select event_id, value, event_type, event_id % 3 as label, 0.34 + event_id % 66 / 100.0::double as confidence from events)"""
+
+
+@query(f"""with x as (select event_id, round(confidence * (label - 1), 4) as score, unnest([upper(substr(event_type, 1, 4)), event_type, case when event_id % 2 = 0 then upper(substr(event_type, 1, 3)) end]) as entity, unnest(['stock', 'unknown', 'stock']) as type, unnest(['neutral', 'positive', 'negative']) as sentiment from {_ENTITY_ROWS})
+  select event_id, entity, type, sentiment, case when type = 'stock' then entity end as symbol, case when type = 'stock' then 0.8::double end as relevance, case when type = 'stock' then score end as sentiment_score from x where entity is not null""")
+def entity_rows(spark, sf_dir):
+    """Entities with their defaults, and for those that are symbols how they are mapped to their article's score."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("event_id") % 3).alias("label"), (F.lit(0.34) + F.col("event_id") % 66 / 100).alias("confidence"))
+    named = lambda **given: F.to_json(F.struct(*[v.alias(k) for k, v in given.items()]))
+    parts = F.array(
+        named(entity=F.concat(F.lit("  "), F.upper(F.substring("event_type", 1, 4))), type=F.lit("stock")), named(entity=F.col("event_type"), sentiment=F.lit("positive")), F.lit('"not an object"'), named(entity=F.lit("  ")), F.lit("7"),
+        F.when(F.col("event_id") % 2 == 0, named(entity=F.upper(F.substring("event_type", 1, 3)), type=F.lit("stock"), sentiment=F.lit("negative"))).otherwise("null"))
+    rows = e.select("event_id", *text.distribution(F.col("label"), F.col("confidence"))[3:], F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]")).alias("entities"))
+    found = valid_entities(rows, "entities")
+    mapped = lambda value: F.when(F.col("is_symbol"), value)
+    return found.select("event_id", "entity", F.coalesce("type", F.lit("unknown")).alias("type"), F.coalesce("sentiment", F.lit("neutral")).alias("sentiment"), mapped(F.col("entity")).alias("symbol"), mapped(F.lit(0.8)).alias("relevance"), mapped(F.col("sentiment_score")).alias("sentiment_score"))
+
+
+_SCORED = "(select doc_id, text, label from (select d.doc_id, d.text, case when quality = 1 then true when quality = 0 then false end as label from documents d left join labels using (doc_id)))"
+
+
+@query(rf"""with d as (select doc_id, label, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+') as w from {_SCORED}), u as (select label, unnest(list_distinct(w)) as word from d where label is not null),
+  n as (select word, count(*) filter (where label)::double as g, count(*) filter (where not label)::double as b from u group by 1), v as (select word, ln((g + 1) / (b + 1)) as weight from n where g + b >= 2 order by g + b desc, word limit 50000),
+  x as (select doc_id, unnest(w[1:256]) as word from d), s as (select doc_id, sum(coalesce(weight, 0)) / count(*) as m from x left join v using (word) group by 1)
+  select doc_id, round(1 / (1 + exp(-coalesce(m, 0))), 6) as probability from d left join s using (doc_id)""")
+def model_scores(spark, sf_dir):
+    """Scores of whole texts by a saved model, loaded once by each worker, in batches of a fixed size."""
+    path = shared_dir(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("good"))
+    inference.fitted(docs.join(good, "doc_id"), path)
+    rows = spread(docs, "doc_id").select("doc_id", inference.scores(path)("text").alias("s"))
+    return rows.select("doc_id", F.round("s.probability", 6).alias("probability"))
+
+
 def valid_entities(rows, column: str):
-    """``rows`` with a row per usable element of a JSON list of objects: (entity, type, is_symbol). Others, and lists that can't be read, are left out."""
-    found = rows.withColumn("_e", F.explode(F.from_json(column, "array<string>"))).withColumn("_e", F.from_json("_e", "struct<entity: string, type: string>"))
-    found = found.select(*[F.col(c) for c in rows.columns if c != column], F.btrim("_e.entity").alias("entity"), F.col("_e.type").alias("type")).where("entity <> ''")
+    """``rows`` with a row per usable element of a JSON list of objects: (entity, type, sentiment, is_symbol). Others, and lists that can't be read, are left out."""
+    found = rows.withColumn("_e", F.explode(F.from_json(column, "array<string>"))).withColumn("_e", F.from_json("_e", "struct<entity: string, type: string, sentiment: string>"))
+    found = found.select(*[F.col(c) for c in rows.columns if c != column], F.btrim("_e.entity").alias("entity"), F.col("_e.type").alias("type"), F.col("_e.sentiment").alias("sentiment")).where("entity <> ''")
     name = F.col("entity")
     return found.withColumn("is_symbol", F.coalesce((F.col("type") == "stock") & (F.length(name) <= 4) & (name == F.upper(name)) & (name != F.lower(name)), F.lit(False)))
 
