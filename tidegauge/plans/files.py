@@ -98,12 +98,38 @@ def term_lists(spark, sf_dir):
 _ANSWERS = ('[{"TradingDate": "2026-01-05", "IndexValue": 1.5}]', '{"data": [{"TradingDate": "2026-01-06", "IndexValue": 2.5}, {"IndexValue": 9}]}', '{"items": [{"TradingDate": "2026-01-07T00:00:00"}]}', '{"other": 1}')
 
 
-@query("select * from (values (date '2026-01-05', 1.5::double), (date '2026-01-06', 2.5), (date '2026-01-07', 0)) v(trading_date, index_value)")
+@query("select * from (values (date '2026-01-05', 1.5::double), (date '2026-01-06', 2.5), (date '2026-01-07', null)) v(trading_date, index_value)")
 def json_envelopes(spark, sf_dir):
-    """Answers in three envelopes; fields renamed with defaults, rows without a date dropped."""
+    """Answers in three envelopes; fields renamed, absent ones null, rows without a date dropped."""
     rows = spark.createDataFrame([(a,) for a in _ANSWERS], "body string")
     found = rows.select(F.explode(files.unwrapped(F.col("body"), "struct<TradingDate: string, IndexValue: double>")).alias("r"))
-    return found.select(F.substring("r.TradingDate", 1, 10).try_cast("date").alias("trading_date"), F.coalesce("r.IndexValue", F.lit(0.0)).alias("index_value")).where("trading_date is not null")
+    return found.select(F.substring("r.TradingDate", 1, 10).try_cast("date").alias("trading_date"), F.col("r.IndexValue").alias("index_value")).where("trading_date is not null")
+
+
+# Fields of an index row after its group and date, as answers name them and as they are stored.
+INDEX_FIELDS = (
+    ("IndexValue", "index_value"), ("IndexChange", "index_change"), ("PercentIndexChange", "percent_index_change"), ("ReferenceIndex", "reference_index"), ("OpenIndex", "open_index"), ("CloseIndex", "close_index"),
+    ("HighestIndex", "highest_index"), ("LowestIndex", "lowest_index"), ("TotalMatchVolume", "total_match_volume"), ("TotalMatchValue", "total_match_value"), ("TotalDealVolume", "total_deal_volume"), ("TotalDealValue", "total_deal_value"),
+    ("TotalVolume", "total_volume"), ("TotalValue", "total_value"), ("TotalStockUpPrice", "total_stock_up_price"), ("TotalStockDownPrice", "total_stock_down_price"), ("TotalStockNoChangePrice", "total_stock_no_change"),
+    ("ForeignBuyValueTotal", "foreign_buy_value_total"), ("ForeignBuyVolumeTotal", "foreign_buy_volume_total"), ("ForeignSellValueTotal", "foreign_sell_value_total"), ("ForeignSellVolumeTotal", "foreign_sell_volume_total"),
+)
+INDEX_CODE = "VNINDEX"
+
+
+@query(f"select case when o_orderkey % 7 = 0 then '{INDEX_CODE}' else 'G' || o_orderkey % 7 end as com_group_code, cast(o_orderdate as date) as trading_date, " + ", ".join(f"case when (o_orderkey + {k}) % 4 > 0 then o_orderkey * 2.0::double + {k} end as {stored}" for k, (_, stored) in enumerate(INDEX_FIELDS)) + " from orders where o_orderkey % 11 > 0")
+def index_rows(spark, sf_dir):
+    """Index rows out of answers in three envelopes: 23 fields, absent ones null, a default group, rows without date left out."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    value = lambda i: F.when((k + i) % 4 > 0, k * 2.0 + i)
+    row = F.to_json(F.struct(F.when(k % 11 > 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).alias("TradingDate"), F.when(k % 7 > 0, F.concat(F.lit("G"), (k % 7).cast("string"))).alias("ComGroupCode"), *[value(i).alias(name) for i, (name, _) in enumerate(INDEX_FIELDS)]))
+    listed = o.groupBy(F.floor(k / 40).alias("answer")).agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list(row)), F.lit("]")).alias("rows"))
+    kind = F.col("answer") % 5  # a third of each envelope, and answers that hold no rows or aren't JSON
+    body = F.when(kind == 0, F.col("rows")).when(kind < 3, F.concat(F.lit('{"ok": true, "data": '), "rows", F.lit("}"))).otherwise(F.concat(F.lit('{"items": '), "rows", F.lit(', "n": 1}')))
+    bodies = listed.select(body.alias("body")).unionByName(listed.limit(1).select(F.explode(F.array(F.lit('{"other": 1}'), F.lit("not json"), F.lit("7"))).alias("body")))
+    found = bodies.select(F.explode(files.variants(F.col("body"))).alias("v"))
+    get = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
+    rows = found.select(F.coalesce(F.nullif(get("ComGroupCode", "string"), F.lit("")), F.lit(INDEX_CODE)).alias("com_group_code"), F.substring(get("TradingDate", "string"), 1, 10).try_cast("date").alias("trading_date"), *[get(name, "double").alias(stored) for name, stored in INDEX_FIELDS])
+    return rows.where("trading_date is not null")
 
 
 @query("select symbol, from_date::date as from_date, to_date::date as to_date, to_date is null as active from (values " + ", ".join(f"('{s}', '{a}', {f'{b!r}' if b else 'null'})" for s, a, b in fixed_values.MEMBERSHIP) + ") v(symbol, from_date, to_date)")

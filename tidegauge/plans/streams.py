@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegauge.streaming import incremental, ordered
+from tidegauge.shared import shared_dir
+from tidegauge.streaming import incremental, ordered, runlog
 
 QUERIES: dict[str, tuple] = {}
 
@@ -59,3 +60,12 @@ def stream_ewm(spark, sf_dir):
     """The mean of each type's values in the order of event time, by keyed state and timers."""
     rows = incremental.stateful(spark, ordered.PROVIDER, lambda: incremental.drained(ordered.ordered_means(incremental.source(spark, sf_dir), ALPHA)))
     return rows.select("symbol", "event_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), F.round("mean", 6).alias("mean"))
+
+
+@query("select 'finished' as state, count(*) as input_rows from events union all select 'finished', 0")
+def stream_run_log(spark, sf_dir):
+    """What two runs of a stream did, as the engine reports it: the second one finds nothing new."""
+    path, at = shared_dir(spark), shared_dir(spark)
+    run = lambda: incremental.drained(incremental.source(spark, sf_dir), each=lambda rows, _: rows.write.format("noop").mode("overwrite").save(), checkpoint=at)
+    runlog.logged(spark, run, path)
+    return runlog.logged(spark, run, path).select("state", "input_rows")

@@ -16,13 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table (as Spark estimates them) up to which ``spread`` deals it anew.
+SPREAD_BYTES = 1 << 30
+
+
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` of a table that is read in fewer splits than there are cores, dealt by ``key`` so that all cores work on its texts; others as they are.
+    """``rows`` of a small table that is read in fewer splits than there are cores, dealt by ``key`` so that all cores work on its texts; others as they are.
 
-    A file of one row group is one task however large its texts are. Inputs of many files aren't shuffled.
+    A file of one row group is one task however large its texts are. Inputs of
+    many files, or over SPREAD_BYTES, aren't shuffled, however many cores there are.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    return rows.repartition(cores, key) if size <= SPREAD_BYTES and rows.rdd.getNumPartitions() < cores else rows
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ def read_url_lists(spark: SparkSession, path: str, per_file: int | None = None,
     splits = lines.groupBy("file", "path", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     before = Window.partitionBy("file").orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("file", "path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    rows = lines.join(F.broadcast(splits), ["file", "path", "block"]).select("file", (F.col("id") - F.col("first") + F.col("before")).cast("int").alias("line"), "url")
+    rows = lines.join(splits, ["file", "path", "block"]).select("file", (F.col("id") - F.col("first") + F.col("before")).cast("int").alias("line"), "url")
     rows = rows.where(F.col("line") < per_file) if per_file else rows
     if new_per_file:
         return _taken(spark, rows, new_per_file)
@@ -102,23 +102,63 @@ def finite(column: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
 
 
+def variants(body: Column) -> Column:
+    """The elements of a JSON answer as variants, whether it is a list or holds one as ``data`` or ``items``; null where it is neither, or can't be read."""
+    whole = F.try_parse_json(body)
+    return F.coalesce(*[F.try_variant_get(whole, place, "array<variant>") for place in ("$", "$.data", "$.items")])
+
+
+def _hadoop(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def replace_table(rows: DataFrame, path: str) -> DataFrame:
-    """Write ``rows`` beside ``path`` and put them in its place by renaming.
+    """Write ``rows`` as a new version below ``path`` and let its pointer name it; give the table.
 
-    The rows are complete before the old table goes, so that a failed write
-    changes nothing. Between the two renames ``path`` doesn't exist: readers of
-    that moment get an error, never a part of the rows.
+    The pointer is a small file that an overwriting rename replaces: where the file
+    system renames atomically (as HDFS and local disks do), readers see the old
+    version or the new one, whole, at every moment, and a write that fails changes
+    nothing. A version stays until the one after the next is written, for readers that have begun.
     """
-    spark, fresh = rows.sparkSession, f"{path}.{uuid.uuid4().hex}"
-    rows.write.parquet(fresh)
-    path_class = spark._jvm.org.apache.hadoop.fs.Path
-    files = path_class(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    old = f"{path}.old.{uuid.uuid4().hex}"
-    if files.exists(path_class(path)):
-        files.rename(path_class(path), path_class(old))
-    files.rename(path_class(fresh), path_class(path))
-    files.delete(path_class(old), True)
-    return spark.read.schema(rows.schema).parquet(path)
+    spark, version = rows.sparkSession, f"version-{uuid.uuid4().hex}"
+    before = current_version(spark, path)
+    rows.write.parquet(f"{path}/{version}")
+    fresh, files = _hadoop(spark, f"{path}/_pointer.{version}")
+    out = files.create(fresh, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(options, 1)
+    how[0] = options.OVERWRITE
+    pointer, _ = _hadoop(spark, f"{path}/_pointer")
+    fresh, pointer = fresh.makeQualified(files.getUri(), files.getWorkingDirectory()), pointer.makeQualified(files.getUri(), files.getWorkingDirectory())
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration()).rename(fresh, pointer, how)
+    for found in files.listStatus(pointer.getParent()):
+        name = found.getPath().getName()
+        if name.startswith("version-") and name not in (version, before):
+            files.delete(found.getPath(), True)
+    return read_replaced(spark, path)
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The name of the version that readers get; None before the first one is whole."""
+    pointer, files = _hadoop(spark, f"{path}/_pointer")
+    if not files.exists(pointer):
+        return None
+    file = files.open(pointer)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+    finally:
+        file.close()
+
+
+def read_replaced(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``replace_table`` wrote last."""
+    version = current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no table below {path}")
+    return spark.read.parquet(f"{path}/{version}")
 
 
 def append_table(rows: DataFrame, path: str) -> DataFrame:
