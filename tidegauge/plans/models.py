@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import text
 from tidegauge.functions.windows import W, YEAR, frame, full, garman_klass, log_change, parkinson
-from tidegauge.operators import least_squares, metrics
+from tidegauge.operators import boosting, least_squares, metrics
 from tidegauge.operators.ewm import with_ewm
 from tidegauge.plans import indicators
 from tidegauge.plans.texts import _NET, _net
@@ -207,6 +207,30 @@ def gradient_boosting(spark, sf_dir):
     return evaluated(model.transform(test), "gradient_boosting")
 
 
+#: Rounds of the registered queries; the whole number is in ``boosting.Settings``. Rounds without a better error on the last year before the cutoff that end a boosting.
+BOOSTED, PATIENCE = 12, 50
+
+
+def boosted(spark, sf_dir, settings: boosting.Settings, name: str) -> DataFrame:
+    """Boosting with row and column draws and both penalties, stopped by the last year before the cutoff, not by the test rows."""
+    rows = written(panel(bars(spark, sf_dir)))
+    train = rows.where(F.col("date") < CUTOFF).withColumn("held", F.col("date") >= VALIDATION)
+    model = boosting.fit(train, list(FEATURES), "rv5_fwd", ["symbol", "date"], "held", settings)
+    return evaluated(boosting.predicted(rows.where(F.col("date") >= CUTOFF), model, ["rv5_fwd"]), name)
+
+
+@query(None)
+def boosted_levels(spark, sf_dir):
+    """Trees by whole levels, six deep."""
+    return boosted(spark, sf_dir, boosting.Settings(rounds=BOOSTED, patience=PATIENCE), "boosted_levels")
+
+
+@query(None)
+def boosted_leaves(spark, sf_dir):
+    """Trees of the best 63 leaves, six deep, with 20 rows a leaf at least."""
+    return boosted(spark, sf_dir, boosting.Settings(rounds=BOOSTED, leaves=63, least=20, patience=PATIENCE), "boosted_leaves")
+
+
 @query(None)
 def feature_importance(spark, sf_dir):
     """The ten features that the forest uses most."""
