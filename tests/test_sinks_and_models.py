@@ -81,3 +81,15 @@ def test_readers_stop(spark):
     for r in got.collect():
         found.setdefault(r.key, set()).add(r.event_id)
     assert found == {"two": {9, 8}, "old": {9, 8, 3, 2}, "edge": {9, 5, 4}, "late": {6}}
+
+
+def test_tables_are_reloaded_in_order_or_not_at_all(spark, tmp_path):
+    spark, path = prepare(spark), f"file://{tmp_path}/all"
+    parent, child = spark.range(3).toDF("id"), spark.createDataFrame([(1, 2), (2, None), (3, 0)], "k long, parent long")
+    both = lambda c, p: {"child": (c, {"parent": ("parent", "id")}), "parent": (p, {})}
+    assert list(files.reload_tables(both(child, parent), path)) == ["parent", "child"]
+    with pytest.raises(ValueError, match="child.parent"):
+        files.reload_tables(both(child, parent.where("id < 2")), path)
+    assert files.read_replaced(spark, f"{path}/parent").count() == 3
+    with pytest.raises(ValueError, match="circle"):
+        files.reload_tables({"a": (parent, {"id": ("b", "id")}), "b": (parent, {"id": ("a", "id")})}, path)

@@ -176,7 +176,8 @@ def _rates(spark, sf_dir):
 
 @query(f"with {_NULL} select cast(perm as integer) as perm, round(rate, 6) as rate from rates")
 def permutation_null(spark, sf_dir):
-    return _rates(spark, sf_dir).withColumn("rate", F.round("rate", 6))
+    """The rates of all permutations, stored as a table that later runs can read."""
+    return written(_rates(spark, sf_dir).withColumn("rate", F.round("rate", 6)))
 
 
 @query(f"""with {_NULL}, o as (select count(*) filter (where match) / nullif(count(*) filter (where has_signal), 0)::double as observed from matched), z as (select avg(rate) as null_mean, stddev_pop(rate) as null_std from rates)

@@ -106,6 +106,18 @@ def json_envelopes(spark, sf_dir):
     return found.select(F.substring("r.TradingDate", 1, 10).try_cast("date").alias("trading_date"), F.col("r.IndexValue").alias("index_value")).where("trading_date is not null")
 
 
+@query("select 'region' as name, count(*) as n from region union all select 'nation', count(*) from nation union all select 'customer', count(*) from customer union all select 'orders', count(*) from orders")
+def reloaded_tables(spark, sf_dir):
+    """Four tables reloaded in the order of their references."""
+    t = lambda name: table(spark, sf_dir, name)
+    found = files.reload_tables({
+        "orders": (t("orders"), {"o_custkey": ("customer", "c_custkey")}), "customer": (t("customer"), {"c_nationkey": ("nation", "n_nationkey")}),
+        "nation": (t("nation"), {"n_regionkey": ("region", "r_regionkey")}), "region": (t("region"), {}),
+    }, shared_dir(spark))
+    parts = [rows.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, rows in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 # Fields of an index row after its group and date, as answers name them and as they are stored.
 INDEX_FIELDS = (
     ("IndexValue", "index_value"), ("IndexChange", "index_change"), ("PercentIndexChange", "percent_index_change"), ("ReferenceIndex", "reference_index"), ("OpenIndex", "open_index"), ("CloseIndex", "close_index"),

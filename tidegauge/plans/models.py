@@ -208,7 +208,7 @@ def gradient_boosting(spark, sf_dir):
 
 
 #: Rounds of the registered queries; the whole number is in ``boosting.Settings``. Rounds without a better error on the last year before the cutoff that end a boosting.
-BOOSTED, PATIENCE = 12, 50
+BOOSTED, PATIENCE = 6, 50
 
 
 def boosted(spark, sf_dir, settings: boosting.Settings, name: str) -> DataFrame:

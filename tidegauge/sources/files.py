@@ -164,3 +164,25 @@ def read_replaced(spark: SparkSession, path: str) -> DataFrame:
 def append_table(rows: DataFrame, path: str) -> DataFrame:
     rows.write.mode("append").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def reload_tables(tables: dict[str, tuple[DataFrame, dict[str, tuple[str, str]]]], path: str) -> dict[str, DataFrame]:
+    """Replace several tables below ``path``, each after those that it refers to, once all references hold.
+
+    ``tables`` is name -> (rows, column -> (table, column) that it refers to).
+    References are checked on the new rows of both sides before anything is replaced; null ones hold.
+    """
+    order: list[str] = []
+    while len(order) < len(tables):
+        ready = [t for t, (_, refers) in tables.items() if t not in order and all(other in order or other == t for other, _ in refers.values())]
+        if not ready:
+            raise ValueError(f"tables that refer to one another in a circle, or to others: {sorted(set(tables) - set(order))}")
+        order += ready
+    for name in order:
+        rows, refers = tables[name]
+        for column, (other, target) in refers.items():
+            known = tables[other][0].select(F.col(target).alias("_known")).distinct()
+            lost = rows.where(F.col(column).isNotNull()).join(known, F.col(column) == F.col("_known"), "left_anti")
+            if not lost.isEmpty():
+                raise ValueError(f"{name}.{column} has values that aren't in {other}.{target}")
+    return {name: replace_table(tables[name][0], f"{path}/{name}") for name in order}
