@@ -219,11 +219,11 @@ _AMOUNTS = "(select event_id, case when event_id % 9 = 0 then null else (value -
 
 
 @query(f"""select event_id, case when n is null then '—' when abs(n) >= 1e9 then printf('%.2f', n / 1e9) || 'B' when abs(n) >= 1e6 then printf('%.2f', n / 1e6) || 'M' when abs(n) >= 1e3 then printf('%.1f', n / 1e3) || 'K' else printf('%.0f', n) end as big,
-  case when n is null then '—' else printf('%.3f', n) end as plain, case when n is null then '—' else printf('%.2f', n / 123456789 * 100) || '%' end as percent from {_AMOUNTS}""")
+  case when n is null then '—' else printf('%.3f', n / 123456789) end as plain, case when n is null then '—' else printf('%.2f', n / 123456789 * 100) || '%' end as percent from {_AMOUNTS}""")
 def humanised_numbers(spark, sf_dir):
     """Amounts of any sign and size as people read them; a dash for none."""
     n = F.when(F.col("event_id") % 9 != 0, (F.col("value") - 40) * F.pow(F.lit(10.0), F.col("event_id") % 9) * 1.00001370123457)
-    return table(spark, sf_dir, "events").select("event_id", n.alias("n"), (n / 123456789).alias("share")).select("event_id", numbers.big("n").alias("big"), numbers.plain("n", 3).alias("plain"), numbers.percent("share").alias("percent"))
+    return table(spark, sf_dir, "events").select("event_id", n.alias("n"), (n / 123456789).alias("share")).select("event_id", numbers.big("n").alias("big"), numbers.plain("share", 3).alias("plain"), numbers.percent("share").alias("percent"))
 
 
 _FINANCE = """fin as (select o_orderkey, any_value(o_custkey) as o_custkey, any_value(o_orderdate) as o_orderdate, any_value(o_orderstatus) as o_orderstatus, any_value(o_totalprice) as o_totalprice, round(coalesce(sum(l_extendedprice), 0), 2) as gross, round(coalesce(sum(case when l_returnflag = 'R' then l_extendedprice end), 0), 2) as returned,

@@ -261,14 +261,14 @@ def _simpson(density: str, upto: str, steps: int = 2000) -> str:
 _T_DENSITY = "exp(lgamma((df + 1) / 2) - lgamma(df / 2) - 0.5 * ln(df * pi())) * pow(1 + {x} * {x} / df, -(df + 1) / 2)"
 _TESTS = f"""{_PAIRS}, g as (select symbol, count(*) filter (where s > 0)::double as n1, count(*) filter (where s <= 0)::double as n2, avg(ret) filter (where s > 0) as m1, avg(ret) filter (where s <= 0) as m2, var_samp(ret) filter (where s > 0) as v1, var_samp(ret) filter (where s <= 0) as v2, count(*)::double as n, corr(s, ret) as r0, corr(s, next_ret) as r1 from pairs group by symbol),
   welch as (select symbol, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) as t, pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) as df from g),
-  ts as (select symbol, 'welch' as test, t, df from welch union all select symbol, 'pearson_0', r0 * sqrt((n - 2) / (1 - r0 * r0)), n - 2 from g union all select symbol, 'pearson_1', r1 * sqrt((n - 2) / (1 - r1 * r1)), n - 2 from g),
+  ts as (select symbol, 'welch' as test, t, df from welch union all select symbol, 'pearson_0', r0 * sqrt((n - 2) / nullif(1 - r0 * r0, 0)), n - 2 from g union all select symbol, 'pearson_1', r1 * sqrt((n - 2) / nullif(1 - r1 * r1, 0)), n - 2 from g),
   rk as (select symbol, s, rank() over (partition by symbol order by ret) + (count(*) over (partition by symbol, ret) - 1) / 2.0::double as r from pairs), ties as (select symbol, sum(t * t * t - t) as ties from (select symbol, ret, count(*)::double as t from pairs group by 1, 2) group by 1),
   u as (select symbol, sum(r) filter (where s > 0) - count(*) filter (where s > 0) * (count(*) filter (where s > 0) + 1) / 2.0::double as u from rk group by symbol),
-  zs as (select symbol, greatest(abs(u - n1 * n2 / 2) - 0.5, 0) / sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))) as z from u join g using (symbol) join ties using (symbol)),
-  ps as (select symbol, test, t as statistic, 1 - 2 * {_simpson(_T_DENSITY, "abs(t)")} as p from ts union all select symbol, 'mann_whitney', z, 1 - 2 * {_simpson("exp(-{x} * {x} / 2) / sqrt(2 * pi())", "z")} from zs)"""
+  zs as (select symbol, greatest(abs(u - n1 * n2 / 2) - 0.5, 0) / nullif(sqrt(n1 * n2 / 12 * (n + 1 - ties / nullif(n * (n - 1), 0))), 0) as z from u join g using (symbol) join ties using (symbol)),
+  ps as (select symbol, test, t as statistic, 1 - 2 * {_simpson(_T_DENSITY, "abs(t)")} as p from ts where df > 0 and isfinite(df) and isfinite(t) union all select symbol, 'mann_whitney', z, 1 - 2 * {_simpson("exp(-{x} * {x} / 2) / sqrt(2 * pi())", "z")} from zs)"""
 
 
-@query(f"""with {_TESTS}, r as (select *, row_number() over (order by p, symbol, test) as k, count(*) over () as m from ps where p is not null)
+@query(f"""with {_TESTS}, r as (select *, row_number() over (order by p, symbol, test) as k, count(*) over () as m from ps where isfinite(p))
   select symbol, test, round(statistic, 6) as statistic, round(p, 8) as p, round(least(1, min(p * m / k) over (order by p, symbol, test rows between current row and unbounded following)), 8) as adjusted from r""")
 def adjusted_tests(spark, sf_dir):
     """Four tests of sentiment against returns for each symbol: statistics, two-sided p-values, and these adjusted for their number."""
@@ -289,7 +289,7 @@ def adjusted_tests(spark, sf_dir):
     spread = F.col("n1") * F.col("n2") / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1)))
     z = F.try_divide(F.greatest(F.abs(F.col("u") - F.col("n1") * F.col("n2") / 2) - 0.5, F.lit(0.0)), F.sqrt(spread))
     zs = zs.select("symbol", F.lit("mann_whitney").alias("test"), z.alias("statistic")).withColumn("p", tails.normal(F.col("statistic")))
-    named = ts.unionByName(zs).withColumn("name", F.concat_ws(":", "symbol", "test"))
+    named = ts.unionByName(zs).where(~F.isnan("p")).withColumn("name", F.concat_ws(":", "symbol", "test"))
     return ranks.adjusted(named, "p", "name").select("symbol", "test", F.round("statistic", 6).alias("statistic"), F.round("p", 8).alias("p"), F.round("adjusted", 8).alias("adjusted"))
 
 

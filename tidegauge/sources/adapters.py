@@ -27,7 +27,7 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     many files, or over SPREAD_BYTES, aren't shuffled, however many cores there are.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return rows.repartition(cores, key) if size <= SPREAD_BYTES and rows.rdd.getNumPartitions() < cores else rows
 
 
