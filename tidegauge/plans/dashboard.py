@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import numbers, text
 from tidegauge.functions.windows import W
-from tidegauge.plans import indicators
+from tidegauge.plans import events, indicators
 from tidegauge.plans.events import _CHANGES, _MATCHED, SYMBOL, _changes, _matched, daily
 from tidegauge.plans.indicators import _SNAPSHOT, _with_bars, kpi_snapshot
 from tidegauge.plans.texts import _HYBRID, _hybrid
@@ -53,6 +53,35 @@ def overview_cards(spark, sf_dir):
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("card"), F.col(v).cast("string").alias("value")) for k, v in cards])).alias("x")).select("x.*")
 
 
+_P, _CI = (f"({events.QUERIES[name][1]})" for name in ("permutation_p", "bootstrap_ci"))
+
+
+@query(f"""with {_CARDS}, m as (select count(*) filter (where s > 0) as pos, count(*) filter (where s <= 0) as neg from h), k as (select count(*) filter (where direction = 1) as up, count(*) filter (where direction = -1) as down from matched)
+  select 'symbols' as card, (select count(distinct symbol) from bars)::double as value, null::double as low, null::double as high, (select max(date) from bars)::varchar as state
+  union all select 'news', (select count(*) from news)::double, null, null, ''
+  union all select 'sentiment', round(pos / nullif(pos + neg, 0)::double, 6), neg::double, pos::double, case when pos + neg = 0 then 'none' when pos / (pos + neg)::double > 0.55 then 'positive' when pos / (pos + neg)::double < 0.45 then 'negative' else 'balanced' end from m
+  union all select 'change points', (up + down)::double, down::double, up::double, '' from k
+  union all select 'match rate', p.observed, c.low, c.high, 'p=' || p.p_two_sided from {_P} p, {_CI} c""")
+def overview_study(spark, sf_dir):
+    """The five cards of the overview: symbols and their last day, news, the mood, change points down and up, and the match rate with its p-value and interval."""
+    b = bars(spark, sf_dir).agg(F.count_distinct("symbol").cast("double").alias("n"), F.max("date").cast("string").alias("state"))
+    nothing = F.lit(None).cast("double")
+    m = _hybrid(news(spark, sf_dir)).agg(F.count_if(F.col("s") > 0).cast("double").alias("pos"), F.count_if(F.col("s") <= 0).cast("double").alias("neg"), F.count("*").cast("double").alias("all"))
+    ratio = F.try_divide("pos", F.col("pos") + F.col("neg"))
+    mood = F.when(ratio.isNull(), "none").when(ratio > 0.55, "positive").when(ratio < 0.45, "negative").otherwise("balanced")
+    k = _changes(spark, sf_dir).agg(F.count_if(F.col("direction") == 1).cast("double").alias("up"), F.count_if(F.col("direction") == -1).cast("double").alias("down"))
+    p, c = events.permutation_p(spark, sf_dir), events.bootstrap_ci(spark, sf_dir)
+    row = lambda rows, card, value, low, high, state: rows.select(F.lit(card).alias("card"), value.alias("value"), low.alias("low"), high.alias("high"), state.alias("state"))
+    cards = [
+        row(b, "symbols", F.col("n"), nothing, nothing, F.col("state")), row(m, "news", F.col("all"), nothing, nothing, F.lit("")), row(m, "sentiment", F.round(ratio, 6), F.col("neg"), F.col("pos"), mood),
+        row(k, "change points", F.col("up") + F.col("down"), F.col("down"), F.col("up"), F.lit("")), row(p.join(c), "match rate", F.col("observed"), F.col("low"), F.col("high"), F.concat(F.lit("p="), F.col("p_two_sided").cast("string"))),
+    ]
+    out = cards[0]
+    for card in cards[1:]:
+        out = out.unionByName(card)
+    return out
+
+
 @query(f"with {BARS} select date, open, high, low, close, volume from bars where symbol = '{SYMBOL}' and date >= (select cast(max(date) - 90 as date) from bars where symbol = '{SYMBOL}')")
 def price_series(spark, sf_dir):
     """A symbol's bars of the last 90 days before its last one."""
