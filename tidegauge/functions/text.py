@@ -112,6 +112,19 @@ def route(url: Column, routes, other: str) -> Column:
     return out.otherwise(other)
 
 
+def sentences(content: Column) -> Column:
+    """The sentences of a text, without blank ones."""
+    parts = F.transform(F.split(F.coalesce(content, F.lit("")), r"[.!?\n]+"), lambda x: F.trim(x))
+    return F.filter(parts, lambda x: x != "")
+
+
+def snippet(parts: Column, hit: Column, tokens: int) -> Column:
+    """The sentences that are hit and their neighbours in a row, else the first one; at most ``tokens`` tokens of it."""
+    near = lambda i: F.get(hit, i) | F.coalesce(F.get(hit, i + 1), F.lit(False)) | F.when(i > 0, F.get(hit, i - 1)).otherwise(False)
+    whole = F.when(F.array_contains(hit, True), F.array_join(F.filter(parts, lambda x, i: near(i)), " ")).otherwise(F.coalesce(F.get(parts, F.lit(0)), F.lit("")))
+    return F.array_join(F.slice(F.split(whole, " "), 1, tokens), " ")
+
+
 def slug(url: Column) -> Column:
     """The last part of a URL that ends in .html, without that, else the whole URL; in lower case."""
     part = F.regexp_extract(url, r"/([^/]+?)\.html$", 1)

@@ -349,45 +349,6 @@ def snippet_window(spark, sf_dir):
     return kept.agg(F.count("*").alias("sentences"), F.count_if("hit").alias("hits"), F.md5(F.array_join(F.transform(ordered, lambda x: x["t"]), "|")).alias("snippet_md5"))
 
 
-# Documents that a term must stand in, the greatest share of documents, terms of the vocabulary, terms reported.
-LEAST_DOCS, MOST_DOCS, VOCABULARY, REPORTED = 5, 0.5, 20000, 50
-
-
-@query(f"""with d as (select doc_id, source, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') as w from documents where text is not null and source is not null),
-  g as (select doc_id, source, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from d), n as (select count(*) as docs from d), size as (select source, count(*) as sd from d group by 1),
-  v as (select term, count(distinct doc_id) as df, count(*) as c from g group by term), vocabulary as (select term, ln((1 + docs) / (1.0::double + df)) + 1 as idf from v, n where df >= {LEAST_DOCS} and df <= {MOST_DOCS} * docs order by c desc, term limit {VOCABULARY}),
-  t as (select doc_id, source, term, count(*) * any_value(idf) as x from g join vocabulary using (term) group by 1, 2, 3), norm as (select doc_id, sqrt(sum(x * x)) as len from t group by 1),
-  s as (select source, term, sum(x / len) as total from t join norm using (doc_id) group by 1, 2), a as (select term, sum(total) / any_value(docs) as whole from s, n group by term),
-  r as (select source, term, round(total / sd - whole, 6) as weight from s join a using (term) join size using (source) where not regexp_matches(term, '[0-9]'))
-  select source, term, weight from (select *, row_number() over (partition by source order by weight desc, term) as rn from r) where rn <= {REPORTED}""")
-def tfidf_top_terms(spark, sf_dir):
-    """The words and pairs of words that set a source apart: its mean TF-IDF (unit vectors) less the corpus' mean; terms with digits are left out."""
-    w = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-
-    def terms(w):
-        pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))
-        return F.when(F.size(w) > 1, F.concat(w, pairs)).otherwise(w)
-
-    # a lambda's variable binds the words once: as a column they would be found anew for every pair
-    docs = spread(table(spark, sf_dir, "documents").where("text is not null and source is not null").select("doc_id", "source", "text"), "doc_id").select("doc_id", "source", F.element_at(F.transform(F.array(w), terms), 1).alias("terms"))
-    sizes = docs.groupBy("source").agg(F.count("*").alias("sd"))
-    n = sizes.agg(F.sum("sd").alias("docs"))
-    # occurrences and documents of a term in one combined aggregation
-    marks = lambda w: F.concat(F.transform(F.array_distinct(w), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c"))), F.transform(w, lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c"))))
-    counted = docs.select(F.explode(F.element_at(F.transform(F.array("terms"), marks), 1)).alias("m")).groupBy("m.term").agg(F.sum("m.d").alias("df"), F.sum("m.c").alias("c")).join(F.broadcast(n))
-    common = counted.where((F.col("df") >= LEAST_DOCS) & (F.col("df") <= MOST_DOCS * F.col("docs"))).orderBy(F.desc("c"), "term").limit(VOCABULARY)
-    vocabulary = written(common.select("term", (F.ln((1 + F.col("docs")) / (1.0 + F.col("df"))) + 1).alias("idf")))
-    x = docs.select("doc_id", "source", F.explode("terms").alias("term")).join(F.broadcast(vocabulary), "term")  # VOCABULARY rows at most
-    x = x.groupBy("doc_id", "source", "term").agg((F.count("*") * F.first("idf")).alias("x"))
-    norms = x.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"))
-    s = written(x.join(norms, "doc_id").groupBy("source", "term").agg(F.sum(F.col("x") / F.col("len")).alias("total")))
-    whole = s.groupBy("term").agg(F.sum("total").alias("all"))
-    r = s.join(whole, "term").join(sizes, "source").join(F.broadcast(n)).where(~F.col("term").rlike("[0-9]"))
-    r = r.select("source", "term", F.round(F.col("total") / F.col("sd") - F.col("all") / F.col("docs"), 6).alias("weight"))
-    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("weight"), "term"))
-    return r.withColumn("rn", place).where(F.col("rn") <= REPORTED).select("source", "term", "weight")
-
-
 # Words of messages that say a rate limit was hit.
 RATE_LIMITS = ("rate limit", "rate_limit", "giới hạn", "exceeded", "too many requests", "429", "tối đa", "wait to retry")
 
@@ -482,6 +443,64 @@ def weak_sector_label(spark, sf_dir):
     return news(spark, sf_dir).select("news_id", text.weak_sector(F.col("text"), CODE_SECTORS).alias("sector"))
 
 
+# Documents that a term must stand in, the greatest share of documents, terms of the vocabulary, terms reported.
+LEAST_DOCS, MOST_DOCS, VOCABULARY, REPORTED = 5, 0.5, 20000, 50
+
+
+@query(f"""with c as (select doc_id, text, list_distinct([{_SECTORS}]) as s from documents), d as (select doc_id, s[1] as source, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') as w from c where text is not null and len(s) = 1),
+  g as (select doc_id, source, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from d), n as (select count(*) as docs from d), size as (select source, count(*) as sd from d group by 1),
+  v as (select term, count(distinct doc_id) as df, count(*) as c from g group by term), vocabulary as (select term, ln((1 + docs) / (1.0::double + df)) + 1 as idf from v, n where df >= {LEAST_DOCS} and df <= {MOST_DOCS} * docs order by c desc, term limit {VOCABULARY}),
+  t as (select doc_id, source, term, count(*) * any_value(idf) as x from g join vocabulary using (term) group by 1, 2, 3), norm as (select doc_id, sqrt(sum(x * x)) as len from t group by 1),
+  s as (select source, term, sum(x / len) as total from t join norm using (doc_id) group by 1, 2), a as (select term, sum(total) / any_value(docs) as whole from s, n group by term),
+  r as (select source, term, round(total / sd - whole, 6) as weight from s join a using (term) join size using (source) where not regexp_matches(term, '[0-9]') and not list_has_any(string_split(term, ' '), {[c.lower() for c in CODE_SECTORS]}))
+  select source as sector, term, weight from (select *, row_number() over (partition by source order by weight desc, term) as rn from r) where rn <= {REPORTED}""")
+def tfidf_top_terms(spark, sf_dir):
+    """The words and pairs of words that set a weakly labelled sector apart: its mean TF-IDF (unit vectors) less that of all labelled articles; terms with digits, or with a code, are left out."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+
+    def terms(w):
+        pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))
+        return F.when(F.size(w) > 1, F.concat(w, pairs)).otherwise(w)
+
+    # a lambda's variable binds the words once: as a column they would be found anew for every pair
+    texts = spread(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text"), "doc_id").withColumn("source", text.weak_sector(F.col("text"), CODE_SECTORS)).where("source is not null")
+    words = written(texts.select("doc_id", "source", w.alias("w")))  # texts are split into words once
+    docs = words.select("doc_id", "source", F.element_at(F.transform(F.array("w"), terms), 1).alias("terms"))
+    sizes = docs.groupBy("source").agg(F.count("*").alias("sd"))
+    n = sizes.agg(F.sum("sd").alias("docs"))
+    # occurrences and documents of a term in one combined aggregation
+    marks = lambda w: F.concat(F.transform(F.array_distinct(w), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c"))), F.transform(w, lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c"))))
+    counted = docs.select(F.explode(F.element_at(F.transform(F.array("terms"), marks), 1)).alias("m")).groupBy("m.term").agg(F.sum("m.d").alias("df"), F.sum("m.c").alias("c")).join(F.broadcast(n))
+    common = counted.where((F.col("df") >= LEAST_DOCS) & (F.col("df") <= MOST_DOCS * F.col("docs"))).orderBy(F.desc("c"), "term").limit(VOCABULARY)
+    vocabulary = written(common.select("term", (F.ln((1 + F.col("docs")) / (1.0 + F.col("df"))) + 1).alias("idf")))
+    x = docs.select("doc_id", "source", F.explode("terms").alias("term")).join(F.broadcast(vocabulary), "term")  # VOCABULARY rows at most
+    x = x.groupBy("doc_id", "source", "term").agg((F.count("*") * F.first("idf")).alias("x"))
+    norms = x.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"))
+    s = written(x.join(norms, "doc_id").groupBy("source", "term").agg(F.sum(F.col("x") / F.col("len")).alias("total")))
+    whole = s.groupBy("term").agg(F.sum("total").alias("all"))
+    r = s.join(whole, "term").join(sizes, "source").join(F.broadcast(n)).where(~F.col("term").rlike("[0-9]") & ~F.arrays_overlap(F.split("term", " "), F.array(*[F.lit(c.lower()) for c in CODE_SECTORS])))
+    r = r.select("source", "term", F.round(F.col("total") / F.col("sd") - F.col("all") / F.col("docs"), 6).alias("weight"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("weight"), "term"))
+    return r.withColumn("rn", place).where(F.col("rn") <= REPORTED).select(F.col("source").alias("sector"), "term", "weight")
+
+
+#: Tokens of a snippet at most.
+SNIPPET = 400
+_ENTITY = f"({list(CODES)})[cast(doc_id % {len(CODES)} + 1 as integer)]"
+
+
+@query(rf"""with s as (select doc_id, text, {_ENTITY} as entity, list_filter(list_transform(string_split_regex(coalesce(text, ''), '[.!?\n]+'), lambda x: trim(x, ' ')), lambda x: x <> '') as p from documents),
+  h as (select *, list_transform(p, lambda x: regexp_matches(x, '\b' || entity || '\b')) as hit from s),
+  k as (select doc_id, entity, list_contains(hit, true) as named, case when list_contains(hit, true) then array_to_string(list_filter(p, lambda x, i: hit[i] or (i > 1 and hit[i - 1]) or coalesce(hit[i + 1], false)), ' ') else coalesce(p[1], '') end as t from h)
+  select doc_id, entity, named, array_to_string(string_split(t, ' ')[1:{SNIPPET}], ' ') as snippet from k""")
+def entity_snippets(spark, sf_dir):
+    """The sentences of an article that name an entity, with their neighbours, up to 400 tokens; without any, its first sentence."""
+    entity = F.element_at(F.array(*[F.lit(c) for c in CODES]), (F.col("doc_id") % len(CODES) + 1).cast("int"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", entity.alias("entity"), text.sentences(F.col("text")).alias("p"))
+    rows = rows.withColumn("hit", F.transform("p", lambda x: F.regexp_like(x, F.concat(F.lit(r"(?<![A-Za-z0-9_])"), F.col("entity"), F.lit(r"(?![A-Za-z0-9_])")))))
+    return rows.select("doc_id", "entity", F.array_contains("hit", True).alias("named"), text.snippet(F.col("p"), F.col("hit"), SNIPPET).alias("snippet"))
+
+
 #: Words of the four categories, in the driver's prose.
 CATEGORIES = {"negative": ("not", "against", "on"), "positive": ("with", "for"), "uncertain": ("may", "or", "if"), "litigious": ("by", "from")}
 
