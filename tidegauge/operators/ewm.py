@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.operators.ranks import placed
 from tidegauge.operators.scan import Maps, scanned
 
 
@@ -34,14 +33,14 @@ def with_ewm(series: DataFrame, columns: dict[str, tuple[str, dict]], key: str =
     values have come. Rows with a null key are a series. ``order`` must break the
     ties of a series.
     """
-    rows, waiting = placed(series, key, *order), dict(columns)
+    rows, waiting = series, dict(columns)
     while waiting:  # inputs that need a mean of this round wait for the next one
         ready = {n: v for n, v in waiting.items() if not any(w in v[0] for w in waiting)} or waiting
         maps: Maps = {}
         for name, (source, given) in ready.items():
             how = {k: v for k, v in given.items() if k not in ("adjust", "min_periods")}
             maps |= _recurrences(name, F.expr(source).cast("double"), decay(**how), given.get("adjust", True))
-        rows = scanned(rows, key, maps)
+        rows = scanned(rows, key, list(order), maps)
         for name, (_, given) in ready.items():
             mean = F.col(f"_sum_{name}") / F.nullif(F.col(f"_weight_{name}"), F.lit(0.0)) if given.get("adjust", True) else F.col(f"_mean_{name}")
             rows = rows.withColumn(name, F.when(F.col(f"_n_{name}") >= max(1, given.get("min_periods", 0)), mean))

@@ -21,10 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tidegauge.operators.ranks import placed
 from tidegauge.shared import written
 
 #: Name -> (a, b, start): a row's map, and a column whose first value that isn't null a series starts from (None: from 0).
@@ -48,19 +49,22 @@ def prefixes(a: np.ndarray, b: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarra
     return a, b
 
 
-def _composed(names: list[str], key: str):
-    """Sorted batches with ``part`` and the key, to the same with each row's composed maps."""
+def _composed(names: list[str], key: str, number: bool):
+    """Sorted batches to the same with each row's composed maps; with ``number`` also with its range (``part``) and its place there."""
 
     def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (part, key) and the maps of the row before
+        last, read = None, 0  # (part, key) and the maps of the row before; rows before
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
+            if number:
+                own, places = np.full(n, TaskContext.get().partitionId(), np.int64), np.arange(read, read + n)
+                batch = pa.RecordBatch.from_arrays([*batch.columns, pa.array(own), pa.array(places)], [*batch.schema.names, "part", "place"])
+                read += n
             column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
             a, b = (np.column_stack([column(f"{k}_{x}").to_numpy(zero_copy_only=False) for x in names]) for k in ("_a", "_b"))
-            part, keys = column("part").to_numpy(), column(key).dictionary_encode()
-            code = keys.indices.fill_null(-1).to_numpy()
+            part, code = column("part").to_numpy(), column(key).dictionary_encode().indices.fill_null(-1).to_numpy()
             fresh = np.ones(n, bool)
             fresh[1:] = (part[1:] != part[:-1]) | (code[1:] != code[:-1])
             if last and last[0] == (part[0], column(key)[0].as_py()):
@@ -93,19 +97,22 @@ def _starts(names: list[str], key: str):
     return starts
 
 
-def scanned(ranged: DataFrame, key: str, maps: Maps) -> DataFrame:
-    """``ranged`` (rows with ``place`` and ``part`` of ``ranks.placed``, by key and an order) with a column for each recurrence.
+def scanned(rows: DataFrame, key: str, order: list[str], maps: Maps) -> DataFrame:
+    """``rows`` with a column for each recurrence along ``order``, which must break the ties of a key's rows; and ``part`` and ``place``.
 
-    A map's null parts are the identity's: such a row carries on what was there before.
+    Rows that have ``part`` and ``place`` of a scan before keep their ranges and
+    aren't sorted into others. A map's null parts are the identity's: such a row carries on what was there before.
     """
-    names, columns = list(maps), ranged.columns
+    names, new = list(maps), "place" not in rows.columns
+    columns = [*rows.columns, *(("part", "place") if new else ())]
     for x, (a, b, start) in maps.items():
         a, b = (F.coalesce(v.cast("double"), F.lit(w)) for v, w in ((a, 1.0), (b, 0.0)))
-        ranged = ranged.withColumns({f"_a_{x}": a, f"_b_{x}": b, f"_s_{x}": (F.lit(0.0) if start is None else start.cast("double"))})
-    dealt = ranged.repartition("part").sortWithinPartitions("place")
-    rows = written(dealt.mapInArrow(_composed(names, key), dealt.schema))
+        rows = rows.withColumns({f"_a_{x}": a, f"_b_{x}": b, f"_s_{x}": (F.lit(0.0) if start is None else start.cast("double"))})
+    dealt = rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order) if new else rows.repartition("part").sortWithinPartitions("part", "place")
+    schema = StructType([*dealt.schema.fields, *((StructField("part", LongType()), StructField("place", LongType())) if new else ())])
+    rows = written(dealt.mapInArrow(_composed(names, key, new), schema))
     ends = [e for x in names for e in (F.max_by(f"_a_{x}", "place").alias(f"_a_{x}"), F.max_by(f"_b_{x}", "place").alias(f"_b_{x}"), F.min_by(f"_s_{x}", F.when(F.col(f"_s_{x}").isNotNull(), F.col("place"))).alias(f"_s_{x}"))]
-    kind = ranged.schema[key].dataType.simpleString()
+    kind = rows.schema[key].dataType.simpleString()
     starts = rows.groupBy(key, "part").agg(*ends).groupBy(key).applyInPandas(_starts(names, key), f"`{key}` {kind}, part long, " + ", ".join(f"`_y_{x}` double" for x in names))
     starts = starts.withColumnsRenamed({key: "_key", "part": "_part"})
     joined = rows.join(starts, (F.col("part") == F.col("_part")) & F.col(key).eqNullSafe(F.col("_key")))
@@ -113,5 +120,5 @@ def scanned(ranged: DataFrame, key: str, maps: Maps) -> DataFrame:
 
 
 def scan(rows: DataFrame, key: str, order: list[str], maps: Maps) -> DataFrame:
-    """``rows`` with a column for each recurrence along ``order``, which must break the ties of a key's rows."""
-    return scanned(placed(rows, key, *order), key, maps).drop("place", "part")
+    """``rows`` with a column for each recurrence along ``order``."""
+    return scanned(rows, key, order, maps).drop("place", "part")
