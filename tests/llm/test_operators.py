@@ -1,5 +1,6 @@
 """The numbered operators: edge cases, and results against brute force."""
 
+import cProfile
 import hashlib
 import random
 import zlib
@@ -532,6 +533,30 @@ def test_coder_of_copied_runs():
         assert all(np.array_equal(a, b) for a, b in zip(part, coder.decode(coded, [len(b) for b in part])))
 
 
+def test_a_step_of_the_coder_takes_few_passes():
+    """Order 0 finds a number by one look at a table, not level by level: gathers of all lanes' state in a step."""
+    rng = np.random.default_rng(7)
+    blocks = [(rng.zipf(1.3, coder.BLOCK) % 50257).astype(np.uint32) for _ in range(4)]
+    coded, profile = coder.encode(blocks), cProfile.Profile()
+    back = profile.runcall(coder.decode, coded, [coder.BLOCK] * 4)
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, back))
+    takes = sum(s.callcount for s in profile.getstats() if "'take'" in str(s.code))
+    assert 0 < takes < 20 * coder.BLOCK
+
+
+def test_damaged_counts_of_a_block():
+    ids = np.arange(300, dtype=np.uint32) // 2
+    [coded] = coder.encode([ids])
+    for at in range(30):
+        broken = bytearray(coded)
+        broken[at] ^= 255
+        try:
+            [back] = coder.decode([bytes(broken)], [len(ids)])
+        except ValueError:
+            continue
+        assert len(back) == len(ids)  # and the block's checksum tells
+
+
 def test_tokens_equal_the_library():
     path = tokens.default_path()
     texts = [None, "", "  a  b ", "\x00 x", "a \x00b", "\n\nfoo  bar", "<|endoftext|> x<|endoftext|>y", "it's  'll", "a\x1c b \x1d c", "é  ü", prose(200), "tab\t x", "日本 語"]

@@ -11,9 +11,10 @@ the last two) and order 1 (what followed the last one). Two adaptive
 probabilities, one by the order-2 prediction's confidence and one by the order-1
 prediction's and whether both agree, are mixed with a weight per lane that
 follows the better of them; the mix drives the coding of "the prediction holds".
-If it does not, order 0 codes the number by its count so far; a number that is
-new has the share that the count of distinct numbers gives it. Counts stand in a
-binary tree of the sums of left branches.
+If it does not, order 0 codes the number by how often it comes back in the block
+without being predicted; a number that is new has the share of all new ones. The
+encoder predicts the whole block first and counts then. The counts stand before
+the ids in unary, so that the decoder finds a number by one look at a table.
 
 The coder keeps 64 bits of low and range without carries and writes 16-bit words.
 """
@@ -26,17 +27,14 @@ import numpy as np
 
 #: Ids of a block; the greatest id.
 BLOCK, MAX_ID = 2048, (1 << 32) - 1
-_LEVELS = BLOCK.bit_length() - 1
-_UP = np.arange(1, _LEVELS + 1, dtype=np.int32)[:, None]
 _U = np.uint64
 _ONE, _16, _48 = _U(1), _U(16), _U(48)
 _TIGHT = _U(1 << 48)
 #: Steps after which room for words is looked at, and words that they write at most.
 _LOOK, _ROOM = 64, 64 * 8
-_HEAD = struct.Struct("<BH")  # bits of an id, distinct ids
+_HEAD = struct.Struct("<BHH")  # bits of an id, distinct ids, sum of the counts
 _DIRECT = 1 << 22  # greatest id whose first place is looked up in a table
 
-
 def numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers by first appearance, and the id of each number."""
     if not len(ids):
@@ -64,80 +62,54 @@ def _unpacked(data: bytes, bits: int, count: int) -> np.ndarray:
     return np.packbits(grid, axis=1).view(">u4").ravel().astype(np.uint32)
 
 
+def _hashed(ids: np.ndarray) -> np.ndarray:
+    """Sixteen bits of each id, for the contexts of order 2."""
+    return ids.astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(16)
+
+
 class _Models:
-    """The adaptive state of all lanes; the first ``m`` lanes are in use."""
+    """The adaptive state of all lanes; the first ``m`` lanes are in use. Numbers count from 1 here, 0 is none."""
 
     def __init__(self, lanes: int) -> None:
-        self.lane = np.arange(lanes)
-        self.base = self.lane * BLOCK
-        self.one = np.zeros(lanes * BLOCK, np.int32)  # (number + 1) * 4 + confidence, 0 for none
+        lane = np.arange(lanes)
+        self.base1, self.base2, self.lane4, self.lane8 = lane * (BLOCK + 1), lane * BLOCK, lane * 4, lane * 8
+        self.one = np.zeros(lanes * (BLOCK + 1), np.int32)  # number * 4 + confidence
         self.two = np.zeros(lanes * BLOCK, np.int32)
-        self.count = np.zeros(lanes * BLOCK, np.int32)
-        self.tree = np.zeros(lanes * BLOCK, np.int32)
-        self.seen, self.mass = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
         self.pa = np.full(lanes * 4, 1 << 13, np.int32)
         self.pb = np.full(lanes * 8, 1 << 13, np.int32)
         self.weight = np.full(lanes, 1 << 13, np.int32)  # of 2**14
-        self.a = np.zeros(lanes, np.int64)
-        self.b = np.zeros(lanes, np.int64)
 
-    def predict(self, m: int) -> np.ndarray:
-        """Probability, of 2**16, that the prediction ``self.guess`` (number + 1, or 0 for none) holds."""
-        a, b = self.a[:m], self.b[:m]
-        self.at1 = self.base[:m] + b
-        self.at2 = self.base[:m] + ((a * 31321 + b * 52711 >> 3) & (BLOCK - 1))
-        self.e1, self.e2 = self.one.take(self.at1), self.two.take(self.at2)
-        p1, p2 = self.e1 >> 2, self.e2 >> 2
-        known = p2 > 0
-        self.guess = np.where(known, p2, p1)
-        self.ia = self.lane[:m] * 4 + np.where(known, 1 + np.minimum(self.e2 & 3, 2), 0)
-        self.ib = self.lane[:m] * 8 + ((self.e1 & 3) | ((p1 == self.guess) << 2))
-        self.va, self.vb = self.pa.take(self.ia), self.pb.take(self.ib)
-        p = self.vb + (self.weight[:m] * (self.va - self.vb) >> 14)
-        return np.minimum(np.maximum(p, 48), 65536 - 48).astype(_U)
+    def predict(self, m: int, last: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Probability, of 2**16, that ``self.guess`` follows, by the last number and the pair's hash."""
+        self.at1 = self.base1[:m] + last
+        self.at2 = self.base2[:m] + (pair & (BLOCK - 1))
+        self.e1, self.e2 = e1, e2 = self.one.take(self.at1, mode="clip"), self.two.take(self.at2, mode="clip")
+        self.p1, self.p2 = p1, p2 = e1 >> 2, e2 >> 2
+        self.guess = np.where(p2 > 0, p2, p1)
+        self.ia = self.lane4[:m] + (e2 & 3)
+        self.ib = self.lane8[:m] + ((e1 & 3) | ((p1 == self.guess) << 2))
+        self.va, self.vb = va, vb = self.pa.take(self.ia, mode="clip"), self.pb.take(self.ib, mode="clip")
+        p = va - vb
+        p *= self.weight[:m]
+        p >>= 14
+        p += vb
+        return np.minimum(np.maximum(p, 48, out=p), 65536 - 48, out=p)
 
     def learn(self, m: int, numbers: np.ndarray, hit: np.ndarray) -> None:
         """What the numbers of this step change in the predictions."""
-        goal = hit.astype(np.int32) * 65535
+        goal = hit * np.int32(65535)
         ga, gb = goal - self.va, goal - self.vb
         self.pa[self.ia], self.pb[self.ib] = self.va + (ga >> 4), self.vb + (gb >> 4)
-        w = self.weight[:m] + (np.abs(gb) - np.abs(ga) >> 7)
-        self.weight[:m] = np.minimum(np.maximum(w, 512), (1 << 14) - 512)
-        fresh = (numbers + 1 << 2).astype(np.int32)
-        for table, at, e in ((self.one, self.at1, self.e1), (self.two, self.at2, self.e2)):
-            table[at] = np.where(e >> 2 == fresh >> 2, e + ((e & 3) < 3), fresh)
-        self.a[:m] = self.b[:m]
-        self.b[:m] = numbers
-
-    def order0(self, miss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The share of new numbers, and the whole, of the lanes ``miss``."""
-        self.at0 = self.base.take(miss)
-        self.fresh_share = self.seen.take(miss) + 1
-        return self.fresh_share, self.fresh_share + self.mass.take(miss)
-
-    def bounds(self, miss: np.ndarray, numbers: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of the numbers in order 0, which learns them."""
-        path = (numbers.astype(np.int32) + BLOCK) >> np.vstack([np.zeros((1, 1), np.int32), _UP])
-        right = path[:-1] & 1
-        at = self.at0 + path[1:]
-        sums = self.tree.take(at)
-        self.tree[at] = sums + (right ^ 1)
-        leaf = self.at0 + numbers
-        count = self.count.take(leaf)
-        self.count[leaf] = count + 1
-        self.mass[miss] += 1
-        self.seen[miss] += new
-        return np.where(new, 0, self.fresh_share + (sums * right).sum(0)).astype(_U), np.where(new, self.fresh_share, count).astype(_U)
-
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """The numbers whose counts cover the values."""
-        node = np.ones(len(value), np.int64)
-        for _ in range(_LEVELS):
-            left = self.tree.take(self.at0 + node)
-            right = value >= left
-            value = value - left * right
-            node = 2 * node + right
-        return node - BLOCK
+        w = np.abs(gb, out=gb)
+        w -= np.abs(ga, out=ga)
+        w >>= 7
+        w += self.weight[:m]
+        np.minimum(np.maximum(w, 512, out=w), (1 << 14) - 512, out=self.weight[:m])
+        fresh = numbers << 2
+        sure = fresh | 3
+        fresh |= 1
+        self.one[self.at1] = np.where(self.p1 == numbers, np.minimum(self.e1 + 1, sure), fresh)
+        self.two[self.at2] = np.where(self.p2 == numbers, np.minimum(self.e2 + 1, sure), fresh)
 
 
 def _unsettled(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,6 +126,20 @@ def _grown(low: np.ndarray, span: np.ndarray, tight: np.ndarray) -> tuple[np.nda
     return low << _16, np.minimum(span, _TIGHT - _ONE) << _16  # a range of exactly 2**48 loses its last value
 
 
+def _unary(counts: np.ndarray) -> bytes:
+    """A zero for each of a count, and a one behind it."""
+    bits = np.zeros(int(counts.sum()) + len(counts), np.uint8)
+    bits[np.cumsum(counts) + np.arange(len(counts))] = 1
+    return np.packbits(bits).tobytes()
+
+
+def _counts(data: bytes, many: int, total: int) -> np.ndarray:
+    ends = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8), count=many + total))
+    if len(ends) != many or many and ends[-1] != many + total - 1:
+        raise ValueError("a block is damaged")
+    return np.diff(ends, prepend=-1) - 1
+
+
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
     """The coded bytes of each block of at most BLOCK ids, in order."""
     n = len(blocks)
@@ -163,32 +149,38 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         raise ValueError(f"ids are integers from 0 to {MAX_ID}")
     order = np.argsort([-len(b) for b in blocks], kind="stable")
     sizes = np.array([len(blocks[i]) for i in order], np.int64)
-    numbers, distinct = np.zeros((int(sizes.max()), n), np.int64), []
+    steps = int(sizes.max())
+    numbers, distinct = np.zeros((steps + 1, n), np.int32), []  # from 1; a row of none goes before
+    hashes = np.zeros((steps + 2, n), np.uint32)
     for lane, i in enumerate(order):
-        numbers[: sizes[lane], lane], ids = numbered(blocks[i])
+        own, ids = numbered(blocks[i])
+        numbers[1 : sizes[lane] + 1, lane] = own + 1
+        hashes[2 : sizes[lane] + 2, lane] = _hashed(ids)[own]
         distinct.append(ids)
+    pairs = (hashes[:-1] * np.uint32(5) + hashes[1:]).astype(np.int32)
+    models, active = _Models(n), np.searchsorted(-sizes, -np.arange(steps), "left").tolist()
+    chance, hits = np.zeros((steps, n), np.uint16), np.ones((steps, n), bool)
+    for t, m in enumerate(active):
+        now = numbers[t + 1, :m]
+        chance[t, :m] = models.predict(m, numbers[t, :m], pairs[t, :m])
+        hit = np.equal(models.guess, now, out=hits[t, :m])
+        models.learn(m, now, hit)
+    fresh = numbers[1:] > np.maximum.accumulate(numbers[:-1])
+    at = models.base2 + np.maximum(numbers[1:], 1) - 1
+    counts = np.bincount(at[~(hits | fresh)], minlength=n * BLOCK).astype(np.int32).reshape(n, BLOCK)
+    new = np.array([[len(ids)] for ids in distinct], np.int32)
+    starts = np.cumsum(counts, 1, dtype=np.int32) - counts + new
+    start, width = np.where(fresh, 0, starts.take(at)).astype(_U), np.where(fresh, new.T, counts.take(at)).astype(_U)
+    whole = np.maximum(new[:, 0] + counts.sum(1), 1).astype(_U)
     low, span = np.zeros(n, _U), np.full(n, _U(2**64 - 1))
-    out, used = np.zeros((n, 2 * len(numbers) + _ROOM), np.uint16), np.zeros(n, np.int64)
-    models = _Models(n)
-    active = np.searchsorted(-sizes, -np.arange(len(numbers)), "left")
-    for t in range(len(numbers)):
+    out, used = np.zeros((n, 2 * steps + _ROOM), np.uint16), np.zeros(n, np.int64)
+    for t, m in enumerate(active):
         if t % _LOOK == 0 and used.max() + _ROOM > out.shape[1]:
             out = np.concatenate([out, np.zeros_like(out)], 1)
-        m = int(active[t])
-        now = numbers[t, :m]
-        p = models.predict(m)
-        hit = models.guess == now + 1
-        bound = (span[:m] >> _16) * p
-        low[:m] += np.where(hit, _U(0), bound)
-        span[:m] = np.where(hit, bound, span[:m] - bound)
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            value = now.take(miss)
-            share, whole = models.order0(miss)
-            start, width = models.bounds(miss, value, value == share - 1)
-            r = span.take(miss) // whole.astype(_U)
-            low[miss] += r * start
-            span[miss] = r * width
+        x, bound = span[:m], (span[:m] >> _16) * chance[t, :m]
+        r = (x - bound) // whole[:m]
+        low[:m] += np.where(hits[t, :m], _U(0), bound + r * start[t, :m])
+        span[:m] = np.where(hits[t, :m], bound, r * width[t, :m])
         lanes, tight = _unsettled(low[:m], span[:m])
         while len(lanes):
             x = low.take(lanes)
@@ -198,13 +190,13 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
             low[lanes], span[lanes] = x, r
             again, tight = _unsettled(x, r)
             lanes = lanes.take(again)
-        models.learn(m, now, hit)
     for k in range(4):
         out[np.arange(n), used + k] = (low >> _U(48 - 16 * k)) & _U(0xFFFF)
     result: list[bytes] = [b""] * n
     for lane, i in enumerate(order):
         bits, ids = _packed(distinct[lane])
-        result[i] = _HEAD.pack(bits, len(distinct[lane])) + ids + out[lane, : used[lane] + 4].astype("<u2").tobytes()
+        own = counts[lane, : len(distinct[lane])]
+        result[i] = _HEAD.pack(bits, len(own), int(own.sum())) + _unary(own) + ids + out[lane, : used[lane] + 4].astype("<u2").tobytes()
     return result
 
 
@@ -215,11 +207,15 @@ def decode(coded: list[bytes], counts: list[int]) -> list[np.ndarray]:
         return []
     order = np.argsort([-c for c in counts], kind="stable")
     sizes = np.array([counts[i] for i in order], np.int64)
-    parts, distinct = [], []
+    parts, distinct, widths = [], [], []
     for i in order:
-        bits, many = _HEAD.unpack_from(coded[i])
-        stop = _HEAD.size + (bits * many + 7) // 8
-        distinct.append(_unpacked(coded[i][_HEAD.size : stop], bits, many))
+        bits, many, total = _HEAD.unpack_from(coded[i])
+        at = _HEAD.size + (many + total + 7) // 8
+        stop = at + (bits * many + 7) // 8
+        if many + total > BLOCK or bits > 32 or (many == 0) != (counts[i] == 0):
+            raise ValueError("a block is damaged")
+        widths.append(_counts(coded[i][_HEAD.size : at], many, total))
+        distinct.append(_unpacked(coded[i][at:stop], bits, many))
         parts.append(np.frombuffer(coded[i], "<u2", offset=stop))
     words = np.zeros((n, max(map(len, parts)) + 8), np.uint16)
     for lane, w in enumerate(parts):
@@ -228,28 +224,37 @@ def decode(coded: list[bytes], counts: list[int]) -> list[np.ndarray]:
     low, span, code, used = np.zeros(n, _U), np.full(n, _U(2**64 - 1)), np.zeros(n, _U), np.full(n, 4)
     for k in range(4):
         code = (code << _16) | words[:, k]
-    numbers = np.zeros((int(sizes.max()), n), np.int64)
-    models = _Models(n)
-    active = np.searchsorted(-sizes, -np.arange(len(numbers)), "left")
-    for t in range(len(numbers)):
-        m = int(active[t])
-        p = models.predict(m)
-        bound = (span[:m] >> _16) * p
-        hit = code[:m] - low[:m] < bound
-        low[:m] += np.where(hit, _U(0), bound)
-        span[:m] = np.where(hit, bound, span[:m] - bound)
-        now = models.guess - np.int64(1)
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            share, whole = models.order0(miss)
-            r, x = span.take(miss) // whole.astype(_U), low.take(miss)
-            value = np.minimum((code.take(miss) - x) // r, (whole - 1).astype(_U)).astype(np.int64)
-            new = value < share
-            found = np.where(new, share - 1, models.find(np.maximum(value - share, 0)))
-            start, width = models.bounds(miss, found, new)
-            low[miss] = x + r * start
-            span[miss] = r * width
-            now[miss] = found
+    # by lane and number, from 1: hashes of the ids; by lane and place in order 0: number (0 for new), start and count
+    known = np.array([len(d) for d in distinct])
+    of_hash = np.cumsum(known + 1) - known - 1
+    hashes = np.concatenate([x for d in distinct for x in (np.zeros(1, np.int32), _hashed(d).astype(np.int32))])
+    width = np.concatenate([x for w in widths for x in ([len(w)], w)]).astype(np.int64)
+    totals = np.add.reduceat(width, of_hash)
+    of_slot, whole = (np.cumsum(totals) - totals).astype(_U), np.maximum(totals, 1).astype(_U)
+    number = np.arange(len(width)) - np.repeat(of_hash, known + 1)
+    start = np.cumsum(width) - width - np.repeat(np.cumsum(totals) - totals, known + 1)
+    slots = np.repeat(number | start << 16 | width << 32, width)
+    numbers = np.zeros((int(sizes.max()) + 1, n), np.int32)
+    before, after, seen = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
+    models, active = _Models(n), np.searchsorted(-sizes, -np.arange(len(numbers) - 1), "left").tolist()
+    for t, m in enumerate(active):
+        p = models.predict(m, numbers[t, :m], before[:m] * 5 + after[:m])
+        x, bound = span[:m], (span[:m] >> _16) * p.astype(_U)
+        off = code[:m] - low[:m]
+        hit = off < bound
+        r = (x - bound) // whole[:m]
+        off -= bound
+        off //= r
+        np.minimum(off, whole[:m] - _ONE, out=off)
+        off += of_slot[:m]
+        found = slots.take(off.astype(np.int64), mode="clip")
+        value = (found & 0xFFFF).astype(np.int32)
+        fresh = value == 0
+        fresh &= ~hit
+        seen[:m] += fresh
+        now = np.where(hit, models.guess, np.where(fresh, seen[:m], value))
+        low[:m] += np.where(hit, _U(0), bound + r * (found >> 16 & 0xFFFF).astype(_U))
+        span[:m] = np.where(hit, bound, r * (found >> 32).astype(_U))
         lanes, tight = _unsettled(low[:m], span[:m])
         while len(lanes):
             x, r = _grown(low.take(lanes), span.take(lanes), tight)
@@ -258,10 +263,12 @@ def decode(coded: list[bytes], counts: list[int]) -> list[np.ndarray]:
             used[lanes] += 1
             again, tight = _unsettled(x, r)
             lanes = lanes.take(again)
-        numbers[t, :m] = now
+        numbers[t + 1, :m] = now
+        before[:m] = after[:m]
+        after[:m] = hashes.take(of_hash[:m] + now, mode="clip")
         models.learn(m, now, hit)
     result: list[np.ndarray] = [np.zeros(0, np.uint32)] * n
     for lane, i in enumerate(order):
         if sizes[lane]:
-            result[i] = distinct[lane].take(numbers[: sizes[lane], lane], mode="clip")
+            result[i] = distinct[lane].take(numbers[1 : sizes[lane] + 1, lane] - 1, mode="clip")
     return result

@@ -7,7 +7,7 @@ whole documents of about LANES * BLOCK ids, or one longer document. In a line
 ESC (27) stands for ESC ``1`` and the line feed for ESC ``2``, so that files can
 be read in splits by their line feeds, whatever their size. A segment is
 
-- ``TGSG``, the ids before it in its partition (unsigned 64 bits), the numbers of
+- ``TGS2``, the ids before it in its partition (unsigned 64 bits), the numbers of
   its documents and of its blocks, and the crc32 of what follows up to the
   coded blocks (unsigned 32 bits each; all integers are little-endian);
 - for all documents a byte that is 1 if it has a doc_id, then the doc_ids as
@@ -44,7 +44,7 @@ def segment(first: int, doc_ids: list[int | None], counts: list[int], ids: np.nd
     coded = [c for at in range(0, len(blocks), LANES) for c in coder.encode(blocks[at : at + LANES])]
     places = np.array([(len(b), len(c), zlib.crc32(b.astype("<u4").tobytes())) for b, c in zip(blocks, coded)], "<u4")
     index = bytes(i is not None for i in doc_ids) + np.array([i or 0 for i in doc_ids], "<i8").tobytes() + np.array(counts, "<u8").tobytes() + places.tobytes()
-    return _HEAD.pack(b"TGSG", first, len(doc_ids), len(blocks), zlib.crc32(index)) + index + b"".join(coded)
+    return _HEAD.pack(b"TGS2", first, len(doc_ids), len(blocks), zlib.crc32(index)) + index + b"".join(coded)
 
 
 def documents(content: bytes) -> tuple[int, list[int | None], np.ndarray, np.ndarray]:
@@ -52,7 +52,7 @@ def documents(content: bytes) -> tuple[int, list[int | None], np.ndarray, np.nda
     magic, first, n, many, crc = _HEAD.unpack_from(content)
     at = _HEAD.size + 17 * n + 12 * many
     index = content[_HEAD.size : at]
-    if magic != b"TGSG" or len(index) != 17 * n + 12 * many or zlib.crc32(index) != crc:
+    if magic != b"TGS2" or len(index) != 17 * n + 12 * many or zlib.crc32(index) != crc:
         raise ValueError("the index of a segment is damaged")
     doc_ids = [i if there else None for i, there in zip(np.frombuffer(index, "<i8", n, n).tolist(), index[:n])]
     places = np.frombuffer(index, "<u4", 3 * many, 17 * n).reshape(many, 3).astype(np.int64)
