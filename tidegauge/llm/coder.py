@@ -29,6 +29,7 @@ import numpy as np
 BLOCK, MAX_ID = 2048, (1 << 32) - 1
 _U = np.uint64
 _ONE, _16, _48 = _U(1), _U(16), _U(48)
+_LOW, _HIGH = np.uint32(0xFFFF), np.uint32(16)
 _TIGHT = _U(1 << 48)
 #: Steps after which room for words is looked at, and words that they write at most.
 _LOOK, _ROOM = 64, 64 * 8
@@ -64,7 +65,12 @@ def _unpacked(data: bytes, bits: int, count: int) -> np.ndarray:
 
 def _hashed(ids: np.ndarray) -> np.ndarray:
     """Sixteen bits of each id, for the contexts of order 2."""
-    return ids.astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(16)
+    return (ids.astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)
+
+
+def _pair(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The context of two hashed ids."""
+    return before * np.uint16(5) + after & np.uint16(BLOCK - 1)
 
 
 class _Models:
@@ -73,8 +79,8 @@ class _Models:
     def __init__(self, lanes: int) -> None:
         lane = np.arange(lanes)
         self.base1, self.base2, self.lane4, self.lane8 = lane * (BLOCK + 1), lane * BLOCK, lane * 4, lane * 8
-        self.one = np.zeros(lanes * (BLOCK + 1), np.int32)  # number * 4 + confidence
-        self.two = np.zeros(lanes * BLOCK, np.int32)
+        self.one = np.zeros(lanes * (BLOCK + 1), np.int16)  # number * 4 + confidence
+        self.two = np.zeros(lanes * BLOCK, np.int16)
         self.pa = np.full(lanes * 4, 1 << 13, np.int32)
         self.pb = np.full(lanes * 8, 1 << 13, np.int32)
         self.weight = np.full(lanes, 1 << 13, np.int32)  # of 2**14
@@ -82,7 +88,7 @@ class _Models:
     def predict(self, m: int, last: np.ndarray, pair: np.ndarray) -> np.ndarray:
         """Probability, of 2**16, that ``self.guess`` follows, by the last number and the pair's hash."""
         self.at1 = self.base1[:m] + last
-        self.at2 = self.base2[:m] + (pair & (BLOCK - 1))
+        self.at2 = self.base2[:m] + pair
         self.e1, self.e2 = e1, e2 = self.one.take(self.at1, mode="clip"), self.two.take(self.at2, mode="clip")
         self.p1, self.p2 = p1, p2 = e1 >> 2, e2 >> 2
         self.guess = np.where(p2 > 0, p2, p1)
@@ -149,15 +155,14 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         raise ValueError(f"ids are integers from 0 to {MAX_ID}")
     order = np.argsort([-len(b) for b in blocks], kind="stable")
     sizes = np.array([len(blocks[i]) for i in order], np.int64)
-    steps = int(sizes.max())
-    numbers, distinct = np.zeros((steps + 1, n), np.int32), []  # from 1; a row of none goes before
-    hashes = np.zeros((steps + 2, n), np.uint32)
+    steps, distinct = int(sizes.max()), []
+    own, hashes = np.zeros((n, steps + 1), np.int16), np.zeros((n, steps + 2), np.uint16)  # numbers from 1; none goes before
     for lane, i in enumerate(order):
-        own, ids = numbered(blocks[i])
-        numbers[1 : sizes[lane] + 1, lane] = own + 1
-        hashes[2 : sizes[lane] + 2, lane] = _hashed(ids)[own]
+        number, ids = numbered(blocks[i])
+        own[lane, 1 : sizes[lane] + 1] = number + 1
+        hashes[lane, 2 : sizes[lane] + 2] = _hashed(ids).take(number)
         distinct.append(ids)
-    pairs = (hashes[:-1] * np.uint32(5) + hashes[1:]).astype(np.int32)
+    numbers, pairs = np.ascontiguousarray(own.T), np.ascontiguousarray(_pair(hashes[:, :-1], hashes[:, 1:]).T)
     models, active = _Models(n), np.searchsorted(-sizes, -np.arange(steps), "left").tolist()
     chance, hits = np.zeros((steps, n), np.uint16), np.ones((steps, n), bool)
     for t, m in enumerate(active):
@@ -165,13 +170,19 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         chance[t, :m] = models.predict(m, numbers[t, :m], pairs[t, :m])
         hit = np.equal(models.guess, now, out=hits[t, :m])
         models.learn(m, now, hit)
-    fresh = numbers[1:] > np.maximum.accumulate(numbers[:-1])
-    at = models.base2 + np.maximum(numbers[1:], 1) - 1
-    counts = np.bincount(at[~(hits | fresh)], minlength=n * BLOCK).astype(np.int32).reshape(n, BLOCK)
-    new = np.array([[len(ids)] for ids in distinct], np.int32)
-    starts = np.cumsum(counts, 1, dtype=np.int32) - counts + new
-    start, width = np.where(fresh, 0, starts.take(at)).astype(_U), np.where(fresh, new.T, counts.take(at)).astype(_U)
-    whole = np.maximum(new[:, 0] + counts.sum(1), 1).astype(_U)
+    predicted, counts, bounds, whole = np.ascontiguousarray(hits.T), [], np.zeros((n, 2, steps), np.uint16), np.ones(n, _U)
+    for lane, size in enumerate(sizes.tolist()):
+        if size:
+            number = own[lane, 1 : size + 1]
+            fresh = number > np.maximum.accumulate(own[lane, :size])
+            count = np.bincount(number[~(predicted[lane, :size] | fresh)], minlength=len(distinct[lane]) + 1)
+            count[0] = len(distinct[lane])  # all new ones
+            ends, at = np.cumsum(count), np.where(fresh, 0, number)
+            bounds[lane, 0, :size], bounds[lane, 1, :size], whole[lane] = (ends - count).take(at), count.take(at), ends[-1]
+            counts.append(count[1:])
+        else:
+            counts.append(np.zeros(0, np.int64))
+    start, width = np.ascontiguousarray(bounds[:, 0].T), np.ascontiguousarray(bounds[:, 1].T)
     low, span = np.zeros(n, _U), np.full(n, _U(2**64 - 1))
     out, used = np.zeros((n, 2 * steps + _ROOM), np.uint16), np.zeros(n, np.int64)
     for t, m in enumerate(active):
@@ -195,8 +206,7 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     result: list[bytes] = [b""] * n
     for lane, i in enumerate(order):
         bits, ids = _packed(distinct[lane])
-        own = counts[lane, : len(distinct[lane])]
-        result[i] = _HEAD.pack(bits, len(own), int(own.sum())) + _unary(own) + ids + out[lane, : used[lane] + 4].astype("<u2").tobytes()
+        result[i] = _HEAD.pack(bits, len(counts[lane]), int(counts[lane].sum())) + _unary(counts[lane]) + ids + out[lane, : used[lane] + 4].astype("<u2").tobytes()
     return result
 
 
@@ -224,21 +234,20 @@ def decode(coded: list[bytes], counts: list[int]) -> list[np.ndarray]:
     low, span, code, used = np.zeros(n, _U), np.full(n, _U(2**64 - 1)), np.zeros(n, _U), np.full(n, 4)
     for k in range(4):
         code = (code << _16) | words[:, k]
-    # by lane and number, from 1: hashes of the ids; by lane and place in order 0: number (0 for new), start and count
-    known = np.array([len(d) for d in distinct])
-    of_hash = np.cumsum(known + 1) - known - 1
-    hashes = np.concatenate([x for d in distinct for x in (np.zeros(1, np.int32), _hashed(d).astype(np.int32))])
+    # by lane and number, 0 for none or new: hashes of the ids, and start and count; by lane and place in order 0: number
+    known = np.array([len(d) + 1 for d in distinct])
+    of_number = np.cumsum(known) - known
+    hashes = np.concatenate([x for d in distinct for x in (np.zeros(1, np.uint16), _hashed(d))])
     width = np.concatenate([x for w in widths for x in ([len(w)], w)]).astype(np.int64)
-    totals = np.add.reduceat(width, of_hash)
+    totals = np.add.reduceat(width, of_number)
     of_slot, whole = (np.cumsum(totals) - totals).astype(_U), np.maximum(totals, 1).astype(_U)
-    number = np.arange(len(width)) - np.repeat(of_hash, known + 1)
-    start = np.cumsum(width) - width - np.repeat(np.cumsum(totals) - totals, known + 1)
-    slots = np.repeat(number | start << 16 | width << 32, width)
-    numbers = np.zeros((int(sizes.max()) + 1, n), np.int32)
-    before, after, seen = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
+    slots = np.repeat((np.arange(len(width)) - np.repeat(of_number, known)).astype(np.int16), width)
+    bounds = (np.cumsum(width) - width - np.repeat(np.cumsum(totals) - totals, known) | width << 16).astype(np.uint32)
+    numbers = np.zeros((int(sizes.max()) + 1, n), np.int16)
+    before, after, seen = np.zeros(n, np.uint16), np.zeros(n, np.uint16), np.zeros(n, np.int16)
     models, active = _Models(n), np.searchsorted(-sizes, -np.arange(len(numbers) - 1), "left").tolist()
     for t, m in enumerate(active):
-        p = models.predict(m, numbers[t, :m], before[:m] * 5 + after[:m])
+        p = models.predict(m, numbers[t, :m], _pair(before[:m], after[:m]))
         x, bound = span[:m], (span[:m] >> _16) * p.astype(_U)
         off = code[:m] - low[:m]
         hit = off < bound
@@ -247,14 +256,14 @@ def decode(coded: list[bytes], counts: list[int]) -> list[np.ndarray]:
         off //= r
         np.minimum(off, whole[:m] - _ONE, out=off)
         off += of_slot[:m]
-        found = slots.take(off.astype(np.int64), mode="clip")
-        value = (found & 0xFFFF).astype(np.int32)
+        value = slots.take(off.astype(np.int64), mode="clip")
+        found = bounds.take(of_number[:m] + value, mode="clip")
         fresh = value == 0
         fresh &= ~hit
         seen[:m] += fresh
         now = np.where(hit, models.guess, np.where(fresh, seen[:m], value))
-        low[:m] += np.where(hit, _U(0), bound + r * (found >> 16 & 0xFFFF).astype(_U))
-        span[:m] = np.where(hit, bound, r * (found >> 32).astype(_U))
+        low[:m] += np.where(hit, _U(0), bound + r * (found & _LOW))
+        span[:m] = np.where(hit, bound, r * (found >> _HIGH))
         lanes, tight = _unsettled(low[:m], span[:m])
         while len(lanes):
             x, r = _grown(low.take(lanes), span.take(lanes), tight)
@@ -265,7 +274,7 @@ def decode(coded: list[bytes], counts: list[int]) -> list[np.ndarray]:
             lanes = lanes.take(again)
         numbers[t + 1, :m] = now
         before[:m] = after[:m]
-        after[:m] = hashes.take(of_hash[:m] + now, mode="clip")
+        after[:m] = hashes.take(of_number[:m] + now, mode="clip")
         models.learn(m, now, hit)
     result: list[np.ndarray] = [np.zeros(0, np.uint32)] * n
     for lane, i in enumerate(order):
