@@ -62,6 +62,16 @@ def test_a_model_is_loaded_once_and_batches_dont_matter(spark, tmp_path):
     assert one[0].probability == one[6].probability > 0.7 > 0.5 == one[2].probability == one[3].probability == one[4].probability == one[5].probability > one[1].probability
 
 
+def test_loads_are_counted_for_each_model(spark, tmp_path):
+    """A worker that has loaded another model before has still loaded this one once."""
+    spark = prepare(spark)
+    rows = spark.createDataFrame([(k, "fine") for k in range(40)], "k long, t string").repartition(1)
+    for name in ("first", "second", "third"):
+        path = f"file://{tmp_path}/{name}"
+        spark.createDataFrame([("fine", 1.0)], "word string, weight double").coalesce(1).write.parquet(path)
+        assert {r.loads for r in rows.select(inference.scores(path)("t").alias("s")).select("s.loads").collect()} == {1}
+
+
 def test_variants_of_loose_answers(spark):
     bodies = ['[{"a": 1}, 2, null]', '{"data": [{"a": "x"}]}', '{"items": []}', '{"data": 3, "items": [{"a": 1.5}]}', "{", "", None, "7"]
     rows = prepare(spark).createDataFrame([(k, b) for k, b in enumerate(bodies)], "k long, b string").select("k", F.explode(files.variants(F.col("b"))).alias("v"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,15 +27,15 @@ VOCABULARY = 50_000
 
 
 class Model:
-    """A loaded model; ``loads`` counts how often this process has loaded one."""
+    """A loaded model; ``loads`` counts how often this process has loaded each path's."""
 
-    loads = 0
+    loads: Counter[str] = Counter()
 
     def __init__(self, path: str) -> None:
         files, base = fs.FileSystem.from_uri(path)
         table = ds.dataset(base, filesystem=files, format="parquet").to_table(columns=["word", "weight"])
         self.weights = dict(zip(table["word"].to_pylist(), table["weight"].to_pylist()))
-        Model.loads += 1
+        Model.loads[path] += 1
 
     def predict(self, texts: list[str]) -> list[float]:
         out = []
@@ -50,7 +51,7 @@ def loaded(path: str) -> Model:
 
 
 def scores(path: str, batch: int = BATCH) -> Column:
-    """A function of a text column: the probability (0 to 1), and how many models its process had loaded by then."""
+    """A function of a text column: the probability (0 to 1), and how often its process had loaded this model by then."""
 
     @F.pandas_udf("probability double, loads int")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -58,7 +59,7 @@ def scores(path: str, batch: int = BATCH) -> Column:
         for texts in parts:
             texts = [t if isinstance(t, str) and t.strip() else BLANK for t in texts]
             found = [p for at in range(0, len(texts), batch) for p in model.predict(texts[at : at + batch])]
-            yield pd.DataFrame({"probability": found, "loads": pd.Series([Model.loads] * len(found), dtype="int32")})
+            yield pd.DataFrame({"probability": found, "loads": pd.Series([Model.loads[path]] * len(found), dtype="int32")})
 
     return score
 
