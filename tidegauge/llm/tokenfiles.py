@@ -3,11 +3,11 @@
 Documents are ordered by doc_id over range partitions; each partition becomes
 one or more files through Spark's text sink, so that files commit and survive
 lost executors like any other output. A line of a file is a segment: a run of
-whole documents of about LANES * BLOCK ids, or one longer document. In a line
+whole documents of LANES * BLOCK ids or more (fewer if the partition has fewer). In a line
 ESC (27) stands for ESC ``1`` and the line feed for ESC ``2``, so that files can
 be read in splits by their line feeds, whatever their size. A segment is
 
-- ``TGS2``, the ids before it in its partition (unsigned 64 bits), the numbers of
+- ``TGS3``, the ids before it in its partition (unsigned 64 bits), the numbers of
   its documents and of its blocks, and the crc32 of what follows up to the
   coded blocks (unsigned 32 bits each; all integers are little-endian);
 - for all documents a byte that is 1 if it has a doc_id, then the doc_ids as
@@ -22,6 +22,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +34,25 @@ from tidegauge.llm.common import shared_dir, written
 from tidegauge.llm.tokens import default_path, encode_column
 
 END = 2
-#: Blocks that are coded together, and segments of a file at most.
+#: Blocks that are coded together, about, and segments of a file at most.
 LANES, SEGMENTS = 1536, 64
 _HEAD = struct.Struct("<4sQIII")
 
 
+def _lanes(blocks: int) -> list[tuple[int, int]]:
+    """Runs of about LANES blocks, that are coded together; under half as many more."""
+    runs = max(1, (2 * blocks + LANES) // (2 * LANES))
+    cuts = [blocks * k // runs for k in range(runs + 1)] if blocks else []
+    return list(zip(cuts, cuts[1:]))
+
+
 def segment(first: int, doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
     """The bytes of documents with the given numbers of ids; ``first`` ids of the partition stand before them."""
     blocks = [ids[at : at + coder.BLOCK] for at in range(0, len(ids), coder.BLOCK)]
-    coded = [c for at in range(0, len(blocks), LANES) for c in coder.encode(blocks[at : at + LANES])]
+    coded = [c for a, b in _lanes(len(blocks)) for c in coder.encode(blocks[a:b])]
     places = np.array([(len(b), len(c), zlib.crc32(b.astype("<u4").tobytes())) for b, c in zip(blocks, coded)], "<u4")
     index = bytes(i is not None for i in doc_ids) + np.array([i or 0 for i in doc_ids], "<i8").tobytes() + np.array(counts, "<u8").tobytes() + places.tobytes()
-    return _HEAD.pack(b"TGS2", first, len(doc_ids), len(blocks), zlib.crc32(index)) + index + b"".join(coded)
+    return _HEAD.pack(b"TGS3", first, len(doc_ids), len(blocks), zlib.crc32(index)) + index + b"".join(coded)
 
 
 def documents(content: bytes) -> tuple[int, list[int | None], np.ndarray, np.ndarray]:
@@ -52,15 +60,14 @@ def documents(content: bytes) -> tuple[int, list[int | None], np.ndarray, np.nda
     magic, first, n, many, crc = _HEAD.unpack_from(content)
     at = _HEAD.size + 17 * n + 12 * many
     index = content[_HEAD.size : at]
-    if magic != b"TGS2" or len(index) != 17 * n + 12 * many or zlib.crc32(index) != crc:
+    if magic != b"TGS3" or len(index) != 17 * n + 12 * many or zlib.crc32(index) != crc:
         raise ValueError("the index of a segment is damaged")
     doc_ids = [i if there else None for i, there in zip(np.frombuffer(index, "<i8", n, n).tolist(), index[:n])]
     places = np.frombuffer(index, "<u4", 3 * many, 17 * n).reshape(many, 3).astype(np.int64)
     ends = at + np.cumsum(places[:, 1])
     parts: list[np.ndarray] = []
-    for a in range(0, many, LANES):
-        here = range(a, min(a + LANES, many))
-        for k, ids in zip(here, coder.decode([content[ends[k] - places[k, 1] : ends[k]] for k in here], places[a : a + LANES, 0].tolist())):
+    for a, b in _lanes(many):
+        for k, ids in zip(range(a, b), coder.decode([content[ends[k] - places[k, 1] : ends[k]] for k in range(a, b)], places[a:b, 0].tolist())):
             if zlib.crc32(ids.astype("<u4").tobytes()) != places[k, 2]:
                 raise ValueError("a block is damaged")
             parts.append(ids)
@@ -80,13 +87,12 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end:
     path = tokenizer or default_path()
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[np.ndarray] = []
-        doc_ids: list[int | None] = []
-        counts: list[int] = []
+        waiting: list[tuple[np.ndarray, list[int | None], list[int]]] = []
         first = size = 0
 
-        def packed() -> pa.RecordBatch:
-            line = _line(segment(first, doc_ids, counts, np.concatenate(waiting)))
+        def packed(runs: list[tuple[np.ndarray, list[int | None], list[int]]]) -> pa.RecordBatch:
+            ids, doc_ids, counts = zip(*runs)
+            line = _line(segment(first, list(chain.from_iterable(doc_ids)), list(chain.from_iterable(counts)), np.concatenate(ids)))
             return pa.RecordBatch.from_arrays([pa.array([line], pa.binary())], ["line"])
 
         for batch in batches:
@@ -96,15 +102,15 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end:
                 keep = np.ones(len(whole), bool)
                 keep[np.cumsum(sizes) - 1] = False
                 whole[keep] = ids
-                waiting.append(whole)
-                doc_ids += batch.column(0).slice(at, len(sizes)).to_pylist()
-                counts += sizes.tolist()
+                waiting.append((whole, batch.column(0).slice(at, len(sizes)).to_pylist(), sizes.tolist()))
                 size += len(whole)
-                if size >= LANES * coder.BLOCK:
-                    yield packed()
-                    first, size, waiting, doc_ids, counts = first + size, 0, [], [], []
-        if doc_ids:
-            yield packed()
+                while size >= 2 * LANES * coder.BLOCK:  # what stays is enough for a segment, so that the last one isn't small
+                    ends = np.cumsum([len(w[0]) for w in waiting])
+                    n = int(np.searchsorted(ends, LANES * coder.BLOCK)) + 1
+                    yield packed(waiting[:n])
+                    first, size, waiting = first + int(ends[n - 1]), size - int(ends[n - 1]), waiting[n:]
+        if waiting:
+            yield packed(waiting)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = ["doc_id", F.xxhash64("text")]
