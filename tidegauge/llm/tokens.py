@@ -138,18 +138,23 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         if not new:
             return
+        words = [self.by_run and p.isascii() and p.isalpha() for p in new]
         # a piece that begins or ends with white space was cut where it must not be
-        good = [bool(p) and not p[0].isspace() and not p[-1].isspace() if p[:1] != MARK else True for p in new]
-        whole = np.array([not self.by_run or _OTHER.search(p) is not None for p in new], bool)
-        keys = _written(_RUN.findall(" " + " ".join(p for p, w in zip(new, whole.tolist()) if not w)) if not whole.all() else [])
+        good = [w or p[:1] == MARK or bool(p) and not p[0].isspace() and not p[-1].isspace() for p, w in zip(new, words)]
+        whole = [not w and (not self.by_run or _OTHER.search(p) is not None) for p, w in zip(new, words)]
+        kind = np.array(whole, np.int8) * 2 + ~(np.array(words, bool) | np.array(whole, bool))  # 0 words, 1 cut into runs, 2 whole
+        runs = [p for p, k in zip(new, kind.tolist()) if k == 1]
+        keys = _written(_RUN.findall(" " + " ".join(runs))) if runs else []
         starts = np.flatnonzero(np.fromiter((k[0] == _SPACE for k in keys), bool, len(keys)))
         counts = np.ones(len(new), np.int64)
-        counts[~whole] = np.diff(starts, append=len(keys))
-        where = np.repeat(whole, counts)
-        numbers = np.empty(len(where), np.int64)
-        numbers[~where], runs = self.runs.of(keys)
-        others = [p[1:] if p[:1] == MARK else " " + p for p, w in zip(new, whole.tolist()) if w]
-        numbers[where] = self.runs.next + np.arange(len(others))
+        counts[kind == 1] = np.diff(starts, append=len(keys))
+        group = np.repeat(kind, counts)
+        numbers = np.empty(len(group), np.int64)
+        alone = [_SPACE + p for p, w in zip(new, words) if w]
+        found, runs = self.runs.of(alone + keys)
+        numbers[group == 0], numbers[group == 1] = found[: len(alone)], found[len(alone) :]
+        others = [p[1:] if p[:1] == MARK else " " + p for p, w in zip(new, whole) if w]
+        numbers[group == 2] = self.runs.next + np.arange(len(others))
         ids: list[int] = []
         many: list[int] = []
         for tokens in map(self.model.tokenize, runs):
