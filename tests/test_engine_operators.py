@@ -382,6 +382,42 @@ def test_streamed_means_with_late_rows_and_a_restart(spark, tmp_path):
         assert got[k][0] == symbol and (got[k][1] is None if np.isnan(mean) else abs(got[k][1] - mean) < 1e-9)
 
 
+def test_streamed_means_of_one_long_series(spark, tmp_path):
+    """The key's state is its mean, its rows wait by hour; rows behind the watermark count while their hour isn't over; odd rows."""
+    from tidegauge.streaming import incremental, ordered
+
+    spark = prepare(spark)
+    rng, start = np.random.default_rng(17), dt.datetime(2024, 1, 1)
+    rows = [(int(rng.integers(2**60)), start + dt.timedelta(seconds=int(s)), 1, "a", float(rng.normal()), "") for s in rng.integers(0, 40_000, 20_000)]  # many at the same second
+    rows = [(*r[:4], None, "") if r[1].hour in (0, 5) else r for r in rows]  # hours without values, the first one too
+    rows += [(None, start + dt.timedelta(minutes=61), 1, "a", 2.0, ""), (-1, None, 1, "a", 9.0, ""), (7, start, 1, None, None, "")]
+    end = max(r[1] for r in rows if r[1])
+    late = [(8, (end - dt.timedelta(hours=1)).replace(minute=0, second=0), 1, "a", 5.0, ""), (9, start, 1, "a", 5.0, ""), (10, end + dt.timedelta(hours=3), 1, "a", 5.0, "")]
+    out, operators = [], []
+    for part in (rows, late):
+        spark.createDataFrame(part, incremental.EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+
+        def run():
+            stream = ordered.ordered_means(incremental.source(spark, str(tmp_path)), 0.2).writeStream.trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/checkpoint")
+            query = stream.foreachBatch(lambda rows, _: out.extend(rows.collect())).start()
+            query.awaitTermination()
+            operators.extend(o for p in query.recentProgress for o in p.stateOperators)
+
+        incremental.stateful(spark, ordered.PROVIDER, run)
+    assert max(o.numRowsTotal for o in operators) >= 12  # hours that wait apart
+    assert max(o.numRowsTotal for o in operators if o.operatorName.startswith("transformWithState")) <= 2
+    whole = [r for r in rows + late if r[1] and r[0] != 9]  # 9 came when its hour was over
+    frame = pd.DataFrame(whole, columns=["event_id", "ts", "u", "symbol", "value", "p"]).fillna({"symbol": ""})
+    frame = frame.assign(event_id=pd.array([r[0] for r in whole], "Int64")).sort_values(["ts", "event_id"])
+    frame["mean"] = frame.groupby("symbol")["value"].transform(lambda x: x.astype(float).ewm(alpha=0.2, adjust=False, ignore_na=True).mean())
+    frame = frame[frame["event_id"].ne(10).fillna(True)]
+    want = {None if pd.isna(r.event_id) else r.event_id: (r.symbol, r.value, r.mean) for r in frame.itertuples()}
+    got = {r.event_id: (r.symbol, r.value, r.mean) for r in out}
+    assert len(out) == len(frame) and set(got) == set(want) and {8, None, 7} <= set(got)
+    for k, (symbol, value, mean) in want.items():
+        assert got[k][0] == symbol and all(x is None if np.isnan(y) else abs(x - y) < 1e-9 for x, y in zip(got[k][1:], (value, mean)))
+
+
 def test_dictionary_matches_are_those_of_a_pattern(spark, monkeypatch):
     """Random texts against alternatives sorted by length; blocks of terms give the same; nulls, empty texts and dictionaries."""
     import random

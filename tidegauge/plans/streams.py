@@ -57,7 +57,7 @@ ALPHA, REACH = 2 / 13, 240
   select symbol, event_id, ts, round(list_sum(list_transform(l, lambda x, i: x * (1 - {ALPHA}::double) ** (len(l) - i) * case when i = 1 and rn = len(l) then 1 else {ALPHA}::double end)), 6) as mean
   from e where date_trunc('hour', ts) + interval 1 hour <= {_CUT}""")
 def stream_ewm(spark, sf_dir):
-    """The mean of each type's values in the order of event time, by keyed state and timers."""
+    """The mean of each type's values in the order of event time, by keyed state."""
     rows = incremental.stateful(spark, ordered.PROVIDER, lambda: incremental.drained(ordered.ordered_means(incremental.source(spark, sf_dir), ALPHA)))
     return rows.select("symbol", "event_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), F.round("mean", 6).alias("mean"))
 

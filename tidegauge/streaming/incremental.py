@@ -32,14 +32,21 @@ def drained(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame,
 
 
 def stateful(spark: SparkSession, provider: str, run: Callable[[], DataFrame]) -> DataFrame:
-    """What ``run`` gives while streams keep their state in stores of ``provider``."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, provider)
+    """What ``run`` gives while streams keep their state in stores of ``provider``, two for each core at most.
+
+    A store writes files in every batch, whatever it holds: stores that wait for a
+    core only add their files' time.
+    """
+    stores = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    settings = {"spark.sql.streaming.stateStore.providerClass": provider, "spark.sql.shuffle.partitions": str(stores)}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         return run()
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def hourly_bars(events: DataFrame, delay: str = "1 hour") -> DataFrame:
