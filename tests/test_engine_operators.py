@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import time
 from datetime import datetime
 
 import numpy as np
@@ -270,6 +271,23 @@ def test_places_and_adjusted_p_values(spark):
     assert ranks.adjusted(rows.limit(0), "p", "id").count() == 0
 
 
+def test_adjusted_p_values_of_a_long_range(spark):
+    """All tests in one range: its time grows in proportion to the rows (their square took over a minute here)."""
+    n, name = 60_000, "spark.sql.shuffle.partitions"
+    rows, before = spark.range(n).select("id", (F.pmod(F.col("id") * 7919, F.lit(1000)) / 1000 * 0.9 + 0.05).alias("p")), spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        began = time.monotonic()
+        got = ranks.adjusted(rows, "p", "id").toPandas().sort_values(["p", "id"])
+        took = time.monotonic() - began
+    finally:
+        spark.conf.set(name, before)
+    raised = np.sort(got["p"].to_numpy()) * n / np.arange(1, n + 1)
+    want = np.minimum(np.minimum.accumulate(raised[::-1])[::-1], 1)
+    assert len(got) == n and got["id"].is_unique and np.allclose(got["adjusted"], want, rtol=1e-12)
+    assert took < 40
+
+
 def test_study_of_detected_change_points(spark):
     """Steps in returns become events; news of their signs match them, and hardly ever when dealt at random."""
     rng = np.random.default_rng(2)

@@ -78,5 +78,6 @@ def adjusted(tests: DataFrame, p: str, tie: str) -> DataFrame:
     raised = ranked.join(F.broadcast(n)).withColumn("_raised", F.col(p) * F.col("_m") / (F.col("place") + 1))
     later = Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)  # a row per range
     parts = raised.groupBy("part").agg(F.min("_raised").alias("_least")).select("part", F.min("_least").over(later).alias("_later"))
-    inside = F.min("_raised").over(Window.partitionBy("part").orderBy("place").rowsBetween(0, Window.unboundedFollowing))
+    # from the last place down: a frame up to the end would be gone through again for every row
+    inside = F.min("_raised").over(Window.partitionBy("part").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0))
     return raised.join(parts, "part").withColumn("adjusted", F.least(F.lit(1.0), inside, "_later")).drop("part", "place", "_m", "_raised", "_later")
