@@ -31,6 +31,10 @@ def drained(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame,
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+#: Rows of a batch that goes to a Python worker of such a stream: a row can be a key's whole hour.
+STATE_ROWS = 32
+
+
 def stateful(spark: SparkSession, provider: str, run: Callable[[], DataFrame]) -> DataFrame:
     """What ``run`` gives while streams keep their state in stores of ``provider``, two for each core at most.
 
@@ -38,7 +42,7 @@ def stateful(spark: SparkSession, provider: str, run: Callable[[], DataFrame]) -
     core only add their files' time.
     """
     stores = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    settings = {"spark.sql.streaming.stateStore.providerClass": provider, "spark.sql.shuffle.partitions": str(stores)}
+    settings = {"spark.sql.streaming.stateStore.providerClass": provider, "spark.sql.shuffle.partitions": str(stores), "spark.sql.execution.arrow.maxRecordsPerBatch": str(STATE_ROWS)}
     before = {name: spark.conf.get(name) for name in settings}
     for name, value in settings.items():
         spark.conf.set(name, value)
